@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.chat_format import rotate_perspectives
 from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.packing import pack
+from lodestone.llm.quality_rules import ledger, passes
 from lodestone.plans.staging import table
 
 
@@ -43,13 +45,68 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.language_id import hash_bucket, predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", hash_bucket("doc_id", 4) == 2)
+    model = train(docs.where("not held_out"))
+    said = docs.select("doc_id", "held_out", predict(spark, model, F.col("text")).alias("p"))
+    return said.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~passes("v1")).alias("base_failed"), passes("v2").alias("kept"), F.col("failed").alias("failed_bits"),
+    )
+
+
+OP5_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT r, unnest(range(1, len(words) - 3)) AS i, words FROM p WHERE len(words) >= 5),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(words[i:i+4], ' ')) AS n FROM g),
+c AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unnest(range(5)) AS k) WHERE n > 1 GROUP BY r),
+m AS (SELECT p.r, doc_id, len(words) AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
+             length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(t, '\P{L}+', '', 'g')) AS n_letters,
+             length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS n_upper
+      FROM p LEFT JOIN c USING (r)),
+b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+             + 8 * (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
+             + 32 * (word_chars > 25 * n_words)::BIGINT + 64 * (n_letters >= 20 AND 2 * n_upper > n_letters)::BIGINT AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
+"""
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+OP6_SQL = """
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role <> 'system'),
+x AS (SELECT m.*, s.perspective, '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS header
+      FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
+r AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS rendered FROM x),
+e AS (SELECT *, sum(length(rendered)) OVER w AS char_end, row_number() OVER w - 1 AS position FROM r
+      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, turn, position, header, rendered, (char_end - length(rendered))::BIGINT AS char_start, char_end::BIGINT AS char_end, role = perspective AS is_target,
+       (char_end - length(rendered) + CASE WHEN role = perspective THEN length(header) ELSE 0 END)::BIGINT AS mask_start,
+       (CASE WHEN role = perspective THEN char_end - 1 ELSE char_end - length(rendered) END)::BIGINT AS mask_end
+FROM e
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op8_packing": op8_packing}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op8_packing": op8_packing}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL}
