@@ -1 +1 @@
-"""Part of lodestone."""
+"""Operators: DataFrames in, DataFrames out."""
