@@ -104,8 +104,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op8_packing": op8_packing}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
 
 
 def llm_oracles() -> dict[str, str]:
