@@ -100,6 +100,25 @@ FROM e
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.substring_dedup import substring_dedup
+
+    cut = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(words[i:i+12], ' ')) AS h FROM d, unnest(range(1, len(words) - 11)) AS u(i)),
+f AS (SELECT h, min(doc_id) AS low FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT doc_id, i + k AS place FROM w JOIN f USING (h), (SELECT unnest(range(13)) AS k) WHERE doc_id > low),
+g AS (SELECT doc_id, list(place) AS gone FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_select(words, list_filter(range(1, len(words) + 1), lambda j: NOT list_contains(coalesce(gone, []), j))), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -112,8 +131,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_substring_dedup": OP7_SQL}
