@@ -1,3 +1,63 @@
-"""Placeholder until the stages are in."""
+"""From the documents table to packed training sequences, in stages that are each written and read again."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.language_id import UNKNOWN, predict, train
+from lodestone.llm.packing import pack
+from lodestone.llm.queries import tokenizer_file
+from lodestone.llm.simhash import near_dedup
+from lodestone.llm.substring_dedup import substring_dedup
+from lodestone.plans.staging import stage, table
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a letter, and those whose likeliest language is less likely than all others together."""
+    model = train(docs)
+    told = docs.withColumn("__told", predict(spark, model, F.col("text")))
+    return told.where((F.col("__told.lang") != UNKNOWN) & (F.col("__told.score") >= 0.5)).drop("__told")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the row with the smallest doc_id stays."""
+    return near_dedup(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that also start in a document with a smaller doc_id. Texts without any are left as they are; one that
+    is cut has its kept words joined by one space, and may be empty; n_chars follows the text."""
+    cut = substring_dedup(docs)
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
+    size = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select(*[{"text": text, "n_chars": size}.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens, a row for each piece."""
+    return pack(docs, tokenizer_file())
+
+
+STAGES = [
+    ("language_id", keep_languages), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats), ("packing", pack_sequences),
+]
+
+#: Naive Bayes, SimHash components and tokenization can't be told in SQL; tests/llm compares the run with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return docs

@@ -125,6 +125,18 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, references: int = 16, m
     return paired.unionByName(starred).distinct()
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """id, tag (the text's CRC-32), fp, component (a fingerprint) and component_id of every row."""
+    tag = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    prints = stage(docs.select(F.col(id_col).alias("id"), tag.alias("tag"), simhash(F.col(text_col), shingle).alias("fp")), "simhash")
+    classes = stage(prints.groupBy("fp").agg(F.min("id").alias("low")), "fpclass")
+    found = connected_components(links(classes.select("fp"), radius))  # node, component
+    member = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    lows = member.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = member.join(lows, "component").select("fp", "component", "component_id")
+    return prints.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row per input row: ``id_col``, fp (long) and component_id, the smallest id reachable over links.
 
@@ -132,10 +144,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their null; a component with null ids alone has a null component_id. Rows that repeat are returned each. Other columns are
     not read.
     """
-    prints = stage(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), shingle).alias("fp")), "simhash")
-    classes = stage(prints.groupBy("fp").agg(F.min("id").alias("low")), "fpclass")
-    found = connected_components(links(classes.select("fp"), radius))  # node, component
-    member = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    lows = member.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = member.join(lows, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return _labelled(docs, id_col, text_col, shingle, radius).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest id (null first).
+
+    Rows that share an id are told apart by their texts; rows that share both all stay or all go.
+    """
+    first = _labelled(docs, id_col, text_col, shingle, radius).groupBy("component").agg(F.min(F.struct("id", "tag")).alias("k")).select(F.col("k.id").alias("__near_id"), F.col("k.tag").alias("__near_tag"))
+    tag = F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
+    return docs.join(first, docs[id_col].eqNullSafe(first["__near_id"]) & (tag == first["__near_tag"]), "left_semi")
