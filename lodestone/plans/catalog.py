@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestone.plans import q_eval  # noqa: F401
+from lodestone.plans.registry import REGISTRY, Query
 
 
-def reference_queries() -> dict[str, Callable]:
-    return {}
+def reference_queries() -> dict[str, Query]:
+    return {name: function for name, (function, _) in REGISTRY.items()}
 
 
 def reference_oracles() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
