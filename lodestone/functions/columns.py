@@ -27,7 +27,8 @@ def norm(v: Column | str) -> Column:
 def l2(v: Column | str) -> Column:
     """Vector scaled to length 1; one shorter than 1e-12 is left as it is."""
     n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n < 1e-12, 1.0).otherwise(n))
+    # The length is repeated beside the vector, since inside the function it would be computed anew for every element.
+    return F.zip_with(v, F.array_repeat(F.when(n < 1e-12, 1.0).otherwise(n), F.size(v)), lambda x, y: x / y)
 
 
 def sanitized(v: Column | str, bound: float | None = 50.0) -> Column:

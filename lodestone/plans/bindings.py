@@ -61,3 +61,6 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Methods compared: the vectors themselves, their first half, and random ones.
 METHODS = ("full", "half", "random")
+
+#: Nearest others of each vector, by place.
+TOP_SQL = SIMS + ", top AS (SELECT q, c, qg, cg, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS place FROM sims WHERE q <> c)"

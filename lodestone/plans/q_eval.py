@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.columns import dot, l2, r6
 from lodestone.operators import ranking as R
 from lodestone.plans import bindings as B
-from lodestone.plans.bindings import SIMS, SQL
+from lodestone.plans.bindings import SIMS, SQL, TOP_SQL
 from lodestone.plans.registry import query
 from lodestone.plans.staging import table
 
@@ -81,7 +81,7 @@ def cosine_within_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.all_pairs(B.vectors(spark, sf_dir), same_group=True).withColumn("sim", r6("sim"))
 
 
-TOP = SIMS + ", top AS (SELECT q, c, qg, cg, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS place FROM sims WHERE q <> c)"
+TOP = TOP_SQL
 
 
 @query("knn_topk", TOP + " SELECT q, c, round(s, 6) AS sim, place FROM top WHERE place <= 10")
