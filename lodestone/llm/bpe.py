@@ -243,130 +243,217 @@ class StreamDecoder:
         return self.state.decode(b"", final=True)
 
 
-class Encoder:
-    """Encodes batches of texts, remembering the tokens of space-delimited pieces in a memo of at most ``limit`` pieces."""
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 white space, 1 letter, 2 number, 3 other."""
+    out = np.full(0x110000, 3, np.uint8)
+    every = [*range(0xD800), *range(0xE000, 0x110000)]
+    text = "".join(map(chr, every))
+    for kind, pattern in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
+        for match in regex.finditer(pattern, text):
+            out[every[match.start()] : every[match.end() - 1] + 1] = kind
+    return out
+
+
+def word_starts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where words begin in code points, as ``WORDS`` cuts them, with texts beginning at ``begins``."""
+    n = len(points)
+    kind = _kinds()[points]
+    first = np.zeros(n + 1, bool)
+    first[begins] = True
+    first[n] = True
+    space = kind == 0
+    same = np.zeros(n, bool)  # goes on as the one before
+    same[1:] = (kind[1:] == kind[:-1]) & ~first[1:n]
+    start = ~same
+    blank = points == 32
+    # The last white space before a word stands alone; a blank goes with the word.
+    last = space.copy()
+    last[:-1] &= ~space[1:]
+    last &= ~first[1:]
+    start |= last
+    start[1:] &= ~((blank & last)[:-1] & ~space[1:])
+    # Contractions, where the apostrophe begins a word of its own.
+    mark = np.flatnonzero((points == 39) & start)
+    if len(mark):
+        padded = np.concatenate([points, np.zeros(2, points.dtype)])
+        one, two = padded[mark + 1], padded[mark + 2]
+        # Within one text only.
+        has_one, has_two = ~first[np.minimum(mark + 1, n)], ~first[np.minimum(mark + 2, n)] & ~first[np.minimum(mark + 1, n)]
+        short = np.isin(one, [ord(c) for c in "stmd"]) & has_one
+        long = ((one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))) & has_two
+        start[mark[short | long] + 1] = False
+        after = np.concatenate([mark[short] + 2, mark[long] + 3])
+        start[after[after < n]] = True
+    return np.flatnonzero(start)
+
+
+class WordMemo:
+    """Tokens of words by a hash of their bytes, in numpy arrays; the bytes are kept and compared."""
+
+    def __init__(self, bits: int = 20):
+        self.keys, self.slot_of = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.mask, self.shift = np.int64((1 << bits) - 1), np.uint64(64 - bits)
+        self.pool, self.used = np.empty(1 << 18, np.int32), 0
+        self.text, self.text_used = np.empty(1 << 18, np.uint8), 0
+        self.begin, self.size, self.text_begin, self.text_size = (np.zeros(1 << 16, np.int64) for _ in range(4))
+        self.n = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 if it isn't there."""
+        at = (keys >> self.shift).astype(np.int64)
+        slots = self.slot_of[at]
+        on = np.flatnonzero((slots >= 0) & (self.keys[at] != keys))
+        while len(on):
+            at[on] = at[on] + 1 & self.mask
+            slots[on] = self.slot_of[at[on]]
+            on = on[(slots[on] >= 0) & (self.keys[at[on]] != keys[on])]
+        return slots.astype(np.int64)
+
+    def add(self, keys: np.ndarray, words: list[bytes], tokens: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Put in words with distinct keys that aren't there yet."""
+        n, m = self.n, len(words)
+        text = np.frombuffer(b"".join(words), np.uint8)
+        tokens = gathered(tokens, begin, size)
+        while self.used + len(tokens) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while self.text_used + len(text) > len(self.text):
+            self.text = np.concatenate([self.text, np.empty_like(self.text)])
+        while n + m > len(self.begin):
+            for name in ("begin", "size", "text_begin", "text_size"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        lengths = np.fromiter(map(len, words), np.int64, m)
+        self.pool[self.used : self.used + len(tokens)] = tokens
+        self.text[self.text_used : self.text_used + len(text)] = text
+        self.begin[n : n + m], self.size[n : n + m] = self.used + np.cumsum(size) - size, size
+        self.text_begin[n : n + m], self.text_size[n : n + m] = self.text_used + np.cumsum(lengths) - lengths, lengths
+        self.used, self.text_used, self.n = self.used + len(tokens), self.text_used + len(text), n + m
+        at, left = (keys >> self.shift).astype(np.int64), np.arange(m)
+        while len(left):
+            free = self.slot_of[at[left]] < 0
+            spot, which = np.unique(at[left[free]], return_index=True)
+            taken = left[free][which]
+            self.slot_of[spot], self.keys[spot] = n + taken, keys[taken]
+            left = np.setdiff1d(left, taken, assume_unique=True)
+            stuck = left[self.slot_of[at[left]] >= 0]
+            at[stuck] = at[stuck] + 1 & self.mask
 
-    LONG = 256  # characters; longer pieces are streamed and not remembered
-    _odd = re.compile(r"[^\S \n]")
-    _cut = re.compile(r"(?<=\S) (?=\S)")
-    _words = regex.compile(WORDS)
 
-    def __init__(self, table: MergeTable, limit: int = 500_000):
-        self.table, self.limit = table, limit
-        self._added = re.compile("|".join(map(re.escape, sorted(table.added, key=len, reverse=True)))) if table.added else None
-        self._clear()
+class Encoder:
+    """Encodes batches of texts. Words are cut, hashed and looked up in numpy; the tokens of at most about ``limit`` words are
+    remembered. Words over LONG bytes go through a ``Transducer`` and aren't remembered."""
 
-    def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 20, np.int32), 0
-        self.begin, self.size = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
+    LONG = 256
 
-    def _put(self, keys: list[str], tokens: np.ndarray, sizes: np.ndarray) -> None:
-        total, first = len(tokens), len(self.slots)
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while first + len(keys) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        self.pool[self.used : self.used + total] = tokens
-        self.begin[first : first + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(keys)] = sizes
-        self.slots.update(zip(keys, range(first, first + len(keys))))
-        self.used += total
-
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces that merge independently of each other. A word never holds a space that stands between two non-spaces but as
-        its first character, so a text may be cut before each such space. The first piece is marked by a leading space; to
-        the others a space belongs that isn't written."""
-        parts = text.split(" ")
-        if "" in parts or " \n" in text or "\n " in text or self._odd.search(text):
-            parts = self._cut.split(text)
-        parts[0] = " " + parts[0]
-        return parts
-
-    def _stream(self, piece: str) -> np.ndarray:
-        out: list[int] = []
-        for match in self._words.finditer(piece):
-            word = match.group().encode("utf-8", "replace")
-            if len(word) <= self.LONG:
-                out.extend(self.table.merge_window(word))
-                continue
-            transducer = Transducer(self.table)
-            for i in range(0, len(word), 4096):
-                out.extend(transducer.feed(word[i : i + 4096]))
-            out.extend(transducer.finish())
+    def __init__(self, table: MergeTable, limit: int = 350_000):
+        self.table, self.limit, self.memo = table, limit, WordMemo()
+        self._added = re.compile("|".join(map(re.escape, sorted(table.added, key=len, reverse=True)))) if table.added else None
+        self._powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64),) * 2
+
+    def _word_keys(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self._powers[0]) <= len(raw):
+            n = max(1 << 20, len(raw) + 1)
+            self._powers = tuple(_power_table(base, n) for base in (HASH_BASE, pow(HASH_BASE, -1, 2**64)))
+        up, down = self._powers
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+        x = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+    def _stream(self, word: bytes) -> np.ndarray:
+        transducer, out = Transducer(self.table), []
+        for i in range(0, len(word), 4096):
+            out.extend(transducer.feed(word[i : i + 4096]))
+        out.extend(transducer.finish())
         return np.array(out, np.int32)
 
-    def _learn(self, keys: list[str]) -> None:
-        words: dict[str, int] = {}
-        own: list[int] = []
-        count: list[int] = []
-        find = self._words.findall
-        for key in keys:
-            if key.isalpha():  # one word
-                own.append(words.setdefault(" " + key, len(words)))
-                count.append(1)
-            elif key[-1:] in ".,;:!?" and (stem := key[:-1]).isalpha():  # a word and a mark
-                own.append(words.setdefault(" " + stem, len(words)))
-                own.append(words.setdefault(key[-1:], len(words)))
-                count.append(2)
-            else:
-                found = find(key[1:] if key[:1] == " " else " " + key)
-                own.extend([words.setdefault(w, len(words)) for w in found])
-                count.append(len(found))
-        tokens, begin, size = self.table.merge_many([w.encode("utf-8", "replace") for w in words])
-        which = np.array(own, np.int64)
-        tokens = gathered(tokens, begin[which], size[which])
-        ends = np.concatenate([[0], np.cumsum(size[which])])[np.cumsum(count)] if keys else np.empty(0, np.int64)
-        self._put(keys, tokens, np.diff(ends, prepend=0))
-
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the texts, and where each text's tokens end."""
-        if len(self.slots) > self.limit:
-            self._clear()
-        pieces: list[str] = []
-        ends: list[int] = []
+        if not (self._added and any(map(self._added.search, texts))):
+            return self._plain(texts)
+        # Added tokens are cut out first; what lies between is encoded on its own.
+        segments, plan = [], []
         for text in texts:
-            if self._added and self._added.search(text):
-                at = 0
-                for match in self._added.finditer(text):
-                    pieces += self._pieces(text[at : match.start()])
-                    pieces.append("\x00" + match.group())  # pieces after the first never start with what they'd be cut before
-                    at = match.end()
-                pieces += self._pieces(text[at:])
-            else:
-                pieces += self._pieces(text)
-            ends.append(len(pieces))
-        slots = np.fromiter(map(self.slots.get, pieces, [-1] * len(pieces)), np.int64, len(pieces))
-        special: dict[int, np.ndarray] = {}
-        if len(unknown := np.flatnonzero(slots < 0)):
-            fresh: dict[str, None] = {}
-            for i in unknown.tolist():
-                piece = pieces[i]
-                if piece[:1] == "\x00" and piece[1:] in self.table.added:
-                    special[i] = np.array([self.table.added[piece[1:]]], np.int32)
-                elif len(piece) > self.LONG:
-                    special[i] = self._stream(piece[1:] if piece[:1] == " " else " " + piece)
-                else:
-                    fresh[piece] = None
-            self._learn(list(fresh))
-            get = self.slots.get
-            slots[unknown] = [get(pieces[i], -1) for i in unknown.tolist()]
-        if special:
-            known = slots >= 0
-            size = np.where(known, self.size[slots], 0)
-            for i, tokens in special.items():
-                size[i] = len(tokens)
-            stop = np.cumsum(size)
+            at, own = 0, []
+            for match in self._added.finditer(text):
+                segments.append(text[at : match.start()])
+                own += [len(segments) - 1, -1 - self.table.added[match.group()]]
+                at = match.end()
+            segments.append(text[at:])
+            plan.append([*own, len(segments) - 1])
+        ids, ends = self._plain(segments)
+        begins = np.concatenate([[0], ends[:-1]])
+        rows = [np.concatenate([ids[begins[p] : ends[p]] if p >= 0 else np.array([-1 - p], np.int32) for p in own]) for own in plan]
+        return np.concatenate(rows), np.cumsum([len(r) for r in rows])
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.memo.n > self.limit:
+            self.memo = WordMemo()
+        joined = "".join(texts)
+        if not joined:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        chars = np.fromiter(map(len, texts), np.int64, len(texts))
+        text_ends = np.cumsum(chars)
+        begins = text_ends - chars
+        data = joined.encode("utf-8")
+        raw = np.frombuffer(data, np.uint8)
+        points = raw if len(raw) == len(joined) else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        starts = word_starts(points, begins[begins < len(points)])
+        if points is raw:
+            begin = starts
+        else:
+            width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+            begin = (np.cumsum(width) - width)[starts]
+        end = np.append(begin[1:], len(raw))
+        keys = self._word_keys(raw, begin, end)
+        memo = self.memo
+        slots = memo.find(keys)
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            fresh, which = np.unique(keys[unknown], return_index=True)
+            which = unknown[which]
+            brief = end[which] - begin[which] <= self.LONG
+            fresh, which = fresh[brief], which[brief]
+            words = [data[a:b] for a, b in zip(begin[which].tolist(), end[which].tolist())]
+            memo.add(fresh, words, *self.table.merge_many(words))
+            slots[unknown] = memo.find(keys[unknown])
+        # What is remembered must be the very word.
+        lengths = end - begin
+        held = np.flatnonzero(slots >= 0)
+        same = memo.text_size[slots[held]] == lengths[held]
+        if same.all() and len(held) == len(slots):
+            odd = np.flatnonzero(memo.text[np.arange(len(raw)) + np.repeat(memo.text_begin[slots] - begin, lengths)] != raw)
+            slots[np.unique(np.searchsorted(begin, odd, "right") - 1)] = -1
+        else:
+            slots[held[~same]] = -1
+            held = held[same]
+            stored = gathered(memo.text, memo.text_begin[slots[held]], lengths[held])
+            odd = np.flatnonzero(stored != gathered(raw, begin[held], lengths[held]))
+            slots[held[np.unique(np.searchsorted(np.cumsum(lengths[held]), odd, "right"))]] = -1
+        size = np.where(slots >= 0, memo.size[slots], 0)
+        lone = {i: self._stream(data[begin[i] : end[i]]) for i in np.flatnonzero(slots < 0).tolist()}
+        for i, tokens in lone.items():
+            size[i] = len(tokens)
+        stop = np.cumsum(size)
+        if lone:
             out = np.empty(int(stop[-1]), np.int32)
-            out[np.repeat(known, size)] = gathered(self.pool, self.begin[slots[known]], size[known])
-            for i, tokens in special.items():
+            known = slots >= 0
+            out[np.repeat(known, size)] = gathered(memo.pool, memo.begin[slots[known]], size[known])
+            for i, tokens in lone.items():
                 out[stop[i] - len(tokens) : stop[i]] = tokens
         else:
-            size = self.size[slots]
-            stop = np.cumsum(size)
-            out = gathered(self.pool, self.begin[slots], size)
-        last = np.concatenate([[0], stop])[np.array(ends, np.int64)] if ends else np.empty(0, np.int64)
-        return out, last
+            out = gathered(memo.pool, memo.begin[slots], size)
+        return out, np.concatenate([[0], stop])[np.searchsorted(starts, text_ends)]
+
+
+HASH_BASE = 0x9E3779B97F4A7C15
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 @functools.lru_cache(maxsize=2)
@@ -375,7 +462,7 @@ def _encoder(path: str) -> Encoder:
     return Encoder(MergeTable(path))
 
 
-def text_runs(texts: list[str], most_chars: int = 2_000_000) -> Iterator[list[str]]:
+def text_runs(texts: list[str], most_chars: int = 1_000_000) -> Iterator[list[str]]:
     """Successive texts together up to ``most_chars``, so that the working arrays stay small."""
     run: list[str] = []
     chars = 0
@@ -429,6 +516,15 @@ def decode(ids: Column | str, path: str) -> Column:
     return bpe_decode(ids)
 
 
+def transcoded(path: str, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, str]]:
+    """Token ids of each text and their decoding, by both machines, for use within a task."""
+    table = _encoder(path).table
+    for ids in encoded(path, texts):
+        machine = StreamDecoder(table)
+        parts = [machine.feed(ids[i : i + 65536].tolist()) for i in range(0, len(ids), 65536)]
+        yield ids, "".join(parts) + machine.finish()
+
+
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` added (a column of that name is replaced)."""
     return docs.withColumn(ids_col, encode(F.col(text_col), path))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +36,18 @@ FROM documents
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.bpe import decode, encode_documents
+    from lodestone.llm.bpe import transcoded
 
     path = tokenizer_file()
-    tokens = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    back = tokens.withColumn("decoded", decode("ids", path))
-    return back.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sha = lambda text: hashlib.sha256(text.encode("utf-8")).hexdigest()
+        for batch in batches:
+            made = [(len(ids), sha(",".join(map(str, ids.tolist()))), sha(text)) for ids, text in transcoded(path, batch["text"])]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), zip(*made)))} if made else {}, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    return docs.mapInPandas(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
