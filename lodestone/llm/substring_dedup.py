@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.staging import stage
+from lodestone.plans.staging import discard, stage
 
 WINDOW = 13
 GRAM = 5
@@ -117,7 +117,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 yield pd.DataFrame({"anchor": grams[pick[new]].view(np.int64), "id": ids[owner[new]], "at": (pick - base)[new].astype(np.int32)})
 
     found = rows.mapInPandas(anchors, "anchor long, id long, at int")
-    shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
+    # Written before it is joined: with a shuffle of its own on either side of the join, Spark can split a frequent anchor.
+    shared = stage(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "shared")
     seeds = stage(found.join(shared, "anchor").select("id", "at"), "seeds")
     by_doc = seeds.groupBy("id").agg(F.collect_set("at").alias("seeds"))
 
@@ -135,9 +136,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     seeded = rows.join(by_doc, "id").select("id", F.expr("cast(crc32(cast(coalesce(text, '') as binary)) - 2147483648 as int)").alias("tag"), "text", "seeds")
     extended = stage(seeded.mapInPandas(extend, "hash long, id long, tag int, start int"), "extended")
-    earliest = extended.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low")
+    earliest = stage(extended.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low"), "earliest")
     again = extended.join(earliest, "hash").where("id > low")
-    return again.groupBy("id", "tag").agg(F.collect_set("start").alias("starts"))
+    out = stage(again.groupBy("id", "tag").agg(F.collect_set("start").alias("starts")), "repeats")
+    discard(shared, seeds, extended, earliest)
+    return out
 
 
 def cut_repeats(texts: Iterator[tuple[str | None, list[int] | None]], window: int = WINDOW) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
@@ -173,7 +176,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "id": F.coalesce(F.col(f"row.{id_col}").cast("long"), F.lit(FIRST)), "text": F.col(f"row.{text_col}"),
         "tag": F.expr(f"cast(crc32(cast(coalesce(row.{text_col}, '') as binary)) - 2147483648 as int)"),
     })
-    found = stage(repeats(docs, id_col, text_col, window, gram), "repeats")
+    found = repeats(docs, id_col, text_col, window, gram)
 
     @F.pandas_udf("kept_text string, n_words long, n_removed long, repeats array<struct<begin: int, end: int>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
