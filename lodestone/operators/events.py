@@ -6,6 +6,8 @@ action_id); nothing relies on the order of the input. All sequence features are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -202,15 +204,17 @@ def area(corners: np.ndarray) -> float:
 
 
 def hull_areas(actions: DataFrame, length: float = 105.8, width: float = 68.7) -> DataFrame:
-    """player, hull_share: area of the hull of start points over the field's. Hulls by game first, then the hull of their corners."""
+    """player, hull_share: area of the hull of start points over the field's. Each batch hands on the corners of its players'
+    hulls; a player's hull is that of all those corners."""
 
-    def corners(group: pd.DataFrame) -> pd.DataFrame:
-        got = hull(group[["x0", "y0"]].to_numpy(float)).reshape(-1, 2)
-        return pd.DataFrame({"player": group["player"].iloc[0], "x0": got[:, 0], "y0": got[:, 1]})
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for player, points in batch.groupby("player"):
+                got = hull(points[["x0", "y0"]].to_numpy(float))
+                yield pd.DataFrame({"player": player, "x0": got[:, 0], "y0": got[:, 1]})
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"player": group["player"].iloc[:1], "hull_share": [area(hull(group[["x0", "y0"]].to_numpy(float))) / (length * width)]})
 
-    points = actions.where(~F.isnan("x0") & ~F.isnan("y0")).select("player", "game", "x0", "y0")
-    by_game = points.groupBy("player", "game").applyInPandas(corners, "player long, x0 double, y0 double")
-    return by_game.groupBy("player").applyInPandas(whole, "player long, hull_share double")
+    points = actions.where(~F.isnan("x0") & ~F.isnan("y0")).select("player", "x0", "y0")
+    return points.mapInPandas(corners, "player long, x0 double, y0 double").groupBy("player").applyInPandas(whole, "player long, hull_share double")
