@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.staging import stage
+from lodestone.plans.staging import discard, stage
 
 
 def _star(edges: DataFrame, label: str, large: bool) -> DataFrame:
@@ -38,8 +38,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = stage(edges.where(f"{src} is not null and {dst} is not null and {src} <> {dst}").select(low.alias("src"), high.alias("dst")).distinct(), "edges")
     before = None
     while (state := _state(now)) != before and state[0]:
-        before = state
-        now = _star(_star(now, "largestar", True), "smallstar", False)
+        before, old = state, now
+        large = _star(now, "largestar", True)
+        now = _star(large, "smallstar", False)
+        discard(old, large)
     return now.select(F.col("dst").alias("node"), F.col("src").alias("component")).unionByName(
         now.select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -23,9 +24,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back: lineage is cut, and a lost executor costs no recomputation of what was written."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/lodestone-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # What was written needs its shuffle files no more; Spark removes them once the driver has collected its garbage.
+    # Shuffle files of what was staged before are needed no more; Spark removes them once the driver has collected its garbage.
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
