@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import connected_components
-from lodestone.plans.staging import stage
+from lodestone.plans.staging import discard, stage
 
 RADIUS = 2
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
@@ -125,8 +125,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, references: int = 16, m
     return paired.unionByName(starred).distinct()
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
-    """id, tag (the text's CRC-32), fp, component (a fingerprint) and component_id of every row."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, list[DataFrame]]:
+    """id, tag (the text's CRC-32), fp, component (a fingerprint) and component_id of every row; and the staged tables read."""
     tag = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     prints = stage(docs.select(F.col(id_col).alias("id"), tag.alias("tag"), simhash(F.col(text_col), shingle).alias("fp")), "simhash")
     classes = stage(prints.groupBy("fp").agg(F.min("id").alias("low")), "fpclass")
@@ -134,7 +134,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius:
     member = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lows = member.groupBy("component").agg(F.min("low").alias("component_id"))
     named = member.join(lows, "component").select("fp", "component", "component_id")
-    return prints.join(named, "fp")
+    return prints.join(named, "fp"), [prints, classes]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their null; a component with null ids alone has a null component_id. Rows that repeat are returned each. Other columns are
     not read.
     """
-    return _labelled(docs, id_col, text_col, shingle, radius).select(F.col("id").alias(id_col), "fp", "component_id")
+    return _labelled(docs, id_col, text_col, shingle, radius)[0].select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -152,6 +152,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that share an id are told apart by their texts; rows that share both all stay or all go.
     """
-    first = _labelled(docs, id_col, text_col, shingle, radius).groupBy("component").agg(F.min(F.struct("id", "tag")).alias("k")).select(F.col("k.id").alias("__near_id"), F.col("k.tag").alias("__near_tag"))
+    found, staged = _labelled(docs, id_col, text_col, shingle, radius)
+    least = found.groupBy("component").agg(F.min(F.struct("id", "tag")).alias("k"))
+    first = stage(least.select(F.col("k.id").alias("__near_id"), F.col("k.tag").alias("__near_tag")), "nearest")
+    discard(*staged)
     tag = F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
     return docs.join(first, docs[id_col].eqNullSafe(first["__near_id"]) & (tag == first["__near_tag"]), "left_semi")
