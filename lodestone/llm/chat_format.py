@@ -22,32 +22,32 @@ def rotate_perspectives(messages: DataFrame, conv_col: str = "conv_id", turn_col
     char_start to char_end is the message's span in the whole rendering, mask_start to mask_end the part of it that the
     assistant is trained on: its text and the end mark; empty for others. Other columns are not read.
     """
+    # Keys that may be null are structs: these are equal when their fields are both null, and serve plain equality joins, so
+    # that the window below stands on the join's shuffle.
     rows = messages.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
+        F.struct(F.col(conv_col).alias("conv_id")).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    speakers = rows.where(~F.col("role").isin(*narrators)).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    shown = rows.join(speakers, rows["conv_id"].eqNullSafe(speakers["c"])).drop("c")
+    speakers = rows.where(~F.col("role").isin(*narrators)).select("conv", F.col("role").alias("perspective")).distinct()
+    shown = rows.join(speakers, "conv")
     is_target = F.col("role") == F.col("perspective")
     name = F.when(is_target, F.lit("assistant")).when(F.col("role").isin(*narrators), F.col("role")).otherwise(F.concat(F.lit("user name="), "role"))
     made = shown.select(
-        "conv_id", "perspective", "turn", "role", "text", is_target.alias("is_target"),
-        F.concat(F.lit(start), name, F.lit("\n")).alias("header"), F.floor(F.col("turn") / block).alias("block"),
-    ).withColumn("rendered", F.concat("header", "text", F.lit(end + "\n")))
-    size = F.length("rendered").cast("long")
-    ends = made.groupBy("conv_id", "perspective", "block").agg(F.sum(size).alias("chars"), F.count(F.lit(1)).alias("n"))
-    up_to = Window.partitionBy("conv_id", "perspective").orderBy(F.col("block").asc_nulls_first())
+        "conv", "perspective", F.struct(F.floor(F.col("turn") / block).alias("block")).alias("part"), "turn", "role", "text",
+        is_target.alias("is_target"), F.concat(F.lit(start), name, F.lit("\n")).alias("header"),
+    ).withColumn("size", (F.length("header") + F.length("text") + F.lit(len(end) + 1)).cast("long"))
+    ends = made.groupBy("conv", "perspective", "part").agg(F.sum("size").alias("chars"), F.count(F.lit(1)).alias("n"))
+    up_to = Window.partitionBy("conv", "perspective").orderBy(F.col("part.block").asc_nulls_first())
     before = ends.select(
-        F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"),
-        (F.sum("chars").over(up_to) - F.col("chars")).alias("chars_before"), (F.sum("n").over(up_to) - F.col("n")).alias("n_before"),
+        "conv", "perspective", "part", (F.sum("chars").over(up_to) - F.col("chars")).alias("chars_before"), (F.sum("n").over(up_to) - F.col("n")).alias("n_before"),
     )
-    placed = made.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & F.col("block").eqNullSafe(F.col("b")))
-    within = Window.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    stop = F.col("chars_before") + F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    placed = made.join(before, ["conv", "perspective", "part"])
+    within = Window.partitionBy("conv", "perspective", "part").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    stop = F.col("chars_before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
     out = placed.select("*", stop.alias("char_end"), (F.col("n_before") + F.row_number().over(within) - 1).alias("position"))
-    begin = F.col("char_end") - size
+    begin = F.col("char_end") - F.col("size")
     return out.select(
-        "conv_id", "perspective", "turn", "position", "header", "rendered", begin.alias("char_start"), "char_end", "is_target",
+        "conv.conv_id", "perspective", "turn", "position", "header", F.concat("header", "text", F.lit(end + "\n")).alias("rendered"), begin.alias("char_start"), "char_end", "is_target",
         F.when(F.col("is_target"), begin + F.length("header")).otherwise(begin).alias("mask_start"),
         F.when(F.col("is_target"), F.col("char_end") - 1).otherwise(begin).alias("mask_end"),
     )
