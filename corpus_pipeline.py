@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.language_id import UNKNOWN, predict, train
+from lodestone.llm.near_copies import near_copies_dedup
 from lodestone.llm.packing import pack
 from lodestone.llm.queries import tokenizer_file
-from lodestone.llm.simhash import near_dedup
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.plans.staging import stage, table
 
@@ -27,8 +27,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the row with the smallest doc_id stays."""
-    return near_dedup(docs)
+    """Texts are linked whose five-word shingles have a Jaccard similarity of at least 0.8; of each component the row with the
+    smallest doc_id stays."""
+    return near_copies_dedup(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ STAGES = [
     ("substring_dedup", cut_repeats), ("packing", pack_sequences),
 ]
 
-#: Naive Bayes, SimHash components and tokenization can't be told in SQL; tests/llm compares the run with a brute-force version.
+#: Naive Bayes, near-copy components and tokenization can't be told in SQL; tests/llm compares the run with a brute-force version.
 ORACLE_SQL = None
 
 
