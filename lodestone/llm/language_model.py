@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.substring_dedup import _mixed, _powers
+from lodestone.llm.words import mixed, sliced, split_words, string_hashes
 from lodestone.plans.staging import shuffle_width, stage
 
 END = ""  # the token that ends a text and precedes the first; no word is empty
@@ -47,17 +47,6 @@ class Settings:
     longest: int = 64
 
 
-def sliced(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut after at most ``most`` bytes of text or one row."""
-    for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
-        begin = 0
-        while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + most, "right")))
-            yield batch.slice(begin, end - begin)
-            begin = end
-
-
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Token numbers, in order, of all texts, the distinct tokens, and the text of each token. Each text ends with END."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -76,19 +65,6 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, distinct, owners
 
 
-def string_hashes(strings: pa.Array) -> np.ndarray:
-    """64-bit hash of each string."""
-    strings = pa.concat_arrays([strings]).cast(pa.large_string())
-    _, offsets, data = strings.buffers()
-    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
-    at = at - at[0]
-    up, down = _powers(_BASE, len(raw) + 1), _powers(pow(_BASE, -1, 2**64), len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return _mixed((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]] + (at[1:] - at[:-1]).astype(np.uint64) + np.uint64(1))
-
-
 def pair_hashes(hashes: np.ndarray, codes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each token after the one before it in its text (END before the first), and the code of the one before."""
     before = np.empty_like(codes)
@@ -96,7 +72,7 @@ def pair_hashes(hashes: np.ndarray, codes: np.ndarray, owners: np.ndarray) -> tu
     first = np.ones(len(codes), bool)
     first[1:] = owners[1:] != owners[:-1]
     before[first] = codes[-1] if len(codes) else 0  # the last token of all is an END
-    return _mixed(hashes[before] * np.uint64(0xD1342543DE82EF95) + hashes[codes]), before
+    return mixed(hashes[before] * np.uint64(0xD1342543DE82EF95) + hashes[codes]), before
 
 
 class LogFrequencyFilter:
@@ -108,7 +84,7 @@ class LogFrequencyFilter:
 
     @staticmethod
     def spot(keys: np.ndarray, level: int, words: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-        x = _mixed(keys + np.uint64(level * _BASE % 2**64))
+        x = mixed(keys + np.uint64(level * _BASE % 2**64))
         mask = np.zeros(len(x), np.uint64)
         for k in range(settings.keys):
             mask |= np.uint64(1) << (x >> np.uint64(6 * k) & np.uint64(63))
@@ -141,7 +117,7 @@ def levels(counts: np.ndarray, b: float) -> np.ndarray:
 
 
 def unigram_key(hashes: np.ndarray) -> np.ndarray:
-    return _mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
 
 
 def _shares(keys: np.ndarray, counts: np.ndarray, order: int, segments: int) -> pd.DataFrame:

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.language_model import sliced, string_hashes, tokens_of
-from lodestone.llm.substring_dedup import _mixed
+from lodestone.llm.language_model import tokens_of
+from lodestone.llm.words import mixed, sliced, string_hashes
 from lodestone.operators.graph import connected_components
 from lodestone.plans.staging import discard, stage
 
@@ -42,14 +42,14 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     grams = np.zeros(len(codes), np.uint64)
     for k in range(shingle):
         grams = grams * np.uint64(_STEP) + words[k : k + len(codes)]
-    grams = _mixed(grams)
+    grams = mixed(grams)
     out = [np.unique(grams[b : b + n - shingle + 1]) if n >= shingle else np.empty(0, np.uint64) for b, n in zip(begins.tolist(), sizes.tolist())]
     for i in short[sizes[short] > 0].tolist():
         few = hashes[codes[begins[i] : begins[i] + sizes[i]]]
         whole = np.full(1, len(few), np.uint64)
         for h in few:
             whole = whole * np.uint64(_STEP) + h
-        out[i] = _mixed(whole)
+        out[i] = mixed(whole)
     return out
 
 

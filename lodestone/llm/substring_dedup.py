@@ -1,12 +1,16 @@
 """Substring dedup by seed and extend.
 
 Seeds are winnowed anchors: of the nine 5-word grams in every 13-word window the one with the least hash, so any passage of
-13 words that two documents share holds an anchor that both pick at the same place. Documents are joined on anchors; only
-anchors that occur in two documents are extended, to both sides, over all windows that picked them. An extended window is a
-repeat if a document with a smaller id has it too. Overlapping repeats of a document join to maximal ones.
+13 words that two documents share holds an anchor that both pick at the same place. Documents are joined on anchors. Around
+anchors that occur in two documents every window that picked them asks for its partner, the earliest place where a window with
+its hash begins: that of the smallest id, and there the first. Partners of successive windows that follow each other in the same document are
+one match; it is extended to both sides as far as it goes, which makes it maximal on its diagonal.
 
-Words are hashed to 64 bits; anchors and windows are compared by hashes of those. Counting is done by partial aggregates and
-joins back, so a passage found in a third of all documents is a skewed join side and no group is gathered.
+Hashes only propose. Every match is verified: the words of the partner's passage are brought to the document and compared
+with its own, word by word. Windows of a match that differs (a collision of hashes) are grouped again by their words themselves.
+
+Counting is done by partial aggregates and joins back, so a passage found in a third of all documents is a skewed join side,
+which Spark splits, and no group is gathered. A partner's passage is cut out once for each distinct match in it.
 """
 
 from __future__ import annotations
@@ -15,50 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.words import sequence_hashes, sliced, split_words, string_hashes
 from lodestone.plans.staging import discard, stage
 
 WINDOW = 13
 GRAM = 5
 FIRST = -(2**63)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word (a run of bytes that are no ASCII white space) begins, and its 64-bit hash."""
-    raw = np.frombuffer(data, np.uint8)
-    space = np.concatenate([[True], _SPACE[raw], [True]])
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    begin, end = edge[::2], edge[1::2]
-    up, down = _powers(_BASE, len(raw) + 1), _powers(pow(_BASE, -1, 2**64), len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return begin, _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-
-
-def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of n words."""
-    size = max(0, len(words) - n + 1)
-    total = np.zeros(size, np.uint64)
-    for k in range(n):
-        total = total * np.uint64(0xD1342543DE82EF95) + words[k : k + size]
-    return _mixed(total + np.uint64(n))
+START_BITS = 25
+_RUN = 1 << 20
+_SPANS = "array<struct<begin: int, end: int>>"
 
 
 def picks(grams: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -74,117 +47,211 @@ def picks(grams: np.ndarray, window: int, gram: int) -> np.ndarray:
     return at
 
 
-def _runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """Successive texts as one run of bytes, with the number of the first and where each begins; longer texts come alone."""
-    first, held, size = 0, [], 0
-    for k, text in enumerate(texts):
-        data = ("" if text is None else text).encode("utf-8", "surrogatepass")
-        if held and size + len(data) > most:
-            yield first, b"\n".join(held), np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
-            first, held, size = k, [], 0
-        held.append(data)
-        size += len(data) + 1
-    if held:
-        yield first, b"\n".join(held), np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
-
-
-def _windows(texts: list[str | None], window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """By runs of texts: hashes of words and of grams, and for each window its text, the text's first word, its own first word, its pick."""
-    for first, data, offsets in _runs(texts):
-        begin, words = word_hashes(data)
-        owner = np.searchsorted(offsets, begin, "right") - 1
-        n = max(0, len(words) - window + 1)
-        whole = np.flatnonzero(owner[:n] == owner[len(words) - n :])
-        grams = sequence_hashes(words, gram)
-        text_begin = np.searchsorted(owner, np.arange(len(offsets)))
-        yield words, grams, owner[whole] + first, text_begin[owner[whole]], whole, picks(grams, window, gram)[whole]
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, tag, starts): for each document with repeats the first words, counted from 0, of its repeated windows.
-
-    A window is repeated if its words also start in a document with a smaller id. ``tag`` is the text's CRC-32, which tells
-    apart rows that share an id; a null id counts as smaller than all others and comes out as the least long.
-    """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("id"), F.col(text_col).alias("text"))
+def _windows(texts: pa.Array, window: int, gram: int, mask: np.uint64) -> tuple[np.ndarray, ...]:
+    """Hashes of words and of grams; for each window its text, the text's first word, its own first word, its pick."""
+    codes, distinct, owner = split_words(texts)
+    words = string_hashes(distinct)[codes] & mask
+    n = max(0, len(words) - window + 1)
+    whole = np.flatnonzero(owner[:n] == owner[len(words) - n :])
+    grams = sequence_hashes(words, gram) & mask
+    text_begin = np.searchsorted(owner, np.arange(len(texts)))
+    return words, grams, owner[whole], text_begin[owner[whole]], whole, picks(grams, window, gram)[whole]
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            for _, grams, owner, base, _, pick in _windows(batch["text"].tolist(), window, gram):
-                new = np.ones(len(pick), bool)
-                new[1:] = (pick[1:] != pick[:-1]) | (owner[1:] != owner[:-1])
-                yield pd.DataFrame({"anchor": grams[pick[new]].view(np.int64), "id": ids[owner[new]], "at": (pick - base)[new].astype(np.int32)})
 
-    found = rows.mapInPandas(anchors, "anchor long, id long, at int")
+def words_of(text: str | None) -> list[bytes]:
+    return ("" if text is None else text).encode("utf-8", "surrogatepass").split()
+
+
+def runs(starts: np.ndarray, partners: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """Matches (begin, end, partner of begin) in words: windows at successive starts with successive partners."""
+    if not len(starts):
+        return []
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(partners) != 1)]))
+    last = np.append(new[1:], len(starts)) - 1
+    return list(zip(starts[new].tolist(), (starts[last] + window).tolist(), partners[new].tolist()))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def text_tag(text: Column) -> Column:
+    """A text's CRC-32 as an int; it tells apart most rows that share an id."""
+    return (F.crc32(F.coalesce(text, F.lit("")).cast("binary")) - F.lit(2147483648)).cast("int")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hash_bits: int = 64) -> DataFrame:
+    """(id, tag, spans): for each document with repeats its maximal repeats, as [begin, end) words.
+
+    A word lies in a repeat if a window covers it whose words also start in a document with a smaller id. A null id counts as
+    smaller than all others and comes out as the least long; of rows that share an id and have repeats each has its own tag.
+    ``hash_bits`` below 64 makes collisions frequent, and changes no result.
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("id"), F.col(text_col).alias("text"))
+    mask = np.uint64((1 << hash_bits) - 1)
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, _RUN):
+            _, grams, owner, base, _, pick = _windows(batch["text"], window, gram, mask)
+            new = np.ones(len(pick), bool)
+            new[1:] = (pick[1:] != pick[:-1]) | (owner[1:] != owner[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams[pick[new]].view(np.int64)), batch["id"].take(pa.array(owner[new])), pa.array((pick - base)[new].astype(np.int32))], names=["anchor", "id", "at"]
+            )
+
+    found = rows.mapInArrow(anchors, "anchor long, id long, at int")
     # Written before it is joined: with a shuffle of its own on either side of the join, Spark can split a frequent anchor.
     shared = stage(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "shared")
     seeds = stage(found.join(shared, "anchor").select("id", "at"), "seeds")
     by_doc = seeds.groupBy("id").agg(F.collect_set("at").alias("seeds"))
+    discard(shared)
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, _RUN):
+            words, _, owner, base, begin, pick = _windows(batch["text"], window, gram, mask)
+            # A seed's key: its text and place.
+            parent, at = batch["seeds"].flatten(), batch["seeds"].offsets.to_numpy()
+            of = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(at))
+            live = np.isin(owner << 40 | pick - base, of << 40 | parent.to_numpy().astype(np.int64))
+            hashes = (sequence_hashes(words, window)[begin[live]] & mask).view(np.int64)
+            own = pa.array(owner[live])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes), batch["id"].take(own), batch["tag"].take(own), pa.array((begin - base)[live].astype(np.int32))], names=["hash", "id", "tag", "start"]
+            )
+
+    texts = rows.select("id", text_tag(F.col("text")).alias("tag"), "text")
+    window_rows = texts.join(by_doc, "id").mapInArrow(extend, "hash long, id long, tag int, start int")
+    # A place is a document and a first word in one number that sorts by id first: a long where ids leave room, else a decimal.
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    plain = low is None or 0 <= low and high < 1 << (63 - START_BITS)
+    kind = "long" if plain else "decimal(38,0)"
+    place = F.col("id").cast(kind) * F.lit(1 << START_BITS).cast("long" if plain else "decimal(9,0)") + F.col("start")
+    extended = stage(window_rows.select("hash", "tag", place.cast(kind).alias("place")), "extended")
+    discard(seeds)
+    id_of = (lambda c: F.shiftright(c, START_BITS)) if plain else (lambda c: F.floor(F.col(c) / F.lit(1 << START_BITS).cast("decimal(9,0)")).cast("long"))
+    start_of = lambda c: F.pmod(F.col(c), F.lit(1 << START_BITS).cast(kind)).cast("int")
+    classes = extended.groupBy("hash").agg(F.min("place").alias("partner"), F.max("place").alias("high"))
+    earliest = stage(classes.where(id_of("partner") < id_of("high")).select("hash", "partner"), "earliest")
+    again = extended.join(earliest, "hash").where(id_of("place") > id_of("partner"))
+    asked = again.select(id_of("place").alias("id"), "tag", F.struct(start_of("place").alias("start"), id_of("partner").alias("low"), start_of("partner").alias("at")).alias("w"))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, tag, ws in zip(batch["id"], batch["tag"], batch["ws"]):
+                w = np.array([(x["start"], x["low"], x["at"]) for x in ws], np.int64).reshape(-1, 3)
+                w = w[np.argsort(w[:, 0], kind="stable")]
+                for part in np.split(w, np.flatnonzero(np.diff(w[:, 1])) + 1):  # one partner document after the other
+                    out += [(doc, tag, a, b, int(part[0, 1]), p) for a, b, p in runs(part[:, 0], part[:, 2], window)]
+            yield pd.DataFrame(out, columns=["id", "tag", "begin", "end", "low", "at"])
+
+    matches = stage(asked.groupBy("id", "tag").agg(F.collect_list("w").alias("ws")).mapInPandas(match, "id long, tag int, begin int, end int, low long, at int"), "matches")
+    discard(earliest)
+    checked = stage(_verified(texts, matches), "checked")
+    if not checked.where("size(doubts) > 0").isEmpty():
+        checked = _settled(texts, checked, extended.select("hash", "tag", id_of("place").alias("id"), start_of("place").alias("start")), window)
+    discard(extended, matches)
+    return checked.where("size(spans) > 0").select("id", "tag", "spans")
+
+
+def _verified(texts: DataFrame, matches: DataFrame) -> DataFrame:
+    """(id, tag, spans, doubts): matches whose words are those of the partner's passage, and those that aren't."""
+    wanted = matches.groupBy("low").agg(F.collect_set(F.struct("at", (F.col("end") - F.col("begin")).alias("n"))).alias("cuts"))
+
+    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low, text, cuts in zip(batch["low"], batch["text"], batch["cuts"]):
+                words = words_of(text)
+                yield pd.DataFrame([(low, c["at"], c["n"], b" ".join(words[c["at"] : c["at"] + c["n"]])) for c in cuts], columns=["low", "at", "n", "passage"])
 
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cut = texts.select(F.col("id").alias("low"), "text").join(wanted, "low").mapInPandas(passages, "low long, at int, n int, passage binary")
+    brought = matches.withColumn("n", F.col("end") - F.col("begin")).join(cut, ["low", "at", "n"])
+    each = brought.groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "end", "passage")).alias("found"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, tag, text, found in zip(batch["id"], batch["tag"], batch["text"], batch["found"]):
+                words = words_of(text)
+                # Two rows may share the partner's id: one passage that is equal suffices.
+                same = {(m["begin"], m["end"]) for m in found if b" ".join(words[m["begin"] : m["end"]]) == bytes(m["passage"])}
+                rest = {(m["begin"], m["end"]) for m in found} - same
+                out.append((doc, tag, merged(list(same)), sorted(rest)))
+            made = pd.DataFrame(out, columns=["id", "tag", "spans", "doubts"])
+            for c in ("spans", "doubts"):
+                made[c] = [[{"begin": a, "end": b} for a, b in x] for x in made[c]]
+            yield made
+
+    return texts.join(each, ["id", "tag"]).mapInPandas(compare, f"id long, tag int, spans {_SPANS}, doubts {_SPANS}")
+
+
+def _settled(texts: DataFrame, checked: DataFrame, windows: DataFrame, window: int) -> DataFrame:
+    """``checked`` with the windows of doubtful matches decided by their words: all windows that share a hash with one of them
+    are grouped by the words themselves."""
+    starts = F.explode(F.expr(f"flatten(transform(doubts, m -> sequence(m.begin, m.end - {window})))")).alias("start")
+    doubtful = checked.where("size(doubts) > 0").select("id", "tag", starts).distinct()
+    hashes = windows.join(doubtful, ["id", "tag", "start"]).select("hash").distinct()
+    members = windows.join(hashes, "hash").groupBy("id", "tag").agg(F.collect_set("start").alias("starts"))
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, tags, seeds_of = batch["id"].to_numpy(), batch["tag"].to_numpy(), batch["seeds"].tolist()
-            for words, _, owner, base, begin, pick in _windows(batch["text"].tolist(), window, gram):
-                at = pick - base
-                # A seed's key: its text and place. Texts come in order, so keys of a run's seeds need no more than a sort.
-                texts = np.unique(owner)
-                seeded = np.concatenate([np.asarray(seeds_of[t], np.int64) + (np.int64(t) << 40) for t in texts.tolist()]) if len(texts) else np.empty(0, np.int64)
-                live = np.isin((owner.astype(np.int64) << 40) + at, seeded)
-                hashes = sequence_hashes(words, window)[begin[live]].view(np.int64)
-                yield pd.DataFrame({"hash": hashes, "id": ids[owner[live]], "tag": tags[owner[live]], "start": (begin - base)[live].astype(np.int32)})
-
-    seeded = rows.join(by_doc, "id").select("id", F.expr("cast(crc32(cast(coalesce(text, '') as binary)) - 2147483648 as int)").alias("tag"), "text", "seeds")
-    extended = stage(seeded.mapInPandas(extend, "hash long, id long, tag int, start int"), "extended")
-    earliest = stage(extended.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low"), "earliest")
-    again = extended.join(earliest, "hash").where("id > low")
-    out = stage(again.groupBy("id", "tag").agg(F.collect_set("start").alias("starts")), "repeats")
-    discard(shared, seeds, extended, earliest)
+            for doc, tag, text, at in zip(batch["id"], batch["tag"], batch["text"], batch["starts"]):
+                words = words_of(text)
+                yield pd.DataFrame([(b" ".join(words[s : s + window]), doc, tag, s) for s in at], columns=["words", "id", "tag", "start"])
+
+    told = stage(texts.join(members, ["id", "tag"]).mapInPandas(spelled, "words binary, id long, tag int, start int"), "spelled")
+    least = told.groupBy("words").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("words", "low")
+    more = told.join(least, "words").where("id > low").groupBy("id", "tag").agg(F.collect_set("start").alias("more"))
+
+    @F.pandas_udf(_SPANS)
+    def joined(spans: pd.Series, more: pd.Series) -> pd.Series:
+        both = zip(spans, more)
+        made = [merged([(x["begin"], x["end"]) for x in (a if a is not None else ())] + [(int(s), int(s) + window) for s in (b if b is not None else ())]) for a, b in both]
+        return pd.Series([[{"begin": a, "end": b} for a, b in x] for x in made])
+
+    none = F.lit(None).cast(_SPANS)
+    out = stage(checked.join(more, ["id", "tag"], "full").select("id", "tag", joined("spans", "more").alias("spans"), none.alias("doubts")), "settled")
+    discard(told, checked)
     return out
 
 
-def cut_repeats(texts: Iterator[tuple[str | None, list[int] | None]], window: int = WINDOW) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
-    """Kept words joined by one space, number of words, of removed words, and the maximal repeats as [begin, end) words."""
-    for text, starts in texts:
-        words = ("" if text is None else text).encode("utf-8", "surrogatepass").split()
-        spans: list[tuple[int, int]] = []
-        for s in sorted(starts) if starts is not None else ():
-            if spans and s <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], int(s) + window)
-            else:
-                spans.append((int(s), int(s) + window))
-        kept, at = [], 0
-        for begin, end in spans:
-            kept += words[at:begin]
-            at = end
-        kept += words[at:]
-        yield b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept), spans
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hash_bits: int = 64) -> DataFrame:
     """``docs`` with kept_text, n_words, n_removed and repeats (array of [begin, end) words) added; columns of ``docs`` with these
     names are replaced.
 
     Each word is removed that a window of ``window`` words covers which also starts in a document with a smaller id; windows
     are judged on the input. Null and empty texts have no words and give an empty kept_text. A null id counts as the smallest.
-    Rows that share an id don't remove each other's words.
+    Rows that share an id don't remove each other's words; of rows that share both id and CRC-32 of the text, which equal rows
+    do, each gets the repeats found. An empty table gives an empty result. Texts have at most 2^25 words.
     """
     made = ("kept_text", "n_words", "n_removed", "repeats")
     held = [c for c in docs.columns if c not in made]
     own = docs.select(F.struct(*held).alias("row"))
     keyed = own.withColumns({
-        "id": F.coalesce(F.col(f"row.{id_col}").cast("long"), F.lit(FIRST)), "text": F.col(f"row.{text_col}"),
-        "tag": F.expr(f"cast(crc32(cast(coalesce(row.{text_col}, '') as binary)) - 2147483648 as int)"),
+        "id": F.coalesce(F.col(f"row.{id_col}").cast("long"), F.lit(FIRST)), "text": F.col(f"row.{text_col}"), "tag": text_tag(F.col(f"row.{text_col}")),
     })
-    found = repeats(docs, id_col, text_col, window, gram)
+    found = repeats(docs, id_col, text_col, window, gram, hash_bits)
 
-    @F.pandas_udf("kept_text string, n_words long, n_removed long, repeats array<struct<begin: int, end: int>>")
+    @F.pandas_udf(f"kept_text string, n_words long, n_removed long, repeats {_SPANS}")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, starts in batches:
-            out = list(cut_repeats(zip(texts, starts), window))
-            frame = pd.DataFrame(out, columns=list(made))
-            frame["repeats"] = [[{"begin": b, "end": e} for b, e in spans] for spans in frame["repeats"]]
-            yield frame
-
-    cuts = keyed.join(found, ["id", "tag"], "left").select("row", cut("text", "starts").alias("cut"))
+        for texts, spans_of in batches:
+            out = []
+            for text, spans in zip(texts, spans_of):
+                words, kept, at = words_of(text), [], 0
+                spans = [] if spans is None else [{"begin": x["begin"], "end": x["end"]} for x in spans]
+                for s in spans:
+                    kept += words[at : s["begin"]]
+                    at = s["end"]
+                kept += words[at:]
+                out.append((b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept), spans))
+            yield pd.DataFrame(out, columns=list(made))
+
+    cuts = keyed.join(found, ["id", "tag"], "left").select("row", cut("text", "spans").alias("cut"))
     return cuts.select("row.*", "cut.*")

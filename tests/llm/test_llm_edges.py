@@ -178,22 +178,50 @@ def test_substring(odd, none):
     assert got[got.doc_id == 2].kept_text.tolist() == [""] and substring_dedup.substring_dedup(none).count() == 0
 
 
-@settings(max_examples=8, deadline=None)
-@given(seed=st.integers(0, 10**6))
-def test_substring_against_windows(spark, seed):
-    rng = random.Random(seed)
-    pool = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(40))) for _ in range(6)]
-    texts = [(i, " ".join(rng.choices(pool, k=3) + [rng.choice("xyz")] * rng.randrange(3))) for i in range(12)]
+def removed_by_words(texts):
+    """Kept words and number removed, by comparing all windows of 13 words."""
     first = {}
     for i, t in texts:
         w = t.split()
         for s in range(len(w) - 12):
-            first.setdefault(tuple(w[s : s + 13]), i)
-    for r in substring_dedup.substring_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect():
-        w = r["text"].split()
-        gone = {s + k for s in range(len(w) - 12) if first[tuple(w[s : s + 13])] < r["doc_id"] for k in range(13)}
-        assert r["kept_text"] == " ".join(x for k, x in enumerate(w) if k not in gone) and r["n_removed"] == len(gone)
-        assert sum(e - b for b, e in r["repeats"]) == len(gone)
+            key = tuple(w[s : s + 13])
+            first[key] = min(first.get(key, i), i)
+    out = {}
+    for i, t in texts:
+        w = t.split()
+        gone = {s + k for s in range(len(w) - 12) if first[tuple(w[s : s + 13])] < i for k in range(13)}
+        out[i] = (" ".join(x for k, x in enumerate(w) if k not in gone), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("hash_bits", [64, 9, 6])  # with few bits most windows collide
+@pytest.mark.parametrize("seed, base", [(3, 0), (4, -20), (5, 1 << 50)])
+def test_substring_against_windows(spark, seed, base, hash_bits):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(40))) for _ in range(6)]
+    texts = [(base + i, " ".join(rng.choices(pool, k=3) + [rng.choice("xyz")] * rng.randrange(3))) for i in range(14)]
+    want = removed_by_words(texts)
+    for r in substring_dedup.substring_dedup(spark.createDataFrame(texts, "doc_id long, text string"), hash_bits=hash_bits).collect():
+        assert (r["kept_text"], r["n_removed"]) == want[r["doc_id"]] and sum(e - b for b, e in r["repeats"]) == r["n_removed"]
+
+
+def test_substring_tells_words_apart_that_collide_in_a_ring(spark):
+    """The Thue-Morse word and its complement have equal polynomials modulo 2^64, whatever the base."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    made = lambda w: " ".join([*(f"u{i}" for i in range(6)), w, *(f"v{i}" for i in range(6))])
+    rows = [(1, made(word)), (2, made(word.translate(str.maketrans("ab", "ba")))), (3, made(word))]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_substring_hot_passage(spark):
+    """One passage in every document, its neighbours unequal."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [(i, f"a{i} b{i} {passage} c{i} d{i % 3}") for i in range(300)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {i: 40 if i else 0 for i, _ in texts}
 
 
 def test_packing(odd, none):
