@@ -2,31 +2,61 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FREED_AT = 0.0
+_FREE_EVERY = 15.0
+
 
 @functools.cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@functools.cache
+def _run_folder(root: str, application: str) -> str:
+    """The one folder that holds all scratch tables of an application; it goes when the driver ends."""
+    path = f"{root.rstrip('/')}/lodestone-{application}"
+
+    def remove() -> None:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+
+    atexit.register(remove)
+    return path
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """This application's folder below the one that the cluster names in ``spark.checkpoint.dir``. Where that is unset a temporary
+    folder serves, but only if driver and executors are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not root and not (master.startswith("local") and not master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _run_folder(root or _own_folder(), spark.sparkContext.applicationId)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back: lineage is cut, and a lost executor costs no recomputation of what was written."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/lodestone-{label}-{uuid.uuid4().hex}"
-    # Shuffle files of what was staged before are needed no more; Spark removes them once the driver has collected its garbage.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -34,11 +64,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*staged: DataFrame) -> None:
-    """Remove the files of staged tables that nothing will read again."""
+    """Remove the files of staged tables that nothing will read again. Now and then also let go of the plans that read them:
+    Spark removes shuffle files once the driver has collected the plans they belong to."""
+    global _FREED_AT
     for df in staged:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._staged_path)
+    if staged and time.monotonic() - _FREED_AT > _FREE_EVERY:
+        _FREED_AT = time.monotonic()
+        gc.collect()
+        staged[0].sparkSession._jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans.staging import scratch_root
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/lodestone-{label}-{uuid.uuid4().hex}"
+from lodestone.plans.staging import scratch_path
 
 
 def load(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
