@@ -153,11 +153,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             yield pd.DataFrame(out, columns=["id", "tag", "begin", "end", "low", "at"])
 
     matches = stage(asked.groupBy("id", "tag").agg(F.collect_list("w").alias("ws")).mapInPandas(match, "id long, tag int, begin int, end int, low long, at int"), "matches")
-    discard(earliest)
-    checked = stage(_verified(texts, matches), "checked")
+    discard(earliest, extended)
+    checked = _verified(texts, matches)
+    discard(matches)
     if not checked.where("size(doubts) > 0").isEmpty():
-        checked = _settled(texts, checked, extended.select("hash", "tag", id_of("place").alias("id"), start_of("place").alias("start")), window)
-    discard(extended, matches)
+        checked = _settled(texts, checked, window, gram, mask)
     return checked.where("size(spans) > 0").select("id", "tag", "spans")
 
 
@@ -171,7 +171,7 @@ def _verified(texts: DataFrame, matches: DataFrame) -> DataFrame:
                 words = words_of(text)
                 yield pd.DataFrame([(low, c["at"], c["n"], b" ".join(words[c["at"] : c["at"] + c["n"]])) for c in cuts], columns=["low", "at", "n", "passage"])
 
-    cut = texts.select(F.col("id").alias("low"), "text").join(wanted, "low").mapInPandas(passages, "low long, at int, n int, passage binary")
+    cut = stage(texts.select(F.col("id").alias("low"), "text").join(wanted, "low").mapInPandas(passages, "low long, at int, n int, passage binary"), "passages")
     brought = matches.withColumn("n", F.col("end") - F.col("begin")).join(cut, ["low", "at", "n"])
     each = brought.groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "end", "passage")).alias("found"))
 
@@ -189,16 +189,27 @@ def _verified(texts: DataFrame, matches: DataFrame) -> DataFrame:
                 made[c] = [[{"begin": a, "end": b} for a, b in x] for x in made[c]]
             yield made
 
-    return texts.join(each, ["id", "tag"]).mapInPandas(compare, f"id long, tag int, spans {_SPANS}, doubts {_SPANS}")
+    out = stage(texts.join(each, ["id", "tag"]).mapInPandas(compare, f"id long, tag int, spans {_SPANS}, doubts {_SPANS}"), "checked")
+    discard(cut)
+    return out
+
 
+def _settled(texts: DataFrame, checked: DataFrame, window: int, gram: int, mask: np.uint64) -> DataFrame:
+    """``checked`` with the windows of doubtful matches decided by their words: all windows of all texts that share a hash with one
+    of them are grouped by the words themselves."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, _RUN):
+            words, _, owner, base, begin, _ = _windows(batch["text"], window, gram, mask)
+            hashes, own = (sequence_hashes(words, window)[begin] & mask).view(np.int64), pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), batch["id"].take(own), batch["tag"].take(own), pa.array((begin - base).astype(np.int32))], names=["hash", "id", "tag", "start"])
 
-def _settled(texts: DataFrame, checked: DataFrame, windows: DataFrame, window: int) -> DataFrame:
-    """``checked`` with the windows of doubtful matches decided by their words: all windows that share a hash with one of them
-    are grouped by the words themselves."""
+    held = "hash long, id long, tag int, start int"
     starts = F.explode(F.expr(f"flatten(transform(doubts, m -> sequence(m.begin, m.end - {window})))")).alias("start")
     doubtful = checked.where("size(doubts) > 0").select("id", "tag", starts).distinct()
-    hashes = windows.join(doubtful, ["id", "tag", "start"]).select("hash").distinct()
-    members = windows.join(hashes, "hash").groupBy("id", "tag").agg(F.collect_set("start").alias("starts"))
+    own = texts.join(doubtful.select("id", "tag").distinct(), ["id", "tag"], "left_semi").mapInArrow(hashed, held)
+    hashes = stage(own.join(doubtful, ["id", "tag", "start"], "left_semi").select("hash").distinct(), "doubtful")
+    members = texts.mapInArrow(hashed, held).join(hashes, "hash", "left_semi").groupBy("id", "tag").agg(F.collect_set("start").alias("starts"))
 
     def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -218,7 +229,7 @@ def _settled(texts: DataFrame, checked: DataFrame, windows: DataFrame, window: i
 
     none = F.lit(None).cast(_SPANS)
     out = stage(checked.join(more, ["id", "tag"], "full").select("id", "tag", joined("spans", "more").alias("spans"), none.alias("doubts")), "settled")
-    discard(told, checked)
+    discard(told, hashes, checked)
     return out
 
 
