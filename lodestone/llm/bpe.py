@@ -2,8 +2,9 @@
 
 A merge list has a *sufficient lookahead*: a number of bytes such that a token boundary with at least so many bytes after
 it stays where it is, whatever follows. ``MergeTable.lookahead`` computes a bound from the merges alone, ``Transducer``
-emits tokens as soon as they are that far from the end of what it has read, and so keeps a window of constant size however
-long a word is. Words that fit in the window are merged many at a time in numpy, and remembered in a bounded memo.
+emits tokens as soon as they are that far from the end of what it has read, or the word ends, and so keeps a window of constant
+size however long a word is. Every token comes from it: words are its lanes, which step together in numpy, and a bounded memo
+remembers what it emitted for short words. Long texts are read in chunks, of which only the unsettled end is held back.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ class MergeTable:
         self.byte_id = np.array([vocab.get(c, -1) for c in alphabet], dtype=np.int32)
         self.bytes_of = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocab.items()}
         self.bytes_of.update({i: t.encode() for t, i in added.items()})
+        self.sizes = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
+        self.sizes[list(self.bytes_of)] = list(map(len, self.bytes_of.values()))
         self.added = added
         self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
         self._hashed()
@@ -206,27 +209,63 @@ def gathered(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 class Transducer:
-    """Bytes in, tokens out as soon as they are stable; keeps at most one window and what one call feeds."""
+    """Bytes in, tokens out as soon as they are stable.
+
+    ``feed`` and ``finish`` serve one open word, of which at most one window and what one call feeds are held. ``run`` takes whole
+    words, a lane for each: all lanes read a window, emit what is stable in it (everything, where the word ends there) and go on
+    behind it. ``emitted`` counts tokens.
+    """
 
     def __init__(self, table: MergeTable, window: int | None = None):
-        self.table, self.held = table, b""
+        self.table, self.held, self.emitted = table, b"", 0
         self.window = max(window or 0, 4 * table.lookahead)
 
-    def feed(self, data: bytes) -> Iterator[int]:
+    def _stable(self, tokens: np.ndarray, read: int) -> tuple[int, int]:
+        """How many tokens of a full window are stable, and how many bytes they are."""
+        ends = np.cumsum(self.table.sizes[tokens])
+        n = int(np.searchsorted(ends, read - self.table.lookahead, "right"))
+        return n, int(ends[n - 1]) if n else 0
+
+    def feed(self, data: bytes) -> list[int]:
         self.held += data
+        out: list[int] = []
         while len(self.held) > self.window:
-            end, stable = 0, self.window - self.table.lookahead
-            for token in self.table.merge_window(self.held[: self.window]):
-                size = len(self.table.bytes_of[token])
-                if end + size > stable:
-                    break
-                end += size
-                yield token
-            self.held = self.held[end:]
-
-    def finish(self) -> Iterator[int]:
-        yield from self.table.merge_window(self.held)
+            tokens = self.table.merge_window(self.held[: self.window])
+            n, size = self._stable(np.array(tokens, np.int64), self.window)
+            out += tokens[:n]
+            self.held = self.held[size:]
+        self.emitted += len(out)
+        return out
+
+    def finish(self) -> list[int]:
+        out = self.table.merge_window(self.held)
         self.held = b""
+        self.emitted += len(out)
+        return out
+
+    def run(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of the words, and where each word's tokens begin and how many they are."""
+        first = self.table.merge_many([w[: self.window] for w in words])
+        long = [i for i, w in enumerate(words) if len(w) > self.window]
+        if not long:
+            self.emitted += int(first[2].sum())
+            return first
+        tokens, begin, size = first
+        lanes = {i: [] for i in long}
+        at = dict.fromkeys(long, 0)
+        step = {i: tokens[begin[i] : begin[i] + size[i]] for i in long}
+        while step:
+            for i, made in step.items():
+                n, skip = self._stable(made, self.window) if len(words[i]) - at[i] > self.window else (len(made), len(words[i]) - at[i])
+                lanes[i].append(made[:n])
+                at[i] += skip
+            on = [i for i in step if at[i] < len(words[i])]
+            made, b, n = self.table.merge_many([words[i][at[i] : at[i] + self.window] for i in on])
+            step = {i: made[b[k] : b[k] + n[k]] for k, i in enumerate(on)}
+        pieces = [np.concatenate(lanes[i]) if i in lanes else tokens[begin[i] : begin[i] + size[i]] for i in range(len(words))]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.emitted += int(size.sum())
+        return np.concatenate(pieces), np.cumsum(size) - size, size
 
 
 class StreamDecoder:
@@ -340,17 +379,18 @@ class WordMemo:
 
 
 class Encoder:
-    """Encodes batches of texts. Words are cut, hashed and looked up in numpy; the tokens of at most about ``limit`` words are
-    remembered. Words over LONG bytes go through a ``Transducer`` and aren't remembered."""
+    """Encodes batches of texts. Words are cut, hashed and looked up in numpy; the tokens that ``machine`` emitted for words of at most
+    SHORT bytes are remembered, of at most about ``limit`` words. Texts over ``chunk`` characters are read in chunks."""
 
-    LONG = 256
+    SHORT = 256
 
-    def __init__(self, table: MergeTable, limit: int = 350_000):
-        self.table, self.limit, self.memo = table, limit, WordMemo()
+    def __init__(self, table: MergeTable, limit: int = 350_000, chunk: int = 1 << 19):
+        self.table, self.limit, self.chunk, self.memo, self.machine = table, limit, chunk, WordMemo(), Transducer(table)
         self._added = re.compile("|".join(map(re.escape, sorted(table.added, key=len, reverse=True)))) if table.added else None
         self._powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64),) * 2
 
     def _word_keys(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each word, for the memo, which compares the words themselves."""
         if len(self._powers[0]) <= len(raw):
             n = max(1 << 20, len(raw) + 1)
             self._powers = tuple(_power_table(base, n) for base in (HASH_BASE, pow(HASH_BASE, -1, 2**64)))
@@ -361,13 +401,6 @@ class Encoder:
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(29))
 
-    def _stream(self, word: bytes) -> np.ndarray:
-        transducer, out = Transducer(self.table), []
-        for i in range(0, len(word), 4096):
-            out.extend(transducer.feed(word[i : i + 4096]))
-        out.extend(transducer.finish())
-        return np.array(out, np.int32)
-
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the texts, and where each text's tokens end."""
         if not (self._added and any(map(self._added.search, texts))):
@@ -388,63 +421,98 @@ class Encoder:
         return np.concatenate(rows), np.cumsum([len(r) for r in rows])
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.memo.n > self.limit:
-            self.memo = WordMemo()
+        if any(len(t) > self.chunk for t in texts):
+            parts = [self._streamed(t) if len(t) > self.chunk else self._plain([t])[0] for t in texts]
+            return np.concatenate(parts), np.cumsum([len(p) for p in parts])
         joined = "".join(texts)
         if not joined:
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        chars = np.fromiter(map(len, texts), np.int64, len(texts))
-        text_ends = np.cumsum(chars)
-        begins = text_ends - chars
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        begins = np.concatenate([[0], text_ends[:-1]])
         data = joined.encode("utf-8")
-        raw = np.frombuffer(data, np.uint8)
-        points = raw if len(raw) == len(joined) else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        raw, points = _points(joined, data)
         starts = word_starts(points, begins[begins < len(points)])
-        if points is raw:
-            begin = starts
-        else:
-            width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-            begin = (np.cumsum(width) - width)[starts]
-        end = np.append(begin[1:], len(raw))
+        begin = _byte_places(raw, points, starts)
+        out, size = self._words(data, raw, begin, np.append(begin[1:], len(raw)))
+        return out, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, text_ends)]
+
+    def _streamed(self, text: str) -> np.ndarray:
+        """Tokens of one text, chunk by chunk. Where a word begins is settled once two more words have begun behind it; a word longer
+        than a chunk is fed to a machine of its own."""
+        out: list[np.ndarray] = []
+        at, open_word = 0, None
+        while at < len(text):
+            piece = text[at : at + self.chunk]
+            final = at + len(piece) == len(text)
+            data = piece.encode("utf-8")
+            raw, points = _points(piece, data)
+            starts = word_starts(points, np.zeros(1, np.int64))
+            if not final and len(starts) == 1:
+                open_word = open_word or Transducer(self.table)
+                out.append(np.array(open_word.feed(piece[:-4].encode("utf-8")), np.int32))
+                at += len(piece) - 4
+                continue
+            settled = len(starts) if final else max(1, len(starts) - 3)
+            begin = _byte_places(raw, points, starts)
+            end = np.append(begin[1:], len(raw))[:settled]
+            begin = begin[:settled]
+            if open_word is not None:
+                out.append(np.array([*open_word.feed(data[: end[0]]), *open_word.finish()], np.int32))
+                self.machine.emitted += open_word.emitted
+                begin, end, open_word = begin[1:], end[1:], None
+            if len(begin):
+                out.append(self._words(data, raw[: end[-1]], begin, end)[0])
+            at = len(text) if final else at + int(starts[settled])
+        return np.concatenate(out)
+
+    def _words(self, data: bytes, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of words that follow each other up to the end of ``raw``, and how many each has."""
+        if self.memo.n > self.limit:
+            self.memo = WordMemo()
+        memo, lengths = self.memo, end - begin
         keys = self._word_keys(raw, begin, end)
-        memo = self.memo
         slots = memo.find(keys)
         unknown = np.flatnonzero(slots < 0)
         if len(unknown):
             fresh, which = np.unique(keys[unknown], return_index=True)
             which = unknown[which]
-            brief = end[which] - begin[which] <= self.LONG
+            brief = lengths[which] <= self.SHORT
             fresh, which = fresh[brief], which[brief]
             words = [data[a:b] for a, b in zip(begin[which].tolist(), end[which].tolist())]
-            memo.add(fresh, words, *self.table.merge_many(words))
+            memo.add(fresh, words, *self.machine.run(words))
             slots[unknown] = memo.find(keys[unknown])
         # What is remembered must be the very word.
-        lengths = end - begin
         held = np.flatnonzero(slots >= 0)
         same = memo.text_size[slots[held]] == lengths[held]
-        if same.all() and len(held) == len(slots):
-            odd = np.flatnonzero(memo.text[np.arange(len(raw)) + np.repeat(memo.text_begin[slots] - begin, lengths)] != raw)
-            slots[np.unique(np.searchsorted(begin, odd, "right") - 1)] = -1
-        else:
-            slots[held[~same]] = -1
-            held = held[same]
-            stored = gathered(memo.text, memo.text_begin[slots[held]], lengths[held])
-            odd = np.flatnonzero(stored != gathered(raw, begin[held], lengths[held]))
-            slots[held[np.unique(np.searchsorted(np.cumsum(lengths[held]), odd, "right"))]] = -1
+        slots[held[~same]] = -1
+        held = held[same]
+        odd = np.flatnonzero(gathered(memo.text, memo.text_begin[slots[held]], lengths[held]) != gathered(raw, begin[held], lengths[held]))
+        slots[held[np.unique(np.searchsorted(np.cumsum(lengths[held]), odd, "right"))]] = -1
         size = np.where(slots >= 0, memo.size[slots], 0)
-        lone = {i: self._stream(data[begin[i] : end[i]]) for i in np.flatnonzero(slots < 0).tolist()}
-        for i, tokens in lone.items():
-            size[i] = len(tokens)
-        stop = np.cumsum(size)
-        if lone:
-            out = np.empty(int(stop[-1]), np.int32)
-            known = slots >= 0
-            out[np.repeat(known, size)] = gathered(memo.pool, memo.begin[slots[known]], size[known])
-            for i, tokens in lone.items():
-                out[stop[i] - len(tokens) : stop[i]] = tokens
-        else:
-            out = gathered(memo.pool, memo.begin[slots], size)
-        return out, np.concatenate([[0], stop])[np.searchsorted(starts, text_ends)]
+        lone = np.flatnonzero(slots < 0)
+        known = slots >= 0
+        if not len(lone):
+            return gathered(memo.pool, memo.begin[slots], size), size
+        tokens, first, size[lone] = self.machine.run([data[a:b] for a, b in zip(begin[lone].tolist(), end[lone].tolist())])
+        out = np.empty(int(size.sum()), np.int32)
+        of_known = np.repeat(known, size)
+        out[of_known] = gathered(memo.pool, memo.begin[slots[known]], size[known])
+        out[~of_known] = gathered(tokens, first, size[lone])
+        return out, size
+
+
+def _points(text: str, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and code points of a text."""
+    raw = np.frombuffer(data, np.uint8)
+    return raw, raw if len(raw) == len(text) else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _byte_places(raw: np.ndarray, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where code points begin in bytes."""
+    if points is raw:
+        return at
+    width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    return (np.cumsum(width) - width)[at]
 
 
 HASH_BASE = 0x9E3779B97F4A7C15
@@ -462,7 +530,7 @@ def _encoder(path: str) -> Encoder:
     return Encoder(MergeTable(path))
 
 
-def text_runs(texts: list[str], most_chars: int = 1_000_000) -> Iterator[list[str]]:
+def text_runs(texts: list[str], most_chars: int = 1 << 19) -> Iterator[list[str]]:
     """Successive texts together up to ``most_chars``, so that the working arrays stay small."""
     run: list[str] = []
     chars = 0
