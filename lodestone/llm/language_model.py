@@ -2,11 +2,15 @@
 
 Words, and pairs of successive words, are counted over the training texts. A count c is kept as its level 1 + floor(log_b c):
 the filter holds the pair (n-gram, i) for every i up to its level, so probing i = 1, 2, ... until one is missing gives the
-level back, never too small and seldom too large. Probabilities are smoothed from the probed counts.
+level back, never too small and seldom too large. All n-grams are held, those seen once too, and the filter has the size that
+their levels ask for: its number of segments follows from the number of training tokens, and each segment is sized and filled
+by the task that adds up the counts of its n-grams. Nothing depends on a cluster's settings.
 
-The filter has a fixed number of bits, the bound of what is broadcast. Its segments are filled by the tasks that add up the
-counts of their share of the n-grams. Pairs seen once are never held; should the others need more bits than there are, each
-segment holds those with counts from the least cut-off that fits, as it does at every size.
+The probability of a word after another is (c(v w) + k P(w)) / (c(v) + k), where P is the smoothed unigram probability; these sum
+to one over all words.
+
+A filter of at most ``most_bits`` is broadcast. A larger one stays a table: the probes of a block of texts go to the segments by
+a shuffle, the levels come back by another, and the scores are the same.
 
 Exact counts, for the unigram base score, don't come from the filter: those of the frequent words (a bounded number of bounded
 length) are broadcast, all others are joined.
@@ -14,7 +18,7 @@ length) are broadcast, all others are joined.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.words import mixed, sliced, split_words, string_hashes
-from lodestone.plans.staging import shuffle_width, stage
+from lodestone.plans.staging import discard, stage
 
 END = ""  # the token that ends a text and precedes the first; no word is empty
 _BASE = 0x9E3779B97F4A7C15
@@ -34,31 +38,28 @@ _BASE = 0x9E3779B97F4A7C15
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: size of the filter. log_base: b of the levels. keys: bits set for an entry, within one 64-bit word. load: bits an
-    entry needs at least. pair_weight: weight of the pair probability. frequent, longest: bounds of the words that are broadcast."""
+    """log_base: b of the levels. keys: bits set for an entry, within one 64-bit word. load: bits for an entry. share: training tokens
+    for a segment, about. most_bits: the largest filter that is broadcast. prior: k of the probabilities. frequent, longest: bounds
+    of the words that are broadcast with their exact counts."""
 
-    bits: int = 1 << 28
     log_base: float = 1.5
     keys: int = 4
     load: int = 11
-    least_pair: int = 2
-    pair_weight: float = 0.25
+    share: int = 1 << 18
+    most_bits: int = 1 << 29
+    prior: float = 8.0
     frequent: int = 200_000
     longest: int = 64
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Token numbers, in order, of all texts, the distinct tokens, and the text of each token. Each text ends with END."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    words, owner = pc.list_flatten(lists), pc.list_parent_indices(lists)
-    real = pc.not_equal(words, "")
-    words, owner = words.filter(real), owner.filter(real).to_numpy().astype(np.int64)
-    coded = pc.dictionary_encode(words)
-    distinct = pa.concat_arrays([coded.dictionary, pa.array([END], coded.dictionary.type)])
+    words, names, owner = split_words(texts, lower=True)
+    distinct = pa.concat_arrays([names, pa.array([END], names.type)])
     n, texts_n = len(words), len(texts)
     place = np.arange(n) + owner  # an end stands after each earlier text
     codes, owners = np.full(n + texts_n, len(distinct) - 1, np.int64), np.zeros(n + texts_n, np.int64)
-    codes[place] = coded.indices.to_numpy()
+    codes[place] = words
     ends = np.ones(n + texts_n, bool)
     ends[place] = False
     owners[place], owners[ends] = owner, np.arange(texts_n)
@@ -75,115 +76,132 @@ def pair_hashes(hashes: np.ndarray, codes: np.ndarray, owners: np.ndarray) -> tu
     return mixed(hashes[before] * np.uint64(0xD1342543DE82EF95) + hashes[codes]), before
 
 
-class LogFrequencyFilter:
-    """Segments of 64-bit words; an entry sets a few bits of one word. A key's high bits choose its segment."""
+def spot(keys: np.ndarray, level: int, words: np.ndarray | int, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a segment of ``words`` 64-bit words, and the bits in it, of each key's entry at a level."""
+    x = mixed(keys + np.uint64(level * _BASE % 2**64))
+    mask = np.zeros(len(x), np.uint64)
+    for k in range(n_bits):
+        mask |= np.uint64(1) << (x >> np.uint64(6 * k) & np.uint64(63))
+    return ((x >> np.uint64(32)) * np.asarray(words, np.uint64) >> np.uint64(32)).astype(np.int64), mask
 
-    def __init__(self, segments: list[np.ndarray], settings: Settings):
-        self.words, self.n, self.settings = np.concatenate(segments), len(segments), settings
-        self.shift = np.uint64(64 - (self.n.bit_length() - 1)) if self.n > 1 else None
 
-    @staticmethod
-    def spot(keys: np.ndarray, level: int, words: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-        x = mixed(keys + np.uint64(level * _BASE % 2**64))
-        mask = np.zeros(len(x), np.uint64)
-        for k in range(settings.keys):
-            mask |= np.uint64(1) << (x >> np.uint64(6 * k) & np.uint64(63))
-        return ((x >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)).astype(np.int64), mask
+def probed_levels(words: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray, n_bits: int) -> np.ndarray:
+    """Level of each key by probes of level 1, 2, ... in its segment, ``words[begin : begin + size]``; 0 for what isn't held."""
+    level, on = np.zeros(len(keys), np.uint8), np.flatnonzero(size > 0)
+    for i in range(1, 200):
+        at, mask = spot(keys[on], i, size[on], n_bits)
+        on = on[words[begin[on] + at] & mask == mask]
+        if not len(on):
+            break
+        level[on] = i
+    return level
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated count of each key by probes of level 1, 2, ...; 0 for what isn't held."""
-        each = len(self.words) // self.n
-        base = ((keys >> self.shift).astype(np.int64) if self.shift is not None else np.zeros(len(keys), np.int64)) * each
-        rest = short(keys, self.n)
-        level, on = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for i in range(1, 200):
-            at, mask = self.spot(rest[on], i, each, self.settings)
-            on = on[self.words[base[on] + at] & mask == mask]
-            if not len(on):
-                break
-            level[on] = i
-        b = self.settings.log_base
-        low, high = np.ceil(b ** (level - 1.0) - 1e-9), np.ceil(b**level - 1e-9) - 1
-        return np.where(level > 0, np.sqrt(low * np.maximum(low, high)), 0.0)
+
+def counts_of(level: np.ndarray, b: float) -> np.ndarray:
+    """The count that stands for a level: the geometric mean of the least and largest one; 0 for level 0."""
+    level = level.astype(np.float64)
+    low, high = np.ceil(b ** (level - 1.0) - 1e-9), np.ceil(b**level - 1e-9) - 1
+    return np.where(level > 0, np.sqrt(low * np.maximum(low, high)), 0.0)
+
+
+def levels(counts: np.ndarray, b: float) -> np.ndarray:
+    return 1 + np.floor(np.log(counts) / np.log(b) + 1e-9).astype(np.int64)
+
+
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - (segments.bit_length() - 1))).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
 
 
 def short(keys: np.ndarray, segments: int) -> np.ndarray:
-    """48 bits of a key below those that choose the segment; counts travel under these."""
+    """48 bits of a key below those that choose the segment; counts and probes travel under these."""
     return keys << np.uint64(segments.bit_length() - 1) >> np.uint64(16)
 
 
-def levels(counts: np.ndarray, b: float) -> np.ndarray:
-    return 1 + np.floor(np.log(counts) / np.log(b) + 1e-9).astype(np.int64)
+def joint(segment: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Segment and 48-bit key as one number."""
+    return mixed(segment.astype(np.uint64)) ^ small
+
+
+def packed_keys(keys: np.ndarray) -> np.ndarray:
+    """48-bit keys as six bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    keys = np.zeros((len(blob) // 6, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return keys.view("<u8").ravel()
+
+
+class LogFrequencyFilter:
+    """All segments of a filter, for probing by whole keys."""
+
+    def __init__(self, segments: dict[int, bytes], n: int, settings: Settings):
+        self.n, self.settings = n, settings
+        self.size = np.array([len(segments.get(k, b"")) // 8 for k in range(n)], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.words = np.frombuffer(b"".join(segments.get(k, b"") for k in range(n)), np.uint64)
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        s = segment_of(keys, self.n)
+        return counts_of(probed_levels(self.words, self.begin[s], self.size[s], short(keys, self.n), self.settings.keys), self.settings.log_base)
+
+
+def filled(keys: np.ndarray, counts: np.ndarray, settings: Settings) -> bytes:
+    """A segment that holds these distinct keys with their counts."""
+    level = levels(counts, settings.log_base)
+    segment = np.zeros(int(level.sum()) * settings.load // 64 + 1, np.uint64)
+    for i in range(1, int(level.max(initial=0)) + 1):
+        at, mask = spot(keys[level >= i], i, len(segment), settings.keys)
+        np.bitwise_or.at(segment, at, mask)
+    return segment.tobytes()
 
 
 def unigram_key(hashes: np.ndarray) -> np.ndarray:
     return mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
 
 
-def _shares(keys: np.ndarray, counts: np.ndarray, order: int, segments: int) -> pd.DataFrame:
-    """Sorted keys and their counts, by segment, as blobs."""
-    cuts = np.searchsorted(keys >> np.uint64(64 - (segments.bit_length() - 1)), np.arange(segments + 1, dtype=np.uint64)) if segments > 1 else np.array([0, len(keys)])
-    small = short(keys, segments).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    counts = counts.astype("<u4")
-    rows = [(s, order, small[a:b].tobytes(), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-    return pd.DataFrame(rows, columns=["segment", "ngram", "keys", "counts"])
+def by_segment(keys: np.ndarray, segments: int) -> Iterator[tuple[int, slice]]:
+    """Slices of sorted keys that lie in one segment."""
+    s = segment_of(keys, segments)
+    cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s)]):
+        yield int(s[a]), slice(a, b)
+
 
+def build_filter(train: DataFrame, vocabulary: DataFrame, total: int, settings: Settings) -> tuple[DataFrame, int]:
+    """The staged table (segment, bits), and the number of segments: a power of two that follows from the training tokens."""
+    segments = 1 << max(3, (total // settings.share).bit_length())
+    blobs = pa.schema([("segment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-def build_filter(train: DataFrame, vocabulary: DataFrame, settings: Settings) -> LogFrequencyFilter:
-    """Count pairs, and fill the segments where the counts are added up."""
-    segments = 1 << max(3, (4 * shuffle_width(train.sparkSession)).bit_length())
+    def shares(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """Sorted keys and their counts, by segment."""
+        small, counts = packed_keys(short(keys, segments)), counts.astype("<u4")
+        rows = [(s, small[part].tobytes(), counts[part].tobytes()) for s, part in by_segment(keys, segments)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ([], [], []), blobs.types)], schema=blobs)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 8 << 20):
             codes, distinct, owners = tokens_of(batch["text"])
-            keys, counts = np.unique(pair_hashes(string_hashes(distinct), codes, owners)[0], return_counts=True)
-            yield pa.RecordBatch.from_pandas(_shares(keys, counts, 2, segments), schema=blobs, preserve_index=False)
+            yield shares(*np.unique(pair_hashes(string_hashes(distinct), codes, owners)[0], return_counts=True))
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, counts = unigram_key(string_hashes(batch["token"])), np.minimum(batch["n"].to_numpy(), 2**32 - 1)
             order = np.argsort(keys)
-            yield pa.RecordBatch.from_pandas(_shares(keys[order], counts[order], 1, segments), schema=blobs, preserve_index=False)
-
-    blobs = pa.schema([("segment", pa.int32()), ("ngram", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-    schema = "segment int, ngram int, keys binary, counts binary"
-    words = max(1, settings.bits // 64 // segments)
-
-    def fill(key: tuple, shares: pd.DataFrame) -> pd.DataFrame:
-        entries = []
-        for ngram in (1, 2):
-            own = shares[shares["ngram"] == ngram]
-            raw = np.frombuffer(b"".join(own["keys"]), np.uint8).reshape(-1, 6)
-            keys = np.zeros((len(raw), 8), np.uint8)
-            keys[:, :6] = raw
-            keys = keys.view("<u8").ravel()
-            counts = np.frombuffer(b"".join(own["counts"]), "<u4").astype(np.int64)
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
-            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-            counts = np.add.reduceat(counts, new) if len(new) else counts
-            enough = counts >= (1 if ngram == 1 else settings.least_pair)
-            entries.append((keys[new][enough], counts[enough]))
-        keys, counts = (np.concatenate(x) for x in zip(*entries))
-        rank = np.concatenate([np.full(len(entries[0][0]), np.int64(1) << 40), np.zeros(len(entries[1][0]), np.int64)]) + counts
-        order = np.argsort(-rank, kind="stable")
-        level = levels(counts[order], settings.log_base)
-        room = words * 64 // settings.load
-        fits = int(np.searchsorted(np.cumsum(level), room, "right"))
-        if fits < len(order):  # the cut-off lies between counts, never within one
-            cut = rank[order[fits]]
-            fits = int(np.searchsorted(-rank[order], -cut, "left"))
-        segment = np.zeros(words, np.uint64)
-        keys, level = keys[order[:fits]], level[:fits]
-        for i in range(1, int(level.max()) + 1 if len(level) else 1):
-            at, mask = LogFrequencyFilter.spot(keys[level >= i], i, words, settings)
-            np.bitwise_or.at(segment, at, mask)
-        return pd.DataFrame({"segment": [int(key[0])], "bits": [segment.tobytes()]})
-
-    shares = train.select("text").mapInArrow(pairs, schema).unionByName(vocabulary.select("token", "n").mapInArrow(singles, schema))
-    filled = shares.groupBy("segment").applyInPandas(fill, "segment int, bits binary").toPandas()
-    held = dict(zip(filled["segment"].tolist(), filled["bits"]))
-    return LogFrequencyFilter([np.frombuffer(held[s], np.uint64) if s in held else np.zeros(words, np.uint64) for s in range(segments)], settings)
+            yield shares(keys[order], counts[order])
+
+    def fill(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        keys = unpacked_keys(b"".join(parts["keys"]))
+        counts = np.frombuffer(b"".join(parts["counts"]), "<u4").astype(np.int64)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return pd.DataFrame({"segment": [int(key[0])], "bits": [filled(keys[new], np.add.reduceat(counts, new), settings)]})
+
+    schema = "segment int, keys binary, counts binary"
+    every = train.select("text").mapInArrow(pairs, schema).unionByName(vocabulary.select("token", "n").mapInArrow(singles, schema))
+    return stage(every.groupBy("segment").applyInPandas(fill, "segment int, bits binary"), "filter"), segments
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -207,6 +225,148 @@ def frequent_words(vocabulary: DataFrame, settings: Settings) -> pa.Table:
     return able.where(step >= least).select("token", "n").toArrow()
 
 
+@dataclass(frozen=True)
+class Known:
+    """What every task knows: exact counts of the frequent words, the denominator of unigram probabilities, and k."""
+
+    table: pa.Table
+    scale: float
+    prior: float
+
+    def look_up(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is frequent, and its count then."""
+        if not self.table.num_rows:
+            return np.zeros(len(distinct), bool), np.zeros(len(distinct))
+        place = pc.fill_null(pc.index_in(distinct, value_set=self.table["token"].combine_chunks()), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return place >= 0, np.where(place >= 0, self.table["n"].to_numpy()[place], 0).astype(np.float64)
+
+
+_NAMES = ["row", "id", "token", "n", "known", "base", "score"]
+_SCORED = "row long, id long, token string, n long, known long, base double, score double"
+
+
+def asked(texts: pa.Array, known: Known) -> tuple[tuple, np.ndarray]:
+    """The tokens of some texts, and all keys whose counts their scores need: those of pairs and of words that aren't frequent."""
+    codes, distinct, owners = tokens_of(texts)
+    hashes = string_hashes(distinct)
+    exact, count = known.look_up(distinct)
+    pair, before = pair_hashes(hashes, codes, owners)
+    return (codes, distinct, owners, exact, count, unigram_key(hashes), pair, before), np.unique(np.concatenate([pair, unigram_key(hashes[~exact])]))
+
+
+def scored(tokens: tuple, rows: np.ndarray, ids: pa.Array, known: Known, counts: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each text, and one for each text and word that isn't frequent."""
+    codes, distinct, owners, exact, count, single, pair, before = tokens
+    texts = len(rows)
+    log_base = np.log10((count + 0.5) / known.scale)
+    count[~exact] = counts(single[~exact])
+    past, plain = count[before], (count[codes] + 0.5) / known.scale
+    chance = (np.minimum(counts(pair), past) + known.prior * plain) / (past + known.prior)
+    held = exact[codes]
+    yield pa.RecordBatch.from_arrays([
+        pa.array(rows), ids, pa.nulls(texts, pa.string()), pa.array(np.bincount(owners, minlength=texts)),
+        pa.array(np.bincount(owners, held, texts).astype(np.int64)), pa.array(np.bincount(owners, np.where(held, log_base[codes], 0.0), texts)),
+        pa.array(np.bincount(owners, np.log10(chance), texts)),
+    ], names=_NAMES)
+    cell, n = np.unique(owners[~held] << 32 | codes[~held], return_counts=True)
+    yield pa.RecordBatch.from_arrays([
+        pa.array(rows[cell >> 32]), pa.nulls(len(cell), pa.int64()), distinct.take(pa.array(cell & 0xFFFFFFFF)), pa.array(n.astype(np.int64)),
+        pa.nulls(len(cell), pa.int64()), pa.nulls(len(cell), pa.float64()), pa.nulls(len(cell), pa.float64()),
+    ], names=_NAMES)
+
+
+def _with_broadcast(docs: DataFrame, known: Known, table: DataFrame, segments: int, settings: Settings) -> DataFrame:
+    """Scores by a filter that every task holds."""
+    context = docs.sparkSession.sparkContext
+    held = table.toPandas()
+    sent, facts = context.broadcast(LogFrequencyFilter(dict(zip(held["segment"].tolist(), held["bits"])), segments, settings)), context.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in sliced(batches, 1 << 20):
+            tokens, _ = asked(batch["text"], facts.value)
+            yield from scored(tokens, np.arange(row, row + batch.num_rows), batch["id"], facts.value, sent.value.counts)
+            row += batch.num_rows
+
+    return docs.mapInArrow(run, _SCORED)
+
+
+def _by_shuffle(docs: DataFrame, known: Known, table: DataFrame, segments: int, settings: Settings) -> tuple[DataFrame, list[DataFrame]]:
+    """Scores by a filter that stays a table: probes go to its segments, and levels come back, in streams sorted by segment and by
+    block, of which a task holds one segment or the levels of one block."""
+    context = docs.sparkSession.sparkContext
+    facts = context.broadcast(known)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in sliced(batches, 2 << 20):
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), pa.array(np.arange(row, row + n)), batch["id"], batch["text"]], names=["block", "row", "id", "text"])
+            row += n
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2 << 20):
+            block = batch["block"].to_numpy()
+            for a, b in runs_of(block):
+                keys = asked(batch["text"].slice(a, b - a), facts.value)[1]
+                small = packed_keys(short(keys, segments))
+                rows = [(s, int(block[a]), small[part].tobytes()) for s, part in by_segment(keys, segments)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["segment", "block", "keys"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words = -1, np.empty(0, np.uint64)
+        for batch in batches:
+            out = []
+            for segment, block, keys, bits in zip(*(batch[c].to_pylist() for c in ("segment", "block", "keys", "bits"))):
+                if bits is not None:
+                    now, words = segment, np.frombuffer(bits, np.uint64)
+                    continue
+                asked_for = unpacked_keys(keys)
+                size = np.full(len(asked_for), len(words) if segment == now else 0)
+                out.append((block, segment, keys, probed_levels(words, np.zeros(len(asked_for), np.int64), size, asked_for, settings.keys).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([],) * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "segment", "keys", "levels"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, table_of = None, [], None
+
+        def counts(keys: np.ndarray) -> np.ndarray:
+            held, level = table_of
+            return counts_of(level[np.searchsorted(held, joint(segment_of(keys, segments), short(keys, segments)))], settings.log_base)
+
+        for batch in batches:
+            block, of_levels = batch["block"].to_numpy(), batch["levels"].is_valid().to_numpy(zero_copy_only=False)
+            for a, b in runs_of(block * 2 + of_levels):
+                if block[a] != now:
+                    now, parts, table_of = block[a], [], None
+                if of_levels[a]:
+                    for s, keys, level in zip(*(batch[c].slice(a, b - a).to_pylist() for c in ("segment", "keys", "levels"))):
+                        parts.append((joint(np.array([s]), unpacked_keys(keys)), np.frombuffer(level, np.uint8)))
+                    continue
+                if table_of is None:
+                    keys, level = (np.concatenate(x) for x in zip(*parts))
+                    keys, first = np.unique(keys, return_index=True)
+                    table_of = keys, level[first]
+                texts = batch["text"].slice(a, b - a)
+                yield from scored(asked(texts, facts.value)[0], batch["row"].slice(a, b - a).to_numpy(), batch["id"].slice(a, b - a), facts.value, counts)
+
+    texts = stage(docs.mapInArrow(blocks, "block long, row long, id long, text string"), "blocks")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    sent = texts.mapInArrow(probes, "segment int, block long, keys binary")
+    both = table.select("segment", none("long", "block"), none("binary", "keys"), "bits").unionByName(sent.select("segment", "block", "keys", none("binary", "bits")))
+    ordered = both.repartition("segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
+    answers = stage(ordered.mapInArrow(answer, "block long, segment int, keys binary, levels binary"), "answers")
+    back = answers.select("block", none("long", "row"), none("long", "id"), none("string", "text"), "segment", "keys", "levels").unionByName(
+        texts.select("block", "row", "id", "text", none("int", "segment"), none("binary", "keys"), none("binary", "levels"))
+    )
+    return back.repartition("block").sortWithinPartitions("block", F.col("row").asc_nulls_first()).mapInArrow(finish, _SCORED), [texts, answers]
+
+
+def runs_of(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """[begin, end) of runs of equal values."""
+    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])).tolist() if len(values) else []
+    yield from zip(cuts, [*cuts[1:], len(values)])
+
+
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -214,49 +374,17 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     and one end. base_score is the log10 of smoothed exact unigram frequencies, score the model's log10 probability; without
     training texts every word is unknown. Repeated rows and null ids are scored each for itself; other columns are not read.
     """
-    spark = docs.sparkSession
     train = train.select(F.col(text_col).alias("text"))
     vocabulary = stage(count_words(train), "vocabulary")
     total, distinct_words = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count("token")).first())
     scale = total + 0.5 * (distinct_words + 1)
-    frequent = spark.sparkContext.broadcast(frequent_words(vocabulary, settings))
-    model = spark.sparkContext.broadcast(build_filter(train, vocabulary, settings))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = frequent.value, model.value
-        row = TaskContext.get().partitionId() << 40
-        names, n_known = known["token"].combine_chunks() if known.num_rows else pa.array([], pa.string()), known["n"].to_numpy().astype(float)
-        base_of = np.append(np.log10((n_known + 0.5) / scale), 0.0)
-        for batch in sliced(batches, 2 << 20):
-            codes, distinct, owners = tokens_of(batch["text"])
-            texts = batch.num_rows
-            place = pc.fill_null(pc.index_in(distinct, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            hashes = string_hashes(distinct)
-            single = held.counts(unigram_key(hashes))
-            keys, before = pair_hashes(hashes, codes, owners)
-            pair, past = held.counts(keys), single[before]
-            plain = (single[codes] + 0.5) / scale
-            weight = np.where(past > 0, settings.pair_weight, 0.0)
-            chance = weight * np.minimum(1.0, pair / np.maximum(past, 1.0)) + (1 - weight) * plain
-            at = place[codes]
-            ids = np.arange(row, row + texts)
-            row += texts
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids), batch["id"], pa.nulls(texts, pa.string()), pa.array(np.bincount(owners, minlength=texts)),
-                pa.array(np.bincount(owners, at >= 0, texts).astype(np.int64)), pa.array(np.bincount(owners, base_of[at], texts)),
-                pa.array(np.bincount(owners, np.log10(chance), texts)),
-            ], names=names_out)
-            rare = at < 0
-            cell, n = np.unique(owners[rare] << 32 | codes[rare], return_counts=True)
-            rows = len(cell)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids[cell >> 32]), pa.nulls(rows, pa.int64()), distinct.take(pa.array(cell & 0xFFFFFFFF)), pa.array(n.astype(np.int64)),
-                pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64()), pa.nulls(rows, pa.float64()),
-            ], names=names_out)
-
-    names_out = ["row", "id", "token", "n", "known", "base", "score"]
-    schema = "row long, id long, token string, n long, known long, base double, score double"
-    rows = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scored, schema), "scored")
+    known = Known(frequent_words(vocabulary, settings), scale, settings.prior)
+    table, segments = build_filter(train, vocabulary, total, settings)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    bits = 8 * (table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0)
+    made, used = (_with_broadcast(own, known, table, segments, settings), []) if bits <= settings.most_bits else _by_shuffle(own, known, table, segments, settings)
+    rows = stage(made, "scored")
+    discard(table, *used)
     counted = rows.where("token is not null").select("row", "token", "n").join(vocabulary.select("token", F.col("n").alias("c")), "token", "left")
     c = F.coalesce("c", F.lit(0))
     rest = counted.groupBy("row").agg(
