@@ -1,13 +1,16 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Fingerprints are first made distinct. Each distinct fingerprint gets a table of Hamming distances to many reference
-fingerprints: some of them lie in one of five blocks of bits and measure that block alone, others measure all 64 bits. By the
-triangle inequality no coordinate of two fingerprints differs by more than their distance. Two fingerprints with at most two
-differing bits agree in at least three of the five blocks, and so agree in all coordinates of those blocks: the ten choices of
-three blocks give ten keys, and an equality join on them meets every such pair. What meets is discarded when the largest
-coordinate difference exceeds the radius; the rest is verified bit by bit.
-
-A key under which many fingerprints meet isn't paired off. There every member goes to the fingerprints within one bit of it;
+Fingerprints are first made distinct. Each distinct fingerprint gets a table of Hamming distances to reference fingerprints: in
+each of five blocks of bits to the parts of seven references that lie there, and over all 64 bits to sixteen more. By the
+triangle inequality no coordinate of two fingerprints differs by more than their distance, and none of a block by more than the
+bits in which they differ there.
+
+Two fingerprints with at most two differing bits agree on three of the five blocks at least, and so in all coordinates of
+these. So cells of the pivot table, one for each choice of three blocks, serve as join keys: every such pair meets. The
+coordinates of a block don't tell its bits (about half of the patterns have coordinates of their own), so others meet as well; a
+pair is discarded when the largest difference of any coordinate exceeds the radius, and survivors are verified bit by bit.
+
+A cell in which many fingerprints meet isn't paired off. There every member goes to the fingerprints within one bit of it;
 two members within two bits of each other meet at one between them, and all that meet at one are within two bits of
 each other. So linking each to the smallest one there loses no link and adds none, at a cost in proportion to the members.
 """
@@ -71,45 +74,47 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def block_coordinates(fp: Column, block: tuple[int, int], references: int = 14) -> Column:
-    """The distances of one block to its references, four bits each, in one long.
-
-    The unit vectors of the block are among the references, together with its zero, as far as they are fewer than
-    ``references``; the distances to those alone determine the block, so unequal blocks don't meet by chance.
-    """
+def block_coordinates(fp: Column, block: tuple[int, int], references: int = 7) -> list[Column]:
+    """Distances of one block of bits to that block of each reference."""
     low, high = block
     mask = F.lit(_signed((1 << high) - (1 << low)))
-    own = fp.bitwiseAND(mask)
-    units = [_signed(1 << b) for b in range(low, high)]
-    pivots = [0, *units][:references]
-    packed = None
-    for k, pivot in enumerate(pivots):
-        distance = F.shiftleft(F.bit_count(own.bitwiseXOR(F.lit(pivot))).cast("long"), 4 * k)
-        packed = distance if packed is None else packed.bitwiseXOR(distance)
-    return packed
+    return [F.bit_count(fp.bitwiseXOR(F.lit(_reference(f"block pivot {k}"))).bitwiseAND(mask)).cast("byte") for k in range(references)]
+
+
+def pivot_table(fp: Column, references: int = 7, whole: int = 16) -> tuple[list[list[Column]], list[Column]]:
+    """Coordinates by block, and those over all 64 bits."""
+    return [block_coordinates(fp, b, references) for b in BLOCKS], [F.bit_count(fp.bitwiseXOR(F.lit(_reference(f"pivot{k}")))).cast("byte") for k in range(whole)]
+
 
+def meetings(fingerprints: DataFrame, references: int = 7) -> DataFrame:
+    """(key, fp): the cells of the pivot table that more than one fingerprint lies in, with their number n."""
+    blocks, _ = pivot_table(F.col("fp"), references)
+    trios = list(itertools.combinations(range(len(BLOCKS)), 3))
+    cells = F.array(*[F.xxhash64(F.lit(t), *[c for i in trio for c in blocks[i]]) for t, trio in enumerate(trios)])
+    keyed = fingerprints.select("fp", F.explode(cells).alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+
+
+def met_pairs(met: DataFrame, references: int = 7) -> DataFrame:
+    """(src, dst, apart): all pairs that meet in a cell, and the largest difference of a coordinate."""
+    blocks, whole = pivot_table(F.col("fp"), references)
+    rows = met.withColumn("c", F.array(*[c for b in blocks for c in b], *whole))
+    a, b = rows.alias("a"), rows.alias("b")
+    apart = F.expr("aggregate(zip_with(a.c, b.c, (x, y) -> abs(x - y)), 0, (m, d) -> greatest(m, d))")
+    return a.join(b, [F.col("a.key") == F.col("b.key"), F.col("a.fp") < F.col("b.fp")]).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"), apart.alias("apart"))
 
-def links(fingerprints: DataFrame, radius: int = RADIUS, references: int = 16, most_paired: int = 32) -> DataFrame:
+
+def links(fingerprints: DataFrame, radius: int = RADIUS, references: int = 7, most_paired: int = 32) -> DataFrame:
     """Pairs (src, dst) of distinct fingerprints, the smaller first, that connect all within ``radius`` (at most 2) bits.
 
-    Keys with up to ``most_paired`` fingerprints give all their verified pairs; larger ones a star at each fingerprint
+    Cells with up to ``most_paired`` fingerprints give all their verified pairs; larger ones a star at each fingerprint
     between, which connects the same. ``fingerprints`` has one column ``fp``, distinct and not null.
     """
     if not 0 <= radius <= 2:
         raise ValueError("five blocks serve a radius of at most 2 bits")
-    pivots = [_reference(f"pivot{k}") for k in range(references)]
-    table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots])
-    blocks = fingerprints.select("fp", *[block_coordinates(F.col("fp"), b).alias(f"b{i}") for i, b in enumerate(BLOCKS)])
-    trios = list(itertools.combinations(range(len(BLOCKS)), 3))
-    # Three blocks' coordinates as one number: should two keys collide, what meets in vain is discarded below.
-    keyed = blocks.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), *[f"b{i}" for i in c]) for t, c in enumerate(trios)])).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stage(keyed.join(sizes, "key"), "pivotmet")
-    few = met.where(F.col("n") <= most_paired)
-    a, b = few.withColumn("c", table).alias("a"), few.withColumn("c", table).alias("b")
-    apart = F.expr("aggregate(zip_with(a.c, b.c, (x, y) -> abs(x - y)), 0, (m, d) -> greatest(m, d))")
-    survivors = a.join(b, [F.col("a.key") == F.col("b.key"), F.col("a.fp") < F.col("b.fp")]).where(apart <= radius)
-    paired = survivors.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    met = stage(meetings(fingerprints, references), "pivotmet")
+    survivors = met_pairs(met.where(F.col("n") <= most_paired), references).where(F.col("apart") <= radius)
+    paired = survivors.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= radius).select("src", "dst")
     many = met.where(F.col("n") > most_paired).select("fp").distinct()
     if radius == 2:
         between = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << k)) for k in range(64)]))
@@ -150,11 +155,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest id (null first).
 
-    Rows that share an id are told apart by their texts; rows that share both all stay or all go.
+    Rows that share an id are told apart by the CRC-32 of their texts; of rows that share both one stays. ``near_copies_dedup`` in
+    ``near_copies`` links by a similarity of shingles instead of a number of bits.
     """
     found, staged = _labelled(docs, id_col, text_col, shingle, radius)
     least = found.groupBy("component").agg(F.min(F.struct("id", "tag")).alias("k"))
     first = stage(least.select(F.col("k.id").alias("__near_id"), F.col("k.tag").alias("__near_tag")), "nearest")
+    once = staged[0].groupBy("id", "tag").count().where("count > 1").isEmpty()
     discard(*staged)
     tag = F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
-    return docs.join(first, docs[id_col].eqNullSafe(first["__near_id"]) & (tag == first["__near_tag"]), "left_semi")
+    stay = docs.join(first, docs[id_col].eqNullSafe(first["__near_id"]) & (tag == first["__near_tag"]), "left_semi")
+    return stay if once else stay.dropDuplicates([id_col, text_col])
