@@ -1,13 +1,18 @@
-"""Near copies by the Jaccard similarity of word shingles, without a loss.
+"""SimHash near-dedup at a given similarity of word shingles: fingerprints link what they can, an exact search finds the rest.
 
-Every text has its set of distinct shingles of five words (one of all words where there are fewer), and all sets are sorted in
-one global order. Two sets with a similarity of at least 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, n
-being the set's size; so an equality join on those finds every such pair, and the whole sets verify what it finds. This holds
-in any order: here shingles that are frequent in a sample of the texts come last, and so seldom serve as keys.
+Every text has its set of distinct shingles of five words (one of all words where there are fewer). Near copies are sets with a
+Jaccard similarity of at least 0.8. Two such sets may differ in some ten of 64 fingerprint bits, a radius at which pivot
+distances discard next to nothing, so fingerprints alone can't find them all. Three searches propose pairs:
 
-Under each key all sets are first compared with one of them, in some rounds with another one each, and components are taken.
-Sets of one key that are still in unequal components are then all compared in pairs: the rounds save work in large groups of
-copies and decide nothing.
+1. Fingerprints within two bits, by ``simhash.links`` and its pivot distance tables.
+2. Stars. All sets are sorted in one global order; two sets of similarity 0.8 share a shingle among the first
+   n - ceil(0.8 n) + 1 of each, n being the set's size, so an equality join on those misses no pair. This holds in any order: here
+   shingles that are frequent in a sample of the texts come last, and so seldom serve as keys. Under each key all sets are
+   compared with a few centres, which joins large groups of copies at a cost in proportion to their size.
+3. Pairs. What meets under a key and still lies in unequal components is compared in pairs, so that nothing is missed.
+
+Parity sketches rule pairs out without a loss, and whole sets verify the others. The first two searches save work and decide
+nothing: the components are those of all similar pairs.
 """
 
 from __future__ import annotations
@@ -20,36 +25,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.language_model import tokens_of
-from lodestone.llm.words import mixed, sliced, string_hashes
+from lodestone.llm.simhash import links
+from lodestone.llm.words import mixed, sliced, split_words, string_hashes
 from lodestone.operators.graph import connected_components
 from lodestone.plans.staging import discard, stage
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # at least four fifths
-ROUNDS = 3
+CENTRES = 4
+MANY = 256
+_RUN = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
+_HELD = "id long, tag long, digest long, n int, fp long, odd binary, keys array<long>"
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its word shingles; empty without words."""
-    codes, distinct, owners = tokens_of(texts)
-    hashes, end = string_hashes(distinct), len(distinct) - 1
-    sizes = np.bincount(owners[codes != end], minlength=len(texts))
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64) if len(texts) else np.empty(0, np.int64)
-    words = np.concatenate([hashes[codes], np.full(shingle, hashes[end], np.uint64)])  # an END follows each text
-    short = np.flatnonzero(sizes < shingle)
-    grams = np.zeros(len(codes), np.uint64)
+    """For each text the sorted distinct 64-bit hashes of its word shingles, A-Z lower-cased; empty without words."""
+    codes, distinct, owner = split_words(texts, lower=True)
+    words = string_hashes(distinct)[codes]
+    sizes = np.bincount(owner, minlength=len(texts))
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(texts) else np.empty(0, np.int64)
+    whole = max(0, len(words) - shingle + 1)
+    grams = np.zeros(whole, np.uint64)
     for k in range(shingle):
-        grams = grams * np.uint64(_STEP) + words[k : k + len(codes)]
+        grams = grams * np.uint64(_STEP) + words[k : k + whole]
     grams = mixed(grams)
-    out = [np.unique(grams[b : b + n - shingle + 1]) if n >= shingle else np.empty(0, np.uint64) for b, n in zip(begins.tolist(), sizes.tolist())]
-    for i in short[sizes[short] > 0].tolist():
-        few = hashes[codes[begins[i] : begins[i] + sizes[i]]]
-        whole = np.full(1, len(few), np.uint64)
-        for h in few:
-            whole = whole * np.uint64(_STEP) + h
-        out[i] = mixed(whole)
+    out = []
+    for b, n in zip(begins.tolist(), sizes.tolist()):
+        if n >= shingle:
+            out.append(np.unique(grams[b : b + n - shingle + 1]))
+        else:
+            code = np.full(1, n, np.uint64)
+            for h in words[b : b + n]:
+                code = code * np.uint64(_STEP) + h
+            out.append(mixed(code) if n else np.empty(0, np.uint64))
     return out
 
 
@@ -66,11 +75,25 @@ def digest_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64)) if len(shingles) else 0
 
 
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each of 2048 buckets: whether an odd number of the shingles lies in it. Two sketches differ in no more bits
+    than their sets in shingles."""
+    return np.packbits(np.bincount((shingles >> np.uint64(20) & np.uint64(2047)).astype(np.int64), minlength=2048) & 1).tobytes()
+
+
+def fingerprint(shingles: np.ndarray) -> int:
+    """64-bit SimHash of a set, signed; zero for the empty set."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(shingles), 1 << 16):
+        total += np.unpackbits(shingles[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def frequent_shingles(docs: DataFrame, text: Column, every: int = 64, least: int = 4, most: int = 200_000) -> np.ndarray:
     """At most ``most`` shingles, sorted, that ``least`` texts of one in ``every`` have; they only decide an order."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 4 << 20):
+        for batch in sliced(batches, _RUN):
             grams = np.concatenate([*shingle_sets(batch["text"]), np.empty(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["gram"])
 
@@ -80,21 +103,19 @@ def frequent_shingles(docs: DataFrame, text: Column, every: int = 64, least: int
     return np.sort(found.view(np.uint64))
 
 
-def _prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, tag (the text's CRC-32), digest of the set, its size n, and its first shingles."""
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, tag (the text's CRC-32), digest of the set, its size n, fingerprint, parity sketch, and first shingles."""
     text = F.col(text_col)
     last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text))
     p, q = SIMILARITY
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = last.value
-        for batch in sliced(batches, 4 << 20):
-            digests, sizes, keys = [], [], []
-            for grams in shingle_sets(batch["text"]):
+        for batch in sliced(batches, _RUN):
+            sets, keys = shingle_sets(batch["text"]), []
+            for grams in sets:
                 n = len(grams)
                 take = n - (p * n + q - 1) // q + 1 if n else 0
-                digests.append(digest_of(grams))
-                sizes.append(n)
                 if len(heavy) and n:
                     at = np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)
                     late = heavy[at] == grams
@@ -102,22 +123,26 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys.append(grams[:take].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["tag"], pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["id", "tag", "digest", "n", "keys"])
+            own = [pa.array([f(g) for g in sets], kind) for f, kind in ((digest_of, pa.int64()), (len, pa.int32()), (fingerprint, pa.int64()), (odd_sketch, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["tag"], *own, lists], names=["id", "tag", "digest", "n", "fp", "odd", "keys"])
 
-    tag = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), text.alias("text"))
-    return stage(rows.mapInArrow(first, "id long, tag long, digest long, n int, keys array<long>"), "prefixes")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _tag(docs, text_col).alias("tag"), text.alias("text"))
+    return stage(rows.mapInArrow(measure, _HELD), "measured")
 
 
-def odd_sketch(shingles: np.ndarray) -> bytes:
-    """A bit for each of 2048 buckets: whether an odd number of the shingles lies in it. Two sketches differ in no more bits
-    than their sets in shingles."""
-    return np.packbits(np.bincount((shingles >> np.uint64(20) & np.uint64(2047)).astype(np.int64), minlength=2048) & 1).tobytes()
+def _tag(docs: DataFrame, text_col: str) -> Column:
+    return F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (src, dst) of digests whose sets are similar. Sketches that differ in more bits than similar sets can in
-    shingles, a ninth of both sizes, rule a pair out; only the others' sets are moved."""
+def near(a: Column | str, b: Column | str) -> Column:
+    """Whether two set sizes allow the wanted similarity."""
+    p, q = SIMILARITY
+    return F.least(a, b) * q >= F.greatest(a, b) * p
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of digests whose sketches differ in no more bits than similar sets can in shingles, a ninth of both
+    sizes."""
     p, q = SIMILARITY
 
     @F.pandas_udf("boolean")
@@ -125,71 +150,100 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFra
         x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, 256) for s in (a, b))
         return pd.Series(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (p + q) <= (q - p) * n.to_numpy())
 
+    a, b = (sketches.select(F.col("digest").alias(k), F.col("odd").alias(f"odd_{k}"), F.col("n").alias(f"n_{k}")) for k in ("src", "dst"))
+    both = pairs.join(a, "src").join(b, "dst").where(near("n_src", "n_dst"))
+    return both.where(may("odd_src", "odd_dst", (F.col("n_src") + F.col("n_dst")).cast("long"))).select("src", "dst")
+
+
+def _verified(likely: DataFrame, docs: DataFrame, measured: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose sets are similar. Sets are made again from one text for each digest that occurs in a pair."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, _RUN):
+            found = shingle_sets(batch["text"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], names=["digest", "grams"])
+
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="bool")
 
-    a, b = (sketches.select(F.col("digest").alias(k), F.col("odd").alias(f"odd_{k}"), F.col("n").alias(f"n_{k}")) for k in ("src", "dst"))
-    likely = stage(pairs.join(a, "src").join(b, "dst").where(may("odd_src", "odd_dst", F.col("n_src") + F.col("n_dst"))).select("src", "dst"), "likely")
     ends = likely.select(F.col("src").alias("digest")).unionByName(likely.select(F.col("dst").alias("digest"))).distinct()
-    few = sets.join(ends, "digest", "left_semi")
-    a, b = (few.select(F.col("digest").alias(k), F.col("grams").alias(f"of_{k}")) for k in ("src", "dst"))
-    return likely.join(a, "src").join(b, "dst").where(alike("of_src", "of_dst")).select("src", "dst")
+    of = measured.select("digest", "id", "tag").join(ends, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "tag")).alias("of"))
+    wanted = of.select(F.col("of.id").alias("__id"), F.col("of.tag").alias("__tag"))
+    texts = docs.join(wanted, docs[id_col].cast("long").eqNullSafe(wanted["__id"]) & (_tag(docs, text_col) == wanted["__tag"]), "left_semi").select(docs[text_col].alias("text"))
+    # Rows that share id and tag with a wanted one may have another text; a digest that repeats only repeats its links.
+    sets = stage(texts.mapInArrow(grams, "digest long, grams binary"), "sets")
+    a, b = (sets.select(F.col("digest").alias(k), F.col("grams").alias(f"of_{k}")) for k in ("src", "dst"))
+    out = stage(likely.join(a, "src").join(b, "dst").where(alike("of_src", "of_dst")).select("src", "dst").distinct(), "similar")
+    discard(sets)
+    return out
 
 
-def similar_sets(docs: DataFrame, prefixes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, component) of the digests that are linked to others; links are similarities of at least 0.8, all found."""
-    p, q = SIMILARITY
-    keyed = prefixes.select("digest", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("key")
-    met = stage(keyed.join(shared, "key").distinct(), "prefixmet")
-    near = lambda a, b: F.least(a, b) * q >= F.greatest(a, b) * p
+def _stars(named: DataFrame, turn: int) -> DataFrame:
+    """(src, dst) of each set and a few centres of every key that joins unequal components."""
+    centre = lambda k: F.min(F.struct(F.xxhash64("digest", F.lit(turn * CENTRES + k)).alias("order"), "digest", "n", "component"))
+    centres = named.groupBy("key").agg(F.array(*[centre(k) for k in range(CENTRES)]).alias("cs"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    each = named.join(centres.where("lo <> hi").select("key", "cs"), "key").withColumn("c", F.explode("cs"))
+    apart = each.where((F.col("component") != F.col("c.component")) & near("n", F.col("c.n")))
+    return apart.select(F.least("digest", F.col("c.digest")).alias("src"), F.greatest("digest", F.col("c.digest")).alias("dst")).distinct()
 
-    # The sets of all that meets, from one text of each.
-    lows = prefixes.groupBy("digest").agg(F.min(F.struct("id", "tag")).alias("of"))
-    wanted = lows.join(met.select("digest").distinct(), "digest", "left_semi").select(F.col("of.id").alias("__id"), F.col("of.tag").alias("__tag"))
-    tag = F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
-    texts = docs.join(wanted, docs[id_col].cast("long").eqNullSafe(wanted["__id"]) & (tag == wanted["__tag"]), "left_semi").select(docs[text_col].alias("text"))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 4 << 20):
-            found = shingle_sets(batch["text"])
-            yield pa.RecordBatch.from_arrays([pa.array([digest_of(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary()), pa.array([len(g) for g in found], pa.int64()), pa.array([odd_sketch(g) for g in found], pa.binary())], names=["digest", "grams", "n", "odd"])
+def _by_fingerprint(measured: DataFrame) -> DataFrame:
+    """(src, dst) of sets whose fingerprints are equal or linked by the pivot tables."""
+    classes = measured.groupBy("fp").agg(F.min("digest").alias("low"))
+    same = measured.select("fp", "digest").join(classes, "fp").where("digest <> low").select(F.col("low").alias("src"), F.col("digest").alias("dst"))
+    a, b = (classes.select(F.col("fp").alias(k), F.col("low").alias(f"of_{k}")) for k in ("src", "dst"))
+    linked = links(classes.select("fp")).join(a, "src").join(b, "dst").select(F.col("of_src").alias("src"), F.col("of_dst").alias("dst"))
+    both = same.unionByName(linked)
+    return both.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
-    # Rows that share id and tag with a wanted one may have another text; a digest that repeats only repeats its links.
-    sets = stage(texts.mapInArrow(grams, "digest long, grams binary, n long, odd binary"), "sets")
-    sketches = sets.select("digest", "n", "odd")
-    component = F.coalesce("component", "digest").alias("component")
-    named, linked, done = met.select("key", "digest", "n", F.col("digest").alias("component")), None, [met, sets]
-    for turn in range(ROUNDS):
-        centre = F.min(F.struct(F.xxhash64("digest", F.lit(turn)).alias("order"), "digest", "n", "component")).alias("c")
-        unlike = named.groupBy("key").agg(centre, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "c")
-        left = stage(named.join(unlike, "key"), "opened")
-        stars = left.where((F.col("component") != F.col("c.component")) & near(F.col("n"), F.col("c.n")))
-        linked_now = _verified(stars.select(F.col("c.digest").alias("src"), F.col("digest").alias("dst")).distinct(), sets, sketches)
-        linked = stage(linked_now if linked is None else linked.unionByName(linked_now), "starred")
+
+def similar_sets(docs: DataFrame, measured: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
+    """(node, component) of the digests that are linked to others; links are similarities of at least 0.8, all found.
+
+    While keys with over ``many`` sets join unequal components, and stars settle them, stars are drawn around new centres; then all
+    pairs that meet in unequal components are compared.
+    """
+    keyed = measured.select("digest", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("key")
+    met = stage(keyed.join(shared, "key").distinct(), "prefixmet")
+    sketches = measured.select("digest", "odd", "n").dropDuplicates(["digest"])
+    proposed, turn, linked, before = _by_fingerprint(measured), 0, None, None
+    named = met.withColumn("component", F.col("digest"))
+    while True:
+        likely = stage(_likely(proposed.unionByName(_stars(named, turn)).distinct(), sketches), "likely")
+        more = _verified(likely, docs, measured, id_col, text_col)
+        linked = more if linked is None else stage(linked.unionByName(more).distinct(), "linked")
         found = stage(connected_components(linked).withColumnRenamed("node", "digest"), "starcomponents")
-        named = left.select("key", "digest", "n").join(found, "digest", "left").select("key", "digest", "n", component)
-        done += [left, linked, found]
-    unlike = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = stage(named.join(unlike, "key", "left_semi"), "opened")
+        named = met.join(found, "digest", "left").select("key", "digest", "n", F.coalesce("component", "digest").alias("component"))
+        unlike = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
+        left = stage(named.join(unlike, "key"), "opened")
+        discard(likely)
+        # What pairs would cost, in comparisons: another round pays while large keys are open and the last one settled a tenth.
+        cost = left.agg(F.sum("m")).first()[0] or 0
+        if left.where(F.col("m") > many).isEmpty() or before is not None and cost > 0.9 * before:
+            break
+        named, proposed, turn, before = left.drop("m"), proposed.limit(0), turn + 1, cost
     a, b = left.alias("a"), left.alias("b")
-    apart = [F.col("a.key") == F.col("b.key"), F.col("a.digest") < F.col("b.digest"), F.col("a.component") != F.col("b.component"), near(F.col("a.n"), F.col("b.n"))]
-    paired = stage(_verified(a.join(b, apart).select(F.col("a.digest").alias("src"), F.col("b.digest").alias("dst")).distinct(), sets, sketches), "paired")
+    apart = [F.col("a.key") == F.col("b.key"), F.col("a.digest") < F.col("b.digest"), F.col("a.component") != F.col("b.component"), near("a.n", "b.n")]
+    pairs = a.join(b, apart).select(F.col("a.digest").alias("src"), F.col("b.digest").alias("dst")).distinct()
+    likely = stage(_likely(pairs, sketches), "likely")
+    paired = _verified(likely, docs, measured, id_col, text_col)
     out = connected_components(linked.unionByName(paired))
-    discard(*done, left)
+    discard(met, left, likely)
     return out
 
 
 def near_copies_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component of near copies the one with the smallest id
-    (null first). Wordless and null texts are copies of each other. Rows that share an id are told apart by their texts; rows
-    that share both all stay or all go."""
-    prefixes = _prefixes(docs, id_col, text_col)
-    found = similar_sets(docs, prefixes, id_col, text_col)
-    named = prefixes.join(found, prefixes["digest"] == found["node"], "left").select("id", "tag", F.coalesce("component", "digest").alias("component"))
+    (null first). Wordless and null texts are copies of each other. Rows that share an id are told apart by the CRC-32 of their
+    texts; of rows that share both one stays. An empty table gives an empty result."""
+    measured = _measured(docs, id_col, text_col)
+    found = similar_sets(docs, measured, id_col, text_col)
+    named = measured.join(found, measured["digest"] == found["node"], "left").select("id", "tag", F.coalesce("component", "digest").alias("component"))
     least = named.groupBy("component").agg(F.min(F.struct("id", "tag")).alias("k"))
     first = stage(least.select(F.col("k.id").alias("__near_id"), F.col("k.tag").alias("__near_tag")), "nearest")
-    discard(prefixes)
-    tag = F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
-    return docs.join(first, docs[id_col].eqNullSafe(first["__near_id"]) & (tag == first["__near_tag"]), "left_semi")
+    once = measured.groupBy("id", "tag").count().where("count > 1").isEmpty()
+    discard(measured)
+    stay = docs.join(first, docs[id_col].cast("long").eqNullSafe(first["__near_id"]) & (_tag(docs, text_col) == first["__near_tag"]), "left_semi")
+    return stay if once else stay.dropDuplicates([id_col, text_col])

@@ -102,6 +102,52 @@ def test_bpe_equals_library_on_any_text(text):
     assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_token_comes_from_the_transducer():
+    encoder = bpe.Encoder(bpe.MergeTable(tokenizer_file()))
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdé") for _ in range(n)) for n in (3, 200, 300, 1000, 1500, 5000) for _ in range(5)})
+    ids, ends = encoder.batch(words)
+    assert encoder.machine.emitted == len(ids) == ends[-1]
+    encoder.batch([w for w in words if len(w.encode()) <= encoder.SHORT])
+    assert encoder.machine.emitted == len(ids)  # remembered, each once
+
+
+@pytest.mark.parametrize("chunk", [16, 23, 64])
+def test_chunks_of_a_long_text_change_nothing(chunk):
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(tokenizer_file()), random.Random(chunk)
+    table = bpe.MergeTable(tokenizer_file())
+    for _ in range(150):
+        text = "".join(rng.choice("ab'stre \n\t.,1é日lvd!' ") * rng.choice([1, 1, 1, 70]) for _ in range(60))
+        assert bpe.Encoder(table, chunk=chunk).batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_equal_library():
+    from tokenizers import Tokenizer
+
+    library, rng, encoder = Tokenizer.from_file(tokenizer_file()), random.Random(1), bpe.Encoder(bpe.MergeTable(tokenizer_file()))
+    for n in (200, 300, 1000, 1300, 5000):
+        for letters in ("ab", "etaoinshr", "éa日"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert encoder.batch([word])[0].tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_long_text_needs_constant_memory():
+    import tracemalloc
+
+    encoder = bpe.Encoder(bpe.MergeTable(tokenizer_file()), chunk=1 << 16)
+    encoder.batch(["some words to begin with " * 4000])
+    peaks = []
+    for n in (40_000, 160_000):
+        text = "some words that go on and on. " * n
+        tracemalloc.start()
+        ids = encoder.batch([text])[0]
+        peaks.append(tracemalloc.get_traced_memory()[1] - 2 * ids.nbytes)
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + (4 << 20)
+
+
 def test_decoder_holds_back_incomplete_characters(merges):
     table = bpe.MergeTable(tokenizer_file())
     ids = [int(table.byte_id[b]) for b in "é日".encode()]
@@ -115,12 +161,68 @@ def test_language(spark, odd, none):
     got = odd.select("text", language_id.predict(spark, model, F.col("text")).alias("p")).select("text", "p.*").collect()
     assert {r["text"]: r["lang"] for r in got}[None] == "und" and {r["lang"] for r in got} == {"en", "und"}
     assert all(r["score"] == 0 for r in got if r["lang"] == "und")
+    wide = language_id.hashed_grams([LONG], (1, 2, 3), 1 << 16)[0]
+    cut = np.concatenate([r[2] for r in language_id.gram_runs([LONG], (1, 2, 3), 1 << 16, 1000)])
+    assert (np.sort(wide) == np.sort(cut)).all()
     empty = language_id.train(none)
     assert {r[0]["lang"] for r in odd.select(language_id.predict(spark, empty, F.col("text"))).collect()} == {"und"}
     with pytest.raises(ValueError):
         language_id.train(odd, most_bytes=1000)
 
 
+def bayes_by_hand(texts, langs, orders=(1, 2, 3), buckets=1 << 16, smoothing=0.5):
+    """Language and posterior of each text, by plain loops over n-grams."""
+    from collections import Counter
+    from math import exp, log
+
+    def buckets_of(text):
+        text = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text)
+        kept = [c for k, c in enumerate(text) if c != " " or k == 0 or text[k - 1] != " "]
+        for n in orders:
+            for k in range(len(kept) - n + 1):
+                gram = kept[k : k + n]
+                if any(c != " " for c in gram):
+                    code = 0
+                    for c in gram:
+                        code = (code * 0x100000001B3 + ord(c)) % 2**64
+                    yield ((code + n) * 0x9E3779B97F4A7C15 % 2**64 >> 32) % buckets
+
+    counts, totals, docs = {}, Counter(), Counter()
+    for t, g in zip(texts, langs):
+        if g is not None:
+            counts.setdefault(g, Counter()).update(buckets_of(t))
+            docs[g] += 1
+    for g in counts:
+        totals[g] = sum(counts[g].values())
+    out = []
+    for t in texts:
+        grams = list(buckets_of(t))
+        logs = {g: log(docs[g] / sum(docs.values())) + sum(log((counts[g][b] + smoothing) / (totals[g] + smoothing * buckets)) for b in grams) for g in counts}
+        best = max(sorted(logs), key=logs.get)
+        out.append((best, 1 / sum(exp(x - logs[best]) for x in logs.values())) if any(c.isalpha() for c in t) else ("und", 0.0))
+    return out
+
+
+def test_language_against_plain_loops(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang").limit(60).toPandas()
+    texts = [*(t[:400] for t in rows.text.fillna("")), "", "123 !", "Ünïcode ǅ ß İ", "a"]
+    langs = [*rows.lang, None, "en", None, None]
+    frame = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate(zip(texts, langs))], "k int, text string, lang string")
+    got = frame.select("k", language_id.predict(spark, language_id.train(frame), F.col("text")).alias("p")).orderBy("k").select("p.*").collect()
+    for r, (lang, score) in zip(got, bayes_by_hand(texts, langs)):
+        assert r["lang"] == lang and r["score"] == pytest.approx(score, abs=1e-9)
+
+
+def test_gibberish_and_unlearned_languages_do_not_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, rng = language_id.train(docs), random.Random(1)
+    fit = lambda frame: [r[0] for r in frame.select(language_id.predict(spark, model, F.col("text")).alias("p")).select("p.fit").collect()]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (60, 200, 2000)]
+    junk += ["Это предложение написано на русском языке", "Jutro pójdziemy do kina, żeby zobaczyć nowy film", "Het is een mooie dag en wij gaan naar het strand om te zwemmen met de kinderen"]
+    assert max(fit(spark.createDataFrame([(t,) for t in junk], "text string"))) < -1.5
+    assert min(fit(docs)) > -1.5
+
+
 def test_language_model(odd, none):
     got = language_model.score(odd, odd).toPandas()
     assert len(got) == len(TEXTS) and sorted(got.n_tokens)[:3] == [1, 1, 1] and (got.n_known == got.n_tokens).all()
@@ -131,17 +233,29 @@ def test_language_model(odd, none):
 
 
 def test_filter_is_never_too_low():
-    settings_ = language_model.Settings(bits=1 << 14)
+    own = language_model.Settings()
     rng = np.random.default_rng(0)
-    keys, counts = rng.integers(0, 2**63, 300).astype(np.uint64), rng.integers(1, 400, 300)
-    words = settings_.bits // 64
-    segment = np.zeros(words, np.uint64)
-    level = language_model.levels(counts, settings_.log_base)
-    for i in range(1, level.max() + 1):
-        at, mask = language_model.LogFrequencyFilter.spot(language_model.short(keys[level >= i], 1), i, words, settings_)
-        np.bitwise_or.at(segment, at, mask)
-    told = language_model.LogFrequencyFilter([segment], settings_).counts(keys)
-    assert (language_model.levels(np.maximum(told, 1), settings_.log_base) >= level).all()
+    keys, counts = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64) << np.uint64(1)), rng.integers(1, 400, 3000)
+    segments = 4
+    held = {s: language_model.filled(language_model.short(keys[p], segments), counts[p], own) for s, p in language_model.by_segment(keys, segments)}
+    told = language_model.LogFrequencyFilter(held, segments, own)
+    level, want = language_model.levels(np.maximum(told.counts(keys), 1), own.log_base), language_model.levels(counts, own.log_base)
+    assert (level >= want).all() and (level == want).mean() > 0.97
+    assert (told.counts(rng.integers(0, 2**63, 3000).astype(np.uint64)) == 0).mean() > 0.97
+
+
+def test_language_model_either_way(spark, odd, none):
+    """A filter over the bound stays a table; scores are those of one that is broadcast, at any number of partitions."""
+    small = language_model.Settings(most_bits=0, share=64)
+    for docs, train in ((odd, odd), (odd, none), (none, odd)):
+        sent = language_model.score(docs, train, settings=language_model.Settings(share=64)).toPandas()
+        spark.conf.set("spark.sql.shuffle.partitions", 9)
+        try:
+            kept = language_model.score(docs, train, settings=small).toPandas()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        order = ["doc_id", "n_tokens", "score"]
+        assert len(sent) == len(kept) and np.allclose(sent.sort_values(order).score, kept.sort_values(order).score, rtol=1e-12)
 
 
 def test_rules(spark, odd, none):
@@ -283,3 +397,19 @@ def test_links_lose_nothing(spark, most_paired):
     found = {r["node"]: r["component"] for r in connected_components(links).collect()}
     assert {p: found.get(p, p) for p in prints} == low
     assert all(near(r["src"], r["dst"]) for r in links.collect())
+
+
+def test_pivots_discard_what_meets_in_vain(spark):
+    rng = random.Random(2)
+    prints = {rng.getrandbits(63) for _ in range(6000)}
+    rows = spark.createDataFrame([(p,) for p in prints | {p ^ 3 for p in list(prints)[:50]}], "fp long")
+    met = simhash.met_pairs(simhash.meetings(rows, references=3), references=3).toPandas().drop_duplicates(["src", "dst"])
+    apart = np.bitwise_count(met.src.to_numpy() ^ met.dst.to_numpy())
+    left = met[met.apart <= 2]
+    assert (met.apart.to_numpy() <= apart).all() and (apart[(met.apart <= 2).to_numpy()] <= 2).sum() >= 50
+    assert len(met) > 500 and len(left) < 0.2 * len(met)  # the table prunes, and loses none
+
+
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "other words here")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_dedup(rows).collect()) == [1, 3]

@@ -75,8 +75,7 @@ def test_language_model_against_exact_counts(spark, docs):
         row = got.loc[i]
         assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (held[i], len(t), sum(w in single for w in t), n)
         assert row.base_score == pytest.approx(sum(np.log10((single[w] + 0.5) / scale) for w in t))
-        plain = [(single[w] + 0.5) / scale for w in t]
-        exact = sum(np.log10(0.25 * (pair[v, w] if pair[v, w] > 1 else 0) / single[v] + 0.75 * p if single[v] else p) for v, w, p in zip(["", *t], t, plain))
+        exact = sum(np.log10((pair[v, w] + 8 * (single[w] + 0.5) / scale) / (single[v] + 8)) for v, w in zip(["", *t], t))
         near.append((exact, row.score))
     near = np.array(near)
     assert np.corrcoef(near.T)[0, 1] > 0.999 and abs(near[:, 1].sum() / near[:, 0].sum() - 1) < 0.02
@@ -128,16 +127,16 @@ def test_simhash_against_all_pairs(spark, docs):
 def test_pipeline(spark, docs, library):
     """Against a plain version of its stages on the same input."""
     import corpus_pipeline as P
-
-    told = {r.doc_id for r in P.keep_languages(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).select("doc_id").collect()}
-    kept = docs[docs.doc_id.isin(told)].sort_values("doc_id")
-    kept = kept.drop_duplicates("text", keep="last")
-    prints = {d.doc_id: simhash_brute(d.text) for d in kept.itertuples()}
-    low = {i: i for i in prints}
-    for _ in range(10):
-        for i in prints:
-            low[i] = min(low[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2)
-    kept = kept[[low[i] == i for i in kept.doc_id]]
+    from tests.llm.test_near_copies import brute_kept
+
+    junk = [(10**6 + k, t, None, "s", len(t or "")) for k, t in enumerate(["xq zzkv qjwx vvkq zxqj wqkz jxvq kzzq", "Это предложение написано на русском языке", None, "", "!!! 123"])]
+    every = spark.read.parquet(f"{SF}/documents.parquet")
+    more = every.unionByName(spark.createDataFrame(junk, every.schema))
+    told = P.keep_languages(spark, more, SF)
+    assert told.columns == every.columns and {r.doc_id for r in told.select("doc_id").collect()} == set(docs.doc_id)  # junk goes, all else stays
+    kept = docs.sort_values("doc_id").drop_duplicates("text", keep="last")
+    stays, _ = brute_kept([(d.doc_id, d.text) for d in kept.itertuples()])
+    kept = kept[kept.doc_id.isin(stays)]
     first: dict[tuple, int] = {}
     text = {d.doc_id: words(d.text) for d in kept.itertuples()}
     for i in sorted(text):
@@ -150,4 +149,19 @@ def test_pipeline(spark, docs, library):
         final[d.doc_id] = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else d.text
     got = P.run(spark, SF).toPandas()
     assert got.groupby("doc_id").length.sum().to_dict() == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in final.items()}
-    assert len(told) == len(docs) and [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "near_dedup", "substring_dedup", "packing"]
+    assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "near_dedup", "substring_dedup", "packing"]
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and repeated rows, a column more, and an empty table; columns stay as they are."""
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, tag string, key string"
+    rows = [(1, "the words of a text that is long enough to be told", "en", None, None, "x", "x", "x")] * 2 + [(None, None, None, None, None, None, None, None), (2, "", "en", "s", 0, "x", "x", "x"), (None, "the words of another text", "en", "s", 1, "x", "x", "x")]
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    want = {"language_id": 3, "exact_dedup": 3, "near_dedup": 3, "substring_dedup": 5}
+    for name, step in P.STAGES[:-1]:
+        assert step(spark, docs, SF).columns == docs.columns and step(spark, docs, SF).count() == want[name], name
+        assert step(spark, none, SF).count() == 0
+    pieces = P.pack_sequences(spark, docs, SF)
+    assert pieces.count() == len(rows) and P.pack_sequences(spark, none, SF).count() == 0
