@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import q_eval, q_events, q_ml, q_pairs, q_stats, q_text, q_vectors  # noqa: F401
+from lodestone.plans import q_eval, q_events, q_features, q_ml, q_pairs, q_stats, q_text, q_vectors  # noqa: F401
 from lodestone.plans.registry import REGISTRY, Query
 
 

@@ -202,12 +202,15 @@ def vaep_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated(spark, sf_dir).groupBy("player").agg(r6(off).alias("offensive"), r6(deff).alias("defensive"), r6((off + deff) / F.count(F.lit(1))).alias("mean_value"))
 
 
-@query("consistency", SQL + """, g AS (SELECT player, game, count(*) FILTER (type = 'pass') AS p, count(*) FILTER (type = 'shot') AS s FROM actions GROUP BY ALL)
- SELECT player, round(stddev_samp(p), 6) AS pass_std, round(quantile_cont(p, 0.75) - quantile_cont(p, 0.25), 6) AS pass_iqr, round(stddev_samp(s), 6) AS shot_std, round(quantile_cont(s, 0.75) - quantile_cont(s, 0.25), 6) AS shot_iqr FROM g GROUP BY player""")
+GAME_COUNTS = {"pass": "type = 'pass'", "shot": "type = 'shot'", "tackle": "type = 'tackle'", "goal": "type = 'shot' AND ok"}
+
+
+@query("consistency", SQL + ", g AS (SELECT player, game, " + ", ".join(f"count(*) FILTER ({c}) AS {k}_" for k, c in GAME_COUNTS.items()) + " FROM actions GROUP BY ALL) SELECT player, " + ", ".join(f"round(coalesce(stddev_samp({k}_), 0), 6) AS {k}_std, round(quantile_cont({k}_, 0.75) - quantile_cont({k}_, 0.25), 6) AS {k}_iqr" for k in GAME_COUNTS) + " FROM g GROUP BY player")
 def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = B.actions(spark, sf_dir).groupBy("player", "game").agg(F.count_if(F.col("type") == "pass").alias("pass"), F.count_if(F.col("type") == "shot").alias("shot"))
+    """Spread of passes, shots, tackles and goals over a player's games; a player of one game has none."""
+    by = B.actions(spark, sf_dir).groupBy("player", "game").agg(*[F.count_if(F.expr(c)).alias(k) for k, c in GAME_COUNTS.items()])
     iqr = lambda c: r6(F.percentile(c, 0.75) - F.percentile(c, 0.25))
-    return by.groupBy("player").agg(*[x for c in ("pass", "shot") for x in (r6(F.stddev_samp(c)).alias(f"{c}_std"), iqr(c).alias(f"{c}_iqr"))])
+    return by.groupBy("player").agg(*[x for c in GAME_COUNTS for x in (r6(F.coalesce(F.stddev_samp(c), F.lit(0.0))).alias(f"{c}_std"), iqr(c).alias(f"{c}_iqr"))])
 
 
 @query("hull_area")
@@ -215,33 +218,6 @@ def hull_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.hull_areas(B.actions(spark, sf_dir))
 
 
-@query("season_stats", SQL + """, c AS (SELECT season, player, count(*) AS n, count(DISTINCT game) AS games, count(*) FILTER (type = 'pass') AS passes FROM actions GROUP BY ALL),
- b AS (SELECT season, player, type AS first, lead(type) OVER w AS second, lead(player) OVER w AS who FROM actions """ + W + """), bc AS (SELECT season, first, second, count(*) AS n FROM b WHERE who = player GROUP BY ALL),
- top AS (SELECT season, first || '_' || second AS bigram FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY n DESC, first, second) AS k FROM bc) WHERE k = 1)
- SELECT season, player, n, games, passes, bigram AS season_bigram FROM c JOIN top USING (season)""")
-def season_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline by season: the season is one more key of every group, and the most frequent bigram is found by season."""
-    a = B.actions(spark, sf_dir)
-    stats = a.groupBy("season", "player").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("game").alias("games"), F.count_if(F.col("type") == "pass").alias("passes"))
-    w = E.in_game()
-    pairs = a.select("season", "player", F.col("type").alias("first"), F.lead("type").over(w).alias("second"), F.lead("player").over(w).alias("who")).where("who = player")
-    counts = pairs.groupBy("season", "first", "second").count()
-    k = F.row_number().over(Window.partitionBy("season").orderBy(F.desc("count"), "first", "second"))
-    top = counts.withColumn("k", k).where("k = 1").select("season", F.concat_ws("_", "first", "second").alias("season_bigram"))
-    return stats.join(F.broadcast(top), "season")
-
-
-@query("feature_concat", SQL + BI + """, e AS (SELECT player, count(*) AS bigrams FROM bi GROUP BY player) SELECT c_custkey AS player, coalesce(n, 0) AS n, coalesce(bigrams, 0) AS bigrams FROM customer LEFT JOIN (SELECT player, count(*) AS n FROM actions GROUP BY player) a ON a.player = c_custkey LEFT JOIN e ON e.player = c_custkey""")
-def feature_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All entities with features of several tables, 0 where a table lacks them."""
-    from lodestone.plans.staging import table
-
-    a = B.actions(spark, sf_dir)
-    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player"))
-    counts, bi = a.groupBy("player").agg(F.count(F.lit(1)).alias("n")), E.bigrams(a).groupBy("player").agg(F.count(F.lit(1)).alias("bigrams"))
-    return base.join(counts, "player", "left").join(bi, "player", "left").fillna(0, ["n", "bigrams"])
-
-
 ZONE = "CASE WHEN shots = 0 AND passes < 2 THEN 'Keeper' WHEN x < 40 AND y < 23 THEN 'Left back' WHEN x < 40 AND y > 45 THEN 'Right back' WHEN x < 40 THEN 'Centre back' WHEN x > 60 AND shots >= 2 THEN 'Attacking midfielder' WHEN x > 60 THEN 'Winger' ELSE 'Midfielder' END"
 
 
