@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.columns import dot, l2
 
 BLOCK = 1024
+SUPER = 48
+PIECE = 256
 KS = (1, 5, 10)
 
 
@@ -23,10 +26,20 @@ def _blocks(rows: DataFrame, columns: list[str], key: str, size: int, name: str)
     return gathered.select(name, *[F.col(f"rows.{c}").alias(f"{name}_{c}") for c in columns]), n
 
 
-def _meet(left: DataFrame, right: DataFrame, n_right: int, right_name: str) -> DataFrame:
-    """Every block of the left with every block of the right, as an equality join on the right's number."""
-    spread = left.withColumn(right_name, F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    return spread.join(right, right_name)
+def _grid(left: DataFrame, n_left: int, left_name: str, right: DataFrame, n_right: int, right_name: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cells of a grid in which every block of the left meets every block of the right.
+
+    A cell takes up to SUPER blocks of either side, so that each side is copied once for every SUPER blocks of the other; with few
+    blocks cells are smaller, so that there is one for every core.
+    """
+    across = math.isqrt(max(0, left.sparkSession.sparkContext.defaultParallelism - 1)) + 1
+    s = max(1, min(SUPER, -(-max(n_left, n_right) // across)))
+    rows, columns = -(-n_left // s), -(-n_right // s)
+    put = lambda frame, cell: frame.withColumn("cell", F.explode(cell))
+    return (
+        put(left, F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: F.floor(F.col(left_name) / s) * columns + j)),
+        put(right, F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: i * columns + F.floor(F.col(right_name) / s))),
+    )
 
 
 def _matrix(rows: object) -> np.ndarray:
@@ -49,68 +62,88 @@ def rank_counts(vectors: DataFrame, edges: DataFrame, block: int = BLOCK) -> Dat
     """Ranks (from 0) of relevant items: q, r, rank_all among all others, rank_group when only items of q's group count.
 
     Order is (similarity descending, id). In the group scope every item outside the group, and q itself, is masked: masked items
-    come after all others, in order of id. Only counts leave a pair of blocks, never similarities, so what is shuffled is
-    the blocks and a row for each edge and block.
+    come after all others, in order of id. A query's vector moves once with all its relevant items (in pieces of PIECE); out of a
+    cell of the grid comes a count for each edge, never a similarity.
     """
     unit = unit_vectors(vectors)
     sims = relevant_similarities(unit, edges)
-    left, _ = _blocks(sims.withColumn("edge", F.struct("q", "r")), ["q", "r", "qvec", "qgrp", "rgrp", "sim"], "edge", block, "eb")
+    piece = F.floor((F.row_number().over(Window.partitionBy("q").orderBy("r")) - 1) / PIECE)
+    lists = [F.collect_list(F.struct("r", "rgrp", "sim")).alias("e"), F.first("qvec").alias("qvec"), F.first("qgrp").alias("qgrp")]
+    asks = sims.withColumn("piece", piece).groupBy("q", "piece").agg(*lists).select("q", "piece", "qvec", "qgrp", F.col("e.r").alias("r"), F.col("e.rgrp").alias("rgrp"), F.col("e.sim").alias("sim"))
+    left, n_left = _blocks(asks, ["q", "qvec", "qgrp", "r", "rgrp", "sim"], "q", block, "eb")
     right, n = _blocks(unit, ["id", "vec", "grp"], "id", block, "cb")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                q, r = np.asarray(row.eb_q), np.asarray(row.eb_r)
-                ids, group = np.asarray(row.cb_id), np.asarray(row.cb_grp)
-                s = np.round(_matrix(row.eb_qvec) @ _matrix(row.cb_vec).T, 12)
-                star = np.asarray(row.eb_sim)[:, None]
-                other = (ids[None, :] != q[:, None]) & (ids[None, :] != r[:, None])
-                better = other & ((s > star) | (s == star) & (ids[None, :] < r[:, None]))
-                inside = (group[None, :] == np.asarray(row.eb_qgrp)[:, None]) & (ids[None, :] != q[:, None])
-                r_inside = (np.asarray(row.eb_rgrp) == np.asarray(row.eb_qgrp))[:, None]
-                before = np.where(r_inside, inside & better, inside | ~inside & (ids[None, :] < r[:, None]))
-                yield pd.DataFrame({"q": q, "r": r, "rank_all": better.sum(1), "rank_group": before.sum(1)})
-
-    met = _meet(left, right, n, "cb")
-    return met.mapInPandas(count, "q long, r long, rank_all long, rank_group long").groupBy("q", "r").agg(F.sum("rank_all").alias("rank_all"), F.sum("rank_group").alias("rank_group"))
+    def count(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        blocks = [(np.asarray(x.cb_id), np.asarray(x.cb_grp), _matrix(x.cb_vec).T) for x in items.itertuples(index=False)]
+        for row in queries.itertuples(index=False):
+            at = np.repeat(np.arange(len(row.eb_q)), [len(x) for x in row.eb_r])
+            q, group_of = np.asarray(row.eb_q)[at], np.asarray(row.eb_qgrp)[at]
+            r, star = np.concatenate(row.eb_r), np.concatenate(row.eb_sim)[:, None]
+            r_inside = (np.concatenate(row.eb_rgrp) == group_of)[:, None]
+            vectors_of = _matrix(row.eb_qvec)
+            rank_all, rank_group = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+            for ids, group, matrix in blocks:
+                s = np.round(vectors_of @ matrix, 12)[at]
+                own = ids[None, :] != q[:, None]
+                earlier = ids[None, :] < r[:, None]
+                better = own & (ids[None, :] != r[:, None]) & ((s > star) | (s == star) & earlier)
+                inside = (group[None, :] == group_of[:, None]) & own
+                rank_all += better.sum(1)
+                rank_group += np.where(r_inside, inside & better, inside | ~inside & earlier).sum(1)
+            out.append(pd.DataFrame({"q": q, "r": r, "rank_all": rank_all, "rank_group": rank_group}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "r": [], "rank_all": [], "rank_group": []})
+
+    a, b = _grid(left, n_left, "eb", right, n, "cb")
+    met = a.groupBy("cell").cogroup(b.groupBy("cell")).applyInPandas(count, "q long, r long, rank_all long, rank_group long")
+    return met.groupBy("q", "r").agg(F.sum("rank_all").alias("rank_all"), F.sum("rank_group").alias("rank_group"))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, same_group: bool = False, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
-    """The k nearest by cosine of each query (id, vec, grp): q, c, sim, place (from 1); ties by id. A block pair hands on at
+    """The k nearest by cosine of each query (id, vec, grp): q, c, sim, place (from 1); ties by id. A cell of the grid hands on at
     most k rows a query."""
-    left, _ = _blocks(unit_vectors(queries), ["id", "vec", "grp"], "id", block, "qb")
+    left, n_left = _blocks(unit_vectors(queries), ["id", "vec", "grp"], "id", block, "qb")
     right, n = _blocks(unit_vectors(vectors), ["id", "vec", "grp"], "id", block, "cb")
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                q, ids = np.asarray(row.qb_id), np.asarray(row.cb_id)
-                s = np.round(_matrix(row.qb_vec) @ _matrix(row.cb_vec).T, 12)
-                allowed = np.ones_like(s, bool)
-                if exclude_self:
-                    allowed &= ids[None, :] != q[:, None]
+    def best(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        blocks = [(np.asarray(x.cb_id), np.asarray(x.cb_grp), _matrix(x.cb_vec).T) for x in items.itertuples(index=False)]
+        for row in asked.itertuples(index=False):
+            q, group_of, vectors_of = np.asarray(row.qb_id), np.asarray(row.qb_grp), _matrix(row.qb_vec)
+            found_id, found_key = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+            for ids, group, matrix in blocks:
+                key = -np.round(vectors_of @ matrix, 12)
+                allowed = ids[None, :] != q[:, None] if exclude_self else np.ones_like(key, bool)
                 if same_group:
-                    allowed &= np.asarray(row.cb_grp)[None, :] == np.asarray(row.qb_grp)[:, None]
-                by_id = np.argsort(ids, kind="stable")
-                key = np.where(allowed, -s, np.inf)[:, by_id]
-                order = np.argsort(key, axis=1, kind="stable")[:, :k]
-                keep = np.isfinite(np.take_along_axis(key, order, 1))
-                yield pd.DataFrame({"q": np.repeat(q, keep.sum(1)), "c": ids[by_id][order][keep], "sim": -np.take_along_axis(key, order, 1)[keep]})
-
-    found = _meet(left, right, n, "cb").mapInPandas(best, "q long, c long, sim double")
+                    allowed = allowed & (group[None, :] == group_of[:, None])
+                found_key = np.concatenate([found_key, np.where(allowed, key, np.inf)], axis=1)
+                found_id = np.concatenate([found_id, np.broadcast_to(ids, key.shape)], axis=1)
+                order = np.lexsort((found_id, found_key), axis=1)[:, :k]
+                found_key, found_id = np.take_along_axis(found_key, order, 1), np.take_along_axis(found_id, order, 1)
+            keep = np.isfinite(found_key)
+            out.append(pd.DataFrame({"q": np.repeat(q, keep.sum(1)), "c": found_id[keep], "sim": -found_key[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "c": [], "sim": []})
+
+    a, b = _grid(left, n_left, "qb", right, n, "cb")
+    found = a.groupBy("cell").cogroup(b.groupBy("cell")).applyInPandas(best, "q long, c long, sim double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "c"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
 def all_pairs(vectors: DataFrame, same_group: bool = False, block: int = BLOCK) -> DataFrame:
-    """Cosine of every ordered pair of different items: q, c, sim. Quadratic by nature; in the group scope an equality join."""
+    """Cosine of every ordered pair of different items: q, c, sim. Quadratic by nature. In the group scope blocks lie within a group,
+    and a group's blocks meet each other."""
     unit = unit_vectors(vectors)
     if same_group:
-        a = unit.select(F.col("id").alias("q"), F.col("vec").alias("a"), "grp")
-        b = unit.select(F.col("id").alias("c"), F.col("vec").alias("b"), "grp")
-        return a.join(b, "grp").where("q <> c").select("q", "c", F.round(dot("a", "b"), 12).alias("sim"))
-    left, _ = _blocks(unit, ["id", "vec"], "id", block, "qb")
-    right, n = _blocks(unit, ["id", "vec"], "id", block, "cb")
+        sizes = unit.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
+        put = unit.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")))
+        blocks = put.groupBy("grp", "part").agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
+        side = lambda name: blocks.select("grp", F.col("rows.id").alias(f"{name}_id"), F.col("rows.vec").alias(f"{name}_vec"))
+        met = side("qb").join(side("cb"), "grp")
+    else:
+        left, n = _blocks(unit, ["id", "vec"], "id", block, "qb")
+        right, _ = _blocks(unit, ["id", "vec"], "id", block, "cb")
+        met = left.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, "cb")
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,7 +153,7 @@ def all_pairs(vectors: DataFrame, same_group: bool = False, block: int = BLOCK)
                 other = ids[None, :] != q[:, None]
                 yield pd.DataFrame({"q": np.repeat(q, other.sum(1)), "c": np.broadcast_to(ids, s.shape)[other], "sim": s[other]})
 
-    return _meet(left, right, n, "cb").mapInPandas(products, "q long, c long, sim double")
+    return met.mapInPandas(products, "q long, c long, sim double")
 
 
 def query_metrics(ranks: DataFrame, rank: str) -> DataFrame:

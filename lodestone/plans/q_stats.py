@@ -60,18 +60,20 @@ df AS (SELECT a.scope, a.q, cluster, a.ap - b.ap AS value, a.ap AS ap_full, b.ap
 
 
 def method_metrics(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    """method, scope, q, cluster, ap, mrr."""
+    """method, scope, q, ap, mrr."""
     v = method_vectors(spark, sf_dir, method).select("id", "vec", "grp")
     found = R.rank_counts(v, R.relevance_edges(B.pairs(spark, sf_dir)))
-    parts = [R.query_metrics(found, f"rank_{s}").select(F.lit(method).alias("method"), F.lit(s).alias("scope"), "q", "ap", "mrr") for s in ("all", "group")]
-    return parts[0].unionByName(parts[1]).join(clusters(spark, sf_dir), "q")
+    both = found.select("q", F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.col(f"rank_{s}").alias("rank")) for s in ("all", "group")])).alias("x")).select("q", "x.*")
+    placed = both.withColumn("j", F.row_number().over(Window.partitionBy("scope", "q").orderBy("rank")))
+    return placed.groupBy("scope", "q").agg(F.avg(F.col("j") / (F.col("rank") + 1)).alias("ap"), (1 / (F.min("rank") + 1)).alias("mrr")).withColumn("method", F.lit(method))
 
 
 def diffs(spark: SparkSession, sf_dir: str, a: str = "full", b: str = "half") -> DataFrame:
     """scope, q, cluster, value: a's average precision less b's, staged since several statistics read it."""
-    left = method_metrics(spark, sf_dir, a)
-    right = method_metrics(spark, sf_dir, b).select("scope", "q", F.col("ap").alias("other"))
-    return stage(left.join(right, ["scope", "q"]).select("scope", "q", "cluster", (F.col("ap") - F.col("other")).alias("value"), F.col("ap").alias("ap_full"), F.col("other").alias("ap_half")), "diffs")
+    left = method_metrics(spark, sf_dir, a).select("scope", "q", F.col("ap").alias("ap_full"))
+    right = method_metrics(spark, sf_dir, b).select("scope", "q", F.col("ap").alias("ap_half"))
+    both = left.join(right, ["scope", "q"]).join(clusters(spark, sf_dir), "q")
+    return stage(both.select("scope", "q", "cluster", (F.col("ap_full") - F.col("ap_half")).alias("value"), "ap_full", "ap_half"), "diffs")
 
 
 U = "('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0"
@@ -155,9 +157,9 @@ ms AS (SELECT 'full' AS method, * FROM fu_p UNION ALL SELECT 'half', * FROM ha_p
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All methods' metrics, written once."""
+    """All methods' metrics with each query's cluster, written once."""
     parts = [method_metrics(spark, sf_dir, m) for m in B.METHODS]
-    return stage(parts[0].unionByName(parts[1]).unionByName(parts[2]), "methods")
+    return stage(parts[0].unionByName(parts[1]).unionByName(parts[2]).join(clusters(spark, sf_dir), "q"), "methods")
 
 
 @query("method_ranking", ALL_METHODS + " SELECT scope, method, round(avg(ap), 6) AS map, row_number() OVER (PARTITION BY scope ORDER BY round(avg(ap), 9) DESC, method) AS place FROM ms GROUP BY scope, method")
