@@ -36,7 +36,8 @@ CENTRES = 4
 MANY = 256
 _RUN = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
-_HELD = "id long, tag long, digest long, n int, fp long, odd binary, keys array<long>"
+_SMALL = ("s0", "s1", "s2", "s3")
+_HELD = "id long, tag long, digest long, n int, fp long, odd binary, s0 long, s1 long, s2 long, s3 long, keys array<long>"
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -75,10 +76,10 @@ def digest_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64)) if len(shingles) else 0
 
 
-def odd_sketch(shingles: np.ndarray) -> bytes:
-    """A bit for each of 2048 buckets: whether an odd number of the shingles lies in it. Two sketches differ in no more bits
-    than their sets in shingles."""
-    return np.packbits(np.bincount((shingles >> np.uint64(20) & np.uint64(2047)).astype(np.int64), minlength=2048) & 1).tobytes()
+def odd_sketch(shingles: np.ndarray, bits: int = 2048) -> bytes:
+    """A bit for each bucket: whether an odd number of the shingles lies in it. Two sketches differ in no more bits than their
+    sets in shingles."""
+    return np.packbits(np.bincount((shingles >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
 def fingerprint(shingles: np.ndarray) -> int:
@@ -124,7 +125,8 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
             own = [pa.array([f(g) for g in sets], kind) for f, kind in ((digest_of, pa.int64()), (len, pa.int32()), (fingerprint, pa.int64()), (odd_sketch, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["tag"], *own, lists], names=["id", "tag", "digest", "n", "fp", "odd", "keys"])
+            small = np.frombuffer(b"".join([odd_sketch(g, 256) for g in sets]), "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["tag"], *own, *(pa.array(small[:, k]) for k in range(4)), lists], names=["id", "tag", "digest", "n", "fp", "odd", *_SMALL, "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _tag(docs, text_col).alias("tag"), text.alias("text"))
     return stage(rows.mapInArrow(measure, _HELD), "measured")
@@ -140,6 +142,13 @@ def near(a: Column | str, b: Column | str) -> Column:
     return F.least(a, b) * q >= F.greatest(a, b) * p
 
 
+def _plausible(a: str, b: str) -> Column:
+    """Whether two sets (prefixes of column names) may be similar by their sizes and small parity sketches."""
+    p, q = SIMILARITY
+    differ = sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in _SMALL[1:]), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
+    return near(f"{a}n", f"{b}n") & (differ * (p + q) <= (q - p) * (F.col(f"{a}n") + F.col(f"{b}n")))
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (src, dst) of digests whose sketches differ in no more bits than similar sets can in shingles, a ninth of both
     sizes."""
@@ -180,11 +189,11 @@ def _verified(likely: DataFrame, docs: DataFrame, measured: DataFrame, id_col: s
 
 
 def _stars(named: DataFrame, turn: int) -> DataFrame:
-    """(src, dst) of each set and a few centres of every key that joins unequal components."""
-    centre = lambda k: F.min(F.struct(F.xxhash64("digest", F.lit(turn * CENTRES + k)).alias("order"), "digest", "n", "component"))
+    """(src, dst) of each set and a few centres of every key that joins unequal components, where they may be similar."""
+    centre = lambda k: F.min(F.struct(F.xxhash64("digest", F.lit(turn * CENTRES + k)).alias("order"), "digest", "component", "n", *_SMALL))
     centres = named.groupBy("key").agg(F.array(*[centre(k) for k in range(CENTRES)]).alias("cs"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     each = named.join(centres.where("lo <> hi").select("key", "cs"), "key").withColumn("c", F.explode("cs"))
-    apart = each.where((F.col("component") != F.col("c.component")) & near("n", F.col("c.n")))
+    apart = each.where((F.col("component") != F.col("c.component")) & _plausible("", "c."))
     return apart.select(F.least("digest", F.col("c.digest")).alias("src"), F.greatest("digest", F.col("c.digest")).alias("dst")).distinct()
 
 
@@ -204,9 +213,10 @@ def similar_sets(docs: DataFrame, measured: DataFrame, id_col: str = "doc_id", t
     While keys with over ``many`` sets join unequal components, and stars settle them, stars are drawn around new centres; then all
     pairs that meet in unequal components are compared.
     """
-    keyed = measured.select("digest", "n", F.explode("keys").alias("key"))
+    keyed = measured.select("digest", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("key")
-    met = stage(keyed.join(shared, "key").distinct(), "prefixmet")
+    keys = keyed.join(shared, "key").select("digest", "key").distinct()
+    met = stage(keys.join(measured.select("digest", "n", *_SMALL).dropDuplicates(["digest"]), "digest"), "prefixmet")
     sketches = measured.select("digest", "odd", "n").dropDuplicates(["digest"])
     proposed, turn, linked, before = _by_fingerprint(measured), 0, None, None
     named = met.withColumn("component", F.col("digest"))
@@ -215,7 +225,7 @@ def similar_sets(docs: DataFrame, measured: DataFrame, id_col: str = "doc_id", t
         more = _verified(likely, docs, measured, id_col, text_col)
         linked = more if linked is None else stage(linked.unionByName(more).distinct(), "linked")
         found = stage(connected_components(linked).withColumnRenamed("node", "digest"), "starcomponents")
-        named = met.join(found, "digest", "left").select("key", "digest", "n", F.coalesce("component", "digest").alias("component"))
+        named = met.join(found, "digest", "left").select("key", "digest", "n", *_SMALL, F.coalesce("component", "digest").alias("component"))
         unlike = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
         left = stage(named.join(unlike, "key"), "opened")
         discard(likely)
@@ -225,7 +235,7 @@ def similar_sets(docs: DataFrame, measured: DataFrame, id_col: str = "doc_id", t
             break
         named, proposed, turn, before = left.drop("m"), proposed.limit(0), turn + 1, cost
     a, b = left.alias("a"), left.alias("b")
-    apart = [F.col("a.key") == F.col("b.key"), F.col("a.digest") < F.col("b.digest"), F.col("a.component") != F.col("b.component"), near("a.n", "b.n")]
+    apart = [F.col("a.key") == F.col("b.key"), F.col("a.digest") < F.col("b.digest"), F.col("a.component") != F.col("b.component"), _plausible("a.", "b.")]
     pairs = a.join(b, apart).select(F.col("a.digest").alias("src"), F.col("b.digest").alias("dst")).distinct()
     likely = stage(_likely(pairs, sketches), "likely")
     paired = _verified(likely, docs, measured, id_col, text_col)

@@ -62,13 +62,23 @@ def words_of(text: str | None) -> list[bytes]:
     return ("" if text is None else text).encode("utf-8", "surrogatepass").split()
 
 
-def runs(starts: np.ndarray, partners: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Matches (begin, end, partner of begin) in words: windows at successive starts with successive partners."""
-    if not len(starts):
-        return []
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(partners) != 1)]))
-    last = np.append(new[1:], len(starts)) - 1
-    return list(zip(starts[new].tolist(), (starts[last] + window).tolist(), partners[new].tolist()))
+def runs(doc: np.ndarray, starts: np.ndarray, low: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Matches (doc, begin, end, low, partner of begin): windows of a document at successive starts whose partners follow each
+    other in one document."""
+    order = np.lexsort((starts, doc))
+    doc, starts, low, at = doc[order], starts[order], low[order], at[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(low) != 0) | (np.diff(starts) != 1) | (np.diff(at) != 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1 if len(doc) else first
+    return doc[first], starts[first], starts[last] + window, low[first], at[first]
+
+
+def lists_of(column: pa.ListArray, *fields: str) -> tuple[np.ndarray, list]:
+    """Of a list column of structs the row of each element, and the fields' elements."""
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    inner = column.flatten()
+    return row, [inner.field(f) for f in fields]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -142,17 +152,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     again = extended.join(earliest, "hash").where(id_of("place") > id_of("partner"))
     asked = again.select(id_of("place").alias("id"), "tag", F.struct(start_of("place").alias("start"), id_of("partner").alias("low"), start_of("partner").alias("at")).alias("w"))
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, tag, ws in zip(batch["id"], batch["tag"], batch["ws"]):
-                w = np.array([(x["start"], x["low"], x["at"]) for x in ws], np.int64).reshape(-1, 3)
-                w = w[np.argsort(w[:, 0], kind="stable")]
-                for part in np.split(w, np.flatnonzero(np.diff(w[:, 1])) + 1):  # one partner document after the other
-                    out += [(doc, tag, a, b, int(part[0, 1]), p) for a, b, p in runs(part[:, 0], part[:, 2], window)]
-            yield pd.DataFrame(out, columns=["id", "tag", "begin", "end", "low", "at"])
-
-    matches = stage(asked.groupBy("id", "tag").agg(F.collect_list("w").alias("ws")).mapInPandas(match, "id long, tag int, begin int, end int, low long, at int"), "matches")
+            row, fields = lists_of(batch["ws"], "start", "low", "at")
+            doc, begin, end, low, at = runs(row, *(f.to_numpy().astype(np.int64) for f in fields), window)
+            own = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([
+                batch["id"].take(own), batch["tag"].take(own), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(low), pa.array(at, pa.int32()),
+            ], names=["id", "tag", "begin", "end", "low", "at"])
+
+    matches = stage(asked.groupBy("id", "tag").agg(F.collect_list("w").alias("ws")).mapInArrow(match, "id long, tag int, begin int, end int, low long, at int"), "matches")
     discard(earliest, extended)
     checked = _verified(texts, matches)
     discard(matches)
@@ -165,31 +174,37 @@ def _verified(texts: DataFrame, matches: DataFrame) -> DataFrame:
     """(id, tag, spans, doubts): matches whose words are those of the partner's passage, and those that aren't."""
     wanted = matches.groupBy("low").agg(F.collect_set(F.struct("at", (F.col("end") - F.col("begin")).alias("n"))).alias("cuts"))
 
-    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for low, text, cuts in zip(batch["low"], batch["text"], batch["cuts"]):
-                words = words_of(text)
-                yield pd.DataFrame([(low, c["at"], c["n"], b" ".join(words[c["at"] : c["at"] + c["n"]])) for c in cuts], columns=["low", "at", "n", "passage"])
-
-    cut = stage(texts.select(F.col("id").alias("low"), "text").join(wanted, "low").mapInPandas(passages, "low long, at int, n int, passage binary"), "passages")
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, _RUN):
+            row, (at, n) = lists_of(batch["cuts"], "at", "n")
+            out, words, now = [], [], -1
+            for r, a, k in zip(row.tolist(), at.to_pylist(), n.to_pylist()):
+                if r != now:
+                    words, now = words_of(batch["text"][r].as_py()), r
+                out.append(b" ".join(words[a : a + k]))
+            yield pa.RecordBatch.from_arrays([batch["low"].take(pa.array(row)), at, n, pa.array(out, pa.binary())], names=["low", "at", "n", "passage"])
+
+    cut = stage(texts.select(F.col("id").alias("low"), "text").join(wanted, "low").mapInArrow(passages, "low long, at int, n int, passage binary"), "passages")
     brought = matches.withColumn("n", F.col("end") - F.col("begin")).join(cut, ["low", "at", "n"])
     each = brought.groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "end", "passage")).alias("found"))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, tag, text, found in zip(batch["id"], batch["tag"], batch["text"], batch["found"]):
-                words = words_of(text)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+        for batch in sliced(batches, _RUN):
+            row, (begin, end, passage) = lists_of(batch["found"], "begin", "end", "passage")
+            begin, end = begin.to_numpy(), end.to_numpy()
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            spans, doubts = [], []
+            for r in range(batch.num_rows):
+                words = words_of(batch["text"][r].as_py())
+                places = list(zip(begin[cuts[r] : cuts[r + 1]].tolist(), end[cuts[r] : cuts[r + 1]].tolist()))
                 # Two rows may share the partner's id: one passage that is equal suffices.
-                same = {(m["begin"], m["end"]) for m in found if b" ".join(words[m["begin"] : m["end"]]) == bytes(m["passage"])}
-                rest = {(m["begin"], m["end"]) for m in found} - same
-                out.append((doc, tag, merged(list(same)), sorted(rest)))
-            made = pd.DataFrame(out, columns=["id", "tag", "spans", "doubts"])
-            for c in ("spans", "doubts"):
-                made[c] = [[{"begin": a, "end": b} for a, b in x] for x in made[c]]
-            yield made
-
-    out = stage(texts.join(each, ["id", "tag"]).mapInPandas(compare, f"id long, tag int, spans {_SPANS}, doubts {_SPANS}"), "checked")
+                same = {(a, b) for (a, b), p in zip(places, passage.slice(cuts[r], len(places)).to_pylist()) if b" ".join(words[a:b]) == p}
+                spans.append([{"begin": a, "end": b} for a, b in merged(list(same))])
+                doubts.append([{"begin": a, "end": b} for a, b in sorted(set(places) - same)])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["tag"], pa.array(spans, kind), pa.array(doubts, kind)], names=["id", "tag", "spans", "doubts"])
+
+    out = stage(texts.join(each, ["id", "tag"]).mapInArrow(compare, f"id long, tag int, spans {_SPANS}, doubts {_SPANS}"), "checked")
     discard(cut)
     return out
 
@@ -251,18 +266,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = repeats(docs, id_col, text_col, window, gram, hash_bits)
 
     @F.pandas_udf(f"kept_text string, n_words long, n_removed long, repeats {_SPANS}")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans_of in batches:
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, begins, ends in batches:
             out = []
-            for text, spans in zip(texts, spans_of):
+            for text, begin, end in zip(texts, begins, ends):
                 words, kept, at = words_of(text), [], 0
-                spans = [] if spans is None else [{"begin": x["begin"], "end": x["end"]} for x in spans]
-                for s in spans:
-                    kept += words[at : s["begin"]]
-                    at = s["end"]
+                spans = [] if begin is None else list(zip(begin.tolist(), end.tolist()))
+                for a, b in spans:
+                    kept += words[at:a]
+                    at = b
                 kept += words[at:]
-                out.append((b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept), spans))
+                out.append((b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept), [{"begin": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(out, columns=list(made))
 
-    cuts = keyed.join(found, ["id", "tag"], "left").select("row", cut("text", "spans").alias("cut"))
+    cuts = keyed.join(found, ["id", "tag"], "left").select("row", cut("text", "spans.begin", "spans.end").alias("cut"))
     return cuts.select("row.*", "cut.*")

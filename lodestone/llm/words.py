@@ -22,6 +22,7 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") ->
             end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + most, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
