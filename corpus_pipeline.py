@@ -15,7 +15,7 @@ from lodestone.plans.staging import stage, table
 
 
 #: A text whose n-grams are so much less likely (nats each) than those of its likeliest language's own texts isn't in that language.
-LEAST_FIT = -1.5
+LEAST_FIT = -2.0
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
