@@ -259,14 +259,17 @@ def identity_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def identity_ranks(queries: DataFrame, targets: DataFrame, group: str, entity: str) -> DataFrame:
-    """(group, entity, place): place of each entity's own target among all targets of the group, by rank counting.
+def identity_ranks(queries: DataFrame, targets: DataFrame, group: str, entity: str, mate: str | None = None) -> DataFrame:
+    """(group, entity, place): place of each entity's own target among all targets of the group, by rank counting; with ``mate``
+    among those only that differ from the query's in it.
 
-    Entities on one side only have no row. The own similarity is joined first, so that only counts are summed up.
+    Entities on one side only, and those with a vector that isn't finite, have no row. The own similarity is joined first, so that
+    only counts are summed up.
     """
-    q = queries.select(group, F.col(entity).alias("q"), l2("vec").alias("a"))
-    t = targets.select(group, F.col(entity).alias("c"), l2("vec").alias("b"))
-    own = q.join(t.withColumnRenamed("c", "q"), [group, "q"]).select(group, "q", "a", F.round(dot("a", "b"), 12).alias("own"))
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    q = queries.where(finite).select(group, F.col(entity).alias("q"), l2("vec").alias("a"), (F.col(mate) if mate else F.lit(0)).alias("mate"))
+    t = targets.where(finite).select(group, F.col(entity).alias("c"), l2("vec").alias("b"), (F.col(mate) if mate else F.lit(1)).alias("other"))
+    own = q.join(t.select(group, F.col("c").alias("q"), "b"), [group, "q"]).select(group, "q", "a", "mate", F.round(dot("a", "b"), 12).alias("own"))
     sim = F.round(dot("a", "b"), 12)
-    better = (sim > F.col("own")) | ((sim == F.col("own")) & (F.col("c") < F.col("q")))
+    better = (F.col("mate") != F.col("other")) & ((sim > F.col("own")) | ((sim == F.col("own")) & (F.col("c") < F.col("q"))))
     return own.join(t, group).groupBy(group, "q").agg((F.sum(better.cast("long")) + 1).alias("place")).withColumnRenamed("q", entity)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import dot, norm, r6, uniform
+from lodestone.operators import inference as I
 from lodestone.operators import ranking as R
 from lodestone.operators import samples as S
 from lodestone.operators import vectors as V
@@ -26,9 +29,19 @@ def map_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.col("o_custkey").alias("ext_id")).agg(F.min("o_orderkey").alias("first_row"), F.max_by("o_orderpriority", "o_orderkey").alias("last_sub"))
 
 
-@query("relevance_edges", SQL + " SELECT q, r FROM edges WHERE q % 7 <> 0 AND r % 7 <> 0")
+POOL = ", fl AS (SELECT id, CASE id % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'true' WHEN 2 THEN 'False' WHEN 3 THEN ' True ' ELSE 'no' END AS flag FROM units), ro AS (SELECT id AS row, id % 480 AS player FROM fl WHERE lower(trim(flag)) = 'true'), lw AS (SELECT player, max(row) AS row FROM ro GROUP BY player), mp AS (SELECT x, y FROM pairs)"
+
+
+@query("relevance_edges", SQL + POOL + " SELECT DISTINCT q, r FROM (SELECT a.row AS q, b.row AS r FROM mp JOIN lw a ON a.player = x JOIN lw b ON b.player = y UNION ALL SELECT b.row, a.row FROM mp JOIN lw a ON a.player = x JOIN lw b ON b.player = y) WHERE q <> r")
 def relevance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.relevance_edges(B.pairs(spark, sf_dir), B.vectors(spark, sf_dir).where("id % 7 <> 0"))
+    """Pairs of player ids resolved to gallery rows. A row is in the gallery if its flag is the text "true" in any case; of rows
+    that share a player the last one counts."""
+    k = F.col("id") % 5
+    flag = F.when(k == 0, "TRUE").when(k == 1, "true").when(k == 2, "False").when(k == 3, " True ").otherwise("no")
+    rows = B.vectors(spark, sf_dir).select("id", flag.alias("flag")).where(F.lower(F.trim("flag")) == "true").select((F.col("id") % 480).alias("player"), F.col("id").alias("row"))
+    last = rows.groupBy("player").agg(F.max("row").alias("row"))
+    at = lambda name: last.select(F.col("player").alias(name), F.col("row").alias(f"row_{name}"))
+    return R.relevance_edges(B.pairs(spark, sf_dir).join(at("x"), "x").join(at("y"), "y").select(F.col("row_x").alias("x"), F.col("row_y").alias("y")))
 
 
 @query("enrich_gallery", "SELECT c_custkey AS id, n_name AS team, r_name AS league FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
@@ -182,10 +195,18 @@ def season_shift_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(after, ["id", "s"]).join(one, "id").select("id", "season", "doc_id", "next_first")
 
 
-@query("texts_per_entity", "SELECT source AS entity, count(*) AS n, list(doc_id ORDER BY doc_id)[1] AS first, list(doc_id ORDER BY doc_id)[-1] AS last FROM documents GROUP BY source")
+@query("texts_per_entity", "SELECT source AS entity, doc_id // 100 AS part, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id, text)) AS texts_md5 FROM documents GROUP BY ALL")
 def texts_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number, first and last text of each entity. A list by entity would put a frequent source in one row; so only its ends are kept."""
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    """The texts of each entity as lists in order; a list spans a hundred ids, so that a frequent entity has many lists and none is long."""
+    return text_lists(table(spark, sf_dir, "documents"), "source", 100).select(
+        "entity", "part", F.size("items").cast("long").alias("n"), F.array_join(F.expr("transform(items, x -> cast(x.id as string))"), ",").alias("ids"), F.md5(F.array_join(F.expr("transform(items, x -> x.text)"), "\n")).alias("texts_md5"),
+    )
+
+
+def text_lists(docs: DataFrame, entity: str, span: int) -> DataFrame:
+    """entity, part, items: array of (id, text) in order of id, for each ``span`` ids."""
+    items = F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))))
+    return docs.groupBy(F.col(entity).alias("entity"), F.floor(F.col("doc_id") / span).alias("part")).agg(items.alias("items"))
 
 
 @query("corpus_summary", "SELECT lang, count(*) AS n, round(avg(length(text)), 6) AS mean, min(length(text))::BIGINT AS low, max(length(text))::BIGINT AS high, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
@@ -244,17 +265,20 @@ def scan_csv_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOVES = """, mv AS (SELECT l_suppkey AS club, l_partkey AS player, p_brand AS pos, l_returnflag = 'R' AS left_club, (extract(year FROM l_shipdate) * 2 + CASE WHEN extract(month FROM l_shipdate) > 6 THEN 1 ELSE 0 END)::BIGINT AS win FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
-@query("mine_replacements", SQL + MOVES + " SELECT DISTINCT a.player AS x, b.player AS y, a.pos FROM mv a JOIN mv b ON a.club = b.club AND a.pos = b.pos AND a.left_club AND NOT b.left_club AND b.win - a.win IN (0, 1) AND a.player <> b.player WHERE a.player % 2 = 0 AND b.player % 3 <> 0")
+@query("mine_replacements", SQL + MOVES + ", ga AS (SELECT ps FROM (SELECT l_partkey AS ps, count(*) AS n FROM lineitem GROUP BY 1) WHERE n >= 25) SELECT DISTINCT a.player AS x, b.player AS y, a.pos FROM mv a JOIN mv b ON a.club = b.club AND a.pos = b.pos AND a.left_club AND NOT b.left_club AND b.win - a.win IN (0, 1) AND a.player <> b.player WHERE a.player IN (FROM ga) AND b.player IN (FROM ga)")
 def mine_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A club loses x and signs y for the same position in the same or the next half-year; both in the gallery.
+    """A club loses x and signs y for the same position in the same or the next half-year; both in the gallery, here the parts that
+    are traded 25 times or more.
 
     The band is an equality join: departures are listed under both windows that they can meet.
     """
-    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("pos")), "l_partkey")
+    lines = table(spark, sf_dir, "lineitem")
+    gallery = lines.groupBy(F.col("l_partkey").alias("player")).agg(F.count(F.lit(1)).alias("n")).where("n >= 25").select("player")
+    line = lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("pos")), "l_partkey")
     win = (F.year("l_shipdate") * 2 + F.when(F.month("l_shipdate") > 6, 1).otherwise(0)).alias("win")
-    moves = line.select(F.col("l_suppkey").alias("club"), F.col("l_partkey").alias("player"), "pos", (F.col("l_returnflag") == "R").alias("left_club"), win)
-    out = moves.where("left_club and player % 2 = 0").select("club", "pos", F.col("player").alias("x"), F.explode(F.array("win", F.col("win") + 1)).alias("win")).distinct()
-    into = moves.where("not left_club and player % 3 <> 0").select("club", "pos", F.col("player").alias("y"), "win").distinct()
+    moves = line.select(F.col("l_suppkey").alias("club"), F.col("l_partkey").alias("player"), "pos", (F.col("l_returnflag") == "R").alias("left_club"), win).join(gallery, "player", "left_semi")
+    out = moves.where("left_club").select("club", "pos", F.col("player").alias("x"), F.explode(F.array("win", F.col("win") + 1)).alias("win")).distinct()
+    into = moves.where("not left_club").select("club", "pos", F.col("player").alias("y"), "win").distinct()
     return out.join(into, ["club", "pos", "win"]).where("x <> y").select("x", "y", "pos").distinct()
 
 
@@ -306,11 +330,12 @@ def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.split_half(e, ["player"], "event_id", "sh", cap=25)
 
 
-@query("split_samematch", SQL + f""", sz AS (SELECT player, season, count(*) AS n FROM actions GROUP BY ALL), f AS (SELECT player, season FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY n DESC, season) AS k FROM sz) WHERE k = 1),
- s AS (SELECT action_id, player, row_number() OVER (PARTITION BY player ORDER BY {U.format(key=chr(39) + 'sm|' + chr(39) + ' || action_id')}, action_id) AS i, count(*) OVER (PARTITION BY player) AS n FROM actions JOIN f USING (player, season)) SELECT action_id, player, CASE WHEN i <= n // 2 THEN 'q' ELSE 't' END AS side FROM s WHERE n // 2 >= 5""")
+@query("split_samematch", SQL + f""", sz AS (SELECT player, game, count(*) AS n FROM actions GROUP BY ALL), f AS (SELECT player, game FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY n DESC, game) AS k FROM sz) WHERE k = 1),
+ s AS (SELECT action_id, player, game, row_number() OVER (PARTITION BY player ORDER BY {U.format(key=chr(39) + 'sm|' + chr(39) + ' || action_id')}, action_id) AS i, count(*) OVER (PARTITION BY player) AS n FROM actions JOIN f USING (player, game)) SELECT action_id, player, game, CASE WHEN i <= n // 2 THEN 'q' ELSE 't' END AS side FROM s WHERE n // 2 >= 2""")
 def split_samematch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = B.actions(spark, sf_dir).select("action_id", "player", "season")
-    return S.split_same_match(a, ["player"], "season", "action_id", "sm", least=5).select("action_id", "player", "side")
+    """Halves of each player's game with the most actions; the events are sparse, so two a side suffice."""
+    a = B.actions(spark, sf_dir).select("action_id", "player", "game")
+    return S.split_same_match(a, ["player"], "game", "action_id", "sm", cap=1 << 30, least=2).select("action_id", "player", "game", "side")
 
 
 @query("split_crossmatch", SQL + """, s AS (SELECT action_id, player, game, CASE WHEN (dense_rank() OVER (PARTITION BY player ORDER BY game) - 1) % 2 = 0 THEN 'q' ELSE 't' END AS side FROM actions),
@@ -322,41 +347,75 @@ def split_crossmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROT = SQL + f""", a2 AS (SELECT *, competition AS tourn FROM actions), sh AS (SELECT *, row_number() OVER (PARTITION BY tourn, player ORDER BY {U.format(key=chr(39) + 'lp|' + chr(39) + ' || action_id')}, action_id) AS i, count(*) OVER (PARTITION BY tourn, player) AS n FROM a2),
  s1 AS (SELECT 'split_half' AS protocol, tourn, player, CASE WHEN i <= n // 2 THEN 'q' ELSE 't' END AS side, x0, y0, x1, y1 FROM sh WHERE n // 2 >= 3),
+ gs AS (SELECT tourn, player, game FROM (SELECT *, row_number() OVER (PARTITION BY tourn, player ORDER BY n DESC, game) AS k FROM (SELECT tourn, player, game, count(*) AS n FROM a2 GROUP BY ALL)) WHERE k = 1),
+ sm AS (SELECT a2.*, row_number() OVER (PARTITION BY tourn, player ORDER BY {U.format(key=chr(39) + 'lq|' + chr(39) + ' || action_id')}, action_id) AS i, count(*) OVER (PARTITION BY tourn, player) AS n FROM a2 JOIN gs USING (tourn, player, game)),
+ s3 AS (SELECT 'same_match' AS protocol, tourn, player, CASE WHEN i <= n // 2 THEN 'q' ELSE 't' END AS side, x0, y0, x1, y1 FROM sm WHERE n // 2 >= 1),
  cm AS (SELECT *, CASE WHEN (dense_rank() OVER (PARTITION BY tourn, player ORDER BY game) - 1) % 2 = 0 THEN 'q' ELSE 't' END AS side FROM a2), cn AS (SELECT *, count(*) OVER (PARTITION BY tourn, player, side) AS n FROM cm), ok AS (SELECT tourn, player FROM cn GROUP BY tourn, player HAVING count(DISTINCT side) = 2 AND min(n) >= 3),
- s2 AS (SELECT 'cross_match' AS protocol, tourn, player, side, x0, y0, x1, y1 FROM cn JOIN ok USING (tourn, player)), al AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2),
- v AS (SELECT protocol, tourn, player, side, [avg(x0), avg(y0), avg(x1), avg(y1)] AS vec FROM al GROUP BY ALL), ss AS (SELECT a.protocol, a.tourn, a.player AS q, b.player AS c, {COS} AS s FROM v a JOIN v b ON a.protocol = b.protocol AND a.tourn = b.tourn AND a.side = 'q' AND b.side = 't'),
- rk AS (SELECT protocol, tourn, q, c, row_number() OVER (PARTITION BY protocol, tourn, q ORDER BY s DESC, c) AS place FROM ss), own AS (SELECT protocol, tourn, q, place FROM rk WHERE q = c)"""
+ s2 AS (SELECT 'cross_match' AS protocol, tourn, player, side, x0, y0, x1, y1 FROM cn JOIN ok USING (tourn, player)), al AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT 'cross_no_mates', tourn, player, side, x0, y0, x1, y1 FROM s2),
+ v AS (SELECT protocol, tourn, player, side, count(*) AS events, [avg(x0), avg(y0), avg(x1), avg(y1)] AS vec FROM al GROUP BY ALL),
+ ss AS (SELECT a.protocol, a.tourn, a.player AS q, b.player AS c, a.events + b.events AS events, {COS} AS s FROM v a JOIN v b ON a.protocol = b.protocol AND a.tourn = b.tourn AND a.side = 'q' AND b.side = 't' WHERE a.protocol <> 'cross_no_mates' OR a.player = b.player OR a.player % 2 <> b.player % 2),
+ rk AS (SELECT protocol, tourn, q, c, events, row_number() OVER (PARTITION BY protocol, tourn, q ORDER BY s DESC, c) AS place FROM ss), own AS (SELECT protocol, tourn, q, place, events FROM rk WHERE q = c),
+ un AS (SELECT protocol, CAST(place = 1 AS DOUBLE) AS hit, row_number() OVER (PARTITION BY protocol ORDER BY tourn || '|' || q) - 1 AS idx, count(*) OVER (PARTITION BY protocol) AS k FROM own),
+ dw AS (SELECT k, rep, floor({U.format(key=chr(39) + 't1|' + chr(39) + " || rep || '|' || draw")} * k)::BIGINT AS idx FROM (SELECT DISTINCT k FROM un), (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(20000)) AS draw) WHERE draw < k),
+ mn AS (SELECT protocol, rep, avg(hit) AS m FROM un JOIN dw USING (k, idx) GROUP BY ALL), ti AS (SELECT protocol, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mn GROUP BY protocol), tp AS (SELECT protocol, count(*) AS n, avg(hit) AS top1 FROM un GROUP BY protocol)"""
 
 
 def protocol_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """protocol, tourn, player, place: the identity ranks under two protocols; any set-to-vector function could take the mean's place."""
+    """protocol, tourn, player, place, events (of both sides): identity ranks under four protocols; any set-to-vector function could
+    take the mean's place. Halves of all events; halves of the game with the most events; even and odd games; the same with
+    the query's teammates out of the gallery."""
     a = B.actions(spark, sf_dir).withColumn("tourn", F.col("competition"))
-    sides = {"split_half": S.split_half(a, ["tourn", "player"], "action_id", "lp", 1 << 30, 3), "cross_match": S.split_cross_match(a, ["tourn", "player"], "game", ["game", "action_id"], 1 << 30, 3)}
-    found = None
+    keys, every = ["tourn", "player"], 1 << 30
+    cross = S.split_cross_match(a, keys, "game", ["game", "action_id"], every, 3)
+    sides = {"split_half": S.split_half(a, keys, "action_id", "lp", every, 3), "same_match": S.split_same_match(a, keys, "game", "action_id", "lq", every, 1), "cross_match": cross, "cross_no_mates": cross}
+    parts = []
     for name, rows in sides.items():
-        vec = rows.groupBy("tourn", "player", "side").agg(F.array(*[F.avg(c) for c in ("x0", "y0", "x1", "y1")]).alias("vec"))
-        part = identity_ranks(vec.where("side = 'q'"), vec.where("side = 't'"), "tourn", "player").withColumn("protocol", F.lit(name))
-        found = part if found is None else found.unionByName(part)
-    return found
+        vec = rows.groupBy(*keys, "team", "side").agg(F.array(*[F.avg(c) for c in ("x0", "y0", "x1", "y1")]).alias("vec"), F.count(F.lit(1)).alias("events"))
+        found = identity_ranks(vec.where("side = 'q'"), vec.where("side = 't'"), "tourn", "player", "team" if name == "cross_no_mates" else None)
+        parts.append(found.join(vec.groupBy(*keys).agg(F.sum("events").alias("events")), keys).withColumn("protocol", F.lit(name)))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-@query("leakage_protocols", PROT + " SELECT protocol, tourn, count(*) AS n, round(avg(CAST(place = 1 AS DOUBLE)), 6) AS top1, round(avg(1.0 / place), 6) AS mrr FROM own GROUP BY protocol, tourn")
+@query("leakage_protocols", PROT + ", pl AS (SELECT tourn, count(DISTINCT player) AS players FROM a2 GROUP BY tourn) SELECT protocol, tourn, count(*) AS n, round(avg(CAST(place = 1 AS DOUBLE)), 6) AS top1, round(avg(1.0 / place), 6) AS mrr, players - count(*) AS skipped, round(sum(events) / 2.0 / count(*), 6) AS events_a_side FROM own JOIN pl USING (tourn) GROUP BY protocol, tourn, players")
 def leakage_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return protocol_places(spark, sf_dir).groupBy("protocol", "tourn").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("place") == 1).cast("double"))).alias("top1"), r6(F.avg(1 / F.col("place"))).alias("mrr"))
+    """Accuracy by protocol and tournament, the players that a protocol has to skip, and the mean number of events on a side."""
+    players = B.actions(spark, sf_dir).groupBy(F.col("competition").alias("tourn")).agg(F.countDistinct("player").alias("players"))
+    by = protocol_places(spark, sf_dir).groupBy("protocol", "tourn").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(_hit())).alias("top1"), r6(F.avg(1 / F.col("place"))).alias("mrr"), r6(F.sum("events") / 2.0 / F.count(F.lit(1))).alias("events_a_side"))
+    return by.join(players, "tourn").select("protocol", "tourn", "n", "top1", "mrr", (F.col("players") - F.col("n")).alias("skipped"), "events_a_side")
+
+
+def _hit() -> Column:
+    return (F.col("place") == 1).cast("double")
 
 
 @query("identity_agg", PROT + ", g AS (SELECT protocol, tourn, round(avg(CAST(place = 1 AS DOUBLE)), 3) AS top1, count(*) AS n FROM own GROUP BY GROUPING SETS ((protocol, tourn), (protocol))) SELECT protocol, coalesce(tourn, -1) AS tourn, n, round(top1, 3) AS top1 FROM g UNION ALL SELECT protocol, -2, count(*), round(avg(top1), 6) FROM g WHERE tourn IS NOT NULL GROUP BY protocol")
 def identity_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy by tournament, pooled (tourn -1), and the mean of the tournaments' rounded figures (tourn -2)."""
-    p = protocol_places(spark, sf_dir).withColumn("hit", (F.col("place") == 1).cast("double"))
+    p = protocol_places(spark, sf_dir).withColumn("hit", _hit())
     sets = p.groupingSets([["protocol", "tourn"], ["protocol"]], "protocol", "tourn").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 3).alias("top1"))
     by = stage(sets, "grouping")
     macro = by.where("tourn is not null").groupBy("protocol").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("top1")).alias("top1")).withColumn("tourn", F.lit(-2).cast("long"))
     return by.fillna(-1, "tourn").unionByName(macro)
 
 
-@query("leakage_verdict", PROT + ", m AS (SELECT avg(CAST(place = 1 AS DOUBLE)) FILTER (protocol = 'split_half') AS a, avg(CAST(place = 1 AS DOUBLE)) FILTER (protocol = 'cross_match') AS b FROM own) SELECT round(a - b, 6) AS delta, a - b > 0.25 AS collapses, CASE WHEN b >= 0.5 THEN 'identity' WHEN b >= 0.3 THEN 'partial' ELSE 'leakage' END AS verdict FROM m")
+def top1_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """protocol, n, top1, low, high: pooled accuracy with a bootstrap interval over entities."""
+    p = stage(protocol_places(spark, sf_dir).select("protocol", F.concat_ws("|", "tourn", "player").alias("q"), _hit().alias("value")), "places")
+    return p.groupBy("protocol").agg(F.count(F.lit(1)).alias("n")).join(I.paired_bootstrap(p, 200, "t1", "protocol"), "protocol").select("protocol", "n", F.col("mean").alias("top1"), "low", "high")
+
+
+@query("top1_interval", PROT + " SELECT protocol, n, round(top1, 6) AS top1, round(low, 6) AS low, round(high, 6) AS high FROM tp JOIN ti USING (protocol)")
+def top1_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top1_intervals(spark, sf_dir).select("protocol", "n", *[r6(c).alias(c) for c in ("top1", "low", "high")])
+
+
+@query("leakage_verdict", PROT + """, m AS (SELECT max(top1) FILTER (protocol = 'split_half') AS a, max(low) FILTER (protocol = 'split_half') AS a_low, max(top1) FILTER (protocol = 'cross_match') AS b, max(high) FILTER (protocol = 'cross_match') AS b_high, max(top1) FILTER (protocol = 'same_match') AS c FROM tp JOIN ti USING (protocol))
+ SELECT round(a - b, 6) AS delta, b_high < a_low AS disjoint, b_high < a_low AND a - b > 0.25 AS collapses, CASE WHEN b >= 0.5 THEN 'identity' WHEN b >= 0.3 THEN 'partial' ELSE 'leakage' END AS verdict, CASE WHEN c >= 0.5 AND b < 0.3 THEN 'confirmed' ELSE 'inconclusive' END AS control FROM m""")
 def leakage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = lambda p: F.avg(F.when(F.col("protocol") == p, (F.col("place") == 1).cast("double")))
-    m = protocol_places(spark, sf_dir).agg(hit("split_half").alias("a"), hit("cross_match").alias("b"))
-    return m.select(r6(F.col("a") - F.col("b")).alias("delta"), (F.col("a") - F.col("b") > 0.25).alias("collapses"), F.when(F.col("b") >= 0.5, "identity").when(F.col("b") >= 0.3, "partial").otherwise("leakage").alias("verdict"))
+    """The drop from halves to other games, whether it is a collapse (intervals apart and over 0.25), what the rest means, and the
+    control: within one game accuracy stays high."""
+    of = lambda p, c: F.max(F.when(F.col("protocol") == p, F.col(c)))
+    m = top1_intervals(spark, sf_dir).agg(of("split_half", "top1").alias("a"), of("split_half", "low").alias("a_low"), of("cross_match", "top1").alias("b"), of("cross_match", "high").alias("b_high"), of("same_match", "top1").alias("c"))
+    apart, drop = F.col("b_high") < F.col("a_low"), F.col("a") - F.col("b")
+    verdict = F.when(F.col("b") >= 0.5, "identity").when(F.col("b") >= 0.3, "partial").otherwise("leakage")
+    return m.select(r6(drop).alias("delta"), apart.alias("disjoint"), (apart & (drop > 0.25)).alias("collapses"), verdict.alias("verdict"), F.when((F.col("c") >= 0.5) & (F.col("b") < 0.3), "confirmed").otherwise("inconclusive").alias("control"))

@@ -19,11 +19,11 @@ FT = """, fc AS (SELECT player, count(*) AS n, count(DISTINCT game) AS games, co
  fp AS (SELECT player, 'passes' AS f, passes::DOUBLE AS v FROM fc UNION ALL SELECT player, 'shots', shots FROM fc UNION ALL SELECT player, 'tackles', tackles FROM fc UNION ALL SELECT player, 'dribbles', dribbles FROM fc),
  fr AS (SELECT player, f, 100.0 * (rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0) / count(*) OVER (PARTITION BY f) AS p FROM fp),
  ft AS (SELECT fc.*, coalesce(c_name, 'Player ' || player) AS name, coalesce(c_mktsegment, 'NONE') AS role, max(p) FILTER (f = 'passes') AS p_passes, max(p) FILTER (f = 'shots') AS p_shots, max(p) FILTER (f = 'tackles') AS p_tackles, max(p) FILTER (f = 'dribbles') AS p_dribbles,
- max(text) AS bio FROM fc JOIN fr USING (player) LEFT JOIN customer ON c_custkey = player LEFT JOIN documents ON doc_id = player AND player % 2 = 0 GROUP BY ALL)"""
+ max(text) AS bio FROM fc JOIN fr USING (player) LEFT JOIN customer ON c_custkey = player LEFT JOIN documents ON doc_id = player GROUP BY ALL)"""
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each player: counts, percentiles of four of them, name, role, and a bio for every second player."""
+    """One row for each player: counts, percentiles of four of them, name, role, and a bio where there is a document."""
     kind = lambda k, ok=None: F.count_if((F.col("type") == k) & F.col("ok") if ok else F.col("type") == k)
     c = B.actions(spark, sf_dir).groupBy("player").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("game").alias("games"), kind("pass").alias("passes"), kind("pass", True).alias("passes_ok"), kind("shot").alias("shots"), kind("shot", True).alias("goals"),
@@ -33,7 +33,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = V.percentile_ranks(c.select(F.col("player").alias("id"), *[F.col(f).cast("double").alias(f) for f in four]), four)
     wide = ranks.groupBy(F.col("id").alias("player")).agg(*[F.max(F.when(F.col("feature") == f, F.col("pct"))).alias(f"p_{f}") for f in four])
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player"), "c_name", "c_mktsegment")
-    bios = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").groupBy(F.col("doc_id").alias("player")).agg(F.max("text").alias("bio"))
+    bios = table(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("player")).agg(F.max("text").alias("bio"))
     full = c.join(wide, "player").join(names, "player", "left").join(bios, "player", "left")
     return full.withColumn("name", F.coalesce("c_name", F.concat(F.lit("Player "), "player"))).withColumn("role", F.coalesce("c_mktsegment", F.lit("NONE")))
 
@@ -130,7 +130,7 @@ def intents_of(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 IFEAT = {"reach": (0, 1), "depth": (2,)}
-INT = TOP_SQL + """, cd AS (SELECT q, c, s FROM top WHERE place <= 50 AND q % 25 = 0), qi AS (SELECT q, intent, f FROM (SELECT DISTINCT q FROM cd), (VALUES ('reach', 1), ('reach', 2), ('depth', 3)) v(intent, f) WHERE q % 3 = 2 OR (q % 3 = 1 AND intent = 'reach')),
+INT = TOP_SQL + """, cd AS (SELECT q, c, s FROM top WHERE place <= 50 AND q % 20 = 0), qi AS (SELECT q, intent, f FROM (SELECT DISTINCT q FROM cd), (VALUES ('reach', 1), ('reach', 2), ('depth', 3)) v(intent, f) WHERE q % 3 = 2 OR (q % 3 = 1 AND intent = 'reach')),
  fv AS (SELECT cd.q, c, intent, vec[f] AS x, avg(vec[f]) OVER (PARTITION BY cd.q, f) AS m, stddev_pop(vec[f]) OVER (PARTITION BY cd.q, f) AS sd FROM cd JOIN vecs ON id = c JOIN qi ON qi.q = cd.q),
  iv AS (SELECT q, c, intent, avg((x - m) / CASE WHEN sd < 1e-8 THEN 1 ELSE sd END) AS z FROM fv GROUP BY q, c, intent), sk AS (SELECT q, c, avg(z) AS skill FROM iv GROUP BY q, c),
  nm AS (SELECT q, c, CASE WHEN max(skill) OVER w - min(skill) OVER w < 1e-12 THEN 0 ELSE (skill - min(skill) OVER w) / (max(skill) OVER w - min(skill) OVER w) END AS skill FROM sk WINDOW w AS (PARTITION BY q))"""
@@ -138,7 +138,7 @@ INT = TOP_SQL + """, cd AS (SELECT q, c, s FROM top WHERE place <= 50 AND q % 25
 
 def candidates(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     v = B.vectors(spark, sf_dir)
-    return R.top_k(v.where("id % 25 = 0"), v, k)
+    return R.top_k(v.where("id % 20 = 0"), v, k)
 
 
 def skills(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
