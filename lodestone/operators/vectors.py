@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import l2, uniform
+from lodestone.plans.numbering import running_sum
 
 
 def discovered(df: DataFrame, prefix: str | None = None, keys: tuple[str, ...] = ()) -> list[str]:
@@ -118,11 +119,12 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataF
 def percentile_ranks(rows: DataFrame, features: list[str], *by: str) -> DataFrame:
     """Percentile (0 to 100, average of ties) of each value among its feature's, long: id, by, feature, value, pct.
 
-    Values are counted first, so the running sums are over distinct values of a feature; nulls have no rank.
+    Values are counted first, and the running sums over distinct values are taken by ranges of them, so that a continuous feature
+    isn't gathered in one task; nulls have no rank.
     """
     flat = rows.unpivot(["id", *by], features, "feature", "value").where("value is not null")
     counts = flat.groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    up_to = Window.partitionBy(*by, "feature").orderBy("value")
-    total = F.sum("n").over(Window.partitionBy(*by, "feature"))
-    places = counts.select(*by, "feature", "value", (100 * (F.sum("n").over(up_to) - F.col("n") + (F.col("n") + 1) / 2) / total).alias("pct"))
+    placed = running_sum(counts, [*by, "feature"], "value", "n")
+    total = placed.groupBy(*by, "feature").agg(F.sum("n").alias("total"))
+    places = placed.join(total, [*by, "feature"]).select(*by, "feature", "value", (100 * (F.col("up_to") - F.col("n") + (F.col("n") + 1) / 2) / F.col("total")).alias("pct"))
     return flat.join(places, [*by, "feature", "value"])

@@ -19,3 +19,16 @@ def numbered(df: DataFrame, *keys: str, name: str = "idx") -> DataFrame:
     before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
     return ranged.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + place).cast("long")).drop("__part", "__before")
+
+
+def running_sum(df: DataFrame, groups: list[str], order: str, amount: str, name: str = "up_to") -> DataFrame:
+    """``df`` with ``name``, the sum of ``amount`` up to the row within its group in the order of ``order``, which should be unique there.
+
+    Rows are range-partitioned by group and order, so that a large group spans many tasks; sums of the partitions before are
+    added to those within.
+    """
+    ranged = stage(df.repartitionByRange(*groups, order).withColumn("__part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy(*groups, "__part").agg(F.sum(amount).alias("__sum"))
+    before = sums.select(*groups, "__part", (F.sum("__sum").over(Window.partitionBy(*groups).orderBy("__part")) - F.col("__sum")).alias("__before"))
+    within = F.sum(amount).over(Window.partitionBy(*groups, "__part").orderBy(order))
+    return ranged.join(before, [*groups, "__part"]).withColumn(name, F.col("__before") + within).drop("__part", "__before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import r6
 from lodestone.operators import events as E
+from lodestone.operators import vectors as V
 from lodestone.plans import bindings as B
 from lodestone.plans import q_events as Q
 from lodestone.plans.bindings import SQL
@@ -134,3 +135,43 @@ def feature_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part, name, cols in parts:
         out = out.join(part.select(F.col("player").alias("entity"), *[F.col(c).alias(f"{name}_{c}") for c in cols]), "entity", "left")
     return out.fillna(0)
+
+
+#: zone -> features that may be named as strengths there.
+POOLS: dict[str, tuple[str, ...]] = {
+    "back": ("tackles_pm", "interceptions_pm", "clearances_pm", "tackle_success", "pass_completion", "passes_pm", "progressive_passes_pm"),
+    "middle": ("passes_pm", "pass_completion", "progressive_passes_pm", "tackles_pm", "interceptions_pm", "carries_pm", "passes_into_box_pm", "final_third_passes_pm"),
+    "front": ("shots_pm", "goals_pm", "shot_conversion", "take_ons_pm", "crosses_pm", "passes_into_box_pm", "carries_into_box_pm", "box_share"),
+}
+ZONE_OF = "CASE WHEN avg_x < 49 THEN 'back' WHEN avg_x <= 56 THEN 'middle' ELSE 'front' END"
+NAMED = tuple(sorted({f for fs in POOLS.values() for f in fs}))
+STRENGTHS = f""", ps AS (SELECT *, {ZONE_OF} AS zone FROM {features_sql('player')}), sl AS (UNPIVOT (SELECT player, zone, {', '.join(f'{f}::DOUBLE AS {f}' for f in NAMED)} FROM ps) ON {', '.join(NAMED)} INTO NAME feature VALUE value),
+ sp AS (SELECT *, 100.0 * (rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0) / count(*) OVER (PARTITION BY feature) AS pct FROM sl),
+ pl AS (SELECT * FROM (VALUES {', '.join(f"('{z}', '{f}')" for z, fs in POOLS.items() for f in fs)}) v(zone, feature)),
+ ts AS (SELECT player, zone, feature, pct, row_number() OVER (PARTITION BY player ORDER BY round(pct, 9) DESC, feature DESC) AS k FROM sp JOIN pl USING (zone, feature))"""
+
+
+def zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return player_features(B.actions(spark, sf_dir), "player").withColumn("zone", F.expr(ZONE_OF))
+
+
+def strengths(players: DataFrame, spark: SparkSession, most: int = 3) -> DataFrame:
+    """player, zone, feature, pct, k: the best features of each player by percentile, of those that the zone's pool allows."""
+    rows = players.select(F.col("player").alias("id"), "zone", *[F.col(f).cast("double").alias(f) for f in NAMED])
+    ranks = V.percentile_ranks(rows.drop("zone"), list(NAMED)).join(rows.select("id", "zone"), "id")
+    pool = spark.createDataFrame([(z, f) for z, fs in POOLS.items() for f in fs], "zone string, feature string")
+    k = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("pct", 9)), F.desc("feature")))
+    return ranks.join(F.broadcast(pool), ["zone", "feature"]).withColumn("k", k).where(F.col("k") <= most).select(F.col("id").alias("player"), "zone", "feature", "pct", "k")
+
+
+@query("top_strengths", SQL + STRENGTHS + " SELECT player, zone, feature, round(pct, 6) AS pct, k FROM ts WHERE k <= 3")
+def top_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strengths(zoned(spark, sf_dir), spark).withColumn("pct", r6("pct"))
+
+
+@query("style_labels", SQL + f", ps AS (SELECT * FROM {features_sql('player')}) SELECT player, CASE WHEN foot_share >= 0.9 THEN 'feet almost only' WHEN foot_share >= 0.8 THEN 'mostly with the feet' ELSE 'often with the head' END AS foot, CASE WHEN avg_x < 35 THEN 'own third' WHEN avg_x <= 70 THEN 'middle third' ELSE 'final third' END AS third FROM ps")
+def style_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of the share of actions with the foot, and of the mean place along the field."""
+    p = player_features(B.actions(spark, sf_dir), "player")
+    foot = F.when(F.col("foot_share") >= 0.9, "feet almost only").when(F.col("foot_share") >= 0.8, "mostly with the feet").otherwise("often with the head")
+    return p.select("player", foot.alias("foot"), F.when(F.col("avg_x") < 35, "own third").when(F.col("avg_x") <= 70, "middle third").otherwise("final third").alias("third"))

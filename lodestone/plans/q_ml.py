@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from lodestone.plans.bindings import TOP_SQL
 from lodestone.plans.q_events import heatmap
 from lodestone.plans.q_pairs import match_features as games
 from lodestone.plans.registry import query
-from lodestone.plans.staging import table
+from lodestone.plans.staging import stage, table
 
 
 def out(df: DataFrame, key: str = "id") -> DataFrame:
@@ -32,50 +34,56 @@ def pca_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(M.principal(B.vectors(spark, sf_dir), 32))
 
 
-def heat_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = heatmap(B.actions(spark, sf_dir))
+def heat_vectors(actions: DataFrame, across: int = 12, down: int = 8) -> DataFrame:
+    """(id, vec): each player's shares over a grid of the field, zeros counted."""
+    shares = heatmap(actions, across, down)
     filled = shares.groupBy(F.col("player").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("m"))
-    return filled.select("id", F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0))).alias("vec"))
+    return filled.select("id", F.transform(F.sequence(F.lit(0), F.lit(across * down - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0))).alias("vec"))
 
 
 @query("heatmap_pca")
 def heatmap_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(M.principal(heat_vectors(spark, sf_dir), 15))
+    return out(M.principal(heat_vectors(B.actions(spark, sf_dir)), 15))
 
 
 @query("nmf_repr")
 def nmf_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = heatmap(B.actions(spark, sf_dir))
-    return out(M.nonnegative_factors(shares.select(F.col("player").alias("row"), F.col("bin").alias("col"), F.col("share").alias("value")), 8), "row")
+    """Non-negative factors of the heat maps of players with forty actions or more that aren't held out; all players get weights."""
+    a = B.actions(spark, sf_dir)
+    many = a.groupBy(F.col("player").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 40")
+    v = heat_vectors(a)
+    taught = v.join(many, "id", "left_semi").where(uniform(F.lit("nmf"), "id") >= 0.2)
+    return out(M.factor_weights(v, M.fit_factors(taught, 24)))
 
 
 @query("player_vectors")
 def player_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Location heat maps by action type, factored by type, with the type's factors side by side: player, type, pos, value."""
+    """Location heat maps by action type on a fine grid, factored by type, with the type's weights side by side: player, type, pos, value."""
     a = B.actions(spark, sf_dir)
     parts = []
-    for kind in ("pass", "dribble", "shot"):
-        shares = heatmap(a.where(F.col("type") == kind))
-        found = M.nonnegative_factors(shares.select(F.col("player").alias("row"), F.col("bin").alias("col"), F.col("share").alias("value")), 4)
-        parts.append(out(found, "row").select(F.col("row").alias("player"), F.lit(kind).alias("type"), "pos", "value"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for kind in ("pass", "dribble", "cross", "shot", "tackle"):
+        v = heat_vectors(a.where(F.col("type") == kind), 50, 50)
+        parts.append(out(M.factor_weights(v, M.fit_factors(v, 4, rounds=10))).select(F.col("id").alias("player"), F.lit(kind).alias("type"), "pos", "value"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 TFIDF = r"""WITH w AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
  x AS (SELECT id, term, tf * ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1)) AS w FROM tf JOIN df USING (term)), l AS (SELECT id, sqrt(sum(w * w)) AS len FROM x GROUP BY id)"""
 
 
-@query("tfidf_repr", TFIDF + " SELECT id, count(*) AS terms, round(max(w / len), 6) AS top, round(sum(w / len), 6) AS total FROM x JOIN l USING (id) WHERE len > 0 GROUP BY id")
+@query("tfidf_repr", TFIDF + " SELECT id, term, round(w / len, 6) AS weight FROM x JOIN l USING (id) WHERE len > 0")
 def tfidf_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = M.tf_idf(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return weights.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), r6(F.max("weight")).alias("top"), r6(F.sum("weight")).alias("total"))
+    return M.tf_idf(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", r6("weight"))
 
 
 @query("linear_probe")
 def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, precision and F1 by class, and accuracy and macro F1 of all (label "*"), on held-out vectors."""
     v = B.vectors(spark, sf_dir).withColumn("held", uniform(F.lit("lp"), "id") < 0.3)
-    said = M.probe(v.where("not held"), v.where("held"), "grp")
-    return M.confusion_metrics(said)
+    said = stage(M.probe(v.where("not held"), v.where("held"), "grp"), "probed")
+    by = M.confusion_metrics(said)
+    whole = M.overall_metrics(said).select(F.lit("*").alias("label"), F.col("n").alias("support"), F.col("accuracy").alias("recall"), F.col("accuracy").alias("precision"), F.col("macro_f1").alias("f1"))
+    return by.select("label", "support", "recall", "precision", "f1").unionByName(whole)
 
 
 @query("probe_metrics", TOP_SQL + """, s AS (SELECT qg AS label, cg AS predicted FROM top WHERE place = 1), a AS (SELECT label, count(*) AS support, count(*) FILTER (label = predicted) AS hits FROM s GROUP BY label), c AS (SELECT predicted AS label, count(*) AS called FROM s GROUP BY predicted),

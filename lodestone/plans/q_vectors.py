@@ -37,10 +37,10 @@ def wide_to_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(V.wide_to_vector(wide, "id", "card_"))
 
 
-@query("vector_to_wide", SQL + " SELECT id, round(vec[1], 6) AS f0, round(vec[2], 6) AS f1, round(vec[3], 6) AS f2 FROM vecs")
+@query("vector_to_wide", SQL + " SELECT id, " + ", ".join(f"round(vec[{i + 1}], 6) AS f{i}" for i in range(64)) + " FROM vecs")
 def vector_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = V.vector_to_wide(B.vectors(spark, sf_dir), "id", 3)
-    return wide.select("id", *[r6(f"f{i}").alias(f"f{i}") for i in range(3)])
+    wide = V.vector_to_wide(B.vectors(spark, sf_dir), "id", 64)
+    return wide.select("id", *[r6(f"f{i}").alias(f"f{i}") for i in range(64)])
 
 
 @query("sanitize_vec", SQL + """, d AS (SELECT id, [CASE WHEN id % 7 = 0 THEN 'nan'::DOUBLE ELSE vec[1] * 400 END, CASE WHEN id % 11 = 0 THEN 'inf'::DOUBLE ELSE vec[2] END, CASE WHEN id % 13 = 0 THEN '-inf'::DOUBLE ELSE vec[3] END] AS v FROM vecs),
@@ -60,19 +60,17 @@ def impute_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("id", r6("bal").alias("bal"), "seg_len", "absent")
 
 
-@query("impute_global_mean", SQL + CUST + """, g AS (SELECT avg(v) AS g FROM (SELECT unnest(vec) AS v FROM vecs)), x AS (SELECT c.id, coalesce(v.vec, list_transform(range(64), lambda i: g)) AS vec FROM cust c LEFT JOIN vecs v ON v.id = c.id, g),
- y AS (SELECT id, vec[1] AS a, vec[64] AS b FROM x) SELECT id, round(a, 6) AS first, round(b, 6) AS last FROM y""")
+@query("impute_global_mean", SQL + CUST + ", g AS (SELECT avg(v) AS g FROM (SELECT unnest(vec) AS v FROM vecs)), x AS (SELECT c.id, coalesce(v.vec, list_transform(range(64), lambda i: g)) AS vec FROM cust c LEFT JOIN vecs v ON v.id = c.id, g)" + LONG)
 def impute_global_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = V.filled_by_global_mean(customers(spark, sf_dir).select("id"), B.vectors(spark, sf_dir), "id", 64)
-    return got.select("id", r6(F.col("vec")[0]).alias("first"), r6(F.col("vec")[63]).alias("last"))
+    return out(V.filled_by_global_mean(customers(spark, sf_dir).select("id"), B.vectors(spark, sf_dir), "id", 64))
 
 
-@query("attach_vectors", SQL + CUST + " SELECT c.id, v.id IS NOT NULL AS found, round(coalesce(v.vec[1], 0), 6) AS first FROM cust c LEFT JOIN vecs v ON v.id = c.id")
+@query("attach_vectors", SQL + CUST + ", x AS (SELECT c.id, list_concat([CASE WHEN v.id IS NULL THEN 0.0 ELSE 1.0 END], coalesce(v.vec, list_transform(range(64), lambda i: 0.0::DOUBLE))) AS vec FROM cust c LEFT JOIN vecs v ON v.id = c.id)" + LONG)
 def attach_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = B.vectors(spark, sf_dir)
-    zeros = F.array_repeat(F.lit(0.0), 64)
-    got = V.attached(customers(spark, sf_dir).select("id"), v, "id")
-    return got.select("id", F.col("vec").isNotNull().alias("found"), r6(F.coalesce("vec", zeros)[0]).alias("first"))
+    """Vectors by id, zeros where there is none; position 0 says whether one was found."""
+    got = V.attached(customers(spark, sf_dir).select("id"), B.vectors(spark, sf_dir), "id")
+    found = F.array(F.col("vec").isNotNull().cast("double"))
+    return out(got.select("id", F.concat(found, F.coalesce("vec", F.array_repeat(F.lit(0.0), 64))).alias("vec")))
 
 
 @query("l2_normalize", SQL + ", x AS (SELECT id, vec FROM units)" + LONG)
@@ -234,7 +232,8 @@ def age_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: query -> (holders, attribute), conditions on the parts table.
 ATTRIBUTES = {
     "small and cheap": ("p_size <= 25", "p_retailprice < 1100"), "large and dear": ("p_size > 25", "p_retailprice >= 1300"),
-    "small by brand": ("p_size <= 25", "p_brand like '%1'"), "none such": ("p_size > 1000", "p_retailprice > 0"),
+    "small by brand": ("p_size <= 25", "p_brand like '%1'"), "large by brand": ("p_size > 25", "p_brand like '%3'"), "mid price of odd size": ("p_size % 2 = 1", "p_retailprice between 1000 and 1400"),
+    "first brands": ("p_brand < 'Brand#3'", "p_size <= 10"), "last brands": ("p_brand >= 'Brand#4'", "p_size > 40"), "named early": ("p_name < 'n'", "p_retailprice < 1200"), "dear and tiny": ("p_retailprice >= 1300", "p_size <= 5"), "none such": ("p_size > 1000", "p_retailprice > 0"),
 }
 
 
@@ -294,25 +293,20 @@ def pctile_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(spark, sf_dir).select("id", "feature", phrase.alias("phrase"), third.alias("third"))
 
 
-@query("top_strengths", SQL + PCT + " SELECT id, feature, round(pct, 6) AS pct, k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(pct, 9) DESC, feature DESC) AS k FROM pr WHERE feature = 'bal' OR seg = 'BUILDING') WHERE k <= 3")
-def top_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best features of each entity by percentile, of those that its segment allows."""
-    allowed = (F.col("feature") == "bal") | (F.col("seg") == "BUILDING")
-    seg = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"))
-    k = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("pct", 9)), F.desc("feature")))
-    return percentiles(spark, sf_dir).join(seg, "id").where(allowed).withColumn("k", k).where("k <= 3").select("id", "feature", r6("pct").alias("pct"), "k")
-
-
-@query("card_value_repr", SQL + """, val AS (SELECT c_name AS name, sum(o_totalprice)::DOUBLE AS total, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_name), m AS (SELECT avg(total / n) AS m1, stddev_pop(total / n) AS s1, avg(total) AS m2, stddev_pop(total) AS s2 FROM val)
- SELECT c_custkey AS id, round(coalesce((total / n - m1) / s1, 0) * sqrt(64 / 2.0), 6) AS rate_z, round(coalesce((total - m2) / s2, 0) * sqrt(64 / 2.0), 6) AS total_z FROM customer LEFT JOIN val ON name = c_name, m""")
+@query("card_value_repr", SQL + """, val AS (SELECT c_name AS name, sum(o_totalprice)::DOUBLE AS total, sum(o_totalprice)::DOUBLE / count(*) AS rate, 100.0 * count(*) / sum(o_totalprice)::DOUBLE AS per_100 FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_name),
+ m AS (SELECT avg(rate) AS m1, stddev_pop(rate) AS s1, avg(total) AS m2, stddev_pop(total) AS s2, avg(per_100) AS m3, stddev_pop(per_100) AS s3 FROM val),
+ x AS (SELECT c_custkey AS id, list_concat(u.vec, list_transform([coalesce((rate - m1) / s1, 0), coalesce((total - m2) / s2, 0), coalesce((per_100 - m3) / s3, 0)], lambda z: z * sqrt(64 / 3.0))) AS vec FROM customer JOIN vecs u ON u.id = c_custkey LEFT JOIN val ON name = c_name, m)""" + LONG)
 def card_value_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value columns summed by name, standardised over the names that have any, zero for the others, weighted to the card's size."""
+    """The card with value columns beside it: summed by name, rated by game and by hundred, standardised over the names that have any,
+    zero for the others, and weighted to the card's size."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    val = value_by_name(c, o)
-    stats = val.agg(F.avg("rate").alias("m1"), F.stddev_pop("rate").alias("s1"), F.avg("total").alias("m2"), F.stddev_pop("total").alias("s2"))
-    joined = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).join(val, "name", "left").join(F.broadcast(stats))
-    z = lambda x, m, s: r6(F.coalesce((F.col(x) - F.col(m)) / F.col(s), F.lit(0.0)) * F.lit((64 / 2) ** 0.5))
-    return joined.select("id", z("rate", "m1", "s1").alias("rate_z"), z("total", "m2", "s2").alias("total_z"))
+    val = value_by_name(c, o).withColumn("per_100", 100.0 * F.col("n") / F.col("total"))
+    kinds = ("rate", "total", "per_100")
+    stats = val.agg(*[f(k).alias(f"{n}_{k}") for k in kinds for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = F.array(*[F.coalesce((F.col(k) - F.col(f"m_{k}")) / F.col(f"s_{k}"), F.lit(0.0)) * F.lit((64 / 3) ** 0.5) for k in kinds])
+    card = B.vectors(spark, sf_dir).select("id", "vec")
+    joined = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).join(card, "id").join(val, "name", "left").join(F.broadcast(stats))
+    return out(joined.select("id", F.concat("vec", z).alias("vec")))
 
 
 def value_by_name(c: DataFrame, o: DataFrame) -> DataFrame:
