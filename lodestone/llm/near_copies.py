@@ -34,6 +34,7 @@ SHINGLE = 5
 SIMILARITY = (4, 5)  # at least four fifths
 CENTRES = 4
 MANY = 256
+BROADCAST = 500_000
 _RUN = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 _SMALL = ("s0", "s1", "s2", "s3")
@@ -63,11 +64,10 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have at least the wanted similarity, in whole numbers."""
+def similar(a: Column, b: Column) -> Column:
+    """Whether two sets (arrays) have at least the wanted similarity, in whole numbers."""
     p, q = SIMILARITY
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * (p + q) >= p * (len(a) + len(b))
+    return F.size(F.array_intersect(a, b)) * (p + q) >= p * (F.size(a) + F.size(b))
 
 
 def digest_of(shingles: np.ndarray) -> int:
@@ -76,12 +76,21 @@ def digest_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64)) if len(shingles) else 0
 
 
-def odd_sketch(shingles: np.ndarray, bits: int = 2048) -> bytes:
-    """A bit for each bucket: whether an odd number of the shingles lies in it. Two sketches differ in no more bits than their
-    sets in shingles."""
+def odd_sketch(shingles: np.ndarray, bits: int | None = None) -> bytes:
+    """A bit for each bucket: whether an odd number of the shingles lies in it. Two sketches of one size differ in no more bits than
+    their sets in shingles. Without ``bits`` there are four buckets or more for each shingle."""
+    bits = bits or 1 << max(11, (4 * len(shingles)).bit_length())
     return np.packbits(np.bincount((shingles >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the larger one is folded to the smaller one's size."""
+    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
+    size = min(len(x), len(y))
+    fold = lambda s: np.bitwise_xor.reduce(s.reshape(-1, size), axis=0)
+    return int(np.bitwise_count(fold(x) ^ fold(y)).sum())
+
+
 def fingerprint(shingles: np.ndarray) -> int:
     """64-bit SimHash of a set, signed; zero for the empty set."""
     total = np.zeros(64, np.int64)
@@ -156,8 +165,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def may(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, 256) for s in (a, b))
-        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (p + q) <= (q - p) * n.to_numpy())
+        return pd.Series([differing(x, y) * (p + q) <= (q - p) * k for x, y, k in zip(a, b, n)], dtype="bool")
 
     a, b = (sketches.select(F.col("digest").alias(k), F.col("odd").alias(f"odd_{k}"), F.col("n").alias(f"n_{k}")) for k in ("src", "dst"))
     both = pairs.join(a, "src").join(b, "dst").where(near("n_src", "n_dst"))
@@ -170,24 +178,29 @@ def _verified(likely: DataFrame, docs: DataFrame, measured: DataFrame, id_col: s
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, _RUN):
             found = shingle_sets(batch["text"])
-            yield pa.RecordBatch.from_arrays([pa.array([digest_of(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], names=["digest", "grams"])
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="bool")
+            offsets = np.concatenate([[0], np.cumsum([len(g) for g in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(g) for g in found], pa.int64()), lists], names=["digest", "grams"])
 
     ends = likely.select(F.col("src").alias("digest")).unionByName(likely.select(F.col("dst").alias("digest"))).distinct()
     of = measured.select("digest", "id", "tag").join(ends, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "tag")).alias("of"))
-    wanted = of.select(F.col("of.id").alias("__id"), F.col("of.tag").alias("__tag"))
-    texts = docs.join(wanted, docs[id_col].cast("long").eqNullSafe(wanted["__id"]) & (_tag(docs, text_col) == wanted["__tag"]), "left_semi").select(docs[text_col].alias("text"))
+    wanted = stage(of.select(F.col("of.id").alias("__id"), F.col("of.tag").alias("__tag")), "wanted")
+    texts = _matching(docs, wanted, id_col, text_col, "left_semi").select(F.col(text_col).alias("text"))
     # Rows that share id and tag with a wanted one may have another text; a digest that repeats only repeats its links.
-    sets = stage(texts.mapInArrow(grams, "digest long, grams binary"), "sets")
+    sets = stage(texts.mapInArrow(grams, "digest long, grams array<long>"), "sets")
     a, b = (sets.select(F.col("digest").alias(k), F.col("grams").alias(f"of_{k}")) for k in ("src", "dst"))
-    out = stage(likely.join(a, "src").join(b, "dst").where(alike("of_src", "of_dst")).select("src", "dst").distinct(), "similar")
-    discard(sets)
+    out = stage(likely.join(a, "src").join(b, "dst").where(similar(F.col("of_src"), F.col("of_dst"))).select("src", "dst").distinct(), "similar")
+    discard(sets, wanted)
     return out
 
 
+def _matching(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """Rows of ``docs`` with (or, ``left_anti``, without) their id and tag among the staged ``keys`` (__id, __tag). Up to BROADCAST keys, of
+    some twenty bytes each, are sent to every task, so that texts stay where they are; more are joined."""
+    few = F.broadcast(keys) if keys.count() <= BROADCAST else keys
+    return docs.join(few, docs[id_col].cast("long").eqNullSafe(keys["__id"]) & (_tag(docs, text_col) == keys["__tag"]), how)
+
+
 def _stars(named: DataFrame, turn: int) -> DataFrame:
     """(src, dst) of each set and a few centres of every key that joins unequal components, where they may be similar."""
     centre = lambda k: F.min(F.struct(F.xxhash64("digest", F.lit(turn * CENTRES + k)).alias("order"), "digest", "component", "n", *_SMALL))
@@ -251,9 +264,12 @@ def near_copies_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     measured = _measured(docs, id_col, text_col)
     found = similar_sets(docs, measured, id_col, text_col)
     named = measured.join(found, measured["digest"] == found["node"], "left").select("id", "tag", F.coalesce("component", "digest").alias("component"))
+    named = stage(named, "named")
     least = named.groupBy("component").agg(F.min(F.struct("id", "tag")).alias("k"))
-    first = stage(least.select(F.col("k.id").alias("__near_id"), F.col("k.tag").alias("__near_tag")), "nearest")
+    key = F.struct("id", "tag")
+    gone = named.join(least, "component").where(~key.eqNullSafe(F.col("k"))).select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    lost = stage(gone, "lost")
     once = measured.groupBy("id", "tag").count().where("count > 1").isEmpty()
-    discard(measured)
-    stay = docs.join(first, docs[id_col].cast("long").eqNullSafe(first["__near_id"]) & (_tag(docs, text_col) == first["__near_tag"]), "left_semi")
+    discard(measured, named)
+    stay = _matching(docs, lost, id_col, text_col, "left_anti")
     return stay if once else stay.dropDuplicates([id_col, text_col])
