@@ -140,7 +140,7 @@ def ndcg_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(neighbours(spark, sf_dir, 10), sizes)
 
 
-def graded(near: DataFrame, sizes: DataFrame) -> DataFrame:
+def graded(near: DataFrame, sizes: DataFrame, rounded: bool = True) -> DataFrame:
     """q, ndcg of neighbours (q, qg, cg, place) with grades 3, 1, 0, given the sizes of the labels."""
     grade = F.when(F.col("cg") == F.col("qg"), 3.0).when(F.col("cg") == (F.col("qg") + 1) % 10, 1.0).otherwise(0.0)
     dcg = near.groupBy("q", "qg").agg(F.sum(grade * R.discounted()).alias("dcg"))
@@ -150,7 +150,8 @@ def graded(near: DataFrame, sizes: DataFrame) -> DataFrame:
     n3 = F.least(F.lit(10), F.col("n3") - 1)
     top = weight(n3)
     ideal = 3 * top + weight(F.least(F.lit(10), n3 + F.coalesce("n1", F.lit(0)))) - top
-    return known.select("q", r6(F.col("dcg") / ideal).alias("ndcg"))
+    ndcg = F.col("dcg") / ideal
+    return known.select("q", (r6(ndcg) if rounded else ndcg).alias("ndcg"))
 
 
 @query("cross_modal_recall", SIMS + """, t AS (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS place FROM sims WHERE q % 5 = 0 AND c <> q)
@@ -273,3 +274,27 @@ def identity_ranks(queries: DataFrame, targets: DataFrame, group: str, entity: s
     sim = F.round(dot("a", "b"), 12)
     better = (F.col("mate") != F.col("other")) & ((sim > F.col("own")) | ((sim == F.col("own")) & (F.col("c") < F.col("q"))))
     return own.join(t, group).groupBy(group, "q").agg((F.sum(better.cast("long")) + 1).alias("place")).withColumnRenamed("q", entity)
+
+
+_FILED = SIMS.replace("list_transform(embedding, lambda x: x::DOUBLE) AS vec", "list_transform(embedding, lambda x: CASE WHEN vec_id % 9 = 4 THEN 0.0 ELSE x::DOUBLE END) AS vec")
+
+
+@query("submission_report", _FILED + f" SELECT scope, count(*) AS n_queries, (SELECT count(*) FROM units) AS pool_size, (SELECT round(avg(CASE WHEN vec_id % 9 = 4 THEN 0.0 ELSE 1.0 END), 4) FROM embeddings) AS coverage, {_rounded()} FROM per_query GROUP BY scope")
+def submission_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A submission end to end: a CSV file with a row for each entity is loaded by its extension, its columns are found and aligned
+    with the pool (zeros where it has none), evaluated, and the report is written as JSON and read back."""
+    from lodestone.operators import vectors as V
+    from lodestone.sources.files import load, scratch_path, write_csv, write_report
+
+    pool = B.vectors(spark, sf_dir)
+    path = write_csv(V.vector_to_wide(pool.where("id % 9 <> 4"), "id", 64), scratch_path(spark, "submission") + ".csv")
+    filed = load(spark, path, "id long, " + ", ".join(f"f{i} double" for i in range(64)))
+    own = V.wide_to_vector(filed, "id", "f").withColumnRenamed("vec", "filed")
+    aligned = pool.select("id", "grp").join(own, "id", "left")
+    vectors = aligned.select("id", F.coalesce("filed", F.array_repeat(F.lit(0.0), 64)).alias("vec"), "grp")
+    found = R.rank_counts(vectors, R.relevance_edges(B.pairs(spark, sf_dir)))
+    parts = [R.query_metrics(found, f"rank_{s}").withColumn("scope", F.lit(s)) for s in ("all", "group")]
+    report = parts[0].unionByName(parts[1]).groupBy("scope").agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(n), 4).alias(n) for n in NAMES])
+    covered = aligned.agg(F.count(F.lit(1)).alias("pool_size"), F.round(F.avg(F.col("filed").isNotNull().cast("double")), 4).alias("coverage"))
+    full = report.join(F.broadcast(covered)).select("scope", "n_queries", "pool_size", "coverage", *NAMES)
+    return load(spark, write_report(full, scratch_path(spark, "report") + ".json"), "scope string, n_queries long, pool_size long, coverage double, " + ", ".join(f"{n} double" for n in NAMES))

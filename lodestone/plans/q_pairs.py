@@ -14,6 +14,7 @@ from lodestone.operators import samples as S
 from lodestone.operators import vectors as V
 from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SQL
+from lodestone.plans.numbering import numbered
 from lodestone.plans.q_eval import identity_ranks
 from lodestone.plans.q_vectors import SEASONS, season_vectors
 from lodestone.plans.registry import query
@@ -130,10 +131,6 @@ def ema(spark: SparkSession, sf_dir: str, alpha: float = 0.75) -> DataFrame:
     return folded.select("id", F.explode(F.arrays_zip("rows", "vecs")).alias("z")).select("id", "z.rows.s", "z.rows.season", F.col("z.vecs").alias("vec"))
 
 
-@query("season_ema", EMA_SQL + " SELECT id, season, round(e, 6) AS first FROM em")
-def season_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ema(spark, sf_dir).select("id", "season", r6(F.col("vec")[0]).alias("first"))
-
 
 @query("entity_split", f"SELECT c_custkey AS id, row_number() OVER (ORDER BY {U.format(key=chr(39) + 'es|' + chr(39) + ' || c_custkey')}, c_custkey) <= greatest(1, floor((SELECT count(*) FROM customer) * 0.3)) AS held_out FROM customer")
 def entity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,23 +173,37 @@ def weighted_pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 PICK = "row_number() OVER (PARTITION BY id ORDER BY " + U.format(key="'{seed}|' || doc_id") + ", doc_id)"
 
 
-@query("cross_season_pairs", SQL + SEASONS + TX + ", m AS (SELECT id FROM sv GROUP BY id HAVING count(DISTINCT season) >= 2), p AS (SELECT doc_id, id, " + PICK.format(seed="cs") + " AS k FROM tx WHERE id IN (SELECT id FROM m)) SELECT doc_id, id, season FROM p JOIN sv USING (id) WHERE k <= 2")
+@query("cross_season_pairs", SQL + SEASONS + TX + ", m AS (SELECT id FROM sv GROUP BY id HAVING count(DISTINCT season) >= 2), p AS (SELECT doc_id, id, " + PICK.format(seed="cs") + " AS k FROM tx WHERE id IN (SELECT id FROM m)) SELECT doc_id, id, season FROM p JOIN sv USING (id) WHERE k <= 2 ORDER BY " + U.format(key="'cap|' || doc_id || '|' || season") + ", doc_id, season LIMIT 5000")
 def cross_season_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two drawn texts of each entity with two seasons or more, with all its seasons."""
+    """Two drawn texts of each entity with two seasons or more, with all its seasons; of all pairs a sample of 5,000 at most, drawn by
+    hash."""
     s = season_vectors(spark, sf_dir).select("id", "season")
     many = s.groupBy("id").agg(F.countDistinct("season").alias("n")).where("n >= 2")
     k = F.row_number().over(Window.partitionBy("id").orderBy(uniform(F.lit("cs"), "doc_id"), "doc_id"))
-    return texts(spark, sf_dir).join(many, "id", "left_semi").withColumn("k", k).where("k <= 2").join(s, "id").select("doc_id", "id", "season")
+    every = texts(spark, sf_dir).join(many, "id", "left_semi").withColumn("k", k).where("k <= 2").join(s, "id").select("doc_id", "id", "season")
+    return every.orderBy(uniform(F.lit("cap"), "doc_id", "season"), "doc_id", "season").limit(5000)
+
+
+SHIFT = EMA_SQL.replace("SELECT id, s, season, vec[1] FROM sr a", "SELECT id, s, season, vec FROM sr a").replace("0.75 * sr.vec[1] + 0.25 * em.e", "list_transform(range(1, 5), lambda i: 0.75 * sr.vec[i] + 0.25 * em.e[i])")
+
+
+@query("season_ema", SHIFT + " SELECT id, season, unnest(range(4)) AS pos, round(unnest(e), 6) AS value FROM em")
+def season_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ema(spark, sf_dir).select("id", "season", F.posexplode("vec").alias("pos", "value")).select("id", "season", F.col("pos").cast("long").alias("pos"), r6("value").alias("value"))
 
 
-@query("season_shift_pairs", EMA_SQL + TX + ", pk AS (SELECT doc_id, id, " + PICK.format(seed="ss") + " AS k FROM tx) SELECT a.id, a.season, doc_id, round(b.e, 6) AS next_first FROM em a JOIN em b ON b.id = a.id AND b.s = a.s + 1 JOIN pk ON pk.id = a.id AND k = 1")
+@query("season_shift_pairs", SHIFT + TX + ", pk AS (SELECT doc_id, id, " + PICK.format(seed="ss") + " AS k FROM tx WHERE " + U.format(key="'val|' || id") + " >= 0.2), al AS (SELECT a.id, a.season, doc_id, b.e FROM em a JOIN em b ON b.id = a.id AND b.s = a.s + 1 JOIN pk ON pk.id = a.id AND k = 1), od AS (SELECT *, row_number() OVER (ORDER BY " + U.format(key="'sc|' || id || '|' || season") + ", id, season) - 1 AS i FROM al) SELECT id, season, doc_id, unnest(range(4)) AS pos, round(unnest(e), 6) AS value FROM od WHERE i < floor(0.3 * (SELECT count(*) FROM tx))")
 def season_shift_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One drawn text of an entity with the blended vector of the season after."""
-    e = ema(spark, sf_dir)
-    after = e.select("id", (F.col("s") - 1).alias("s"), r6(F.col("vec")[0]).alias("next_first"))
+    """One drawn text of a training entity with the blended vector of the season after; in number at most three tenths of all texts,
+    drawn by hash."""
+    e, own = ema(spark, sf_dir), texts(spark, sf_dir)
+    after = e.select("id", (F.col("s") - 1).alias("s"), F.col("vec").alias("next"))
     k = F.row_number().over(Window.partitionBy("id").orderBy(uniform(F.lit("ss"), "doc_id"), "doc_id"))
-    one = texts(spark, sf_dir).withColumn("k", k).where("k = 1").select("id", "doc_id")
-    return e.join(after, ["id", "s"]).join(one, "id").select("id", "season", "doc_id", "next_first")
+    one = own.where(uniform(F.lit("val"), "id") >= 0.2).withColumn("k", k).where("k = 1").select("id", "doc_id")
+    every = e.join(after, ["id", "s"]).join(one, "id").select("id", "season", "doc_id", "next").withColumn("u", uniform(F.lit("sc"), "id", "season"))
+    most = own.agg(F.floor(0.3 * F.count(F.lit(1))).alias("most"))
+    drawn = numbered(every, "u", "id", "season", name="i").join(F.broadcast(most)).where("i < most")
+    return drawn.select("id", "season", "doc_id", F.posexplode("next").alias("pos", "value")).select("id", "season", "doc_id", F.col("pos").cast("long").alias("pos"), r6("value").alias("value"))
 
 
 @query("texts_per_entity", "SELECT source AS entity, doc_id // 100 AS part, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id, text)) AS texts_md5 FROM documents GROUP BY ALL")
@@ -253,7 +264,7 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(F.broadcast(flags))
 
 
-@query("scan_csv_players")
+@query("scan_csv_players", "SELECT c_custkey AS player_id, round(c_acctbal::DOUBLE, 2) AS height_in_cm, c_mktsegment AS foot FROM customer")
 def scan_csv_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External players written as CSV and scanned with an explicit schema."""
     from lodestone.sources.files import load, scratch_path, write_csv
@@ -302,22 +313,40 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.unionByName(best)
 
 
-GAMES = """, gm AS (SELECT game, team, count(*) FILTER (type = 'shot' AND ok) AS goals FROM actions GROUP BY ALL), pv AS (SELECT game, team, player, avg(x0) AS fx, avg(y0) AS fy FROM actions GROUP BY ALL),
- tv AS (SELECT game, team, avg(fx) AS fx, avg(fy) AS fy, count(*) AS n FROM pv GROUP BY game, team HAVING count(*) >= 3)"""
+GAMES = """, nm AS (SELECT game, team, CASE WHEN action_id % 10 = 0 THEN 'unknown' ELSE 'club ' || team END AS name, count(*) AS n FROM actions GROUP BY ALL), mj AS (SELECT game, team, name FROM (SELECT *, row_number() OVER (PARTITION BY game, team ORDER BY n DESC, name) AS k FROM nm) WHERE k = 1),
+ gs AS (SELECT DISTINCT game, 'club ' || (game % 2) AS home, 'club ' || (1 - game % 2) AS away FROM actions), gm AS (SELECT game, team, count(*) FILTER (type = 'shot' AND ok) AS goals FROM actions GROUP BY ALL), pv AS (SELECT game, team, player, avg(x0) AS fx, avg(y0) AS fy FROM actions GROUP BY ALL),
+ tv AS (SELECT game, team, avg(fx) AS fx, avg(fy) AS fy, count(*) AS n FROM pv GROUP BY game, team HAVING count(*) >= 3), sd AS (SELECT tv.*, goals, name FROM tv JOIN gm USING (game, team) JOIN mj USING (game, team))"""
+
+
+@query("majority_names", SQL + GAMES + " SELECT game, team, name FROM mj")
+def majority_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return majority_name(named_actions(spark, sf_dir), "game", "team")
+
+
+def named_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with the name of the team as it was noted down, which now and then is missing."""
+    return B.actions(spark, sf_dir).withColumn("name", F.when(F.col("action_id") % 10 == 0, "unknown").otherwise(F.concat(F.lit("club "), "team")))
+
+
+def majority_name(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, name): the most frequent name of each, the first of equals."""
+    return V.first_by(rows.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n")), list(keys), [F.desc("n"), F.col("name")]).select(*keys, "name")
 
 
-@query("match_features", SQL + GAMES + """ SELECT h.game, round(h.fx, 6) AS home_x, round(h.fy, 6) AS home_y, round(a.fx, 6) AS away_x, round(a.fy, 6) AS away_y, CASE WHEN gh.goals > ga.goals THEN 'home' WHEN gh.goals < ga.goals THEN 'away' ELSE 'draw' END AS outcome
- FROM tv h JOIN tv a ON a.game = h.game AND h.team = 0 AND a.team = 1 JOIN gm gh ON gh.game = h.game AND gh.team = 0 JOIN gm ga ON ga.game = h.game AND ga.team = 1""")
+@query("match_features", SQL + GAMES + """ SELECT gs.game, round(h.fx, 6) AS home_x, round(h.fy, 6) AS home_y, round(a.fx, 6) AS away_x, round(a.fy, 6) AS away_y, CASE WHEN h.goals > a.goals THEN 'home' WHEN h.goals < a.goals THEN 'away' ELSE 'draw' END AS outcome
+ FROM gs JOIN sd h ON h.game = gs.game AND h.name = gs.home JOIN sd a ON a.game = gs.game AND a.name = gs.away""")
 def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean vectors of both teams (three players each at least) and the outcome of each game."""
-    a = B.actions(spark, sf_dir)
+    """Mean vectors of both teams (three players each at least) and the outcome of each game. Which team played at home follows from
+    its most frequent name in the game's log."""
+    a = named_actions(spark, sf_dir)
     player = a.groupBy("game", "team", "player").agg(F.avg("x0").alias("fx"), F.avg("y0").alias("fy"))
     team = player.groupBy("game", "team").agg(F.avg("fx").alias("fx"), F.avg("fy").alias("fy"), F.count(F.lit(1)).alias("n")).where("n >= 3")
     goals = a.groupBy("game", "team").agg(F.count_if((F.col("type") == "shot") & F.col("ok")).alias("goals"))
-    both = team.join(goals, ["game", "team"])
-    side = lambda t, name: both.where(F.col("team") == t).select("game", r6("fx").alias(f"{name}_x"), r6("fy").alias(f"{name}_y"), F.col("goals").alias(f"{name}_goals"))
+    both = team.join(goals, ["game", "team"]).join(majority_name(a, "game", "team"), ["game", "team"])
+    games = a.select("game", F.concat(F.lit("club "), F.col("game") % 2).alias("home"), F.concat(F.lit("club "), 1 - F.col("game") % 2).alias("away")).distinct()
+    side = lambda name: both.select("game", F.col("name").alias(name), r6("fx").alias(f"{name}_x"), r6("fy").alias(f"{name}_y"), F.col("goals").alias(f"{name}_goals"))
     outcome = F.when(F.col("home_goals") > F.col("away_goals"), "home").when(F.col("home_goals") < F.col("away_goals"), "away").otherwise("draw")
-    return side(0, "home").join(side(1, "away"), "game").select("game", "home_x", "home_y", "away_x", "away_y", outcome.alias("outcome"))
+    return games.join(side("home"), ["game", "home"]).join(side("away"), ["game", "away"]).select("game", "home_x", "home_y", "away_x", "away_y", outcome.alias("outcome"))
 
 
 SH = f"""WITH ev AS (SELECT event_id, user_id AS player, 0 AS tourn FROM events), s AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY {U.format(key=chr(39) + 'sh|' + chr(39) + ' || event_id')}, event_id) AS i, count(*) OVER (PARTITION BY player) AS n FROM ev)

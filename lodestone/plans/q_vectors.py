@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,16 +132,19 @@ def random_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def method_vectors(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     """The registry of methods: name -> (id, vec, grp)."""
+    from lodestone.sources.files import load, scratch_path, write_parquet
+
     v = B.vectors(spark, sf_dir)
-    made = {"full": lambda: v, "half": lambda: v.withColumn("vec", F.slice("vec", 1, 32)), "random": lambda: V.random_vectors(v, 64).join(v.select("id", "grp"), "id")}
+    filed = lambda: load(spark, write_parquet(v.withColumn("vec", F.slice("vec", 33, 32)), scratch_path(spark, "method")))
+    made = {"full": lambda: v, "half": lambda: v.withColumn("vec", F.slice("vec", 1, 32)), "random": lambda: V.random_vectors(v, 64).join(v.select("id", "grp"), "id"), "file": filed}
     return made[method]()
 
 
-@query("method_table", SQL + RANDOM + """ SELECT method, count(*) AS n, round(sum(vec[1]), 6) AS first, max(len(vec)) AS size FROM (SELECT 'full' AS method, vec FROM vecs UNION ALL SELECT 'half', vec[1:32] FROM vecs UNION ALL SELECT 'random', vec FROM rv) GROUP BY method""")
+@query("method_table", SQL + RANDOM + """, mt AS (SELECT 'full' AS method, id, vec FROM vecs UNION ALL SELECT 'half', id, vec[1:32] FROM vecs UNION ALL SELECT 'random', id, vec FROM rv UNION ALL SELECT 'file', id, vec[33:64] FROM vecs) SELECT method, id, unnest(range(len(vec))) AS pos, round(unnest(vec), 6) AS value FROM mt""")
 def method_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [method_vectors(spark, sf_dir, m).select(F.lit(m).alias("method"), "vec") for m in B.METHODS]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.groupBy("method").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.col("vec")[0])).alias("first"), F.max(F.size("vec")).cast("long").alias("size"))
+    """Every method's vectors; one comes from a file."""
+    every = functools.reduce(DataFrame.unionByName, [method_vectors(spark, sf_dir, m).select(F.lit(m).alias("method"), "id", "vec") for m in (*B.METHODS, "file")])
+    return every.select("method", "id", F.posexplode("vec").alias("pos", "value")).select("method", "id", F.col("pos").cast("long").alias("pos"), r6("value").alias("value"))
 
 
 SEASONS = """, sv AS (SELECT player AS id, season, team AS zone, count(*) AS n, [avg(x0), avg(y0), avg(x1 - x0), avg(CAST(ok AS DOUBLE))] AS vec FROM actions GROUP BY ALL)"""
