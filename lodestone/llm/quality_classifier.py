@@ -2,12 +2,14 @@
 
 Features are measured in one pass over the texts. The model is fitted by cyclic boosting: round after round each feature in
 turn gets a shallow tree over its bins, fitted to what is left of the labels, and all trees of a feature add up to one lookup
-table; then pairs of features that still explain the residuals get two-way tables. A score is the sum of a few table entries.
+table; then pairs of features that still explain the residuals get trees of depth two over their two-way bins, which add up to
+one matrix for each pair. A score is the sum of a few table entries.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +22,8 @@ from lodestone.plans.staging import stage
 
 FEATURES = (
     "log_words", "word_length", "symbol_share", "upper_share", "digit_share", "mark_share", "repeat_share", "distinct_share",
-    "line_repeat_share", "line_words", "common_share", "longest_word", "bar_share", "start_upper_share",
+    "line_repeat_share", "line_words", "short_share", "longest_word", "top_word_share", "start_upper_share",
 )
-#: Fixed value: frequent function words of four European languages.
-COMMON = frozenset("the of and to in a is that it was for on are as with der die und den das ist nicht von mit zu le la les des et un une que dans pour el los las de en por con no se su es".split())
-
-
 def features_of(text: str | None) -> tuple[float, ...]:
     """The FEATURES of a whole text, finite for any text; a text without words has zeros."""
     words = (text or "").split()
@@ -44,7 +42,7 @@ def features_of(text: str | None) -> tuple[float, ...]:
     return (
         float(np.log1p(n)), chars / n, symbols / chars, upper / max(1, letters), digits / chars, marks / n,
         1 - len(set(grams)) / len(grams) if grams else 0.0, len(set(words)) / n ** 0.8, 1 - len(set(lines)) / max(1, len(lines)),
-        n / max(1, len(lines)), sum(w.lower() in COMMON for w in words) / n, float(max(map(len, words))), words.count("|") / n,
+        n / max(1, len(lines)), sum(len(w) <= 3 for w in words) / n, float(max(map(len, words))), Counter(words).most_common(1)[0][1] / n,
         sum(w[0].isupper() for w in words) / n,
     )
 
@@ -108,6 +106,24 @@ def _shallow(gradient: np.ndarray, weight: np.ndarray, leaves: int, least: float
     return out
 
 
+def _shallow_pair(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A tree of depth two over a two-way grid of bins: the cut along the rows and the cut along the columns that together explain
+    most, found among all pairs of cuts (a pure interaction shows in no single cut). Without two bins on a side it has one leaf there."""
+
+    def quadrants(x: np.ndarray) -> np.ndarray:
+        sums = np.zeros((x.shape[0] + 1, x.shape[1] + 1))
+        sums[1:, 1:] = x.cumsum(0).cumsum(1)
+        up = sums[1:, 1:]  # sums of rows before and columns before each cut; a cut at the end leaves the other side empty
+        return np.stack([up, up[:, -1:] - up, up[-1:, :] - up, up[-1, -1] - up[:, -1:] - up[-1:, :] + up])
+
+    g, h = quadrants(gradient), quadrants(weight)
+    steps = g / (h + 1)
+    k, j = np.unravel_index((g * steps).sum(axis=0).argmax(), gradient.shape)
+    out = np.empty(gradient.shape)
+    out[: k + 1, : j + 1], out[: k + 1, j + 1 :], out[k + 1 :, : j + 1], out[k + 1 :, j + 1 :] = steps[:, k, j]
+    return out
+
+
 def fit_table(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse_bins: int = 8, rounds: int = 150, pair_rounds: int = 60, most_pairs: int = 6, rate: float = 0.1, leaves: int = 3) -> AdditiveModel:
     """Cyclic boosting on rows of features and labels 0/1; with no rows the model says 0.5, with one label that one nearly."""
     m = x.shape[1]
@@ -137,12 +153,11 @@ def fit_table(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse_bins: int = 8
     pairs = [(i, j, np.zeros((len(coarse[i]) + 1, len(coarse[j]) + 1))) for _, i, j in sorted(gains, reverse=True)[:most_pairs]]
     for _ in range(pair_rounds):
         for i, j, table in pairs:
-            # Two shallow cuts: along one feature, then along the other within each part, come to a step by cell, damped.
             cell = wide[i] * table.shape[1] + wide[j]
-            g, h = steps(cell, table.size)
-            step = rate * g / (h + 4)
-            table += step.reshape(table.shape)
-            total += step[cell]
+            g, h = (x.reshape(table.shape) for x in steps(cell, table.size))
+            step = rate * _shallow_pair(g, h)
+            table += step
+            total += step.ravel()[cell]
     return AdditiveModel(edges, coarse, intercept, tuple(tables), tuple(pairs))
 
 

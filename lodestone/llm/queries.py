@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.chat_format import rotate_perspectives
 from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.packing import pack
-from lodestone.llm.quality_rules import ledger, passes
+from lodestone.llm.quality_rules import RULES, ablation, ledger, passes
 from lodestone.plans.staging import table
 
 
@@ -73,11 +73,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~passes("v1")).alias("base_failed"), passes("v2").alias("kept"), F.col("failed").alias("failed_bits"),
+        (~passes("v1")).alias("base_failed"), passes("v3").alias("kept"), F.col("failed").alias("failed_bits"),
     )
 
 
-OP5_SQL = r"""
+_OP5_BITS = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 p AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -87,15 +87,27 @@ c AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unnest(r
 m AS (SELECT p.r, doc_id, len(words) AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
              length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(t, '\P{L}+', '', 'g')) AS n_letters,
-             length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS n_upper
+             length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS n_upper,
+             length(regexp_replace(t, '\P{Nd}+', '', 'g')) AS n_digits, len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
+             len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines, len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words, len(list_distinct(words)) AS n_distinct_words
       FROM p LEFT JOIN c USING (r)),
 b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
              + 8 * (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
-             + 32 * (word_chars > 25 * n_words)::BIGINT + 64 * (n_letters >= 20 AND 2 * n_upper > n_letters)::BIGINT AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
+             + 32 * (word_chars > 25 * n_words)::BIGINT + 64 * (n_letters >= 20 AND 2 * n_upper > n_letters)::BIGINT
+             + 128 * (n_lines >= 10 AND 10 * n_bullet_lines > 9 * n_lines)::BIGINT + 256 * (n_lines >= 10 AND 10 * n_ellipsis_lines > 3 * n_lines)::BIGINT + 512 * (2 * n_digits > word_chars)::BIGINT
+             + 1024 * (n_words >= 10 AND 10 * n_letter_words < 6 * n_words)::BIGINT + 2048 * (n_words >= 50 AND 10 * n_distinct_words < n_words)::BIGINT AS failed_bits FROM m)"""
+OP5_SQL = _OP5_BITS + """ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy fails, fails alone, and would let through if it were dropped, over all documents."""
+    return ablation(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "v3")
+
+
+ABLATION_SQL = _OP5_BITS + " SELECT rule, bit, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_only, count(*) FILTER (failed_bits & ~bit = 0) AS n_kept_without FROM b, (VALUES " + ", ".join(f"('{r}', {1 << k}::BIGINT)" for k, r in enumerate(RULES)) + ") v(rule, bit) GROUP BY rule, bit"
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -161,8 +173,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_simhash": op10_simhash}
+    return {"pipeline": pipeline, "op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_simhash": op10_simhash, "rule_ablation": rule_ablation}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_substring_dedup": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_substring_dedup": OP7_SQL, "rule_ablation": ABLATION_SQL}

@@ -366,6 +366,40 @@ def test_classifier_learns_an_interaction():
     assert ((model.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.9
 
 
+def test_classifier_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(6)
+    x = rng.random((400, len(quality_classifier.FEATURES)))
+    model = quality_classifier.fit_table(x, (x[:, 2] + x[:, 3] > 1).astype(float))
+    for row, got in zip(x[:40], model.score(x[:40])):
+        place = lambda edges, v: sum(v >= e for e in edges)
+        total = model.intercept + sum(t[place(e, v)] for t, e, v in zip(model.tables, model.edges, row))
+        total += sum(t[place(model.coarse[i], row[i]), place(model.coarse[j], row[j])] for i, j, t in model.pairs)
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pair_tree_takes_the_best_pair_of_cuts(seed):
+    rng = np.random.default_rng(seed)
+    g, h = rng.normal(size=(5, 6)), rng.random((5, 6)) + 2
+    quarters = lambda k, j: [np.s_[:k, :j], np.s_[:k, j:], np.s_[k:, :j], np.s_[k:, j:]]
+    gain = lambda parts: sum(g[p].sum() ** 2 / (h[p].sum() + 1) for p in parts)
+    best = max((quarters(k, j) for k in range(1, 6) for j in range(1, 7)), key=gain)
+    want = np.zeros_like(g)
+    for part in best:
+        want[part] = g[part].sum() / (h[part].sum() + 1)
+    assert np.allclose(quality_classifier._shallow_pair(g, h), want)
+
+
+def test_ledger_with_other_rules(spark):
+    rules = {"tiny": "n_words < 3", "loud": "n_upper > 2"}
+    rows = spark.createDataFrame([(1, "a b"), (2, "AAA b c d"), (3, "AAA")], "doc_id long, text string")
+    made = quality_rules.ledger(rows, rules=rules)
+    policies = {"p": ("tiny", "loud"), "q": ("loud",)}
+    assert {r.doc_id: r.ok for r in made.select("doc_id", quality_rules.passes("q", rules=rules, policies=policies).alias("ok")).collect()} == {1: True, 2: False, 3: False}
+    got = {r["rule"]: (r["n_failed"], r["n_only"], r["n_kept_without"]) for r in quality_rules.ablation(made, "p", rules, policies).collect()}
+    assert got == {"tiny": (2, 1, 1), "loud": (2, 1, 1)}
+
+
 def test_simhash_edges(odd, none):
     got = simhash.near_duplicates(odd).toPandas()
     assert len(got) == len(TEXTS) and set(got[got.fp == 0].component_id) == {1}
