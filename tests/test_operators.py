@@ -18,7 +18,7 @@ from lodestone.operators import ranking as R
 from lodestone.operators import samples as S
 from lodestone.operators import vectors as V
 from lodestone.operators.graph import connected_components
-from lodestone.plans.numbering import numbered
+from lodestone.plans.numbering import numbered, running_sum
 
 
 def ranked(spark, sims, relevant):
@@ -27,15 +27,22 @@ def ranked(spark, sims, relevant):
     return spark.createDataFrame([(0, order.index(r)) for r in relevant], "q long, rank long")
 
 
-def test_metrics_mixed(spark):
-    m = R.query_metrics(ranked(spark, [10.0, 0.9, 0.3, 0.8, 0.5], {2, 4}), "rank").first()
-    assert (m["hit_1"], m["hit_5"], m["hit_10"], m["recall_10"]) == (0, 1, 1, 1)
-    assert m["mrr"] == pytest.approx(1 / 3) and m["ap"] == pytest.approx(5 / 12)
+def test_metrics_of_three_relevant_items(spark):
+    # Others in order: 5, 1, 3 (tied with 1, the smaller id first), 6, 2, 4.
+    m = R.query_metrics(ranked(spark, [2.0, 0.7, 0.2, 0.7, -0.4, 0.8, 0.6], {3, 4, 5}), "rank").first()
+    assert (m["hit_1"], m["hit_5"], m["hit_10"], m["recall_10"], m["mrr"]) == (1, 1, 1, 1, 1)
+    assert m["ap"] == pytest.approx((1 / 1 + 2 / 3 + 3 / 6) / 3)
 
 
-def test_metrics_perfect(spark):
-    m = R.query_metrics(ranked(spark, [10.0, 0.99, 0.98, 0.10, 0.05], {1, 2}), "rank").first()
-    assert (m["hit_1"], m["mrr"], m["ap"]) == (1, 1, 1)
+def test_metrics_of_an_item_beyond_the_cut(spark):
+    m = R.query_metrics(spark.createDataFrame([(7, 11), (7, 3)], "q long, rank long"), "rank").first()
+    assert (m["hit_1"], m["hit_5"], m["recall_10"], m["mrr"]) == (0, 1, 0.5, 0.25) and m["ap"] == pytest.approx((1 / 4 + 2 / 12) / 2)
+
+
+def test_relevant_item_outside_the_group_comes_after_the_group(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.9, 0.1], 1), (2, [0.0, 1.0], 0), (3, [0.5, 0.5], 0)], "id long, vec array<double>, grp int")
+    r = R.rank_counts(df, spark.createDataFrame([(0, 1)], "q long, r long")).first()
+    assert (r["rank_all"], r["rank_group"]) == (0, 3)  # behind 2 and 3 of the group, and behind 0 itself, which is masked and has the smaller id
 
 
 def vectors(spark, n=60, d=8, seed=3, ties=False):
@@ -175,3 +182,68 @@ def test_threat_surface(spark):
     df = spark.createDataFrame(rows, "type string, ok boolean, x0 double, y0 double, x1 double, y1 double")
     got = sorted(round(r["xt"], 6) for r in E.threat_surface(df).collect())
     assert got == [0.25, 0.5] and math.isclose(max(got), 0.5)
+
+
+def test_factors_against_numpy(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((40, 3)) @ rng.random((3, 12)) * (rng.random((40, 12)) > 0.3)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, vec array<double>").repartition(5)
+    h = M.fit_factors(df, 3, seed=2, rounds=15, steps=10)
+    want = np.random.default_rng(2).random((3, 12)) + 0.1
+    for _ in range(15):
+        w = np.ones((40, 3))
+        for _ in range(10):
+            w *= (x @ want.T) / np.maximum(w @ (want @ want.T), 1e-12)
+        for _ in range(10):
+            want = want * (w.T @ x) / np.maximum((w.T @ w) @ want, 1e-12)
+    assert np.allclose(h, want, rtol=1e-6, atol=1e-9) and (h >= 0).all()
+    new = spark.createDataFrame([(0, x[0].tolist()), (1, [0.0] * 12)], "id long, vec array<double>")
+    w = np.array([r["vec"] for r in M.factor_weights(new, h).orderBy("id").collect()])
+    assert (w >= 0).all() and np.allclose(w[1], 0, atol=1e-9)
+    assert np.linalg.norm(w[0] @ h - x[0]) <= np.linalg.norm(x[0])
+
+
+def test_probe_tells_classes_apart(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) + 4 * np.eye(4)[i % 3]).tolist(), "abc"[i % 3]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+    said = M.probe(df.where("id < 180"), df.where("id >= 180"), "label")
+    whole = M.overall_metrics(said).first()
+    pairs = [(r["label"], r["predicted"]) for r in said.collect()]
+    f1 = []
+    for c in "abc":
+        hit, called, real = sum(p == (c, c) for p in pairs), sum(p[1] == c for p in pairs), sum(p[0] == c for p in pairs)
+        f1.append(2 * hit / (called + real))
+    assert whole["n"] == 60 and whole["accuracy"] == pytest.approx(np.mean([a == b for a, b in pairs])) and whole["accuracy"] > 0.9
+    assert whole["macro_f1"] == pytest.approx(np.mean(f1))
+    one = M.probe(df.where("label = 'a'"), df.where("id >= 180"), "label")
+    assert {r["predicted"] for r in one.collect()} == {None} and M.overall_metrics(one).first()["accuracy"] == 0
+
+
+def test_match_outcome_counts_what_it_says(spark):
+    from lodestone.plans.catalog import reference_queries
+    from tests.conftest import SF
+
+    r = reference_queries()["match_outcome"](spark, SF).first()
+    games = reference_queries()["match_features"](spark, SF).toPandas()
+    assert 0 < r["n"] < len(games) and 0 <= r["accuracy"] <= 1 and r["majority"] >= 1 / 3
+    assert r["accuracy"] * r["n"] == pytest.approx(round(r["accuracy"] * r["n"]))
+
+
+def test_running_sums_span_partitions(spark):
+    rng = random.Random(4)
+    rows = [(g, v, rng.randrange(1, 5)) for g in "ab" for v in rng.sample(range(1000), 200)]
+    got = running_sum(spark.createDataFrame(rows, "g string, v long, n long"), ["g"], "v", "n").collect()
+    for r in got:
+        assert r["up_to"] == sum(n for g, v, n in rows if g == r["g"] and v <= r["v"])
+
+
+def test_teammates_leave_the_gallery(spark):
+    from lodestone.plans.q_eval import identity_ranks
+
+    sides = lambda rows: spark.createDataFrame(rows, "t int, player long, team int, vec array<double>")
+    q = sides([(1, 1, 0, [1.0, 0.0]), (1, 2, 0, [0.0, 1.0]), (1, 3, 1, [1.0, 1.0]), (1, 9, 1, [float("nan"), 1.0])])
+    t = sides([(1, 1, 0, [0.6, 0.8]), (1, 2, 0, [1.0, 0.1]), (1, 3, 1, [0.9, 0.2]), (1, 9, 1, [1.0, 1.0])])
+    every = {r["player"]: r["place"] for r in identity_ranks(q, t, "t", "player").collect()}
+    others = {r["player"]: r["place"] for r in identity_ranks(q, t, "t", "player", "team").collect()}
+    assert every == {1: 4, 2: 4, 3: 3} and others == {1: 3, 2: 3, 3: 2}
