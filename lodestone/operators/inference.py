@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import uniform
 from lodestone.functions.distributions import t_figures, t_p_value
-from lodestone.plans.numbering import numbered
+from lodestone.plans.numbering import numbered, running_sum
 
 
 def draws(spark_frame: DataFrame, sizes: DataFrame, replicates: int, seed: str, *keys: str) -> DataFrame:
@@ -29,10 +29,11 @@ def resampled_means(groups: DataFrame, replicates: int, seed: str, *keys: str) -
 
 
 def indexed(units: DataFrame, key: str, *keys: str) -> DataFrame:
-    """``units`` with idx from 0 in order of ``key``: within ``keys``, or overall without gathering all rows in one task."""
+    """``units`` with idx from 0 in order of ``key``, within ``keys`` or overall, without gathering a group's rows in one task."""
     if not keys:
         return numbered(units, key)
-    return units.withColumn("idx", (F.row_number().over(Window.partitionBy(*keys).orderBy(key)) - 1).cast("long"))
+    placed = running_sum(units.withColumn("__one", F.lit(1)), list(keys), key, "__one", "__up_to")
+    return placed.withColumn("idx", (F.col("__up_to") - 1).cast("long")).drop("__one", "__up_to")
 
 
 def interval(means: DataFrame, *keys: str) -> DataFrame:

@@ -27,8 +27,10 @@ def running_sum(df: DataFrame, groups: list[str], order: str, amount: str, name:
     Rows are range-partitioned by group and order, so that a large group spans many tasks; sums of the partitions before are
     added to those within.
     """
-    ranged = stage(df.repartitionByRange(*groups, order).withColumn("__part", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy(*groups, "__part").agg(F.sum(amount).alias("__sum"))
-    before = sums.select(*groups, "__part", (F.sum("__sum").over(Window.partitionBy(*groups).orderBy("__part")) - F.col("__sum")).alias("__before"))
-    within = F.sum(amount).over(Window.partitionBy(*groups, "__part").orderBy(order))
-    return ranged.join(before, [*groups, "__part"]).withColumn(name, F.col("__before") + within).drop("__part", "__before")
+    # A struct of the group's columns is equal to another one when their nulls are at the same places.
+    keyed = df.withColumn("__group", F.struct(*groups))
+    ranged = stage(keyed.repartitionByRange("__group", order).withColumn("__part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("__group", "__part").agg(F.sum(amount).alias("__sum"))
+    before = sums.select("__group", "__part", (F.sum("__sum").over(Window.partitionBy("__group").orderBy("__part")) - F.col("__sum")).alias("__before"))
+    within = F.sum(amount).over(Window.partitionBy("__group", "__part").orderBy(order))
+    return ranged.join(before, ["__group", "__part"]).withColumn(name, F.col("__before") + within).drop("__part", "__before", "__group")
