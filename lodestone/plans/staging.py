@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FREED_AT = 0.0
-_FREE_EVERY = 15.0
+_FREE_EVERY = 5.0
 
 
 @functools.cache
@@ -64,15 +64,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*staged: DataFrame) -> None:
-    """Remove the files of staged tables that nothing will read again. Now and then also let go of the plans that read them:
-    Spark removes shuffle files once the driver has collected the plans they belong to."""
-    global _FREED_AT
+    """Remove the files of staged tables that nothing will read again, and let go of the plans that read them."""
     for df in staged:
         _delete(df.sparkSession, df._staged_path)
-    if staged and time.monotonic() - _FREED_AT > _FREE_EVERY:
+    if staged:
+        release(staged[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Now and then let go of plans that have run: Spark removes shuffle files once the driver has collected the plans they belong to."""
+    global _FREED_AT
+    if time.monotonic() - _FREED_AT > _FREE_EVERY:
         _FREED_AT = time.monotonic()
         gc.collect()
-        staged[0].sparkSession._jvm.System.gc()
+        spark._jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:
