@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.simhash import links
 from lodestone.llm.words import mixed, sliced, split_words, string_hashes
 from lodestone.operators.graph import connected_components
-from lodestone.plans.staging import discard, stage
+from lodestone.plans.staging import discard, release, stage
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # at least four fifths
 CENTRES = 4
-MANY = 256
+MANY = 64
 BROADCAST = 500_000
 _RUN = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
@@ -223,13 +223,15 @@ def _by_fingerprint(measured: DataFrame) -> DataFrame:
 def similar_sets(docs: DataFrame, measured: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """(node, component) of the digests that are linked to others; links are similarities of at least 0.8, all found.
 
-    While keys with over ``many`` sets join unequal components, and stars settle them, stars are drawn around new centres; then all
-    pairs that meet in unequal components are compared.
+    While the sets that meet in unequal components meet over ``many`` others on average, and stars settle them, stars are drawn
+    around new centres; then all pairs that meet in unequal components are compared.
     """
     keyed = measured.select("digest", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("key")
+    shared = stage(keyed.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("key"), "prefixshared")
+    release(docs.sparkSession)
     keys = keyed.join(shared, "key").select("digest", "key").distinct()
     met = stage(keys.join(measured.select("digest", "n", *_SMALL).dropDuplicates(["digest"]), "digest"), "prefixmet")
+    discard(shared)
     sketches = measured.select("digest", "odd", "n").dropDuplicates(["digest"])
     proposed, turn, linked, before = _by_fingerprint(measured), 0, None, None
     named = met.withColumn("component", F.col("digest"))
@@ -242,9 +244,9 @@ def similar_sets(docs: DataFrame, measured: DataFrame, id_col: str = "doc_id", t
         unlike = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
         left = stage(named.join(unlike, "key"), "opened")
         discard(likely)
-        # What pairs would cost, in comparisons: another round pays while large keys are open and the last one settled a tenth.
-        cost = left.agg(F.sum("m")).first()[0] or 0
-        if left.where(F.col("m") > many).isEmpty() or before is not None and cost > 0.9 * before:
+        # What pairs would cost, in comparisons: another round pays while that is many times a round's, and the last one settled a tenth.
+        cost, rows = left.agg(F.sum("m"), F.count(F.lit(1))).first()
+        if (cost or 0) <= many * rows or before is not None and cost > 0.9 * before:
             break
         named, proposed, turn, before = left.drop("m"), proposed.limit(0), turn + 1, cost
     a, b = left.alias("a"), left.alias("b")
