@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.words import mixed, sliced, split_words, string_hashes
-from lodestone.plans.staging import discard, stage
+from lodestone.plans.staging import discard, release, stage
 
 END = ""  # the token that ends a text and precedes the first; no word is empty
 _BASE = 0x9E3779B97F4A7C15
@@ -113,23 +113,18 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
 
 
 def short(keys: np.ndarray, segments: int) -> np.ndarray:
-    """48 bits of a key below those that choose the segment; counts and probes travel under these."""
-    return keys << np.uint64(segments.bit_length() - 1) >> np.uint64(16)
-
-
-def joint(segment: np.ndarray, small: np.ndarray) -> np.ndarray:
-    """Segment and 48-bit key as one number."""
-    return mixed(segment.astype(np.uint64)) ^ small
+    """40 bits of a key below those that choose the segment; counts and probes travel under these."""
+    return keys << np.uint64(segments.bit_length() - 1) >> np.uint64(24)
 
 
 def packed_keys(keys: np.ndarray) -> np.ndarray:
-    """48-bit keys as six bytes each."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    """40-bit keys as five bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
 
 
 def unpacked_keys(blob: bytes) -> np.ndarray:
-    keys = np.zeros((len(blob) // 6, 8), np.uint8)
-    keys[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    keys = np.zeros((len(blob) // 5, 8), np.uint8)
+    keys[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
     return keys.view("<u8").ravel()
 
 
@@ -292,73 +287,77 @@ def _with_broadcast(docs: DataFrame, known: Known, table: DataFrame, segments: i
 
 
 def _by_shuffle(docs: DataFrame, known: Known, table: DataFrame, segments: int, settings: Settings) -> tuple[DataFrame, list[DataFrame]]:
-    """Scores by a filter that stays a table: probes go to its segments, and levels come back, in streams sorted by segment and by
-    block, of which a task holds one segment or the levels of one block."""
+    """Scores by a filter that stays a table: the keys that a block of texts asks for go to the segments, and their levels come back,
+    in streams sorted by segment and by block, of which a task holds one segment or one block. A block is one row of some
+    megabytes; it tells its keys in one order, so that levels come back without them."""
     context = docs.sparkSession.sparkContext
     facts = context.broadcast(known)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in sliced(batches, 2 << 20):
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), pa.array(np.arange(row, row + n)), batch["id"], batch["text"]], names=["block", "row", "id", "text"])
-            row += n
+            offsets = pa.array([0, batch.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays([batch[c]])) for c in ("id", "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([row]), *lists], names=["block", "ids", "texts"])
+            row += batch.num_rows
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2 << 20):
-            block = batch["block"].to_numpy()
-            for a, b in runs_of(block):
-                keys = asked(batch["text"].slice(a, b - a), facts.value)[1]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys = asked(batch["texts"][k].values, facts.value)[1]
                 small = packed_keys(short(keys, segments))
-                rows = [(s, int(block[a]), small[part].tobytes()) for s, part in by_segment(keys, segments)]
+                rows = [(s, batch["block"][k].as_py(), small[part].tobytes()) for s, part in by_segment(keys, segments)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["segment", "block", "keys"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words = -1, np.empty(0, np.uint64)
         for batch in batches:
-            out = []
-            for segment, block, keys, bits in zip(*(batch[c].to_pylist() for c in ("segment", "block", "keys", "bits"))):
-                if bits is not None:
-                    now, words = segment, np.frombuffer(bits, np.uint64)
+            segment = batch["segment"].to_numpy()
+            bits, blocks_of, blobs = batch["bits"], batch["block"], batch["keys"]
+            out_levels, kept = [], []
+            for a, b in runs_of(segment):  # a segment's own row comes first, its probes follow, maybe in later batches too
+                first = a
+                if bits[a].is_valid:
+                    now, words, first = segment[a], np.frombuffer(bits[a].as_py(), np.uint64), a + 1
+                if first == b:
                     continue
-                asked_for = unpacked_keys(keys)
-                size = np.full(len(asked_for), len(words) if segment == now else 0)
-                out.append((block, segment, keys, probed_levels(words, np.zeros(len(asked_for), np.int64), size, asked_for, settings.keys).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([],) * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "segment", "keys", "levels"])
+                asked_for = blobs.slice(first, b - first).to_pylist()
+                small = unpacked_keys(b"".join(asked_for))
+                size = np.full(len(small), len(words) if segment[a] == now else 0)
+                level = probed_levels(words, np.zeros(len(small), np.int64), size, small, settings.keys).tobytes()
+                ends = np.cumsum([len(k) // 5 for k in asked_for]).tolist()
+                out_levels += [level[x:y] for x, y in zip([0, *ends], ends)]
+                kept += range(first, b)
+            own = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([blocks_of.take(own), batch["segment"].take(own), pa.array(out_levels, pa.binary())], names=["block", "segment", "levels"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, table_of = None, [], None
-
-        def counts(keys: np.ndarray) -> np.ndarray:
-            held, level = table_of
-            return counts_of(level[np.searchsorted(held, joint(segment_of(keys, segments), short(keys, segments)))], settings.log_base)
-
+        parts: list[bytes] = []
         for batch in batches:
-            block, of_levels = batch["block"].to_numpy(), batch["levels"].is_valid().to_numpy(zero_copy_only=False)
-            for a, b in runs_of(block * 2 + of_levels):
-                if block[a] != now:
-                    now, parts, table_of = block[a], [], None
-                if of_levels[a]:
-                    for s, keys, level in zip(*(batch[c].slice(a, b - a).to_pylist() for c in ("segment", "keys", "levels"))):
-                        parts.append((joint(np.array([s]), unpacked_keys(keys)), np.frombuffer(level, np.uint8)))
+            is_text, block = batch["texts"].is_valid().to_pylist(), batch["block"].to_numpy()
+            levels_of = batch["levels"]
+            for k in range(batch.num_rows):
+                if not is_text[k]:
+                    parts.append(levels_of[k].as_py())
                     continue
-                if table_of is None:
-                    keys, level = (np.concatenate(x) for x in zip(*parts))
-                    keys, first = np.unique(keys, return_index=True)
-                    table_of = keys, level[first]
-                texts = batch["text"].slice(a, b - a)
-                yield from scored(asked(texts, facts.value)[0], batch["row"].slice(a, b - a).to_numpy(), batch["id"].slice(a, b - a), facts.value, counts)
-
-    texts = stage(docs.mapInArrow(blocks, "block long, row long, id long, text string"), "blocks")
+                texts = batch["texts"][k].values
+                tokens, keys = asked(texts, facts.value)
+                level = np.frombuffer(b"".join(parts), np.uint8)  # by segment, and so in the order of the keys
+                parts = []
+                counts = lambda wanted, keys=keys, level=level: counts_of(level[np.searchsorted(keys, wanted)], settings.log_base)
+                yield from scored(tokens, block[k] + np.arange(len(texts)), batch["ids"][k].values, facts.value, counts)
+
+    texts = stage(docs.mapInArrow(blocks, "block long, ids array<long>, texts array<string>"), "blocks")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     sent = texts.mapInArrow(probes, "segment int, block long, keys binary")
     both = table.select("segment", none("long", "block"), none("binary", "keys"), "bits").unionByName(sent.select("segment", "block", "keys", none("binary", "bits")))
     ordered = both.repartition("segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
-    answers = stage(ordered.mapInArrow(answer, "block long, segment int, keys binary, levels binary"), "answers")
-    back = answers.select("block", none("long", "row"), none("long", "id"), none("string", "text"), "segment", "keys", "levels").unionByName(
-        texts.select("block", "row", "id", "text", none("int", "segment"), none("binary", "keys"), none("binary", "levels"))
+    answers = stage(ordered.mapInArrow(answer, "block long, segment int, levels binary"), "answers")
+    release(docs.sparkSession)
+    back = answers.select("block", none("array<long>", "ids"), none("array<string>", "texts"), "segment", "levels").unionByName(
+        texts.select("block", "ids", "texts", none("int", "segment"), none("binary", "levels"))
     )
-    return back.repartition("block").sortWithinPartitions("block", F.col("row").asc_nulls_first()).mapInArrow(finish, _SCORED), [texts, answers]
+    return back.repartition("block").sortWithinPartitions("block", F.col("segment").asc_nulls_last()).mapInArrow(finish, _SCORED), [texts, answers]
 
 
 def runs_of(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -380,6 +379,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     scale = total + 0.5 * (distinct_words + 1)
     known = Known(frequent_words(vocabulary, settings), scale, settings.prior)
     table, segments = build_filter(train, vocabulary, total, settings)
+    release(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bits = 8 * (table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0)
     made, used = (_with_broadcast(own, known, table, segments, settings), []) if bits <= settings.most_bits else _by_shuffle(own, known, table, segments, settings)

@@ -54,7 +54,7 @@ def _powers(base: int, prime: int, bits: int) -> np.ndarray:
     return out
 
 
-def string_hashes(strings: pa.Array, block: int = 1 << 22) -> np.ndarray:
+def string_hashes(strings: pa.Array, block: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each string, from two polynomials modulo primes; strings are taken in blocks of about ``block`` bytes, so
     working memory doesn't follow the array."""
     import xxhash
@@ -76,7 +76,7 @@ def string_hashes(strings: pa.Array, block: int = 1 << 22) -> np.ndarray:
             halves = []
             for prime, base in FIELDS:
                 p = np.uint64(prime)
-                bits = max(12, (high - low).bit_length())
+                bits = block.bit_length()
                 sums = np.zeros(high - low + 1, np.uint64)
                 np.cumsum(part * _powers(base, prime, bits)[: high - low] % p, out=sums[1:])
                 back = _powers(pow(base, -1, prime), prime, bits)[size[:-1]]
