@@ -46,7 +46,7 @@ class Settings:
     keys: int = 4
     load: int = 11
     share: int = 1 << 18
-    most_bits: int = 1 << 29
+    most_bits: int = 1 << 27
     prior: float = 8.0
     frequent: int = 200_000
     longest: int = 64
