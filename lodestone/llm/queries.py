@@ -166,6 +166,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS words FROM d),
+g AS (SELECT lang, k, array_to_string(words[i:i+k-1], ' ') AS phrase FROM p, (SELECT unnest(range(1, 6)) AS k), unnest(range(1, len(words) - k + 2)) AS u(i)),
+f AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS words FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT f.lang, f.phrase, f.a, n, cut, x.a AS l, y.a AS r, ((1000::HUGEINT * f.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+      FROM f JOIN n USING (lang), unnest(range(1, f.k)) AS u(cut)
+      JOIN f x ON x.lang = f.lang AND x.phrase = array_to_string(f.words[1:cut], ' ') JOIN f y ON y.lang = f.lang AND y.phrase = array_to_string(f.words[cut+1:], ' ') WHERE f.k > 1),
+b AS (SELECT lang, phrase, a, n, arg_min({'l': l, 'r': r, 'score': score}, {'score': score, 'cut': cut}) AS w FROM c GROUP BY ALL),
+s AS (SELECT lang, array_to_string(words[i:i+m-1], ' ') AS phrase, max(a) AS longer FROM f, unnest(range(2, k)) AS u(m), unnest(range(1, k - m + 2)) AS v(i) GROUP BY ALL),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY w.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, w.l AS l, w.r AS r, n, w.score AS score
+      FROM b LEFT JOIN s ON s.lang = b.lang AND s.phrase = b.phrase WHERE longer IS NULL OR longer < b.a)
+SELECT * FROM o WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -173,8 +196,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_simhash": op10_simhash, "rule_ablation": rule_ablation}
+    return {"pipeline": pipeline, "op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_simhash": op10_simhash, "op13_collocations": op13_collocations, "rule_ablation": rule_ablation}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_substring_dedup": OP7_SQL, "rule_ablation": ABLATION_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op13_collocations": OP13_SQL, "rule_ablation": ABLATION_SQL}
