@@ -29,6 +29,7 @@ from lodestone.plans.staging import discard, shuffle_width, stage
 
 LONGEST = 5
 _BREAK = "."  # stands between pieces; no word contains it
+_TRIE = {"alphabet": np.uint64, "number": np.int32, "base": np.int32, "check": np.int32}
 _COUNTS = pa.schema([("phrase", pa.binary()), ("n", pa.int64())])
 _WORD = "unhex(lpad(hex(key), 16, '0'))"  # a word's key as a phrase of one word
 
@@ -133,58 +134,57 @@ def phrases_in(codes: np.ndarray, keys: np.ndarray, k: int) -> pa.RecordBatch:
 
 
 def build_trie(phrases: np.ndarray) -> dict[str, np.ndarray]:
-    """alphabet, base and check of a trie over distinct phrases (rows of k word keys, k >= 1).
+    """A trie over distinct phrases (rows of k word keys): alphabet (sorted keys) and their numbers, base and check.
 
-    State 0 is the root; from state s the word with number c leads to base[s] + c if check of that place is s.
+    State 0 is the root; from state s the word with number c leads to base[s] + c if check of that place is s. Frequent words have
+    small numbers, and nodes with many words are placed first, so that the others fit between.
     """
-    alphabet, codes = np.unique(phrases, return_inverse=True)
-    codes = codes.reshape(phrases.shape)
+    alphabet, codes, counts = np.unique(phrases, return_inverse=True, return_counts=True)
+    number = np.empty(len(alphabet), np.int32)
+    number[np.argsort(-counts, kind="stable")] = np.arange(len(alphabet))
+    codes = number[codes.reshape(phrases.shape)]
     codes = codes[np.lexsort(codes.T[::-1])]
-    size = 2 * len(alphabet) + 2 * codes.size + 16
-    base, check, used, last = np.zeros(size, np.int32), np.full(size, -1, np.int32), bytearray(size), 1
-    used[0] = 1
+    size = len(alphabet) + codes.size + 16
+    base, check, used, last = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.zeros(size, bool), 1
+    used[0] = True
     free, state = 1, np.zeros(len(codes), np.int64)
     for level in range(codes.shape[1]):
         new = np.ones(len(codes), bool)
         new[1:] = (state[1:] != state[:-1]) | (codes[1:, level] != codes[:-1, level])
         edges = np.flatnonzero(new)
-        parent, child = state[edges], codes[edges, level]
+        parent, child = state[edges], codes[edges, level].astype(np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
         ends = np.append(cuts[1:], len(edges))
         target = np.zeros(len(edges), np.int64)
         for i in np.argsort(cuts - ends, kind="stable").tolist():  # nodes with most words first
             a, b = int(cuts[i]), int(ends[i])
-            words = child[a:b]
-            low, high, shift, tries = int(words[0]), int(words[-1]), None, 0
-            while used[free]:
-                free += 1
-            place = free
-            rest = (words - low).tolist()
-            while shift is None:
-                if place + high - low >= size or tries > 64:
-                    place = last + 1
-                    if place + high - low >= size:
-                        more = size + high - low
-                        base, check, size = np.concatenate([base, np.zeros(more, np.int32)]), np.concatenate([check, np.full(more, -1, np.int32)]), size + more
-                        used.extend(bytes(more))
-                if not used[place] and not any(used[place + r] for r in rest):
-                    shift = place - low
-                place, tries = place + 1, tries + 1
-            base[parent[a]] = shift
-            for r in rest:
-                used[shift + low + r] = 1
-            target[a:b] = shift + words
+            span = child[a:b] - child[a]
+            wide, place, tries = int(span[-1]), free, 0
+            while True:
+                if place + wide >= size:
+                    more = size + wide
+                    base, check, used, size = np.concatenate([base, np.zeros(more, np.int32)]), np.concatenate([check, np.full(more, -1, np.int32)]), np.concatenate([used, np.zeros(more, bool)]), size + more
+                if not used[place] and not used[place + span].any():
+                    break
+                place, tries = (place + 1, tries + 1) if tries < 64 else (max(place, last - wide) + 1, tries)
+            base[parent[a]] = place - child[a]
+            target[a:b] = place + span
+            used[target[a:b]] = True
             check[target[a:b]] = parent[a]
-            last = max(last, shift + high)
+            last = max(last, place + wide)
+            while free < size - 1 and used[free]:
+                free += 1
         state = target[np.cumsum(new) - 1]
-    return {"alphabet": alphabet, "base": base[: last + 1], "check": check[: last + 1]}
+    return {"alphabet": alphabet, "number": number, "base": base[: last + 1], "check": check[: last + 1]}
 
 
 def advance(trie: dict[str, np.ndarray], codes: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose next k words the trie accepts, and their states: all positions' states move on together."""
     alphabet, base, check = trie["alphabet"], trie["base"], trie["check"]
-    number = np.where(held(alphabet, keys), np.searchsorted(alphabet, keys), -1)
-    number[0] = -1
+    number = np.full(len(keys), -1, np.int64)
+    known = held(alphabet, keys)
+    known[0] = False
+    number[known] = trie["number"][np.searchsorted(alphabet, keys[known])]
     words = number[codes]
     at = np.arange(max(0, len(codes) - k + 1))
     state = np.zeros(len(at), np.int64)
@@ -199,10 +199,10 @@ def advance(trie: dict[str, np.ndarray], codes: np.ndarray, keys: np.ndarray, k:
 
 def spelled(trie: dict[str, np.ndarray], states: np.ndarray, k: int) -> np.ndarray:
     """Word keys on the way from the root to each state."""
-    out = np.zeros((len(states), k), np.uint64)
+    out, word = np.zeros((len(states), k), np.uint64), np.argsort(trie["number"])
     for j in reversed(range(k)):
         parent = trie["check"][states]
-        out[:, j] = trie["alphabet"][states - trie["base"][parent]]
+        out[:, j] = trie["alphabet"][word[states - trie["base"][parent]]]
         states = parent
     return out
 
@@ -213,11 +213,11 @@ def tries_of(phrases: DataFrame, n: int, k: int, share: int) -> list[dict[str, n
     def build(rows: pa.Table) -> pa.Table:
         data = b"".join(rows["phrase"].to_pylist())
         trie = build_trie(np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, k))
-        return pa.table({name: [trie[name].tobytes()] for name in ("alphabet", "base", "check")})
+        return pa.table({name: [trie[name].tobytes()] for name in _TRIE})
 
     shares = phrases.withColumn("share", F.pmod(F.xxhash64(F.expr("substring(phrase, 1, 8)")), F.lit(max(1, -(-n // share)))))
-    built = shares.groupBy("share").applyInArrow(build, "alphabet binary, base binary, check binary").collect()
-    return [{"alphabet": np.frombuffer(t["alphabet"], np.uint64), "base": np.frombuffer(t["base"], np.int32), "check": np.frombuffer(t["check"], np.int32)} for t in built]
+    built = shares.groupBy("share").applyInArrow(build, ", ".join(f"{name} binary" for name in _TRIE)).toLocalIterator()
+    return [{name: np.frombuffer(t[name], kind) for name, kind in _TRIE.items()} for t in built]
 
 
 def runs_of(codes: np.ndarray, keys: np.ndarray, tries: list[dict[str, np.ndarray]], row: int = 512) -> pa.RecordBatch:
@@ -311,7 +311,7 @@ def frequent_phrases(docs: DataFrame, vocabulary: DataFrame, seed: int, least: i
     return levels
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = LONGEST, percent: int = 100, top: int = 2000, most: int = 1 << 21, share: int = 1 << 18) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = LONGEST, percent: int = 100, top: int = 2000, most: int = 1 << 21, share: int = 1 << 16) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank (from 1), phrase, a, l, r, n, score.
 
     A-Z are lower-cased, texts split at ``. , ; : ! ?`` and line ends into pieces, pieces at spaces and tabs into words; n counts a
