@@ -166,6 +166,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.collocations import collocations
 
@@ -196,7 +202,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_simhash": op10_simhash, "op13_collocations": op13_collocations, "rule_ablation": rule_ablation}
+    return {"pipeline": pipeline, "op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_simhash": op10_simhash, "op12_nearest": op12_nearest, "op13_collocations": op13_collocations, "rule_ablation": rule_ablation}
 
 
 def llm_oracles() -> dict[str, str]:
