@@ -11,6 +11,7 @@ from lodestone.functions.columns import dot, norm, r6, uniform
 from lodestone.operators import inference as I
 from lodestone.operators import ranking as R
 from lodestone.operators import samples as S
+from lodestone.operators.names import closest
 from lodestone.operators import vectors as V
 from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SQL
@@ -293,23 +294,25 @@ def mine_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(into, ["club", "pos", "win"]).where("x <> y").select("x", "y", "pos").distinct()
 
 
-FUZZY = """WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, '#', '') WHEN c_custkey % 3 = 1 THEN upper(c_name) ELSE c_name END AS name FROM customer), b AS (SELECT c_custkey AS ref, c_name AS name FROM customer),
- ex AS (SELECT id, ref, 'exact' AS method, 0 AS d FROM a JOIN b USING (name)), re AS (SELECT * FROM a WHERE id NOT IN (SELECT id FROM ex)),
- fu AS (SELECT id, ref, 'fuzzy' AS method, levenshtein(lower(re.name), lower(b.name)) AS d FROM re JOIN b ON right(re.name, 4) = right(b.name, 4) WHERE levenshtein(lower(re.name), lower(b.name)) <= 2),
+FUZZY = """WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, '#', '') WHEN c_custkey % 3 = 1 THEN upper(c_name) WHEN c_custkey % 5 = 0 THEN left(c_name, length(c_name) - 2) || 'x' WHEN c_custkey % 5 = 1 THEN 'Mr' || c_name ELSE c_name END AS name FROM customer),
+ b AS (SELECT c_custkey AS ref, c_name AS name FROM customer), ex AS (SELECT id, ref, 'exact' AS method, 0 AS d FROM a JOIN b USING (name)), re AS (SELECT id, lower(name) AS name FROM a WHERE id NOT IN (SELECT id FROM ex)),
+ fu AS (SELECT id, ref, 'fuzzy' AS method, levenshtein(re.name, lower(b.name)) AS d FROM re, b WHERE levenshtein(re.name, lower(b.name)) <= 2),
  be AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, ref) AS k FROM fu) SELECT id, ref, method, d::INT AS d FROM ex UNION ALL SELECT id, ref, method, d::INT FROM be WHERE k = 1"""
 
 
 @query("fuzzy_match", FUZZY)
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names matched exactly first; the rest within a blocking key (the last four characters) by edit distance up to two."""
+    """Names matched exactly first; the rest, in small letters, with the nearest known name within two edits."""
     c = table(spark, sf_dir, "customer")
     k, n = F.col("c_custkey"), F.col("c_name")
-    a = c.select(k.alias("id"), F.when(k % 3 == 0, F.regexp_replace(n, "#", "")).when(k % 3 == 1, F.upper(n)).otherwise(n).alias("name"))
-    b = c.select(k.alias("ref"), n.alias("known"))
+    noted = F.when(k % 3 == 0, F.regexp_replace(n, "#", "")).when(k % 3 == 1, F.upper(n)).when(k % 5 == 0, F.concat(n.substr(F.lit(1), F.length(n) - 2), F.lit("x"))).when(k % 5 == 1, F.concat(F.lit("Mr"), n)).otherwise(n)
+    a, b = c.select(k.alias("id"), noted.alias("name")), c.select(k.alias("ref"), n.alias("known"))
     exact = a.join(b, F.col("name") == F.col("known")).select("id", "ref", F.lit("exact").alias("method"), F.lit(0).alias("d"))
-    rest = a.join(exact, "id", "left_anti").withColumn("tail", F.right("name", F.lit(4)))
-    close = rest.join(b.withColumn("tail", F.right("known", F.lit(4))), "tail").withColumn("d", F.levenshtein(F.lower("name"), F.lower("known"))).where("d <= 2")
-    best = V.first_by(close, ["id"], ["d", "ref"]).select("id", "ref", F.lit("fuzzy").alias("method"), "d")
+    rest = stage(a.join(exact, "id", "left_anti").select("id", F.lower("name").alias("name")), "unresolved")
+    small = b.select("ref", F.lower("known").alias("known"))
+    near = closest(rest, small.select(F.col("known").alias("name")))
+    first = small.groupBy("known").agg(F.min("ref").alias("ref"))
+    best = V.first_by(rest.join(near, "name").join(first, "known"), ["id"], ["d", "ref"]).select("id", "ref", F.lit("fuzzy").alias("method"), "d")
     return exact.unionByName(best)
 
 
