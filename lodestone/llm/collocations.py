@@ -9,8 +9,9 @@ the candidates are a join of the level before with itself; each share of them be
 tries are broadcast, and numpy moves the states of all positions of a batch on together, a level at a time. Accepting states are
 counted with ``bincount`` and the counts of all shards summed.
 
-Tries hold at most ``most`` phrases together, which is known from sums over the join's keys before a candidate is made. Where there would
-be more, the phrases that occur are counted by a shuffle instead, as at level 2; the results are the same.
+Tries hold at most ``most`` phrases together, which is known from sums over the join's keys before a candidate is made: at some 20 bytes
+for each that is about 10 MB, what Spark itself broadcasts by default. Where there would be more, as where one word follows and precedes
+very many others, the phrases that occur are counted by a shuffle instead, as at level 2; the results are the same.
 """
 
 from __future__ import annotations
@@ -243,9 +244,9 @@ def runs_of(codes: np.ndarray, keys: np.ndarray, tries: list[dict[str, np.ndarra
 # ---- levels ----
 
 
-def vocabulary_of(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The staged table (lang, word, key, n) and the seed under which its keys are distinct."""
-    for seed in range(8):
+def vocabulary_of(docs: DataFrame, seeds: range = range(8)) -> tuple[DataFrame, int]:
+    """The staged table (lang, word, key, n) and the first seed under which its keys are distinct."""
+    for seed in seeds:
         words = docs.mapInArrow(lambda batches, s=seed: count_words(batches, s), "lang string, word string, key long, n long")
         found = stage(words.groupBy("lang", "word", "key").agg(F.sum("n").alias("n")), "vocabulary")
         if found.groupBy("key").count().where("count > 1 or key = 0").isEmpty():
@@ -311,7 +312,7 @@ def frequent_phrases(docs: DataFrame, vocabulary: DataFrame, seed: int, least: i
     return levels
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = LONGEST, percent: int = 100, top: int = 2000, most: int = 1 << 21, share: int = 1 << 16) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = LONGEST, percent: int = 100, top: int = 2000, most: int = 1 << 19, share: int = 1 << 16) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank (from 1), phrase, a, l, r, n, score.
 
     A-Z are lower-cased, texts split at ``. , ; : ! ?`` and line ends into pieces, pieces at spaces and tabs into words; n counts a

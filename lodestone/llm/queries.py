@@ -166,6 +166,49 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.structure_repair import damaged, digests, repair
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    found = repair(damaged(given, F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")) % 20))
+    every = given.select(F.struct(F.col("conv_id").alias("id")).alias("conv")).distinct()
+    whole = every.join(found.conversations, "conv", "left").join(digests(found.messages), "conv", "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select(F.col("conv.id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key, row_number() OVER () AS rid FROM conversations),
+c AS (SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda ch: ascii(ch)::BIGINT)),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS f FROM k),
+r AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+        CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text FROM c, range(CASE WHEN f = 3 THEN 2 ELSE 1 END) WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r),
+s AS (SELECT *, left(role, 1) AS c, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+        NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut FROM o),
+m AS (SELECT conv_id, i, role, text, c, blank, seen AND NOT blank AS dup, cut AND NOT seen AND NOT blank AS trunc,
+        coalesce(lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c NOT IN ('su', 'ua', 'au'), false) AS bad, turn FROM s),
+w AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (trunc) AS truncated,
+        count(*) FILTER (bad) AS illegal, count(*) AS n FROM m GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES (0, 0, '', 0, []), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 2, ['user:']), (1, 2, 'I', 2, ['user:']), (3, 2, 'I', 2, ['user:']), (2, 3, 'I', 2, ['assistant:']),
+        (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 3, 'II', 4, ['user:', 'assistant:']), (3, 3, 'II', 4, ['user:', 'assistant:']), (2, 2, 'II', 4, ['assistant:', 'user:'])) v(s, t, e, p, l)),
+q AS (SELECT conv_id, 0::BIGINT AS i, 0 AS st, {'cost': 0::BIGINT, 'audit': ''} AS best, []::VARCHAR[] AS lines FROM w
+  UNION ALL
+  SELECT conv_id, i, t2 AS st, min({'cost': cost, 'audit': audit}) AS best, arg_min(lines, {'cost': cost, 'audit': audit}) AS lines FROM (
+    SELECT q.conv_id, m.i, e.t2, q.best.cost + ins.p + e.p2 AS cost, q.best.audit || ins.e || e.e2 AS audit, list_concat(list_concat(q.lines, ins.l), e.l2) AS lines
+    FROM q JOIN m ON m.conv_id IS NOT DISTINCT FROM q.conv_id AND m.i = q.i + 1 JOIN ins ON ins.s = q.st,
+    LATERAL (SELECT ins.t AS t2, 'D' AS e2, 3 AS p2, []::VARCHAR[] AS l2
+      UNION ALL SELECT CASE m.c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'K', m.trunc::INT, [m.role || ':' || m.text] WHERE NOT m.blank AND NOT m.dup AND (m.c = 's' AND ins.t = 0 OR m.c = 'u' AND ins.t <> 2 OR m.c = 'a' AND ins.t = 2)
+      UNION ALL SELECT CASE ins.t WHEN 2 THEN 3 ELSE 2 END, 'R', 2 + m.trunc::INT, [CASE ins.t WHEN 2 THEN 'assistant:' ELSE 'user:' END || m.text] WHERE NOT m.blank AND NOT m.dup) e) GROUP BY conv_id, i, t2),
+z AS (SELECT q.conv_id, min({'cost': q.best.cost + ins.p, 'audit': q.best.audit || ins.e}) AS best, arg_min(list_concat(q.lines, ins.l), {'cost': q.best.cost + ins.p, 'audit': q.best.audit || ins.e}) AS lines
+  FROM q JOIN w ON w.conv_id IS NOT DISTINCT FROM q.conv_id AND q.i = w.n JOIN ins ON ins.s = q.st AND ins.t IN (0, 3) GROUP BY q.conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(w.blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(z.best.cost, 0) AS cost, coalesce(z.best.audit, '') AS audit, sha256(coalesce(array_to_string(z.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
 def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.neighbours import nearest
 
@@ -202,8 +245,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_simhash": op10_simhash, "op12_nearest": op12_nearest, "op13_collocations": op13_collocations, "rule_ablation": rule_ablation}
+    return {"pipeline": pipeline, "op1_exact_dedup": op1_exact_dedup, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_simhash": op10_simhash, "op11_structure_repair": op11_structure_repair, "op12_nearest": op12_nearest, "op13_collocations": op13_collocations, "rule_ablation": rule_ablation}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op13_collocations": OP13_SQL, "rule_ablation": ABLATION_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op11_structure_repair": OP11_SQL, "op13_collocations": OP13_SQL, "rule_ablation": ABLATION_SQL}
