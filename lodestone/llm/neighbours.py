@@ -83,7 +83,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, (len(data) + 1) * size or 1, size or 1, np.int32)[: len(data) + 1]), pa.py_buffer(data.tobytes())])
 
 
-def nearest(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, bits: int = 256, sure: float = 1.9, sample: int = 4096, seed: int = 7, codes_a_cell: int = 1 << 16, queries_a_cell: int = 1 << 14) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, bits: int = 512, sure: float = 1.9, sample: int = 4096, seed: int = 7, codes_a_cell: int = 1 << 16, queries_a_cell: int = 1 << 14) -> DataFrame:
     """The ``k`` nearest rows found for every row where the condition ``is_query`` holds: query_id, rank (from 1), vec_id, score (distance).
 
     Nearness is Euclidean distance in double precision, ties go to the smaller id (null first). A row's candidates are all other rows
