@@ -1,7 +1,7 @@
 """Tests on per-query metrics: bootstraps by query and by cluster, cluster t, step-down correction, equivalence, power.
 
-A bootstrap draws by hashing (seed, replicate, draw), so it is the same at every run and in any engine. The block bootstrap
-works on one (sum, n) row for each cluster: B x K rows for B replicates of K clusters, however many queries a cluster has.
+Bootstraps read their units once (``operators/resampling.py``): the block bootstrap one (sum, n) row for each cluster, however many
+queries it has. Draws are the same at every run, at any partitioning, and in any engine.
 """
 
 from __future__ import annotations
@@ -9,25 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import uniform
 from lodestone.functions.distributions import t_figures, t_p_value
+from lodestone.operators.resampling import replicate_means
 from lodestone.plans.numbering import numbered, running_sum
 
 
-def draws(spark_frame: DataFrame, sizes: DataFrame, replicates: int, seed: str, *keys: str) -> DataFrame:
-    """(keys, rep, idx): for each row of ``sizes`` (keys, k) ``replicates`` times k draws with replacement of 0 .. k-1."""
-    reps = sizes.select(*keys, "k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    each = reps.select(*keys, "k", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("draw"))
-    return each.select(*keys, "rep", F.floor(uniform(F.lit(seed), "rep", "draw") * F.col("k")).cast("long").alias("idx"))
-
-
-def resampled_means(groups: DataFrame, replicates: int, seed: str, *keys: str) -> DataFrame:
-    """(keys, rep, mean) from (keys, idx, total, n): the pooled mean of the units drawn."""
-    sizes = groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
-    drawn = draws(groups, sizes, replicates, seed, *keys)
-    return drawn.join(groups, [*keys, "idx"]).groupBy(*keys, "rep").agg((F.sum("total") / F.sum("n")).alias("mean"))
-
-
 def indexed(units: DataFrame, key: str, *keys: str) -> DataFrame:
     """``units`` with idx from 0 in order of ``key``, within ``keys`` or overall, without gathering a group's rows in one task."""
     if not keys:
@@ -36,21 +22,30 @@ def indexed(units: DataFrame, key: str, *keys: str) -> DataFrame:
     return placed.withColumn("idx", (F.col("__up_to") - 1).cast("long")).drop("__one", "__up_to")
 
 
+def _quantile(values: Column, q: float) -> Column:
+    """Between the two nearest of sorted values, in proportion."""
+    place = q * (F.size(values) - 1)
+    low = F.element_at(values, F.floor(place).cast("int") + 1)
+    return low + (place - F.floor(place)) * (F.element_at(values, F.ceil(place).cast("int") + 1) - low)
+
+
 def interval(means: DataFrame, *keys: str) -> DataFrame:
-    """(keys, low, high, p_raw, p): the 95 % percentile interval, and two-sided p without and with the usual floor."""
-    below, above, n = F.count_if(F.col("mean") <= 0), F.count_if(F.col("mean") >= 0), F.count(F.lit(1))
+    """(keys, low, high, p_raw, p) of replicates' ``means``, an array: the 95 % percentile interval, and two-sided p without and with the
+    usual floor."""
+    put = means.select(*keys, F.array_sort("means").alias("means"))
+    below, above, n = F.size(F.filter("means", lambda x: x <= 0)), F.size(F.filter("means", lambda x: x >= 0)), F.size("means")
     least = F.least(below, above)
-    return means.groupBy(*keys).agg(
-        F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"),
+    return put.select(
+        *keys, _quantile(F.col("means"), 0.025).alias("low"), _quantile(F.col("means"), 0.975).alias("high"),
         F.least(F.lit(1.0), 2 * least / n).alias("p_raw"), F.least(F.lit(1.0), 2 * (least + 1) / (n + 1)).alias("p"),
     )
 
 
-def paired_bootstrap(diffs: DataFrame, replicates: int = 200, seed: str = "pb", *keys: str) -> DataFrame:
+def paired_bootstrap(diffs: DataFrame, replicates: int = 10_000, seed: str = "pb", *keys: str) -> DataFrame:
     """By query: (keys, mean, low, high, p_raw, p) of ``value`` over (keys, q, value)."""
     units = indexed(diffs.select(*keys, "q", F.col("value").alias("total"), F.lit(1).alias("n")), "q", *keys)
     means = diffs.groupBy(*keys).agg(F.avg("value").alias("mean"))
-    found = interval(resampled_means(units, replicates, seed, *keys), *keys)
+    found = interval(replicate_means(units, replicates, seed, *keys), *keys)
     return means.join(found, list(keys)) if keys else means.join(F.broadcast(found))
 
 
@@ -58,11 +53,11 @@ def cluster_sums(values: DataFrame, *keys: str) -> DataFrame:
     return values.groupBy(*keys, "cluster").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-def block_bootstrap(values: DataFrame, replicates: int = 200, seed: str = "bb", *keys: str) -> DataFrame:
+def block_bootstrap(values: DataFrame, replicates: int = 10_000, seed: str = "bb", *keys: str) -> DataFrame:
     """By cluster: (keys, mean, low, high, p_raw, p) of ``value`` over (keys, cluster, value); the mean is pooled over queries."""
     units = indexed(cluster_sums(values, *keys), "cluster", *keys)
     means = values.groupBy(*keys).agg(F.avg("value").alias("mean"))
-    found = interval(resampled_means(units, replicates, seed, *keys), *keys)
+    found = interval(replicate_means(units, replicates, seed, *keys), *keys)
     return means.join(found, list(keys)) if keys else means.join(F.broadcast(found))
 
 

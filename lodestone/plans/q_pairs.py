@@ -12,6 +12,7 @@ from lodestone.operators import inference as I
 from lodestone.operators import ranking as R
 from lodestone.operators import samples as S
 from lodestone.operators.names import closest
+from lodestone.operators.resampling import tree_sql
 from lodestone.operators import vectors as V
 from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SQL
@@ -387,9 +388,9 @@ PROT = SQL + f""", a2 AS (SELECT *, competition AS tourn FROM actions), sh AS (S
  v AS (SELECT protocol, tourn, player, side, count(*) AS events, [avg(x0), avg(y0), avg(x1), avg(y1)] AS vec FROM al GROUP BY ALL),
  ss AS (SELECT a.protocol, a.tourn, a.player AS q, b.player AS c, a.events + b.events AS events, {COS} AS s FROM v a JOIN v b ON a.protocol = b.protocol AND a.tourn = b.tourn AND a.side = 'q' AND b.side = 't' WHERE a.protocol <> 'cross_no_mates' OR a.player = b.player OR a.player % 2 <> b.player % 2),
  rk AS (SELECT protocol, tourn, q, c, events, row_number() OVER (PARTITION BY protocol, tourn, q ORDER BY s DESC, c) AS place FROM ss), own AS (SELECT protocol, tourn, q, place, events FROM rk WHERE q = c),
- un AS (SELECT protocol, CAST(place = 1 AS DOUBLE) AS hit, row_number() OVER (PARTITION BY protocol ORDER BY tourn || '|' || q) - 1 AS idx, count(*) OVER (PARTITION BY protocol) AS k FROM own),
- dw AS (SELECT k, rep, floor({U.format(key=chr(39) + 't1|' + chr(39) + " || rep || '|' || draw")} * k)::BIGINT AS idx FROM (SELECT DISTINCT k FROM un), (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(20000)) AS draw) WHERE draw < k),
- mn AS (SELECT protocol, rep, avg(hit) AS m FROM un JOIN dw USING (k, idx) GROUP BY ALL), ti AS (SELECT protocol, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mn GROUP BY protocol), tp AS (SELECT protocol, count(*) AS n, avg(hit) AS top1 FROM un GROUP BY protocol)"""
+ un AS (SELECT protocol, CAST(place = 1 AS DOUBLE) AS total, 1 AS n, row_number() OVER (PARTITION BY protocol ORDER BY tourn || '|' || q) - 1 AS idx, count(*) OVER (PARTITION BY protocol) AS k FROM own)"""
+INTERVALS = tree_sql("mn", "un", "protocol", 2000, "t1") + """,
+ ti AS (SELECT protocol, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM mn GROUP BY protocol), tp AS (SELECT protocol, count(*) AS n, avg(total) AS top1 FROM un GROUP BY protocol)"""
 
 
 def protocol_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,15 +434,15 @@ def identity_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top1_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """protocol, n, top1, low, high: pooled accuracy with a bootstrap interval over entities."""
     p = stage(protocol_places(spark, sf_dir).select("protocol", F.concat_ws("|", "tourn", "player").alias("q"), _hit().alias("value")), "places")
-    return p.groupBy("protocol").agg(F.count(F.lit(1)).alias("n")).join(I.paired_bootstrap(p, 200, "t1", "protocol"), "protocol").select("protocol", "n", F.col("mean").alias("top1"), "low", "high")
+    return p.groupBy("protocol").agg(F.count(F.lit(1)).alias("n")).join(I.paired_bootstrap(p, 2000, "t1", "protocol"), "protocol").select("protocol", "n", F.col("mean").alias("top1"), "low", "high")
 
 
-@query("top1_interval", PROT + " SELECT protocol, n, round(top1, 6) AS top1, round(low, 6) AS low, round(high, 6) AS high FROM tp JOIN ti USING (protocol)")
+@query("top1_interval", PROT + INTERVALS + " SELECT protocol, n, round(top1, 6) AS top1, round(low, 6) AS low, round(high, 6) AS high FROM tp JOIN ti USING (protocol)")
 def top1_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top1_intervals(spark, sf_dir).select("protocol", "n", *[r6(c).alias(c) for c in ("top1", "low", "high")])
 
 
-@query("leakage_verdict", PROT + """, m AS (SELECT max(top1) FILTER (protocol = 'split_half') AS a, max(low) FILTER (protocol = 'split_half') AS a_low, max(top1) FILTER (protocol = 'cross_match') AS b, max(high) FILTER (protocol = 'cross_match') AS b_high, max(top1) FILTER (protocol = 'same_match') AS c FROM tp JOIN ti USING (protocol))
+@query("leakage_verdict", PROT + INTERVALS + """, m AS (SELECT max(top1) FILTER (protocol = 'split_half') AS a, max(low) FILTER (protocol = 'split_half') AS a_low, max(top1) FILTER (protocol = 'cross_match') AS b, max(high) FILTER (protocol = 'cross_match') AS b_high, max(top1) FILTER (protocol = 'same_match') AS c FROM tp JOIN ti USING (protocol))
  SELECT round(a - b, 6) AS delta, b_high < a_low AS disjoint, b_high < a_low AND a - b > 0.25 AS collapses, CASE WHEN b >= 0.5 THEN 'identity' WHEN b >= 0.3 THEN 'partial' ELSE 'leakage' END AS verdict, CASE WHEN c >= 0.5 AND b < 0.3 THEN 'confirmed' ELSE 'inconclusive' END AS control FROM m""")
 def leakage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drop from halves to other games, whether it is a collapse (intervals apart and over 0.25), what the rest means, and the

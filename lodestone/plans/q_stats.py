@@ -12,6 +12,7 @@ from lodestone.functions.columns import r6
 from lodestone.operators import inference as I
 from lodestone.operators import ranking as R
 from lodestone.operators.graph import connected_components
+from lodestone.operators.resampling import tree_sql
 from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SIMS, SQL
 from lodestone.plans.q_vectors import RANDOM, method_vectors
@@ -84,22 +85,17 @@ def diffs(spark: SparkSession, sf_dir: str, a: str = "full", b: str = "half") ->
     return stage(both.select("scope", "q", "cluster", (F.col("ap_full") - F.col("ap_half")).alias("value"), "ap_full", "ap_half"), "diffs")
 
 
-#: Replicates of the block bootstrap, and of that by query, as registered.
-REPLICATES, BY_QUERY = 1000, 100
-U = "('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0"
-PB = """, un AS (SELECT scope, value AS total, 1 AS n, row_number() OVER (PARTITION BY scope ORDER BY q) - 1 AS idx FROM df), sz AS (SELECT scope, count(*) AS k FROM un GROUP BY scope),
- dr AS (SELECT scope, rep, floor(""" + U.format(key="'pb|' || rep || '|' || draw") + """ * k)::BIGINT AS idx FROM sz, (SELECT unnest(range(100)) AS rep), (SELECT unnest(range(100000)) AS draw) WHERE draw < k),
- mn AS (SELECT scope, rep, sum(total) / sum(n) AS mean FROM dr JOIN un USING (scope, idx) GROUP BY scope, rep),
+#: Replicates of the bootstraps, as registered. Their SQL is for at most 1,024 units in a group.
+REPLICATES = 10_000
+PB = """, un AS (SELECT scope, value AS total, 1 AS n, row_number() OVER (PARTITION BY scope ORDER BY q) - 1 AS idx, count(*) OVER (PARTITION BY scope) AS k FROM df)""" + tree_sql("mn", "un", "scope", REPLICATES, "pb") + """,
  pb AS (SELECT scope, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, least(1, 2.0 * least(count(*) FILTER (mean <= 0), count(*) FILTER (mean >= 0)) / count(*)) AS p_raw FROM mn GROUP BY scope)"""
-BB = """, bu AS (SELECT scope, total, n, row_number() OVER (PARTITION BY scope ORDER BY cluster) - 1 AS idx FROM (SELECT scope, cluster, sum(value) AS total, count(*) AS n FROM df GROUP BY scope, cluster)), bz AS (SELECT scope, count(*) AS k FROM bu GROUP BY scope),
- bd AS (SELECT scope, rep, floor(""" + U.format(key="'bb|' || rep || '|' || draw") + """ * k)::BIGINT AS idx FROM bz, (SELECT unnest(range(1000)) AS rep), (SELECT unnest(range(20000)) AS draw) WHERE draw < k),
- bm AS (SELECT scope, rep, sum(total) / sum(n) AS mean FROM bd JOIN bu USING (scope, idx) GROUP BY scope, rep),
+BB = """, bu AS (SELECT scope, total, n, row_number() OVER (PARTITION BY scope ORDER BY cluster) - 1 AS idx, count(*) OVER (PARTITION BY scope) AS k FROM (SELECT scope, cluster, sum(value) AS total, count(*) AS n FROM df GROUP BY scope, cluster))""" + tree_sql("bm", "bu", "scope", REPLICATES, "bb") + """,
  bb AS (SELECT scope, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, least(1, 2.0 * (least(count(*) FILTER (mean <= 0), count(*) FILTER (mean >= 0)) + 1) / (count(*) + 1)) AS p FROM bm GROUP BY scope)"""
 
 
 @query("paired_bootstrap", DIFF + PB + ", me AS (SELECT scope, avg(value) AS mean FROM df GROUP BY scope) SELECT scope, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(p_raw, 6) AS p FROM me JOIN pb USING (scope)")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = I.paired_bootstrap(diffs(spark, sf_dir), BY_QUERY, "pb", "scope")
+    found = I.paired_bootstrap(diffs(spark, sf_dir), REPLICATES, "pb", "scope")
     return found.select("scope", r6("mean").alias("mean"), r6("low").alias("low"), r6("high").alias("high"), r6("p_raw").alias("p"))
 
 
@@ -118,13 +114,13 @@ def clustered_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("mean_ci", (DIFF + PB).replace("value AS total, 1 AS n", "ap_full AS total, 1 AS n") + ", me AS (SELECT scope, avg(ap_full) AS mean FROM df GROUP BY scope) SELECT scope, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM me JOIN pb USING (scope)")
 def mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = diffs(spark, sf_dir).withColumn("value", F.col("ap_full"))
-    return I.paired_bootstrap(values, BY_QUERY, "pb", "scope").select("scope", *[r6(c).alias(c) for c in ("mean", "low", "high")])
+    return I.paired_bootstrap(values, REPLICATES, "pb", "scope").select("scope", *[r6(c).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("naive_vs_block", DIFF + PB + BB + " SELECT scope, round(pb.high - pb.low, 6) AS naive_width, round(bb.high - bb.low, 6) AS block_width FROM pb JOIN bb USING (scope)")
 def naive_vs_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = diffs(spark, sf_dir)
-    a = I.paired_bootstrap(d, BY_QUERY, "pb", "scope").select("scope", r6(F.col("high") - F.col("low")).alias("naive_width"))
+    a = I.paired_bootstrap(d, REPLICATES, "pb", "scope").select("scope", r6(F.col("high") - F.col("low")).alias("naive_width"))
     return a.join(I.block_bootstrap(d, REPLICATES, "bb", "scope").select("scope", r6(F.col("high") - F.col("low")).alias("block_width")), "scope")
 
 
@@ -144,9 +140,7 @@ def tested_sql(source: str, *keys: str) -> str:
     """CTEs that test ``source`` (keys, cluster, value) by block bootstrap (xb: mean, low, high, p_block) and cluster t (xt: by_cluster,
     se, clusters, t, p_t)."""
     by = ", ".join(keys)
-    return f""", xc AS (SELECT {by}, cluster, sum(value) AS total, count(*) AS n, avg(value) AS m FROM {source} GROUP BY {by}, cluster), xi AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY cluster) - 1 AS idx, count(*) OVER (PARTITION BY {by}) AS k FROM xc),
- xd AS (SELECT k, rep, floor({U.format(key="'bb|' || rep || '|' || draw")} * k)::BIGINT AS idx FROM (SELECT DISTINCT k FROM xi), (SELECT unnest(range({REPLICATES})) AS rep), (SELECT unnest(range(20000)) AS draw) WHERE draw < k),
- xm AS (SELECT {by}, rep, sum(total) / sum(n) AS mean FROM xi JOIN xd USING (k, idx) GROUP BY {by}, rep),
+    return f""", xc AS (SELECT {by}, cluster, sum(value) AS total, count(*) AS n, avg(value) AS m FROM {source} GROUP BY {by}, cluster), xi AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY cluster) - 1 AS idx, count(*) OVER (PARTITION BY {by}) AS k FROM xc)""" + tree_sql("xm", "xi", by, REPLICATES, "bb") + f""",
  xq AS (SELECT {by}, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, least(1, 2.0 * (least(count(*) FILTER (mean <= 0), count(*) FILTER (mean >= 0)) + 1) / (count(*) + 1)) AS p_block FROM xm GROUP BY {by}),
  xb AS (SELECT * FROM (SELECT {by}, sum(total) / sum(n) AS mean, sum(n)::BIGINT AS n FROM xc GROUP BY {by}) JOIN xq USING ({by})),
  xs AS (SELECT {by}, avg(m) AS by_cluster, stddev_samp(m) / sqrt(count(*)) AS se, count(*) AS clusters FROM xc GROUP BY {by}), xt AS (SELECT *, by_cluster / se AS t, {t_p_sql('by_cluster / se', 'clusters - 1')} AS p_t FROM xs)"""
@@ -258,9 +252,8 @@ def comparison_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GROUPS = """, vx AS (SELECT id, grp, vec[1] AS x FROM vecs), vt AS (SELECT quantile_cont(x, 1 / 3.0) AS lo, quantile_cont(x, 2 / 3.0) AS hi FROM vx), gv AS (SELECT id, 'label' AS kind, grp::VARCHAR AS part FROM vx UNION ALL SELECT id, 'value', CASE WHEN x <= lo THEN 'low' WHEN x <= hi THEN 'mid' ELSE 'high' END FROM vx, vt),
- g AS (SELECT scope, kind, part, q, value FROM df JOIN gv ON id = q), gn AS (SELECT *, row_number() OVER (PARTITION BY scope, kind, part ORDER BY q) - 1 AS idx, count(*) OVER (PARTITION BY scope, kind, part) AS k FROM g),
- gd AS (SELECT k, rep, floor(""" + U.format(key="'pb|' || rep || '|' || draw") + """ * k)::BIGINT AS idx FROM (SELECT DISTINCT k FROM gn), (SELECT unnest(range(100)) AS rep), (SELECT unnest(range(100000)) AS draw) WHERE draw < k),
- gm AS (SELECT scope, kind, part, rep, avg(value) AS mean FROM gn JOIN gd USING (k, idx) GROUP BY ALL), gi AS (SELECT scope, kind, part, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM gm GROUP BY ALL)"""
+ g AS (SELECT scope, kind, part, q, value FROM df JOIN gv ON id = q), gn AS (SELECT scope, kind, part, value AS total, 1 AS n, row_number() OVER (PARTITION BY scope, kind, part ORDER BY q) - 1 AS idx, count(*) OVER (PARTITION BY scope, kind, part) AS k FROM g)""" + tree_sql("gm", "gn", "scope, kind, part", REPLICATES, "pb") + """,
+ gi AS (SELECT scope, kind, part, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM gm GROUP BY ALL)"""
 
 
 @query("heterogeneity", DIFF + GROUPS + " SELECT scope, kind, part, n, round(mean, 6) AS mean, round(std, 6) AS std, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT scope, kind, part, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM g GROUP BY ALL) JOIN gi USING (scope, kind, part) WHERE kind = 'value' OR n >= 20")
@@ -273,7 +266,7 @@ def heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = stage(diffs(spark, sf_dir).join(parts, "q").select("scope", "kind", "part", "q", "value"), "parts")
     keys = ("scope", "kind", "part")
     by = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r6(F.stddev_samp("value")).alias("std"))
-    found = by.join(I.paired_bootstrap(d, BY_QUERY, "pb", *keys), list(keys)).where("kind = 'value' or n >= 20")
+    found = by.join(I.paired_bootstrap(d, REPLICATES, "pb", *keys), list(keys)).where("kind = 'value' or n >= 20")
     return found.select(*keys, "n", r6("mean").alias("mean"), "std", r6("low").alias("low"), r6("high").alias("high"))
 
 
