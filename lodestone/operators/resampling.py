@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -43,18 +44,6 @@ def _log_factorials() -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, LARGE + 1)))])
 
 
-def _normal_quantile(p: np.ndarray) -> np.ndarray:
-    """The standard normal's, by Newton steps from a logistic start (errors below 1e-9)."""
-    from math import erfc, pi, sqrt
-
-    tail = np.vectorize(lambda x: 0.5 * erfc(-x / sqrt(2)))
-    p = np.clip(p, 1e-16, 1 - 1e-16)
-    x = np.log(p / (1 - p)) / 1.702
-    for _ in range(12):
-        x = x - np.clip((tail(x) - p) * np.sqrt(2 * pi) * np.exp(x * x / 2), -0.5, 0.5)
-    return x
-
-
 def binomial(m: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
     """The least count whose cumulated probability exceeds u, of m draws at p each."""
     if p in (0.0, 1.0):
@@ -63,7 +52,7 @@ def binomial(m: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
     large = m > LARGE
     if large.any():
         n = m[large].astype(float)
-        out[large] = np.clip(np.rint(n * p + np.sqrt(n * p * (1 - p)) * _normal_quantile(u[large])), 0, n).astype(m.dtype)
+        out[large] = np.clip(np.rint(n * p + np.sqrt(n * p * (1 - p)) * np.array([NormalDist().inv_cdf(max(x, 1e-17)) for x in u[large].tolist()])), 0, n).astype(m.dtype)
     small = np.flatnonzero(~large)
     if len(small):
         sizes, which = np.unique(m[small], return_inverse=True)
