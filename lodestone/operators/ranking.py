@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import dot, l2
+from lodestone.operators.quantiles import selected
+from lodestone.plans.staging import stage
 
 BLOCK = 1024
 SUPER = 48
@@ -156,6 +158,95 @@ def all_pairs(vectors: DataFrame, same_group: bool = False, block: int = BLOCK)
     return met.mapInPandas(products, "q long, c long, sim double")
 
 
+def _upper_half(blocks: DataFrame, n: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks twice, with the cells of a grid of which only one of two mirrored cells is there."""
+    across = math.isqrt(max(0, 2 * blocks.sparkSession.sparkContext.defaultParallelism - 1)) + 1
+    s = max(1, min(SUPER, -(-n // across)))
+    k, at = -(-n // s), F.floor(F.col(name) / s)
+    row = F.explode(F.transform(F.sequence(at, F.lit(k - 1).cast("long")), lambda j: at * k + j))
+    column = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), at), lambda i: i * k + at))
+    return blocks.withColumn("cell", row), blocks.withColumn("cell", column)
+
+
+def pair_quantiles(vectors: DataFrame, qs: list[float], block: int = BLOCK, parts: int = 4096, small: int = 4096) -> list[float | None]:
+    """Exact quantiles of the cosines (12 places) of all unordered pairs of different rows; None with fewer than two.
+
+    A cell of the grid hands on a histogram of its cosines, at most ``parts`` rows for each range that is still open; ranges that hold a
+    wanted rank are split anew until they are small. Pairs themselves stay within the cells, and each pair of blocks meets once.
+    """
+    blocks, n = _blocks(unit_vectors(vectors).withColumn("at", F.monotonically_increasing_id()), ["at", "vec"], "id", block, "b")
+    left, right = _upper_half(stage(blocks, "blocks"), n, "b")
+    met = left.groupBy("cell").cogroup(right.groupBy("cell"))
+
+    def counted(ranges: list[tuple[float, float, bool]]) -> list:
+        """Bins (range, order, n, low, high) of the cosines within each range; value by value where it is small."""
+
+        def count(rows: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
+            sums: dict[tuple[int, float], list] = {}
+            for x in rows.itertuples(index=False):
+                a, first = _matrix(x.b_vec), np.asarray(x.b_at)
+                for y in columns.itertuples(index=False):
+                    if x.b <= y.b:
+                        sims = np.round(a @ _matrix(y.b_vec).T, 12)
+                        flat = np.sort(sims[first[:, None] < np.asarray(y.b_at)[None, :]] if x.b == y.b else sims.ravel())
+                        for i, (low, high, each) in enumerate(ranges):
+                            part = flat[np.searchsorted(flat, low, "left") : np.searchsorted(flat, high, "right")]
+                            number = part if each else np.minimum(parts - 1, np.floor((part - low) / (high - low) * parts))
+                            keys, at, ns = np.unique(number, return_index=True, return_counts=True)
+                            for key, begin, size in zip(keys.tolist(), at.tolist(), ns.tolist()):
+                                old = sums.get((i, key), [0, np.inf, -np.inf])
+                                sums[i, key] = [old[0] + size, min(old[1], part[begin]), max(old[2], part[begin + size - 1])]
+            return pd.DataFrame([(i, k, *v) for (i, k), v in sums.items()], columns=["i", "part", "n", "low", "high"]).astype({"i": "int32", "part": float, "n": "int64", "low": float, "high": float})
+
+        bins = met.applyInPandas(count, "i int, part double, n long, low double, high double")
+        return bins.groupBy("i", "part").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+
+    def recount(still: list) -> dict:
+        rows = counted([(low, high, size <= small) for _, low, high, _, size, _ in still])
+        return {i: [(r["part"], r["n"], r["low"], r["high"]) for r in rows if r["i"] == i] for i in range(len(still))}
+
+    first = [(r["part"], r["n"], r["low"], r["high"]) for r in counted([(-1.0 - 1e-9, 1.0 + 1e-9, False)])]
+    return selected({0: first}, {0: qs}, recount)[0]
+
+
+def standing_in_group(vectors: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (pair, x, s) with below, n and total: of the cosines of x to the others of its group, how many are less than s, how many there
+    are, and their sum. ``pair`` is unique. Groups lie in blocks, and a group's blocks meet in the cells of a grid of its own, which hand on a
+    row for each pair of theirs; a large group has many cells."""
+    unit = unit_vectors(vectors).select("id", "vec", F.struct("grp").alias("g"))
+    asks = pairs.select("pair", F.col("x").alias("id"), "s").join(unit, "id")
+
+    def gathered(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+        sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias(f"{name}_n"))
+        put = rows.join(sizes, "g").withColumn(name, F.pmod(F.xxhash64(columns[0]), F.col(f"{name}_n")))
+        return put.groupBy("g", name, f"{name}_n").agg(F.collect_list(F.struct(*columns)).alias("rows")).select("g", name, f"{name}_n", *[F.col(f"rows.{c}").alias(f"{name}_{c}") for c in columns])
+
+    left, right = gathered(asks, ["pair", "id", "s", "vec"], "lb"), gathered(unit, ["id", "vec"], "rb")
+    width = lambda side, name: side.select("g", F.ceil(F.col(f"{name}_n") / SUPER).alias(f"{name}_cells")).distinct()
+    cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = left.join(width(right, "rb"), "g").withColumn("i", F.floor(F.col("lb") / SUPER)).withColumn("j", cells("rb_cells"))
+    b = right.join(width(left, "lb"), "g").withColumn("j", F.floor(F.col("rb") / SUPER)).withColumn("i", cells("lb_cells"))
+
+    def count(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        blocks = [(np.asarray(y.rb_id), _matrix(y.rb_vec).T) for y in items.itertuples(index=False)]
+        for x in asked.itertuples(index=False):
+            own, star, vectors_of = np.asarray(x.lb_id), np.asarray(x.lb_s), _matrix(x.lb_vec)
+            below, n, total = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own))
+            for ids, matrix in blocks:
+                s, other = np.round(vectors_of @ matrix, 12), ids[None, :] != own[:, None]
+                below += ((s < star[:, None]) & other).sum(1)
+                n += other.sum(1)
+                total += np.where(other, s, 0.0).sum(1)
+            out.append(pd.DataFrame({"pair": np.asarray(x.lb_pair), "below": below, "n": n, "total": total}))
+        return pd.concat(out) if out else pd.DataFrame({"pair": [], "below": [], "n": [], "total": []})
+
+    a, b = (side.withColumn("cell", F.struct("g", "i", "j")).drop("g") for side in (a, b))
+    met = a.groupBy("cell").cogroup(b.groupBy("cell")).applyInPandas(count, "pair long, below long, n long, total double")
+    sums = met.groupBy("pair").agg(F.sum("below").alias("below"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return pairs.join(sums, "pair")
+
+
 def query_metrics(ranks: DataFrame, rank: str) -> DataFrame:
     """Metrics of each query from the ranks (from 0) of its relevant items: hit_1, hit_5, hit_10, recall_10, mrr, ap."""
     placed = ranks.withColumn("j", F.row_number().over(Window.partitionBy("q").orderBy(rank)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import l2, uniform
+from lodestone.operators.quantiles import exact_quantiles
 from lodestone.plans.numbering import running_sum
 
 
@@ -37,12 +38,10 @@ def imputed(df: DataFrame, policy: Mapping[str, float | str]) -> DataFrame:
     """Nulls and NaNs filled column by column: by a constant, or by the column's median. An absent column becomes its constant;
     an absent median column, or one with no values, stays null."""
     real = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in policy if c in df.columns}
-    medians = [F.percentile(v, 0.5).alias(c) for c, v in real.items() if policy[c] == "median"]
-    if medians:
-        df = df.join(F.broadcast(df.agg(F.struct(*medians).alias("__medians"))))
-    fill = lambda c, how: F.col("__medians")[c] if how == "median" and c in real else F.lit(None if how == "median" else float(how)).cast("double")
-    out = df.withColumns({c: F.coalesce(real.get(c, F.lit(None)), fill(c, how)) for c, how in policy.items()})
-    return out.drop("__medians")
+    wanted = [c for c in real if policy[c] == "median"]
+    found = exact_quantiles(df.select(*[real[c].alias(c) for c in wanted]), {c: [0.5] for c in wanted}) if wanted else {}
+    fill = {c: (found[c][0] if c in found else None) if how == "median" else float(how) for c, how in policy.items()}
+    return df.withColumns({c: F.coalesce(real.get(c, F.lit(None)), F.lit(x).cast("double")) for c, x in fill.items()})
 
 
 def attached(entities: DataFrame, vectors: DataFrame, key: str, missing: Column | None = None) -> DataFrame:

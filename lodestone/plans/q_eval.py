@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import dot, l2, r6
 from lodestone.operators import ranking as R
+from lodestone.operators.quantiles import exact_quantiles
 from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SIMS, SQL, TOP_SQL
 from lodestone.plans.registry import query
-from lodestone.plans.staging import table
+from lodestone.plans.staging import stage, table
 
 NAMES = ("hit_1", "hit_5", "hit_10", "recall_10", "mrr", "ap")
 
@@ -170,9 +171,9 @@ def cross_modal_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(min(s), 6) AS low, round(max(s), 6) AS high, round(stddev_pop(s), 6) AS std, round(avg(CAST(s > 0.5 AS DOUBLE)), 6) AS over_half FROM p""")
 def alignment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines of paired vectors in summary."""
-    sims = paired_cosines(spark, sf_dir)
+    sims = stage(paired_cosines(spark, sf_dir), "cosines")
     return sims.agg(
-        r6(F.avg("s")).alias("mean"), r6(F.percentile("s", 0.5)).alias("median"), r6(F.min("s")).alias("low"), r6(F.max("s")).alias("high"),
+        r6(F.avg("s")).alias("mean"), r6(F.lit(exact_quantiles(sims, {"s": [0.5]})["s"][0])).alias("median"), r6(F.min("s")).alias("low"), r6(F.max("s")).alias("high"),
         r6(F.stddev_pop("s")).alias("std"), r6(F.avg((F.col("s") > 0.5).cast("double"))).alias("over_half"),
     )
 
@@ -188,28 +189,22 @@ def paired_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT count(*) AS n, round(avg(below), 6) AS percentile, round(avg(CAST(below > 0.5 AS DOUBLE)), 6) AS over_half, round(avg(sxy), 6) AS cos_pair, round(avg(other), 6) AS cos_group FROM v""")
 def label_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a pair's cosine stands among the cosines of its first item to all of its group; pairs aren't made distinct."""
-    known = paired_cosines(spark, sf_dir)
-    # Group cosines are counted against the pair's by an equality join on the first item.
-    group = R.all_pairs(B.vectors(spark, sf_dir), same_group=True).select(F.col("q").alias("x"), "sim")
-    by_pair = known.join(group, "x").groupBy("x", "y", "s").agg(F.avg((F.col("sim") < F.col("s")).cast("double")).alias("below"), F.avg("sim").alias("other"), F.count(F.lit(1)).alias("n"))
+    known = paired_cosines(spark, sf_dir).withColumn("pair", F.monotonically_increasing_id())
+    by_pair = R.standing_in_group(B.vectors(spark, sf_dir), stage(known, "known")).select("s", (F.col("below") / F.col("n")).alias("below"), (F.col("total") / F.col("n")).alias("other"), "n")
     ok = by_pair.where("n >= 5")
     return ok.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("below")).alias("percentile"), r6(F.avg((F.col("below") > 0.5).cast("double"))).alias("over_half"), r6(F.avg("s")).alias("cos_pair"), r6(F.avg("other")).alias("cos_group"))
 
 
-@query("pairwise_cosine", SQL + """, p AS (SELECT round(list_dot_product(a.vec, b.vec), 12) AS s FROM units a JOIN units b ON a.id < b.id WHERE ('0x' || substr(md5('pc|' || a.id), 1, 8))::BIGINT / 4294967296.0 < 0.2 AND ('0x' || substr(md5('pc|' || b.id), 1, 8))::BIGINT / 4294967296.0 < 0.2),
- m AS (SELECT avg(list_dot_product(a.vec, b.vec)) AS mean_all FROM units a JOIN units b ON a.id < b.id)
- SELECT round(mean_all, 6) AS mean_all, round(min(s), 6) AS low, round(quantile_cont(s, 0.25), 6) AS q25, round(quantile_cont(s, 0.5), 6) AS q50, round(quantile_cont(s, 0.75), 6) AS q75, round(max(s), 6) AS high FROM p, m GROUP BY mean_all""")
+@query("pairwise_cosine", SQL + """, p AS (SELECT list_dot_product(a.vec, b.vec) AS r, round(list_dot_product(a.vec, b.vec), 12) AS s FROM units a JOIN units b ON a.id < b.id)
+ SELECT round(avg(r), 6) AS mean_all, round(min(s), 6) AS low, round(quantile_cont(s, 0.25), 6) AS q25, round(quantile_cont(s, 0.5), 6) AS q50, round(quantile_cont(s, 0.75), 6) AS q75, round(max(s), 6) AS high FROM p""")
 def pairwise_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean cosine of all pairs in closed form, from the sum of the vectors; quantiles from the pairs of a hashed sample."""
-    from lodestone.functions.columns import uniform
-
-    unit = R.unit_vectors(B.vectors(spark, sf_dir))
+    """Mean cosine of all pairs in closed form, from the sum of the vectors; their quantiles from histograms of the pairs of blocks."""
+    v = B.vectors(spark, sf_dir)
+    unit = R.unit_vectors(v)
     sums = unit.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.count(F.lit(1)).alias("n"))
     mean = sums.agg(((F.sum(F.col("s") * F.col("s")) - F.sum("ss")) / (F.max("n") * (F.max("n") - 1))).alias("mean_all"))
-    some = unit.where(uniform(F.lit("pc"), "id") < 0.2).withColumn("grp", F.lit(0))
-    pairs = R.all_pairs(some).where("q < c")
-    found = pairs.agg(*[r6(e).alias(a) for e, a in ((F.min("sim"), "low"), (F.percentile("sim", 0.25), "q25"), (F.percentile("sim", 0.5), "q50"), (F.percentile("sim", 0.75), "q75"), (F.max("sim"), "high"))])
-    return found.join(F.broadcast(mean)).select(r6("mean_all").alias("mean_all"), "low", "q25", "q50", "q75", "high")
+    found = R.pair_quantiles(v, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return mean.select(r6("mean_all").alias("mean_all"), *[r6(F.lit(x)).alias(c) for x, c in zip(found, ("low", "q25", "q50", "q75", "high"))])
 
 
 @query("query_deltas", SIMS + """, d AS (SELECT q, max(ap) FILTER (scope = 'group') - max(ap) FILTER (scope = 'all') AS delta, max(ap) FILTER (scope = 'all') AS ap FROM per_query GROUP BY q)

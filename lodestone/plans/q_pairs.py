@@ -12,6 +12,7 @@ from lodestone.operators import inference as I
 from lodestone.operators import ranking as R
 from lodestone.operators import samples as S
 from lodestone.operators.names import closest
+from lodestone.operators.quantiles import exact_quantiles
 from lodestone.operators.resampling import tree_sql
 from lodestone.operators import vectors as V
 from lodestone.plans import bindings as B
@@ -109,7 +110,8 @@ def temporal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("temporal_consistency", SQL + TEMPORAL + " SELECT round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(avg(CAST(s > 0.8 AS DOUBLE)), 6) AS over, count(DISTINCT id) AS players, count(*) AS pairs FROM tp")
 def temporal_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal(spark, sf_dir).agg(r6(F.avg("s")).alias("mean"), r6(F.percentile("s", 0.5)).alias("median"), r6(F.avg((F.col("s") > 0.8).cast("double"))).alias("over"), F.countDistinct("id").alias("players"), F.count(F.lit(1)).alias("pairs"))
+    t = stage(temporal(spark, sf_dir), "temporal")
+    return t.agg(r6(F.avg("s")).alias("mean"), r6(F.lit(exact_quantiles(t, {"s": [0.5]})["s"][0])).alias("median"), r6(F.avg((F.col("s") > 0.8).cast("double"))).alias("over"), F.countDistinct("id").alias("players"), F.count(F.lit(1)).alias("pairs"))
 
 
 @query("temporal_lag", SQL + SEASONS + f", b AS (SELECT id, season, vec, lag(vec) OVER (PARTITION BY id ORDER BY season) AS prev FROM sv), x AS (SELECT id, season, round(list_dot_product(vec, prev) / sqrt(list_dot_product(vec, vec) * list_dot_product(prev, prev)), 6) AS sim FROM b WHERE prev IS NOT NULL) SELECT * FROM x")

@@ -12,6 +12,7 @@ from lodestone.functions.columns import r6
 from lodestone.operators import inference as I
 from lodestone.operators import ranking as R
 from lodestone.operators.graph import connected_components
+from lodestone.operators.quantiles import exact_quantiles
 from lodestone.operators.resampling import tree_sql
 from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SIMS, SQL
@@ -260,9 +261,9 @@ GROUPS = """, vx AS (SELECT id, grp, vec[1] AS x FROM vecs), vt AS (SELECT quant
 def heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The difference within each label of twenty queries or more, and within each third of a value, with intervals."""
     v = B.vectors(spark, sf_dir).select(F.col("id").alias("q"), "grp", F.col("vec")[0].alias("x"))
-    cut = v.agg(F.percentile("x", 1 / 3).alias("lo"), F.percentile("x", 2 / 3).alias("hi"))
-    third = F.when(F.col("x") <= F.col("lo"), "low").when(F.col("x") <= F.col("hi"), "mid").otherwise("high")
-    parts = v.select("q", F.lit("label").alias("kind"), F.col("grp").cast("string").alias("part")).unionByName(v.join(F.broadcast(cut)).select("q", F.lit("value").alias("kind"), third.alias("part")))
+    low, high = exact_quantiles(v, {"x": [1 / 3, 2 / 3]})["x"]
+    third = F.when(F.col("x") <= low, "low").when(F.col("x") <= high, "mid").otherwise("high")
+    parts = v.select("q", F.lit("label").alias("kind"), F.col("grp").cast("string").alias("part")).unionByName(v.select("q", F.lit("value").alias("kind"), third.alias("part")))
     d = stage(diffs(spark, sf_dir).join(parts, "q").select("scope", "kind", "part", "q", "value"), "parts")
     keys = ("scope", "kind", "part")
     by = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r6(F.stddev_samp("value")).alias("std"))

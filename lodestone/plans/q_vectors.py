@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.columns import l2, r6, sanitized
 from lodestone.operators import ranking as R
 from lodestone.operators import vectors as V
+from lodestone.operators.quantiles import exact_quantiles
 from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SQL, TOP_SQL
 from lodestone.plans.registry import query
@@ -221,9 +222,10 @@ def pool_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("value_terciles", SQL + CUST + ", q AS (SELECT quantile_cont(bal, 0.333) AS a, quantile_cont(bal, 0.666) AS b, count(bal) AS n FROM cust) SELECT id, CASE WHEN n <= 60 OR bal IS NULL THEN 'none' WHEN bal <= a THEN 'low' WHEN bal <= b THEN 'mid' ELSE 'high' END AS tercile FROM cust, q")
 def value_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir)
-    cuts = c.agg(F.percentile("bal", F.array(F.lit(0.333), F.lit(0.666))).alias("q"), F.count("bal").alias("n"))
-    place = F.when((F.col("n") <= 60) | F.col("bal").isNull(), "none").when(F.col("bal") <= F.col("q")[0], "low").when(F.col("bal") <= F.col("q")[1], "mid").otherwise("high")
-    return c.join(F.broadcast(cuts)).select("id", place.alias("tercile"))
+    low, high = exact_quantiles(c, {"bal": [0.333, 0.666]})["bal"]
+    few = c.agg(F.count("bal").alias("n"))
+    place = F.when((F.col("n") <= 60) | F.col("bal").isNull(), "none").when(F.col("bal") <= low, "low").when(F.col("bal") <= high, "mid").otherwise("high")
+    return c.join(F.broadcast(few)).select("id", place.alias("tercile"))
 
 
 @query("age_at", "SELECT o_orderkey AS id, round(datediff('day', TRY_CAST(substr(s, 1, 10) AS DATE), DATE '2020-07-01') / 365.25, 6) AS age FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'unknown' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' 00:00' END AS s FROM orders)")
