@@ -11,7 +11,8 @@ counted with ``bincount`` and the counts of all shards summed.
 
 Tries hold at most ``most`` phrases together, which is known from sums over the join's keys before a candidate is made: at some 20 bytes
 for each that is about 10 MB, what Spark itself broadcasts by default. Where there would be more, as where one word follows and precedes
-very many others, the phrases that occur are counted by a shuffle instead, as at level 2; the results are the same.
+very many others, the phrases that occur are counted by a shuffle instead, as at level 2; the results are the same. Before that, phrases
+are counted by hashed buckets, an array of fixed size for each task: only phrases of buckets that reach the least count go on.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from lodestone.llm.words import mixed, sliced, string_hashes
 from lodestone.plans.staging import discard, shuffle_width, stage
 
 LONGEST = 5
+BUCKET_BITS = 20
 _BREAK = "."  # stands between pieces; no word contains it
 _TRIE = {"alphabet": np.uint64, "number": np.int32, "base": np.int32, "check": np.int32}
 _COUNTS = pa.schema([("phrase", pa.binary()), ("n", pa.int64())])
@@ -119,11 +122,49 @@ def counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([phrase_bytes(keys), pa.array(counts.astype(np.int64))], schema=_COUNTS)
 
 
-def phrases_in(codes: np.ndarray, keys: np.ndarray, k: int) -> pa.RecordBatch:
-    """Every phrase of k words without a break, with its count."""
+def bucketed(codes: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of phrases of k words without a break, and the bucket of each."""
     at = np.arange(max(0, len(codes) - k + 1))
     for j in range(k):
         at = at[codes[at + j] > 0]
+    x = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        x = x * np.uint64(0xD1342543DE82EF95) + keys[codes[at + j]]
+    return at, (mixed(x) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def live_buckets(rows: DataFrame, streams, k: int, least: int) -> np.ndarray:
+    """Which buckets the phrases of k words fill at least ``least`` times; no phrase of another bucket is so frequent."""
+    size = 1 << 16
+    schema = "chunk int, share int, n binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for codes, keys in streams(batches):
+            total += np.bincount(bucketed(codes, keys, k)[1], minlength=len(total))
+        if total.any():
+            chunks = len(total) // size
+            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * chunks, pa.int32()), pa.array([np.minimum(total[i * size : (i + 1) * size], least).astype(np.uint32).tobytes() for i in range(chunks)], pa.binary())], names=["chunk", "share", "n"])
+
+    def added(part: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.uint64)
+        for n in part["n"]:
+            total += np.frombuffer(n.as_buffer(), np.uint32)
+        return pa.table({"chunk": part["chunk"][:1], "share": part["share"][:1], "n": [np.minimum(total, least).astype(np.uint32).tobytes()]})
+
+    # Sums of up to ``least`` are enough, and in two steps no task adds up the arrays of all others.
+    sums = rows.mapInArrow(count, schema).groupBy("chunk", "share").applyInArrow(added, schema).groupBy("chunk").applyInArrow(added, schema)
+    live = np.zeros(1 << BUCKET_BITS, bool)
+    for r in sums.collect():
+        live[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["n"], np.uint32) >= least
+    return live
+
+
+def phrases_in(codes: np.ndarray, keys: np.ndarray, k: int, live: np.ndarray | None = None) -> pa.RecordBatch:
+    """Every phrase of k words without a break (of a live bucket, if these are given), with its count."""
+    at, bucket = bucketed(codes, keys, k)
+    if live is not None:
+        at = at[live[bucket]]
     number, first, counts = codes[at], np.arange(len(at)), np.ones(len(at), np.int64)
     for j in range(1, k):
         _, first, number, counts = np.unique(number * len(keys) + codes[at + j], return_index=True, return_inverse=True, return_counts=True)
@@ -293,10 +334,11 @@ def frequent_phrases(docs: DataFrame, vocabulary: DataFrame, seed: int, least: i
                     states = np.flatnonzero(total)
                     yield counted(spelled(trie, states, k), total[states]) if len(states) else counted(np.zeros((0, k), np.uint64), np.zeros(0))
         else:
+            live = spark.sparkContext.broadcast(live_buckets(read, streams, k, least) if runs is not None else None)
 
-            def count(batches: Iterator[pa.RecordBatch], k: int = k, streams=streams) -> Iterator[pa.RecordBatch]:
+            def count(batches: Iterator[pa.RecordBatch], k: int = k, streams=streams, live=live) -> Iterator[pa.RecordBatch]:
                 for codes, keys in streams(batches):
-                    yield phrases_in(codes, keys, k)
+                    yield phrases_in(codes, keys, k, live.value)
 
         levels.append(summed(read.mapInArrow(count, "phrase binary, n long"), k))
         if k == 2 and k < longest and (n_pairs := levels[-1].count()) <= most:
