@@ -6,6 +6,7 @@ action_id); nothing relies on the order of the input. All sequence features are
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.staging import discard, stage
+
 ORDER = ("period", "t", "action_id")
 LENGTH, WIDTH = 105.0, 68.0
 
@@ -71,13 +74,29 @@ def pass_degree(edges: DataFrame) -> DataFrame:
 def clustering(edges: DataFrame) -> DataFrame:
     """Local clustering coefficient in each game's undirected network (0 under two neighbours), averaged over games."""
     link = edges.select("game", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    sym = link.unionByName(link.select("game", F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = sym.groupBy("game", "a").agg(F.count(F.lit(1)).alias("d"))
-    two, three = sym.select("game", "a", F.col("b").alias("b1")), sym.select("game", "a", F.col("b").alias("b2"))
-    closed = two.join(three, ["game", "a"]).where("b1 < b2").join(link.select("game", F.col("a").alias("b1"), F.col("b").alias("b2")), ["game", "b1", "b2"], "left_semi")
-    tri = closed.groupBy("game", "a").agg(F.count(F.lit(1)).alias("tri"))
+    degree, tri = triangles(link, "game")
     c = F.when(F.col("d") > 1, 2 * F.coalesce("tri", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
-    return degree.join(tri, ["game", "a"], "left").groupBy(F.col("a").alias("player")).agg(F.avg(c).alias("clustering"))
+    return degree.join(tri, ["game", "node"], "left").groupBy(F.col("node").alias("player")).agg(F.avg(c).alias("clustering"))
+
+
+def triangles(links: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(keys, node, d) and (keys, node, tri) of undirected links (keys, a, b), each there once: neighbours, and triangles that a node is in
+    (no row for none).
+
+    Links point from the end with fewer neighbours to the other (ties by id), so that of m links no node sends out more than the root of
+    2 m, however many neighbours it has: the lists that meet are short, and a hub's neighbours are never paired.
+    """
+    links = stage(links.select(*keys, "a", "b"), "links")
+    degree = stage(links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(*keys, F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("d")), "degree")
+    ends = lambda end, name: degree.select(*keys, F.col("node").alias(end), F.col("d").alias(name))
+    both = links.join(ends("a", "da"), [*keys, "a"]).join(ends("b", "db"), [*keys, "b"])
+    down = F.struct("da", "a") < F.struct("db", "b")
+    out = stage(both.select(*keys, F.when(down, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(down, F.col("b")).otherwise(F.col("a")).alias("v")), "oriented")
+    lists = out.groupBy(*keys, "u").agg(F.collect_list("v").alias("next"))
+    met = out.join(lists, [*keys, "u"]).join(lists.select(*keys, F.col("u").alias("v"), F.col("next").alias("beyond")), [*keys, "v"])
+    thirds = met.withColumn("w", F.array_intersect("next", "beyond")).where(F.size("w") > 0)
+    shares = F.concat(F.array(F.struct(F.col("u").alias("node"), F.size("w").alias("n")), F.struct(F.col("v").alias("node"), F.size("w").alias("n"))), F.transform("w", lambda w: F.struct(w.alias("node"), F.lit(1).alias("n"))))
+    return degree, thirds.select(*keys, F.explode(shares).alias("x")).groupBy(*keys, F.col("x.node").alias("node")).agg(F.sum("x.n").alias("tri"))
 
 
 def _betweenness(src: np.ndarray, dst: np.ndarray) -> dict[int, float]:
@@ -107,14 +126,59 @@ def _betweenness(src: np.ndarray, dst: np.ndarray) -> dict[int, float]:
     return dict(zip(nodes.tolist(), (total * scale).tolist()))
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """Mean over games of betweenness in the game's pass network; a group is the players of one game."""
+def betweenness(edges: DataFrame, most: int = 512, sources: int = 4096) -> DataFrame:
+    """Mean over games of betweenness in the game's pass network. Games of at most ``most`` players are settled in a task each; larger ones
+    by tables of levels, for so many ``sources`` at a time."""
+    edges = stage(edges.select("game", "src", "dst").where("src <> dst").distinct(), "passes")
+    nodes = edges.select("game", F.col("src").alias("node")).union(edges.select("game", "dst")).distinct()
+    sizes = stage(nodes.groupBy("game").agg(F.count(F.lit(1)).alias("n")), "sizes")
 
     def by_game(group: pd.DataFrame) -> pd.DataFrame:
         found = _betweenness(group["src"].to_numpy(), group["dst"].to_numpy())
         return pd.DataFrame({"player": list(found), "b": list(found.values())})
 
-    return edges.groupBy("game").applyInPandas(by_game, "player long, b double").groupBy("player").agg(F.avg("b").alias("betweenness"))
+    found = edges.join(sizes.where(F.col("n") <= most).select("game"), "game").groupBy("game").applyInPandas(by_game, "player long, b double")
+    large = sizes.where(F.col("n") > most)
+    if not large.isEmpty():
+        credit = betweenness_by_levels(edges.join(large.select("game"), "game"), nodes.join(large.select("game"), "game"), sources)
+        scaled = nodes.join(large, "game").join(credit, ["game", "node"], "left")
+        found = found.unionByName(scaled.select(F.col("node").alias("player"), (F.coalesce("credit", F.lit(0.0)) / F.greatest(F.lit(1), (F.col("n") - 1) * (F.col("n") - 2))).alias("b")))
+    return found.groupBy("player").agg(F.avg("b").alias("betweenness"))
+
+
+def betweenness_by_levels(edges: DataFrame, nodes: DataFrame, sources: int = 4096) -> DataFrame:
+    """(game, node, credit): shortest paths through each node, as a share of those between their ends, over all pairs of ends.
+
+    About ``sources`` nodes at a time are sources. Their frontiers are tables (game, source, node, paths), one for each level, each made from
+    the one before by a join; then credits are summed level by level back to the sources. Every level is written, so that no task holds a
+    network and a lost executor costs one level.
+    """
+    edges, nodes = stage(edges, "edges"), stage(nodes, "nodes")
+    rounds = max(1, -(-nodes.count() // sources))
+    parts = []
+    for k in range(rounds):
+        own = nodes.where(F.pmod(F.xxhash64("game", "node"), F.lit(rounds)) == k)
+        levels = [stage(own.select("game", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "level")]
+        seen = levels[0]
+        while not levels[-1].isEmpty():
+            ahead = levels[-1].join(edges.withColumnRenamed("src", "node"), ["game", "node"]).groupBy("game", "source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            levels.append(stage(ahead.join(seen.select("game", "source", "node"), ["game", "source", "node"], "left_anti"), "level"))
+            seen = seen.unionByName(levels[-1])
+        credits = []
+        far = levels[-2].select("game", "source", "node", "paths", F.lit(0.0).alias("credit"))
+        for level in reversed(levels[:-2]):
+            credits.append(far)
+            share = far.select("game", "source", F.col("node").alias("dst"), ((1 + F.col("credit")) / F.col("paths")).alias("share"))
+            back = share.join(edges, ["game", "dst"]).groupBy("game", "source", F.col("src").alias("node")).agg(F.sum("share").alias("share"))
+            near = level.join(back, ["game", "source", "node"], "left")
+            far = stage(near.select("game", "source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("credit")), "credit")
+        if credits:  # the sources themselves get none
+            parts.append(stage(functools.reduce(DataFrame.unionByName, credits).groupBy("game", "node").agg(F.sum("credit").alias("credit")), "credits"))
+            discard(*credits[1:], far)
+        discard(*levels)
+    if not parts:
+        return nodes.select("game", "node", F.lit(0.0).alias("credit"))
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("game", "node").agg(F.sum("credit").alias("credit"))
 
 
 def followed(actions: DataFrame) -> DataFrame:

@@ -113,9 +113,13 @@ def pass_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pass_degree(E.receivers(B.actions(spark, sf_dir))).select("player", r6("out_share").alias("out_share"), r6("in_share").alias("in_share"), "games")
 
 
-@query("pass_betweenness")
+@query("pass_betweenness", SQL.replace("WITH actions", "WITH RECURSIVE actions") + EDGES + """, el AS (SELECT DISTINCT game, src, dst FROM ed), nn AS (SELECT DISTINCT game, v FROM (SELECT game, src AS v FROM el UNION ALL SELECT game, dst FROM el)),
+ bf(game, s, v, d, p) USING KEY (game, s, v) AS (SELECT game, v, v, 0, 1.0::DOUBLE FROM nn UNION (SELECT b.game, b.s, e.dst, b.d + 1, sum(b.p) FROM bf b JOIN el e ON e.game = b.game AND e.src = b.v
+   WHERE NOT EXISTS (SELECT 1 FROM recurring.bf r WHERE r.game = b.game AND r.s = b.s AND r.v = e.dst) GROUP BY b.game, b.s, e.dst, b.d)),
+ cr AS (SELECT a.game, a.v, sum(a.p * c.p / st.p) AS credit FROM bf a JOIN bf c ON c.game = a.game AND c.s = a.v JOIN bf st ON st.game = a.game AND st.s = a.s AND st.v = c.v AND st.d = a.d + c.d WHERE a.d > 0 AND c.d > 0 GROUP BY a.game, a.v),
+ nz AS (SELECT game, count(*) AS n FROM nn GROUP BY game) SELECT v AS player, round(avg(coalesce(credit, 0) / CASE WHEN n > 2 THEN (n - 1) * (n - 2) ELSE 1 END), 9) AS betweenness FROM nn JOIN nz USING (game) LEFT JOIN cr USING (game, v) GROUP BY v""")
 def pass_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.betweenness(E.receivers(B.actions(spark, sf_dir)))
+    return E.betweenness(E.receivers(B.actions(spark, sf_dir))).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query("pass_clustering", SQL + EDGES + """, l AS (SELECT DISTINCT game, least(src, dst) AS a, greatest(src, dst) AS b FROM ed), s AS (SELECT * FROM l UNION ALL SELECT game, b, a FROM l), d AS (SELECT game, a, count(*) AS d FROM s GROUP BY ALL),
