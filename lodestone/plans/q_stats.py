@@ -18,7 +18,8 @@ from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SIMS, SQL
 from lodestone.plans.q_vectors import RANDOM, method_vectors
 from lodestone.plans.registry import query
-from lodestone.plans.staging import stage, table
+from lodestone.plans.staging import scratch_path, scratch_root, stage, table
+from lodestone.sources.store import KeyedTable, reused
 
 #: A sparse graph with many components: every third vector is linked within its label, by blocks of twenty ids.
 LINKS = ", gl AS (SELECT id AS a, lead(id) OVER (PARTITION BY grp, id // 100 ORDER BY id) AS b FROM units), gr AS (SELECT a, b FROM gl WHERE b IS NOT NULL UNION SELECT b, a FROM gl WHERE b IS NOT NULL)"
@@ -310,10 +311,26 @@ def pool_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(found.groupBy("pool").agg(F.bool_and(ok).alias("holds")), "pool").select("pool", "method", "scope", "n", "clusters", r6("mean").alias("diff"), r6("p_block").alias("p_block"), r6("p_t").alias("p_t"), "holds")
 
 
-@query("seed_upsert", """WITH o AS (SELECT o_custkey % 10 AS seed, o_orderkey AS ord, o_totalprice::DOUBLE AS v FROM orders), k AS (SELECT seed, max_by(v, ord) AS v FROM o GROUP BY seed)
+@query("seed_upsert", """WITH o AS (SELECT o_custkey AS seed, o_orderkey AS ord, o_totalprice::DOUBLE AS v FROM orders), k AS (SELECT seed, max_by(v, ord) AS v FROM o GROUP BY seed)
  SELECT count(*) AS seeds, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, bool_and(v > 0) AS all_positive, count(*) FILTER (v < 150000) AS n_below FROM k""")
 def seed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results by seed, the last of each seed counting, in summary."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("seed"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").cast("double").alias("v"))
-    last = o.groupBy("seed").agg(F.max_by("v", "ord").alias("v"))
-    return last.agg(F.count(F.lit(1)).alias("seeds"), r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), F.bool_and(F.col("v") > 0).alias("all_positive"), F.count_if(F.col("v") < 150000).alias("n_below"))
+    """Results by seed, merged into a stored table as they come (here in two parts), the last of each seed counting; then in summary."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("seed"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").cast("double").alias("v"))
+    results = KeyedTable(spark, scratch_path(spark, "results"), ["seed"], 8)
+    early = F.col("ord") % 7 < 3
+    for rows in (o.where(early), o.where(~early)):
+        known = results.read()
+        # A later part may hold an older result of a seed; the one that counts is chosen before it is merged.
+        results.upsert(rows if known is None else rows.unionByName(known.join(rows.select("seed").distinct(), "seed", "left_semi")), "ord")
+    return results.read().agg(F.count(F.lit(1)).alias("seeds"), r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), F.bool_and(F.col("v") > 0).alias("all_positive"), F.count_if(F.col("v") < 150000).alias("n_below"))
+
+
+@query("stored_representation", "SELECT user_id AS player, event_type AS kind, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def stored_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and means by player and kind, built from the log at the first call and read from the stored table at the next."""
+    log = f"{sf_dir}/events.parquet"
+
+    def build() -> DataFrame:
+        return spark.read.parquet(log).groupBy(F.col("user_id").alias("player"), F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"))
+
+    return reused(spark, scratch_root(spark), "by_kind", build, [log], version=1)

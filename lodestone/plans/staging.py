@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import gc
 import tempfile
@@ -29,11 +30,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _run_folder(root: str, application: str) -> str:
     """The one folder that holds all scratch tables of an application; it goes when the driver ends."""
     path = f"{root.rstrip('/')}/lodestone-{application}"
+    # The JVM and its file systems outlive ``spark.stop()``, the session doesn't.
+    spark = SparkSession.getActiveSession()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def remove() -> None:
-        spark = SparkSession.getActiveSession()
-        if spark is not None and spark.sparkContext._jsc is not None:
-            _delete(spark, path)
+        with contextlib.suppress(Exception):  # the JVM is gone before this, if it was killed
+            files.delete(where, True)
 
     atexit.register(remove)
     return path
