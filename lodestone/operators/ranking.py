@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -209,23 +209,32 @@ def pair_quantiles(vectors: DataFrame, qs: list[float], block: int = BLOCK, part
     return selected({0: first}, {0: qs}, recount)[0]
 
 
-def standing_in_group(vectors: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (pair, x, s) with below, n and total: of the cosines of x to the others of its group, how many are less than s, how many there
-    are, and their sum. ``pair`` is unique. Groups lie in blocks, and a group's blocks meet in the cells of a grid of its own, which hand on a
-    row for each pair of theirs; a large group has many cells."""
-    unit = unit_vectors(vectors).select("id", "vec", F.struct("grp").alias("g"))
-    asks = pairs.select("pair", F.col("x").alias("id"), "s").join(unit, "id")
+def met_in_groups(asks: DataFrame, items: DataFrame, ask_columns: list[str], item_columns: list[str], count: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
+    """What ``count`` makes of blocks of asks (columns ``lb_...``) and of items (``rb_...``) of one group ``g``, a struct.
+
+    Groups lie in blocks by a hash of their first columns, and a group's blocks meet in the cells of a grid of its own, of SUPER blocks either
+    side: a large group has many cells.
+    """
 
     def gathered(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
         sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias(f"{name}_n"))
         put = rows.join(sizes, "g").withColumn(name, F.pmod(F.xxhash64(columns[0]), F.col(f"{name}_n")))
         return put.groupBy("g", name, f"{name}_n").agg(F.collect_list(F.struct(*columns)).alias("rows")).select("g", name, f"{name}_n", *[F.col(f"rows.{c}").alias(f"{name}_{c}") for c in columns])
 
-    left, right = gathered(asks, ["pair", "id", "s", "vec"], "lb"), gathered(unit, ["id", "vec"], "rb")
+    left, right = gathered(asks, ask_columns, "lb"), gathered(items, item_columns, "rb")
     width = lambda side, name: side.select("g", F.ceil(F.col(f"{name}_n") / SUPER).alias(f"{name}_cells")).distinct()
     cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     a = left.join(width(right, "rb"), "g").withColumn("i", F.floor(F.col("lb") / SUPER)).withColumn("j", cells("rb_cells"))
     b = right.join(width(left, "lb"), "g").withColumn("j", F.floor(F.col("rb") / SUPER)).withColumn("i", cells("lb_cells"))
+    a, b = (side.withColumn("cell", F.struct("g", "i", "j")).drop("g") for side in (a, b))
+    return a.groupBy("cell").cogroup(b.groupBy("cell")).applyInPandas(count, schema)
+
+
+def standing_in_group(vectors: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (pair, x, s) with below, n and total: of the cosines of x to the others of its group, how many are less than s, how many there
+    are, and their sum. ``pair`` is unique. Cells hand on a row for each pair of theirs."""
+    unit = unit_vectors(vectors).select("id", "vec", F.struct("grp").alias("g"))
+    asks = pairs.select("pair", F.col("x").alias("id"), "s").join(unit, "id")
 
     def count(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -241,12 +250,43 @@ def standing_in_group(vectors: DataFrame, pairs: DataFrame, block: int = BLOCK)
             out.append(pd.DataFrame({"pair": np.asarray(x.lb_pair), "below": below, "n": n, "total": total}))
         return pd.concat(out) if out else pd.DataFrame({"pair": [], "below": [], "n": [], "total": []})
 
-    a, b = (side.withColumn("cell", F.struct("g", "i", "j")).drop("g") for side in (a, b))
-    met = a.groupBy("cell").cogroup(b.groupBy("cell")).applyInPandas(count, "pair long, below long, n long, total double")
+    met = met_in_groups(asks, unit, ["pair", "id", "s", "vec"], ["id", "vec"], count, "pair long, below long, n long, total double", block)
     sums = met.groupBy("pair").agg(F.sum("below").alias("below"), F.sum("n").alias("n"), F.sum("total").alias("total"))
     return pairs.join(sums, "pair")
 
 
+def identity_ranks(queries: DataFrame, targets: DataFrame, groups: list[str] | str, entity: str, mate: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(groups, entity, place): place of each entity's own target among all targets of its group, by rank counting; with ``mate`` those
+    that are the query's equal in it don't count (where it is null, all do).
+
+    Entities (numbers) on one side only, and those with a vector that isn't finite, have no row. A cell of a group's grid hands on one count
+    for each query.
+    """
+    groups = [groups] if isinstance(groups, str) else groups
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # Codes, so that a null mate equals nobody's.
+    side = lambda df, alone: df.where(finite).select(F.struct(*groups).alias("g"), F.col(entity).alias("id"), l2("vec").alias("vec"), (F.coalesce(F.col(mate).cast("long"), F.lit(alone)) if mate else F.lit(alone)).cast("long").alias("mate"))
+    q, t = side(queries, -1), side(targets, -2)
+    own = q.join(t.select("g", "id", F.col("vec").alias("b")), ["g", "id"]).select("g", "id", "vec", "mate", F.round(dot("vec", "b"), 12).alias("s"))
+
+    def count(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        blocks = [(np.asarray(y.rb_id), np.asarray(y.rb_mate), _matrix(y.rb_vec).T) for y in items.itertuples(index=False)]
+        for x in asked.itertuples(index=False):
+            own_id, star, vectors_of, mates = np.asarray(x.lb_id), np.asarray(x.lb_s)[:, None], _matrix(x.lb_vec), np.asarray(x.lb_mate)
+            before = np.zeros(len(own_id), np.int64)
+            for ids, others, matrix in blocks:
+                s = np.round(vectors_of @ matrix, 12)
+                better = (s > star) | ((s == star) & (ids[None, :] < own_id[:, None]))
+                before += (better & (mates[:, None] != others[None, :]) & (ids[None, :] != own_id[:, None])).sum(1)
+            out.append(pd.DataFrame({"g": list(x.lb_g), "id": own_id, "before": before}))
+        return pd.concat(out) if out else pd.DataFrame({"g": [], "id": [], "before": []})
+
+    kind = own.schema["g"].dataType.simpleString()
+    met = met_in_groups(own, t, ["id", "g", "vec", "mate", "s"], ["id", "vec", "mate"], count, f"g {kind}, id {own.schema['id'].dataType.simpleString()}, before long", block)
+    return met.groupBy("g", "id").agg((F.sum("before") + 1).alias("place")).select("g.*", F.col("id").alias(entity), "place")
+
+
 def query_metrics(ranks: DataFrame, rank: str) -> DataFrame:
     """Metrics of each query from the ranks (from 0) of its relevant items: hit_1, hit_5, hit_10, recall_10, mrr, ap."""
     placed = ranks.withColumn("j", F.row_number().over(Window.partitionBy("q").orderBy(rank)))

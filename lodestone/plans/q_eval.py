@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.columns import dot, l2, r6
 from lodestone.operators import ranking as R
 from lodestone.operators.quantiles import exact_quantiles
+from lodestone.operators.ranking import identity_ranks
 from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SIMS, SQL, TOP_SQL
 from lodestone.plans.registry import query
@@ -250,27 +251,11 @@ def identity_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within each season, find each player's odd-day profile from the even-day one."""
     a = B.actions(spark, sf_dir)
     profile = a.groupBy("season", "player", (F.col("game") % 2 == 0).alias("even")).agg(F.array(*[F.avg(c) for c in ("x0", "y0", "x1", "y1")]).alias("vec"))
-    return identity_ranks(profile.where("even"), profile.where("not even"), "season", "player").groupBy("season").agg(
+    return identity_ranks(profile.where("even"), profile.where("not even"), ["season"], "player").groupBy("season").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("place") == 1).cast("double"))).alias("top1"), r6(F.avg(1 / F.col("place"))).alias("mrr")
     )
 
 
-def identity_ranks(queries: DataFrame, targets: DataFrame, group: str, entity: str, mate: str | None = None) -> DataFrame:
-    """(group, entity, place): place of each entity's own target among all targets of the group, by rank counting; with ``mate``
-    among those only that differ from the query's in it.
-
-    Entities on one side only, and those with a vector that isn't finite, have no row. The own similarity is joined first, so that
-    only counts are summed up.
-    """
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    q = queries.where(finite).select(group, F.col(entity).alias("q"), l2("vec").alias("a"), (F.col(mate) if mate else F.lit(0)).alias("mate"))
-    t = targets.where(finite).select(group, F.col(entity).alias("c"), l2("vec").alias("b"), (F.col(mate) if mate else F.lit(1)).alias("other"))
-    own = q.join(t.select(group, F.col("c").alias("q"), "b"), [group, "q"]).select(group, "q", "a", "mate", F.round(dot("a", "b"), 12).alias("own"))
-    sim = F.round(dot("a", "b"), 12)
-    better = (F.col("mate") != F.col("other")) & ((sim > F.col("own")) | ((sim == F.col("own")) & (F.col("c") < F.col("q"))))
-    return own.join(t, group).groupBy(group, "q").agg((F.sum(better.cast("long")) + 1).alias("place")).withColumnRenamed("q", entity)
-
-
 _FILED = SIMS.replace("list_transform(embedding, lambda x: x::DOUBLE) AS vec", "list_transform(embedding, lambda x: CASE WHEN vec_id % 9 = 4 THEN 0.0 ELSE x::DOUBLE END) AS vec")
 
 

@@ -11,6 +11,8 @@ from lodestone.functions.columns import dot, norm, r6, uniform
 from lodestone.operators import inference as I
 from lodestone.operators import ranking as R
 from lodestone.operators import samples as S
+from lodestone.operators.encoders import SetEncoder, encoded, factor_encoder, heatmap_encoder, mean_encoder
+from lodestone.operators.models import fit_factors
 from lodestone.operators.names import closest
 from lodestone.operators.quantiles import exact_quantiles
 from lodestone.operators.resampling import tree_sql
@@ -18,7 +20,6 @@ from lodestone.operators import vectors as V
 from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SQL
 from lodestone.plans.numbering import numbered
-from lodestone.plans.q_eval import identity_ranks
 from lodestone.plans.q_vectors import SEASONS, season_vectors
 from lodestone.plans.registry import query
 from lodestone.plans.staging import stage, table
@@ -177,15 +178,15 @@ def weighted_pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 PICK = "row_number() OVER (PARTITION BY id ORDER BY " + U.format(key="'{seed}|' || doc_id") + ", doc_id)"
 
 
-@query("cross_season_pairs", SQL + SEASONS + TX + ", m AS (SELECT id FROM sv GROUP BY id HAVING count(DISTINCT season) >= 2), p AS (SELECT doc_id, id, " + PICK.format(seed="cs") + " AS k FROM tx WHERE id IN (SELECT id FROM m)) SELECT doc_id, id, season FROM p JOIN sv USING (id) WHERE k <= 2 ORDER BY " + U.format(key="'cap|' || doc_id || '|' || season") + ", doc_id, season LIMIT 5000")
+@query("cross_season_pairs", SQL + SEASONS + TX + ", m AS (SELECT id FROM sv GROUP BY id HAVING count(DISTINCT season) >= 2), p AS (SELECT doc_id, id, " + PICK.format(seed="cs") + " AS k FROM tx WHERE id IN (SELECT id FROM m)) SELECT doc_id, id, season FROM p JOIN sv USING (id) WHERE k <= 2 ORDER BY " + U.format(key="'cap|' || doc_id || '|' || season") + ", doc_id, season LIMIT 10000")
 def cross_season_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two drawn texts of each entity with two seasons or more, with all its seasons; of all pairs a sample of 5,000 at most, drawn by
+    """Two drawn texts of each entity with two seasons or more, with all its seasons; of all pairs a sample of 10,000 at most, drawn by
     hash."""
     s = season_vectors(spark, sf_dir).select("id", "season")
     many = s.groupBy("id").agg(F.countDistinct("season").alias("n")).where("n >= 2")
     k = F.row_number().over(Window.partitionBy("id").orderBy(uniform(F.lit("cs"), "doc_id"), "doc_id"))
     every = texts(spark, sf_dir).join(many, "id", "left_semi").withColumn("k", k).where("k <= 2").join(s, "id").select("doc_id", "id", "season")
-    return every.orderBy(uniform(F.lit("cap"), "doc_id", "season"), "doc_id", "season").limit(5000)
+    return every.orderBy(uniform(F.lit("cap"), "doc_id", "season"), "doc_id", "season").limit(10_000)
 
 
 SHIFT = EMA_SQL.replace("SELECT id, s, season, vec[1] FROM sr a", "SELECT id, s, season, vec FROM sr a").replace("0.75 * sr.vec[1] + 0.25 * em.e", "list_transform(range(1, 5), lambda i: 0.75 * sr.vec[i] + 0.25 * em.e[i])")
@@ -356,37 +357,43 @@ def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SH = f"""WITH ev AS (SELECT event_id, user_id AS player, 0 AS tourn FROM events), s AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY {U.format(key=chr(39) + 'sh|' + chr(39) + ' || event_id')}, event_id) AS i, count(*) OVER (PARTITION BY player) AS n FROM ev)
- SELECT event_id, player, CASE WHEN i <= n // 2 THEN 'q' ELSE 't' END AS side FROM s WHERE n // 2 >= 10 AND CASE WHEN i <= n // 2 THEN i ELSE i - n // 2 END <= 25"""
+ SELECT event_id, player, CASE WHEN i <= least(n // 2, 200) THEN 'q' ELSE 't' END AS side FROM s WHERE n // 2 >= 10 AND i <= least(n // 2, 200) + 200"""
 
 
 @query("split_half", SH)
 def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("player"))
-    return S.split_half(e, ["player"], "event_id", "sh", cap=25)
+    return S.split_half(e, ["player"], "event_id", "sh")
+
+
+@query("event_cap", f"SELECT event_id, user_id AS player FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {U.format(key=chr(39) + 'ec|' + chr(39) + ' || event_id')}, event_id) AS i FROM events) WHERE i <= 600")
+def event_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 600 random events of each player."""
+    return S.capped(table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("player")), ["player"], "event_id", "ec")
 
 
 @query("split_samematch", SQL + f""", sz AS (SELECT player, game, count(*) AS n FROM actions GROUP BY ALL), f AS (SELECT player, game FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY n DESC, game) AS k FROM sz) WHERE k = 1),
- s AS (SELECT action_id, player, game, row_number() OVER (PARTITION BY player ORDER BY {U.format(key=chr(39) + 'sm|' + chr(39) + ' || action_id')}, action_id) AS i, count(*) OVER (PARTITION BY player) AS n FROM actions JOIN f USING (player, game)) SELECT action_id, player, game, CASE WHEN i <= n // 2 THEN 'q' ELSE 't' END AS side FROM s WHERE n // 2 >= 2""")
+ s AS (SELECT action_id, player, game, row_number() OVER (PARTITION BY player ORDER BY {U.format(key=chr(39) + 'sm|' + chr(39) + ' || action_id')}, action_id) AS i, count(*) OVER (PARTITION BY player) AS n FROM actions JOIN f USING (player, game)) SELECT action_id, player, game, CASE WHEN i <= least(n // 2, 200) THEN 'q' ELSE 't' END AS side FROM s WHERE n // 2 >= 2 AND i <= least(n // 2, 200) + 200""")
 def split_samematch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Halves of each player's game with the most actions; the events are sparse, so two a side suffice."""
     a = B.actions(spark, sf_dir).select("action_id", "player", "game")
-    return S.split_same_match(a, ["player"], "game", "action_id", "sm", cap=1 << 30, least=2).select("action_id", "player", "game", "side")
+    return S.split_same_match(a, ["player"], "game", "action_id", "sm", least=2).select("action_id", "player", "game", "side")
 
 
 @query("split_crossmatch", SQL + """, s AS (SELECT action_id, player, game, CASE WHEN (dense_rank() OVER (PARTITION BY player ORDER BY game) - 1) % 2 = 0 THEN 'q' ELSE 't' END AS side FROM actions),
- r AS (SELECT *, row_number() OVER (PARTITION BY player, side ORDER BY game, action_id) AS i, count(*) OVER (PARTITION BY player, side) AS n FROM s), o AS (SELECT player FROM r WHERE i = 1 GROUP BY player HAVING count(*) = 2 AND min(n) >= 10) SELECT action_id, player, side FROM r JOIN o USING (player) WHERE i <= 30""")
+ r AS (SELECT *, row_number() OVER (PARTITION BY player, side ORDER BY game, action_id) AS i, count(*) OVER (PARTITION BY player, side) AS n FROM s), o AS (SELECT player FROM r WHERE i = 1 GROUP BY player HAVING count(*) = 2 AND min(n) >= 10) SELECT action_id, player, side FROM r JOIN o USING (player) WHERE i <= 200""")
 def split_crossmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = B.actions(spark, sf_dir).select("action_id", "player", "game")
-    return S.split_cross_match(a, ["player"], "game", ["game", "action_id"], cap=30).select("action_id", "player", "side")
+    return S.split_cross_match(a, ["player"], "game", ["game", "action_id"]).select("action_id", "player", "side")
 
 
 PROT = SQL + f""", a2 AS (SELECT *, competition AS tourn FROM actions), sh AS (SELECT *, row_number() OVER (PARTITION BY tourn, player ORDER BY {U.format(key=chr(39) + 'lp|' + chr(39) + ' || action_id')}, action_id) AS i, count(*) OVER (PARTITION BY tourn, player) AS n FROM a2),
- s1 AS (SELECT 'split_half' AS protocol, tourn, player, CASE WHEN i <= n // 2 THEN 'q' ELSE 't' END AS side, x0, y0, x1, y1 FROM sh WHERE n // 2 >= 3),
+ s1 AS (SELECT 'split_half' AS protocol, tourn, player, CASE WHEN i <= least(n // 2, 200) THEN 'q' ELSE 't' END AS side, x0, y0, x1, y1 FROM sh WHERE n // 2 >= 3 AND i <= least(n // 2, 200) + 200),
  gs AS (SELECT tourn, player, game FROM (SELECT *, row_number() OVER (PARTITION BY tourn, player ORDER BY n DESC, game) AS k FROM (SELECT tourn, player, game, count(*) AS n FROM a2 GROUP BY ALL)) WHERE k = 1),
  sm AS (SELECT a2.*, row_number() OVER (PARTITION BY tourn, player ORDER BY {U.format(key=chr(39) + 'lq|' + chr(39) + ' || action_id')}, action_id) AS i, count(*) OVER (PARTITION BY tourn, player) AS n FROM a2 JOIN gs USING (tourn, player, game)),
- s3 AS (SELECT 'same_match' AS protocol, tourn, player, CASE WHEN i <= n // 2 THEN 'q' ELSE 't' END AS side, x0, y0, x1, y1 FROM sm WHERE n // 2 >= 1),
- cm AS (SELECT *, CASE WHEN (dense_rank() OVER (PARTITION BY tourn, player ORDER BY game) - 1) % 2 = 0 THEN 'q' ELSE 't' END AS side FROM a2), cn AS (SELECT *, count(*) OVER (PARTITION BY tourn, player, side) AS n FROM cm), ok AS (SELECT tourn, player FROM cn GROUP BY tourn, player HAVING count(DISTINCT side) = 2 AND min(n) >= 3),
- s2 AS (SELECT 'cross_match' AS protocol, tourn, player, side, x0, y0, x1, y1 FROM cn JOIN ok USING (tourn, player)), al AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT 'cross_no_mates', tourn, player, side, x0, y0, x1, y1 FROM s2),
+ s3 AS (SELECT 'same_match' AS protocol, tourn, player, CASE WHEN i <= least(n // 2, 200) THEN 'q' ELSE 't' END AS side, x0, y0, x1, y1 FROM sm WHERE n // 2 >= 1 AND i <= least(n // 2, 200) + 200),
+ cm AS (SELECT *, CASE WHEN (dense_rank() OVER (PARTITION BY tourn, player ORDER BY game) - 1) % 2 = 0 THEN 'q' ELSE 't' END AS side FROM a2), cn AS (SELECT *, count(*) OVER (PARTITION BY tourn, player, side) AS n, row_number() OVER (PARTITION BY tourn, player, side ORDER BY game, action_id) AS place FROM cm), ok AS (SELECT tourn, player FROM cn GROUP BY tourn, player HAVING count(DISTINCT side) = 2 AND min(n) >= 3),
+ s2 AS (SELECT 'cross_match' AS protocol, tourn, player, side, x0, y0, x1, y1 FROM cn JOIN ok USING (tourn, player) WHERE place <= 200), al AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT 'cross_no_mates', tourn, player, side, x0, y0, x1, y1 FROM s2),
  v AS (SELECT protocol, tourn, player, side, count(*) AS events, [avg(x0), avg(y0), avg(x1), avg(y1)] AS vec FROM al GROUP BY ALL),
  ss AS (SELECT a.protocol, a.tourn, a.player AS q, b.player AS c, a.events + b.events AS events, {COS} AS s FROM v a JOIN v b ON a.protocol = b.protocol AND a.tourn = b.tourn AND a.side = 'q' AND b.side = 't' WHERE a.protocol <> 'cross_no_mates' OR a.player = b.player OR a.player % 2 <> b.player % 2),
  rk AS (SELECT protocol, tourn, q, c, events, row_number() OVER (PARTITION BY protocol, tourn, q ORDER BY s DESC, c) AS place FROM ss), own AS (SELECT protocol, tourn, q, place, events FROM rk WHERE q = c),
@@ -395,20 +402,35 @@ INTERVALS = tree_sql("mn", "un", "protocol", 2000, "t1") + """,
  ti AS (SELECT protocol, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM mn GROUP BY protocol), tp AS (SELECT protocol, count(*) AS n, avg(total) AS top1 FROM un GROUP BY protocol)"""
 
 
-def protocol_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """protocol, tourn, player, place, events (of both sides): identity ranks under four protocols; any set-to-vector function could
-    take the mean's place. Halves of all events; halves of the game with the most events; even and odd games; the same with
-    the query's teammates out of the gallery."""
+EVENT = ["x0", "y0", "x1", "y1"]
+
+
+def protocol_places(spark: SparkSession, sf_dir: str, encoder: SetEncoder | None = None, columns: list[str] = EVENT) -> DataFrame:
+    """protocol, tourn, player, place, events (of both sides): identity ranks under four protocols, in one pass. Halves of all events;
+    halves of the game with the most events; even and odd games; the same with the query's teammates out of the gallery. At most 200
+    events a side. ``encoder`` makes a vector of a side's events, their means if none is given."""
     a = B.actions(spark, sf_dir).withColumn("tourn", F.col("competition"))
-    keys, every = ["tourn", "player"], 1 << 30
+    keys, every = ["tourn", "player"], 200
     cross = S.split_cross_match(a, keys, "game", ["game", "action_id"], every, 3)
-    sides = {"split_half": S.split_half(a, keys, "action_id", "lp", every, 3), "same_match": S.split_same_match(a, keys, "game", "action_id", "lq", every, 1), "cross_match": cross, "cross_no_mates": cross}
-    parts = []
-    for name, rows in sides.items():
-        vec = rows.groupBy(*keys, "team", "side").agg(F.array(*[F.avg(c) for c in ("x0", "y0", "x1", "y1")]).alias("vec"), F.count(F.lit(1)).alias("events"))
-        found = identity_ranks(vec.where("side = 'q'"), vec.where("side = 't'"), "tourn", "player", "team" if name == "cross_no_mates" else None)
-        parts.append(found.join(vec.groupBy(*keys).agg(F.sum("events").alias("events")), keys).withColumn("protocol", F.lit(name)))
-    return functools.reduce(DataFrame.unionByName, parts)
+    sides = {"split_half": S.split_half(a, keys, "action_id", "lp", every, 3), "same_match": S.split_same_match(a, keys, "game", "action_id", "lq", every, 1), "cross_match": cross}
+    rows = functools.reduce(DataFrame.unionByName, [x.select(F.lit(name).alias("protocol"), *keys, "team", "side", *columns) for name, x in sides.items()])
+    one = stage(encoded(rows, ["protocol", *keys, "team", "side"], columns, encoder or mean_encoder(len(columns))), "profiles")
+    apart = one.where("protocol = 'cross_match'").withColumn("protocol", F.lit("cross_no_mates"))
+    vec = one.unionByName(apart).withColumn("mate", F.when(F.col("protocol") == "cross_no_mates", F.col("team")))
+    found = R.identity_ranks(vec.where("side = 'q'"), vec.where("side = 't'"), ["protocol", "tourn"], "player", "mate")
+    return found.join(vec.groupBy("protocol", *keys).agg(F.sum("events").alias("events")), ["protocol", *keys])
+
+
+@query("leakage_encoders")
+def leakage_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The protocols over three encoders: means of events, heat maps of where they begin, and weights of eight factors of such maps."""
+    heat = heatmap_encoder(12, 8)
+    a = B.actions(spark, sf_dir)
+    basis = fit_factors(encoded(a, ["player"], ["x0", "y0"], heat), 8)
+    encoders = {"mean": (mean_encoder(4), EVENT), "heatmap": (heat, ["x0", "y0"]), "factors": (factor_encoder(heat, basis), ["x0", "y0"])}
+    parts = [protocol_places(spark, sf_dir, e, c).withColumn("encoder", F.lit(name)) for name, (e, c) in encoders.items()]
+    every = functools.reduce(DataFrame.unionByName, parts)
+    return every.groupBy("encoder", "protocol").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(_hit())).alias("top1"), r6(F.avg(1 / F.col("place"))).alias("mrr"))
 
 
 @query("leakage_protocols", PROT + ", pl AS (SELECT tourn, count(DISTINCT player) AS players FROM a2 GROUP BY tourn) SELECT protocol, tourn, count(*) AS n, round(avg(CAST(place = 1 AS DOUBLE)), 6) AS top1, round(avg(1.0 / place), 6) AS mrr, players - count(*) AS skipped, round(sum(events) / 2.0 / count(*), 6) AS events_a_side FROM own JOIN pl USING (tourn) GROUP BY protocol, tourn, players")
