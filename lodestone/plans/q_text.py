@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -184,8 +184,31 @@ def intents_of(texts: DataFrame, key: str, text: str, intents: Mapping[str, tupl
     return texts.select(key, F.explode(found).alias("intent"))
 
 
-IFEAT = {"reach": (0, 1), "depth": (2,)}
-INT = TOP_SQL + """, cd AS (SELECT q, c, s FROM top WHERE place <= 50 AND q % 20 = 0), qi AS (SELECT q, intent, f FROM (SELECT DISTINCT q FROM cd), (VALUES ('reach', 1), ('reach', 2), ('depth', 3)) v(intent, f) WHERE q % 3 = 2 OR (q % 3 = 1 AND intent = 'reach')),
+#: Names of the card's places, in order.
+CARD = (
+    "clearances", "crosses", "cross_accuracy", "corners", "free_kicks", "take_ons", "take_on_success", "carries_final_third", "carries_box", "actions", "defensive_actions", "forward_third_share",
+    "covered_area", "progressive_passes", "pass_length", "final_third_passes", "goals", "shots", "shot_conversion", "box_share", "pressing_actions", "counterpressing", "tackles", "interceptions",
+    "shots_created", "passes_into_box", "threat_gained", "passes", "pass_completion", "keeper_actions", "keeper_claims", "goal_kicks",
+)
+#: The card's features that tell how much of a skill an item has.
+SKILL_FEATURES = {
+    "aerial": ("clearances",),
+    "set_piece": ("crosses", "cross_accuracy", "corners", "free_kicks"),
+    "dribbler": ("take_ons", "take_on_success", "carries_final_third", "carries_box"),
+    "box_to_box": ("actions", "defensive_actions", "forward_third_share", "covered_area"),
+    "long_range_passer": ("progressive_passes", "pass_length", "final_third_passes"),
+    "penalty_box_scorer": ("goals", "shots", "shot_conversion", "box_share"),
+    "presser": ("pressing_actions", "counterpressing", "tackles", "interceptions"),
+    "creator": ("shots_created", "passes_into_box", "threat_gained", "final_third_passes"),
+    "deep_distributor": ("passes", "pass_completion", "pass_length", "progressive_passes"),
+    "sweeper_keeper": ("keeper_actions", "keeper_claims", "goal_kicks"),
+}
+_SAID = "[" + ", ".join(f"'{w}'" for w in WISHES) + "]"
+_PLACES = ", ".join(f"('{i}', {CARD.index(f) + 1})" for i, fs in SKILL_FEATURES.items() for f in fs)
+INT = TOP_SQL + f""", cd AS (SELECT q, c, s FROM top WHERE place <= 50 AND q % 20 = 0),
+ wi AS (SELECT q, 'Someone like item ' || q || ' who ' || {_SAID}[1 + q % {len(WISHES)}] || ' and ' || {_SAID}[1 + (q // {len(WISHES)}) % {len(WISHES)}] AS wish FROM (SELECT DISTINCT q FROM cd)),
+ il AS (""" + " UNION ALL ".join(f"SELECT q, '{i}' AS intent FROM wi WHERE " + " OR ".join(f"regexp_matches(lower(wish), '{p}')" for p in ps) for i, ps in SKILLS.items()) + f"""),
+ qi AS (SELECT q, intent, f FROM il JOIN (VALUES {_PLACES}) v(intent, f) USING (intent)),
  fv AS (SELECT cd.q, c, intent, vec[f] AS x, avg(vec[f]) OVER (PARTITION BY cd.q, f) AS m, stddev_pop(vec[f]) OVER (PARTITION BY cd.q, f) AS sd FROM cd JOIN vecs ON id = c JOIN qi ON qi.q = cd.q),
  iv AS (SELECT q, c, intent, avg((x - m) / CASE WHEN sd < 1e-8 THEN 1 ELSE sd END) AS z FROM fv GROUP BY q, c, intent), sk AS (SELECT q, c, avg(z) AS skill FROM iv GROUP BY q, c),
  nm AS (SELECT q, c, CASE WHEN max(skill) OVER w - min(skill) OVER w < 1e-12 THEN 0 ELSE (skill - min(skill) OVER w) / (max(skill) OVER w - min(skill) OVER w) END AS skill FROM sk WINDOW w AS (PARTITION BY q))"""
@@ -196,13 +219,20 @@ def candidates(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     return R.top_k(v.where("id % 20 = 0"), v, k)
 
 
-def skills(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
-    """(q, c, skill): features of each of the query's intents standardised over its candidates, mean by intent, mean over intents,
-    scaled to 0..1 among the candidates. A query without intents has no rows."""
-    wanted = [F.struct(F.lit(i).alias("intent"), F.lit(f).alias("f")) for i, fs in IFEAT.items() for f in fs]
-    allowed = (F.col("q") % 3 == 2) | ((F.col("q") % 3 == 1) & (F.col("w.intent") == "reach"))
-    long = found.select("q", "c", F.explode(F.array(*wanted)).alias("w")).where(allowed)
-    x = long.join(B.vectors(spark, sf_dir).select(F.col("id").alias("c"), "vec"), "c").select("q", "c", "w.intent", "w.f", F.expr("vec[w.f]").alias("x"))
+def wishes(found: DataFrame) -> DataFrame:
+    """(q, wish): what each query asks for, in words."""
+    said, q = F.array(*map(F.lit, WISHES)), F.col("q")
+    wish = F.concat(F.lit("Someone like item "), q, F.lit(" who "), F.get(said, q % len(WISHES)), F.lit(" and "), F.get(said, F.floor(q / len(WISHES)) % len(WISHES)))
+    return found.select("q").distinct().select("q", wish.alias("wish"))
+
+
+def skill_scores(found: DataFrame, asked: DataFrame, cards: DataFrame, features: Mapping[str, Sequence[str]], names: Sequence[str]) -> DataFrame:
+    """(q, c, skill) for candidates (q, c) and intents (q, intent): the named features of each intent, read from cards (id, vec),
+    standardised over the query's candidates, their mean by intent, the mean over intents, scaled to 0..1 among the candidates. Intents
+    without features count for nothing; a query without intents has no rows."""
+    places = F.create_map(*[x for i, fs in features.items() for x in (F.lit(i), F.array(*[F.lit(names.index(f)) for f in fs]))])
+    wanted = asked.select("q", "intent", F.explode(F.try_element_at(places, F.col("intent"))).alias("f"))
+    x = found.select("q", "c").join(wanted, "q").join(cards.select(F.col("id").alias("c"), "vec"), "c").select("q", "c", "intent", "f", F.get("vec", F.col("f")).alias("x"))
     over = Window.partitionBy("q", "f")
     sd = F.stddev_pop("x").over(over)
     z = x.withColumn("z", (F.col("x") - F.avg("x").over(over)) / F.when(sd < 1e-8, 1.0).otherwise(sd))
@@ -210,6 +240,11 @@ def skills(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     return skill.withColumn("skill", scaled("skill"))
 
 
+def skills(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """(q, c, skill): how much of what a query's wish names each candidate has."""
+    return skill_scores(found, intents_of(wishes(found), "q", "wish", SKILLS), B.vectors(spark, sf_dir), SKILL_FEATURES, CARD)
+
+
 def scaled(column: str) -> Column:
     w = Window.partitionBy("q")
     low, high = F.min(column).over(w), F.max(column).over(w)
@@ -240,6 +275,19 @@ def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reranked(spark, sf_dir).where("place <= 10").withColumn("score", r6("score"))
 
 
+@query("wish_ranking", RERANK + f""", fn AS (SELECT * FROM (VALUES {", ".join(f"({k + 1}, '{n}')" for k, n in enumerate(CARD))}) v(f, name)),
+ wf AS (SELECT q, list_sort(list(DISTINCT intent)) AS intents, list_sort(list(DISTINCT name)) AS features FROM qi JOIN fn USING (f) GROUP BY q)
+ SELECT rr.q, wish, array_to_string(coalesce(intents, []), ',') AS intents, array_to_string(coalesce(features, []), ',') AS features, c, round(score, 6) AS score, place FROM rr JOIN wi ON wi.q = rr.q LEFT JOIN wf ON wf.q = rr.q WHERE place <= 10""")
+def wish_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a wish in words to ten ranked items: its intents, the features they look at, and each item's score and place."""
+    top = reranked(spark, sf_dir).where("place <= 10")
+    asked = wishes(top)
+    names = F.flatten(F.collect_set(F.try_element_at(F.create_map(*[x for i, fs in SKILL_FEATURES.items() for x in (F.lit(i), F.array(*map(F.lit, fs)))]), F.col("intent"))))
+    told = intents_of(asked, "q", "wish", SKILLS).groupBy("q").agg(F.array_join(F.array_sort(F.collect_set("intent")), ",").alias("intents"), F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("features"))
+    whole = top.join(asked, "q").join(told, "q", "left")
+    return whole.select("q", "wish", F.coalesce("intents", F.lit("")).alias("intents"), F.coalesce("features", F.lit("")).alias("features"), "c", r6("score").alias("score"), "place")
+
+
 @query("rerank_ndcg", RERANK + """, n AS (SELECT grp, count(*) AS n FROM units GROUP BY grp), w AS (SELECT k, sum(1 / log2(k + 1)) OVER (ORDER BY k) AS d FROM (SELECT unnest(range(1, 11)) AS k)),
  h AS (SELECT q, a.grp AS qg, sum(CASE WHEN b.grp = a.grp THEN 3.0 WHEN b.grp = (a.grp + 1) % 10 THEN 1.0 ELSE 0.0 END / log2(place + 1)) AS dcg FROM rr JOIN units a ON a.id = q JOIN units b ON b.id = c WHERE place <= 10 GROUP BY q, a.grp),
  i AS (SELECT h.q, dcg, least(10, a.n - 1) AS n3, coalesce(b.n, 0) AS n1 FROM h JOIN n a ON a.grp = h.qg LEFT JOIN n b ON b.grp = (h.qg + 1) % 10)
