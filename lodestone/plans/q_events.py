@@ -159,13 +159,13 @@ XT = ", m AS (SELECT " + CELL.format(x="x0", y="y0") + " AS c0, " + CELL.format(
  base AS (SELECT c0 AS cell, count(*) FILTER (type <> 'shot') * 1.0 / count(*) AS pm, count(*) FILTER (type <> 'shot') AS moves, CASE WHEN count(*) FILTER (type = 'shot') = 0 THEN 0 ELSE count(*) FILTER (type = 'shot' AND ok) * 1.0 / count(*) END AS gain FROM m GROUP BY c0),
  st AS (SELECT c0 AS cell, c1 AS nxt, pm * count(*) / moves AS p FROM m JOIN base ON cell = c0 WHERE type <> 'shot' AND ok GROUP BY c0, c1, pm, moves),
  it(k, cell, xt) AS (SELECT 0, cell, 0.0::DOUBLE FROM base UNION ALL SELECT a.k, a.cell, a.gain + coalesce(f.flow, 0) FROM
-  (SELECT DISTINCT it.k + 1 AS k, base.cell, base.gain FROM it, base WHERE it.k < 20) a LEFT JOIN (SELECT st.cell, sum(p * it.xt) AS flow FROM st JOIN it ON it.cell = st.nxt GROUP BY st.cell) f ON f.cell = a.cell),
- xt AS (SELECT cell, xt FROM it WHERE k = 20)"""
+  (SELECT DISTINCT it.k + 1 AS k, base.cell, base.gain FROM it, base WHERE it.k < 100) a LEFT JOIN (SELECT st.cell, sum(p * it.xt) AS flow FROM st JOIN it ON it.cell = st.nxt GROUP BY st.cell) f ON f.cell = a.cell),
+ dk AS (SELECT b.k, max(abs(b.xt - a.xt)) AS d FROM it a JOIN it b ON b.cell = a.cell AND b.k = a.k + 1 GROUP BY b.k), xt AS (SELECT cell, xt FROM it WHERE k = (SELECT coalesce(min(k) FILTER (d < 1e-5), 100) FROM dk))"""
 XT_SQL = SQL.replace("WITH actions", "WITH RECURSIVE actions") + XT
 
 
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.threat_surface(B.actions(spark, sf_dir), most_rounds=20, eps=0.0)
+    return E.threat_surface(B.actions(spark, sf_dir))
 
 
 @query("xt_surface", XT_SQL + " SELECT cell::BIGINT AS cell, round(xt, 6) AS xt FROM xt")
