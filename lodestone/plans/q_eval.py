@@ -221,7 +221,7 @@ def query_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.unionByName(worst).unionByName(means)
 
 
-SUBMISSION = """, sub AS (SELECT row_number() OVER (ORDER BY c_custkey) AS ord, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 400 END AS id, 'n' || (c_custkey % 300) AS name, [c_acctbal::DOUBLE, c_custkey % 7] AS vec FROM customer)"""
+SUBMISSION = """, sub AS (SELECT row_number() OVER (ORDER BY c_custkey) AS ord, CASE WHEN c_custkey % 3 <> 0 AND c_custkey // 3 % 4 <> 0 THEN c_custkey // 3 END AS id, 'n' || (c_custkey // 2) AS name, [c_acctbal::DOUBLE, c_custkey % 7] AS vec FROM customer)"""
 
 
 @query("align_submission", SQL + SUBMISSION + """, by_id AS (SELECT id, max_by(vec, ord) AS vec FROM sub WHERE id IS NOT NULL GROUP BY id), by_name AS (SELECT name, min_by(vec, ord) AS vec FROM sub GROUP BY name)
@@ -231,8 +231,8 @@ def align_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pool items take a submission's vector by id (the last of repeated rows), else by name (the first), else zeros."""
     c = table(spark, sf_dir, "customer")
     sub = c.select(
-        F.col("c_custkey").alias("ord"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 400).alias("id"),
-        F.concat(F.lit("n"), F.col("c_custkey") % 300).alias("name"), F.array(F.col("c_acctbal").cast("double"), (F.col("c_custkey") % 7).cast("double")).alias("vec"),
+        F.col("c_custkey").alias("ord"), F.when((F.col("c_custkey") % 3 != 0) & (F.expr("c_custkey div 3") % 4 != 0), F.expr("c_custkey div 3")).alias("id"),
+        F.concat(F.lit("n"), F.expr("c_custkey div 2")).alias("name"), F.array(F.col("c_acctbal").cast("double"), (F.col("c_custkey") % 7).cast("double")).alias("vec"),
     )
     by_id = sub.where("id is not null").groupBy("id").agg(F.max_by("vec", "ord").alias("iv"))
     by_name = sub.groupBy("name").agg(F.min_by("vec", "ord").alias("nv"))

@@ -34,16 +34,16 @@ def map_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.col("o_custkey").alias("ext_id")).agg(F.min("o_orderkey").alias("first_row"), F.max_by("o_orderpriority", "o_orderkey").alias("last_sub"))
 
 
-POOL = ", fl AS (SELECT id, CASE id % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'true' WHEN 2 THEN 'False' WHEN 3 THEN ' True ' ELSE 'no' END AS flag FROM units), ro AS (SELECT id AS row, id % 480 AS player FROM fl WHERE lower(trim(flag)) = 'true'), lw AS (SELECT player, max(row) AS row FROM ro GROUP BY player), mp AS (SELECT x, y FROM pairs)"
+POOL = ", fl AS (SELECT id, CASE id % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'true' WHEN 2 THEN 'False' WHEN 3 THEN ' True ' ELSE 'no' END AS flag FROM units), ro AS (SELECT id AS row, CASE WHEN id % 10 = 1 THEN id - 1 ELSE id END AS player FROM fl WHERE lower(trim(flag)) = 'true'), lw AS (SELECT player, max(row) AS row FROM ro GROUP BY player), mp AS (SELECT x, y FROM pairs)"
 
 
 @query("relevance_edges", SQL + POOL + " SELECT DISTINCT q, r FROM (SELECT a.row AS q, b.row AS r FROM mp JOIN lw a ON a.player = x JOIN lw b ON b.player = y UNION ALL SELECT b.row, a.row FROM mp JOIN lw a ON a.player = x JOIN lw b ON b.player = y) WHERE q <> r")
 def relevance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of player ids resolved to gallery rows. A row is in the gallery if its flag is the text "true" in any case; of rows
-    that share a player the last one counts."""
+    that share a player (here every tenth and the one after it) the last one counts."""
     k = F.col("id") % 5
     flag = F.when(k == 0, "TRUE").when(k == 1, "true").when(k == 2, "False").when(k == 3, " True ").otherwise("no")
-    rows = B.vectors(spark, sf_dir).select("id", flag.alias("flag")).where(F.lower(F.trim("flag")) == "true").select((F.col("id") % 480).alias("player"), F.col("id").alias("row"))
+    rows = B.vectors(spark, sf_dir).select("id", flag.alias("flag")).where(F.lower(F.trim("flag")) == "true").select((F.col("id") - (F.col("id") % 10 == 1).cast("int")).alias("player"), F.col("id").alias("row"))
     last = rows.groupBy("player").agg(F.max("row").alias("row"))
     at = lambda name: last.select(F.col("player").alias(name), F.col("row").alias(f"row_{name}"))
     return R.relevance_edges(B.pairs(spark, sf_dir).join(at("x"), "x").join(at("y"), "y").select(F.col("row_x").alias("x"), F.col("row_y").alias("y")))
