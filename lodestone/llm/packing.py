@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import encoded
+from lodestone.llm.words import give_back
 from lodestone.plans.staging import stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -61,6 +62,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
 
     def first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         part = TaskContext.get().partitionId()
         ids = _id_source(part << 32)
         windows = OpenWindows(size, open_windows, ids)
@@ -74,6 +76,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     window, offset = (next(ids), 0) if len(piece) == size else windows.place(len(piece))
                     rows.append((doc_id, start, len(piece), zlib.crc32(piece), n, window, offset, part, None))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "used"]).astype({"doc_id": "Int64", "used": "Int64"})
+            give_back()
         # The windows left open, as rows without a document.
         left = [(None, 0, 0, 0, 0, window, 0, part, size - free) for free, window in windows.open]
         yield pd.DataFrame(left, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "used"]).astype({"doc_id": "Int64", "used": "Int64"})

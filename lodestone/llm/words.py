@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,16 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") ->
         pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on from task to task, and keeps what earlier ones have used."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Word numbers in order, the distinct words, and the text of each word; words lie between ASCII white space, null texts
     have none. ``lower`` turns A-Z to a-z first."""
