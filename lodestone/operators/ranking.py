@@ -17,6 +17,7 @@ from lodestone.plans.staging import stage
 BLOCK = 1024
 SUPER = 48
 PIECE = 256
+EDGES = 2048
 KS = (1, 5, 10)
 
 
@@ -81,18 +82,21 @@ def rank_counts(vectors: DataFrame, edges: DataFrame, block: int = BLOCK) -> Dat
         for row in queries.itertuples(index=False):
             at = np.repeat(np.arange(len(row.eb_q)), [len(x) for x in row.eb_r])
             q, group_of = np.asarray(row.eb_q)[at], np.asarray(row.eb_qgrp)[at]
-            r, star = np.concatenate(row.eb_r), np.concatenate(row.eb_sim)[:, None]
-            r_inside = (np.concatenate(row.eb_rgrp) == group_of)[:, None]
+            r, star = np.concatenate(row.eb_r), np.concatenate(row.eb_sim)
+            r_inside = np.concatenate(row.eb_rgrp) == group_of
             vectors_of = _matrix(row.eb_qvec)
             rank_all, rank_group = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
             for ids, group, matrix in blocks:
-                s = np.round(vectors_of @ matrix, 12)[at]
-                own = ids[None, :] != q[:, None]
-                earlier = ids[None, :] < r[:, None]
-                better = own & (ids[None, :] != r[:, None]) & ((s > star) | (s == star) & earlier)
-                inside = (group[None, :] == group_of[:, None]) & own
-                rank_all += better.sum(1)
-                rank_group += np.where(r_inside, inside & better, inside | ~inside & earlier).sum(1)
+                sims = np.round(vectors_of @ matrix, 12)
+                for i in range(0, len(q), EDGES):  # however many relevant items the queries have
+                    e = slice(i, i + EDGES)
+                    s, mine, target, best = sims[at[e]], q[e, None], r[e, None], star[e, None]
+                    own = ids[None, :] != mine
+                    earlier = ids[None, :] < target
+                    better = own & (ids[None, :] != target) & ((s > best) | (s == best) & earlier)
+                    inside = (group[None, :] == group_of[e, None]) & own
+                    rank_all[e] += better.sum(1)
+                    rank_group[e] += np.where(r_inside[e, None], inside & better, inside | ~inside & earlier).sum(1)
             out.append(pd.DataFrame({"q": q, "r": r, "rank_all": rank_all, "rank_group": rank_group}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "r": [], "rank_all": [], "rank_group": []})
 
