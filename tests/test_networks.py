@@ -43,7 +43,7 @@ def graph(seed, n, m):
     return {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a != b}
 
 
-@pytest.mark.parametrize("most, sources", [(512, 4096), (0, 4096), (0, 5), (12, 7)])
+@pytest.mark.parametrize("most, sources", [(512, 4096), (12, 20)])
 def test_betweenness(spark, most, sources):
     games = {1: graph(1, 14, 30), 2: graph(2, 9, 12), 3: {(5, 6)}, 4: {(i, i + 1) for i in range(8)} | {(8, 0)}}
     rows = [(g, a, b, 1) for g, es in games.items() for a, b in es]
