@@ -40,7 +40,7 @@ _BASE = 0x9E3779B97F4A7C15
 class Settings:
     """log_base: b of the levels. keys: bits set for an entry, within one 64-bit word. load: bits for an entry. share: training tokens
     for a segment, about. most_bits: the largest filter that is broadcast. prior: k of the probabilities. frequent, longest: bounds
-    of the words that are broadcast with their exact counts."""
+    of the words that are broadcast with their exact counts. ranges: most rows of probes from one block of texts (a power of two)."""
 
     log_base: float = 1.5
     keys: int = 4
@@ -50,6 +50,7 @@ class Settings:
     prior: float = 8.0
     frequent: int = 200_000
     longest: int = 64
+    ranges: int = 512
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -117,17 +118,51 @@ def short(keys: np.ndarray, segments: int) -> np.ndarray:
     return keys << np.uint64(segments.bit_length() - 1) >> np.uint64(24)
 
 
-def packed_keys(keys: np.ndarray) -> np.ndarray:
-    """40-bit keys as five bytes each."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+def packed_keys(keys: np.ndarray, size: int = 5) -> np.ndarray:
+    """40-bit keys as five bytes each (or so many bits as ``size`` bytes hold)."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
 
 
-def unpacked_keys(blob: bytes) -> np.ndarray:
-    keys = np.zeros((len(blob) // 5, 8), np.uint8)
-    keys[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+def unpacked_keys(blob: bytes, size: int = 5) -> np.ndarray:
+    keys = np.zeros((len(blob) // size, 8), np.uint8)
+    keys[:, :size] = np.frombuffer(blob, np.uint8).reshape(-1, size)
     return keys.view("<u8").ravel()
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Successive segments that probes travel to together, so that the rows of a block stay few and long at any number of segments."""
+
+    segments: int
+    most: int
+
+    @property
+    def n(self) -> int:
+        return min(self.segments, self.most)
+
+    @property
+    def each(self) -> int:
+        return self.segments // self.n
+
+    @property
+    def size(self) -> int:
+        """Bytes of a key: 40 bits, and those that tell the segment within its range."""
+        return -(-(40 + self.each.bit_length() - 1) // 8)
+
+    def rows(self, keys: np.ndarray) -> list[tuple[int, bytes]]:
+        """Sorted keys by range."""
+        bits = 40 + self.each.bit_length() - 1
+        small = packed_keys(keys << np.uint64(self.n.bit_length() - 1) >> np.uint64(64 - bits), self.size)
+        return [(r, small[part].tobytes()) for r, part in by_segment(keys, self.n)]
+
+    def apart(self, number: int, blob: bytes) -> Iterator[tuple[int, bytes]]:
+        """A range's keys by segment, as 40-bit keys."""
+        keys = unpacked_keys(blob, self.size)
+        segment, small = keys >> np.uint64(40), packed_keys(keys & np.uint64(2**40 - 1))
+        for a, b in runs_of(segment):
+            yield number * self.each + int(segment[a]), small[a:b].tobytes()
+
+
 class LogFrequencyFilter:
     """All segments of a filter, for probing by whole keys."""
 
@@ -289,9 +324,10 @@ def _with_broadcast(docs: DataFrame, known: Known, table: DataFrame, segments: i
 def _by_shuffle(docs: DataFrame, known: Known, table: DataFrame, segments: int, settings: Settings) -> tuple[DataFrame, list[DataFrame]]:
     """Scores by a filter that stays a table: the keys that a block of texts asks for go to the segments, and their levels come back,
     in streams sorted by segment and by block, of which a task holds one segment or one block. A block is one row of some
-    megabytes; it tells its keys in one order, so that levels come back without them."""
+    megabytes; it tells its keys in one order, so that levels come back without them. Keys and levels travel by ranges of segments;
+    where a range has several, they are told apart and put together again within the task that has the range."""
     context = docs.sparkSession.sparkContext
-    facts = context.broadcast(known)
+    facts, ranges = context.broadcast(known), Ranges(segments, settings.ranges)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -305,9 +341,28 @@ def _by_shuffle(docs: DataFrame, known: Known, table: DataFrame, segments: int,
         for batch in batches:
             for k in range(batch.num_rows):
                 keys = asked(batch["texts"][k].values, facts.value)[1]
-                small = packed_keys(short(keys, segments))
-                rows = [(s, batch["block"][k].as_py(), small[part].tobytes()) for s, part in by_segment(keys, segments)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["segment", "block", "keys"])
+                rows = [(r, batch["block"][k].as_py(), blob) for r, blob in ranges.rows(keys)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["range", "block", "keys"])
+
+    def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        for batch in batches:
+            for number, segment, block, blob, bits in zip(*(batch[c].to_pylist() for c in ("range", "segment", "block", "keys")), batch["bits"]):
+                rows = [(segment, None, None, bits.as_py())] if blob is None else [(s, block, part, None) for s, part in ranges.apart(number, blob)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["segment", "block", "keys", "bits"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            done = []
+            for block, segment, levels in zip(*(batch[c].to_pylist() for c in ("block", "segment", "levels"))):
+                if now != (block, segment // ranges.each):
+                    done += [(*now, b"".join(parts))] if parts else []
+                    now, parts = (block, segment // ranges.each), []
+                parts.append(levels)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done) if done else ([], [], []), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "segment", "levels"])
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now, b"".join(parts)), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "segment", "levels"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words = -1, np.empty(0, np.uint64)
@@ -349,10 +404,17 @@ def _by_shuffle(docs: DataFrame, known: Known, table: DataFrame, segments: int,
 
     texts = stage(docs.mapInArrow(blocks, "block long, ids array<long>, texts array<string>"), "blocks")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    sent = texts.mapInArrow(probes, "segment int, block long, keys binary")
-    both = table.select("segment", none("long", "block"), none("binary", "keys"), "bits").unionByName(sent.select("segment", "block", "keys", none("binary", "bits")))
-    ordered = both.repartition("segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
-    answers = stage(ordered.mapInArrow(answer, "block long, segment int, levels binary"), "answers")
+    sent = texts.mapInArrow(probes, "range int, block long, keys binary")
+    own = table.select(F.expr(f"segment div {ranges.each}").cast("int").alias("range"), "segment", none("long", "block"), none("binary", "keys"), "bits")
+    probe = F.col("range") if ranges.each == 1 else F.lit(None).cast("int")
+    both = own.unionByName(sent.select("range", probe.alias("segment"), "block", "keys", none("binary", "bits"))).repartition("range")
+    if ranges.each > 1:
+        both = both.mapInArrow(told_apart, "segment int, block long, keys binary, bits binary")
+    ordered = both.select("segment", "block", "keys", "bits").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
+    found = ordered.mapInArrow(answer, "block long, segment int, levels binary")
+    if ranges.each > 1:
+        found = found.sortWithinPartitions("block", "segment").mapInArrow(together, "block long, segment int, levels binary")
+    answers = stage(found, "answers")
     release(docs.sparkSession)
     back = answers.select("block", none("array<long>", "ids"), none("array<string>", "texts"), "segment", "levels").unionByName(
         texts.select("block", "ids", "texts", none("int", "segment"), none("binary", "levels"))
