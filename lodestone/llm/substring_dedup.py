@@ -138,15 +138,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     texts = rows.select("id", text_tag(F.col("text")).alias("tag"), "text")
     window_rows = texts.join(by_doc, "id").mapInArrow(extend, "hash long, id long, tag int, start int")
-    # A place is a document and a first word in one number that sorts by id first: a long where ids leave room, else a decimal.
+    # A place is a document and a first word in one number that sorts by id first: a long where ids leave room, else a decimal. No
+    # window starts behind the last seed, so places have room for the longest text too.
     low, high = rows.agg(F.min("id"), F.max("id")).first()
-    plain = low is None or 0 <= low and high < 1 << (63 - START_BITS)
+    bits = max(START_BITS, (seeds.agg(F.max("at")).first()[0] or 0).bit_length())
+    plain = low is None or 0 <= low and high < 1 << (63 - bits)
     kind = "long" if plain else "decimal(38,0)"
-    place = F.col("id").cast(kind) * F.lit(1 << START_BITS).cast("long" if plain else "decimal(9,0)") + F.col("start")
+    place = F.col("id").cast(kind) * F.lit(1 << bits).cast("long" if plain else "decimal(10,0)") + F.col("start")
     extended = stage(window_rows.select("hash", "tag", place.cast(kind).alias("place")), "extended")
     discard(seeds)
-    id_of = (lambda c: F.shiftright(c, START_BITS)) if plain else (lambda c: F.floor(F.col(c) / F.lit(1 << START_BITS).cast("decimal(9,0)")).cast("long"))
-    start_of = lambda c: F.pmod(F.col(c), F.lit(1 << START_BITS).cast(kind)).cast("int")
+    id_of = (lambda c: F.shiftright(c, bits)) if plain else (lambda c: F.floor(F.col(c) / F.lit(1 << bits).cast("decimal(10,0)")).cast("long"))
+    start_of = lambda c: F.pmod(F.col(c), F.lit(1 << bits).cast(kind)).cast("int")
     classes = extended.groupBy("hash").agg(F.min("place").alias("partner"), F.max("place").alias("high"))
     earliest = stage(classes.where(id_of("partner") < id_of("high")).select("hash", "partner"), "earliest")
     again = extended.join(earliest, "hash").where(id_of("place") > id_of("partner"))
