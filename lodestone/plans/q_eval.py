@@ -189,8 +189,8 @@ def paired_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
  v AS (SELECT x, y, sxy, avg(CAST(s < sxy AS DOUBLE)) AS below, avg(s) AS other FROM p JOIN sims ON q = x AND c <> x AND qg = cg GROUP BY x, y, sxy HAVING count(*) >= 5)
  SELECT count(*) AS n, round(avg(below), 6) AS percentile, round(avg(CAST(below > 0.5 AS DOUBLE)), 6) AS over_half, round(avg(sxy), 6) AS cos_pair, round(avg(other), 6) AS cos_group FROM v""")
 def label_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How a pair's cosine stands among the cosines of its first item to all of its group; pairs aren't made distinct."""
-    known = paired_cosines(spark, sf_dir).withColumn("pair", F.monotonically_increasing_id())
+    """How a pair's cosine stands among the cosines of its first item to all of its group; a pair that is there twice counts once."""
+    known = paired_cosines(spark, sf_dir).select("x", "y", "s").distinct().withColumn("pair", F.monotonically_increasing_id())
     by_pair = R.standing_in_group(B.vectors(spark, sf_dir), stage(known, "known")).select("s", (F.col("below") / F.col("n")).alias("below"), (F.col("total") / F.col("n")).alias("other"), "n")
     ok = by_pair.where("n >= 5")
     return ok.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("below")).alias("percentile"), r6(F.avg((F.col("below") > 0.5).cast("double"))).alias("over_half"), r6(F.avg("s")).alias("cos_pair"), r6(F.avg("other")).alias("cos_group"))
