@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,24 @@ def test_teammates_leave_the_gallery(spark):
     every = {r["player"]: r["place"] for r in identity_ranks(q, t, "t", "player").collect()}
     others = {r["player"]: r["place"] for r in identity_ranks(q, t, "t", "player", "team").collect()}
     assert every == {1: 4, 2: 4, 3: 3} and others == {1: 3, 2: 3, 3: 2}
+
+
+@pytest.mark.parametrize("same_group", [False, True])
+def test_top_k_equals_sorting(spark, same_group):
+    df, x = vectors(spark, ties=True)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round((x / np.where(n < 1e-12, 1, n)) @ (x / np.where(n < 1e-12, 1, n)).T, 12)
+    want = {(q, c, p) for q in range(60) for p, c in enumerate(sorted((c for c in range(60) if c != q and (not same_group or c % 4 == q % 4)), key=lambda c: (-s[q, c], c))[:5], 1)}
+    for block in (7, 1024):
+        assert {(r["q"], r["c"], r["place"]) for r in R.top_k(df, df, 5, same_group, block=block).collect()} == want
+
+
+def test_top_k_sorts_only_what_can_be_among_the_nearest(spark, monkeypatch):
+    """Blocks after the first hand few of their rows to the sort: 64 queries against 4,000 items, four at most for each query and block."""
+    rng, sorted_rows, sort = np.random.default_rng(4), [], np.lexsort
+    items = [rng.normal(size=(1000, 16)) for _ in range(4)]
+    asked = pd.DataFrame({"qb_id": [np.arange(64)], "qb_vec": [list(items[0][:64])], "qb_grp": [np.zeros(64)]})
+    met = pd.DataFrame({"cb_id": [np.arange(1000) + 1000 * i for i in range(4)], "cb_vec": [list(x) for x in items], "cb_grp": [np.zeros(1000)] * 4})
+    monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: sorted_rows.append(np.size(keys[0])) or sort(keys, axis))
+    R.nearest_in_cell(asked, met, 2)
+    assert len(sorted_rows) == 4 and max(sorted_rows) <= 64 * 8
