@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import inference as I
+from lodestone.operators import resampling as R
 from lodestone.operators.resampling import binomial, draws, replicate_means, seed_number, uniforms
 
 
@@ -96,3 +97,20 @@ def test_interval_is_about_normal(spark):
     values = spark.range(400).select(F.col("id").alias("q"), F.expr("cast(pmod(id * 7919, 1000) as double) / 1000").alias("value"))
     found, plain = I.paired_bootstrap(values, 2000, "n").first(), values.agg(F.avg("value").alias("m"), (F.stddev_pop("value") / 20).alias("se")).first()
     assert abs(found["low"] - plain["m"] + 1.96 * plain["se"]) < 0.15 * plain["se"] and abs(found["high"] - plain["m"] - 1.96 * plain["se"]) < 0.15 * plain["se"]
+
+
+def test_pieces_share_their_way_down(monkeypatch):
+    """Two hundred successive pieces of a large group split the nodes above them once, and draw what each would by itself."""
+    k, reps, seed, split = 3_000_000, np.arange(40), seed_number("w"), []
+    tree, alone = R.Tree(k, reps, seed), np.arange(128)
+    first = draws(k, alone + 5000, reps, seed)
+    plain = R.binomial
+    monkeypatch.setattr(R, "binomial", lambda m, p, u: split.append(len(m)) or plain(m, p, u))
+    assert (tree.draws(alone + 5000) == first).all()
+    for i in range(1, 200):
+        split.clear()
+        tree.draws(alone + 5000 + 128 * i)
+        assert sum(split) <= 40 * 3 * 128
+    assert sum(split) < 40 * (2 * 128 + 22)
+    monkeypatch.undo()
+    assert (tree.draws(alone + 200_000) == draws(k, alone + 200_000, reps, seed)).all()
