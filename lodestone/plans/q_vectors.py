@@ -14,7 +14,7 @@ from lodestone.operators.quantiles import exact_quantiles
 from lodestone.plans import bindings as B
 from lodestone.plans.bindings import SQL, TOP_SQL
 from lodestone.plans.registry import query
-from lodestone.plans.staging import table
+from lodestone.plans.staging import stage, table
 
 LONG = " SELECT id, pos - 1 AS pos, round(vec[pos], 6) AS value FROM (SELECT id, vec, unnest(range(1, len(vec) + 1)) AS pos FROM x)"
 
@@ -250,13 +250,13 @@ def _attributes_sql() -> str:
 
 @query("attr_queries", f"SELECT query, count(*) FILTER (holds) AS n_holders, count(*) FILTER (fits) AS n_fits FROM ({_attributes_sql()}) GROUP BY query")
 def attr_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribute_table(spark, sf_dir).groupBy("query").agg(F.count_if("holds").alias("n_holders"), F.count_if("fits").alias("n_fits"))
+    return attribute_table(table(spark, sf_dir, "part")).groupBy("query").agg(F.count_if("holds").alias("n_holders"), F.count_if("fits").alias("n_fits"))
 
 
-def attribute_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attribute_table(parts: DataFrame) -> DataFrame:
     """query, id, holds (has the position), fits (and the attribute): all predicates in one pass over the parts."""
     each = F.array(*[F.struct(F.lit(q).alias("query"), F.expr(p).alias("holds"), F.expr(f"{p} and {a}").alias("fits")) for q, (p, a) in ATTRIBUTES.items()])
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(each).alias("a")).select("id", "a.*")
+    return parts.select(F.col("p_partkey").alias("id"), F.explode(each).alias("a")).select("id", "a.*")
 
 
 @query("attr_lift", TOP_SQL + f""", att AS ({_attributes_sql()}), g AS (SELECT DISTINCT query, dense_rank() OVER (ORDER BY query) - 1 AS q FROM att),
@@ -264,12 +264,15 @@ def attribute_table(spark: SparkSession, sf_dir: str) -> DataFrame:
  hit AS (SELECT g.query, avg(CASE WHEN coalesce(fits, false) THEN 1.0 ELSE 0.0 END) AS p10 FROM top JOIN g ON g.q = top.q LEFT JOIN att ON att.query = g.query AND att.id = top.c WHERE place <= 10 GROUP BY g.query)
  SELECT query, round(p10, 6) AS p10, round(base, 6) AS base, round(CASE WHEN base > 0 THEN p10 / base END, 6) AS lift FROM hit JOIN base USING (query)""")
 def attr_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attribute precision in the ten nearest of each query's vector, against the attribute's rate among holders."""
-    v, att = B.vectors(spark, sf_dir), attribute_table(spark, sf_dir)
+    """Attribute precision in the ten nearest of each query's vector, against the attribute's rate among holders. Parts are reduced to those
+    that count before a row is made for each query; the table of all attributes is never a side of a join."""
+    v, parts = B.vectors(spark, sf_dir), table(spark, sf_dir, "part")
     names = spark.createDataFrame([(i, q) for i, q in enumerate(sorted(ATTRIBUTES))], "q long, query string")
-    near = R.top_k(v.join(F.broadcast(names.select(F.col("q").alias("id"))), "id", "left_semi"), v, 10).join(F.broadcast(names), "q").withColumnRenamed("c", "id")
-    hit = near.join(att, ["query", "id"], "left").groupBy("query").agg(F.avg(F.coalesce(F.col("fits"), F.lit(False)).cast("double")).alias("p10"))
-    base = att.join(v.select("id"), "id", "left_semi").groupBy("query").agg(F.avg(F.when(F.col("holds"), F.col("fits").cast("double"))).alias("base"))
+    near = stage(R.top_k(v.join(F.broadcast(names.select(F.col("q").alias("id"))), "id", "left_semi"), v, 10).join(F.broadcast(names), "q").select("query", F.col("c").alias("id")), "near")
+    few = parts.join(F.broadcast(near.select(F.col("id").alias("p_partkey")).distinct()), "p_partkey", "left_semi")  # ten for each query at most
+    hit = near.join(attribute_table(few).hint("merge"), ["query", "id"], "left").groupBy("query").agg(F.avg(F.coalesce(F.col("fits"), F.lit(False)).cast("double")).alias("p10"))
+    own = parts.join(v.select(F.col("id").alias("p_partkey")).hint("merge"), "p_partkey", "left_semi")
+    base = attribute_table(own).groupBy("query").agg(F.avg(F.when(F.col("holds"), F.col("fits").cast("double"))).alias("base"))
     return hit.join(base, "query").select("query", r6("p10").alias("p10"), r6("base").alias("base"), r6(F.when(F.col("base") > 0, F.try_divide("p10", "base"))).alias("lift"))
 
 

@@ -269,3 +269,11 @@ def test_top_k_sorts_only_what_can_be_among_the_nearest(spark, monkeypatch):
     monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: sorted_rows.append(np.size(keys[0])) or sort(keys, axis))
     R.nearest_in_cell(asked, met, 2)
     assert len(sorted_rows) == 4 and max(sorted_rows) <= 64 * 8
+
+
+def test_attr_lift_broadcasts_no_attributes(spark):
+    from lodestone.plans.q_vectors import attr_lift
+
+    plan = attr_lift(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    sides = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert "SortMergeJoin [query" in plan and all("p_partkey" in s or "query#" in s for s in sides)
