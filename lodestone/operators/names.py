@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.staging import discard, stage
 
+# Staged names are many rows in small files, which Spark would take for small tables: every join of names is by shuffle (``hint("merge")``).
 
 def _parts(names: DataFrame, edits: int) -> DataFrame:
     """(name, size, part, text): each name's own parts, of about equal length."""
@@ -54,15 +55,15 @@ def pairs_within(left: DataFrame, right: DataFrame, edits: int, frequent: int =
     """
     left, right = (side.select("name").where("name is not null").distinct() for side in (left, right))
     if edits == 0:
-        return left.join(right.withColumn("known", F.col("name")), "name").select("name", "known", F.lit(0).alias("d"))
+        return left.join(right.withColumn("known", F.col("name")).hint("merge"), "name").select("name", "known", F.lit(0).alias("d"))
     key = ["size", "part", "text"]
     own, asked = stage(_parts(right, edits).withColumnRenamed("name", "known"), "parts"), stage(_probes(left, edits), "probes")
     # Both sides of a part count: as many on one side and a few on the other are as many pairs as they are names.
-    crowded = own.groupBy(*key).count().where(F.col("count") > frequent).select(*key)
-    proposed = asked.join(own.join(crowded, key, "left_anti"), key).select("name", "known")
+    crowded = own.groupBy(*key).count().where(F.col("count") > frequent).select(*key).hint("merge")
+    proposed = asked.join(own.join(crowded, key, "left_anti").hint("merge"), key).select("name", "known")
     some_left = asked.join(crowded, key, "left_semi").select("name").distinct()
     some_right = own.join(crowded, key, "left_semi").select(F.col("known").alias("name")).distinct()
-    also = _shortened(some_left, edits).join(_shortened(some_right, edits).withColumnRenamed("name", "known"), "less").select("name", "known")
+    also = _shortened(some_left, edits).join(_shortened(some_right, edits).withColumnRenamed("name", "known").hint("merge"), "less").select("name", "known")
     found = stage(proposed.unionByName(also).where(F.levenshtein("name", "known", edits) >= 0).distinct().withColumn("d", F.levenshtein("name", "known")), "close")
     discard(own, asked)
     return found
@@ -78,5 +79,5 @@ def closest(left: DataFrame, right: DataFrame, edits: int = 2, frequent: int = 6
         at = pairs_within(rest, right, d, frequent)
         found = at if found is None else found.unionByName(at)
         if d < edits:
-            rest = stage(rest.join(at.select("name").distinct(), "name", "left_anti"), "unmatched")
+            rest = stage(rest.join(at.select("name").distinct().hint("merge"), "name", "left_anti"), "unmatched")
     return found

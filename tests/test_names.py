@@ -58,3 +58,17 @@ def test_a_common_beginning_proposes_no_square(spark):
     names = spark.range(3000).selectExpr("concat('a very common beginning ', lpad(cast(id * 7919 % 1000003 as string), 9, '0')) AS name")
     got = pairs_within(names, names, 1)
     assert got.where("d = 0").count() == 3000
+
+
+def test_names_are_never_broadcast(spark):
+    """Staged names are small files of many rows; a broadcast of them would pass through the driver."""
+    left = spark.range(300).selectExpr("concat('customer#', lpad(cast(id * 7 as string), 9, '0')) AS name")
+    from lodestone.operators import names as N
+
+    plans, stage = [], N.stage
+    N.stage = lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, label)
+    try:
+        N.pairs_within(left, left, 1).count()
+    finally:
+        N.stage = stage
+    assert plans and not any("BroadcastExchange" in p or "BroadcastHashJoin" in p for p in plans)
