@@ -126,9 +126,9 @@ def _betweenness(src: np.ndarray, dst: np.ndarray) -> dict[int, float]:
     return dict(zip(nodes.tolist(), (total * scale).tolist()))
 
 
-def betweenness(edges: DataFrame, most: int = 512, sources: int = 4096) -> DataFrame:
+def betweenness(edges: DataFrame, most: int = 512, sources: int = 4096, rows: int = 50_000_000) -> DataFrame:
     """Mean over games of betweenness in the game's pass network. Games of at most ``most`` players are settled in a task each; larger ones
-    by tables of levels, for so many ``sources`` at a time."""
+    by tables of levels, for ``sources`` at first and then for as many at a time as should reach ``rows`` rows."""
     edges = stage(edges.select("game", "src", "dst").where("src <> dst").distinct(), "passes")
     nodes = edges.select("game", F.col("src").alias("node")).union(edges.select("game", "dst")).distinct()
     sizes = stage(nodes.groupBy("game").agg(F.count(F.lit(1)).alias("n")), "sizes")
@@ -140,30 +140,37 @@ def betweenness(edges: DataFrame, most: int = 512, sources: int = 4096) -> DataF
     found = edges.join(sizes.where(F.col("n") <= most).select("game"), "game").groupBy("game").applyInPandas(by_game, "player long, b double")
     large = sizes.where(F.col("n") > most)
     if not large.isEmpty():
-        credit = betweenness_by_levels(edges.join(large.select("game"), "game"), nodes.join(large.select("game"), "game"), sources)
+        credit = betweenness_by_levels(edges.join(large.select("game"), "game"), nodes.join(large.select("game"), "game"), sources, rows)
         scaled = nodes.join(large, "game").join(credit, ["game", "node"], "left")
         found = found.unionByName(scaled.select(F.col("node").alias("player"), (F.coalesce("credit", F.lit(0.0)) / F.greatest(F.lit(1), (F.col("n") - 1) * (F.col("n") - 2))).alias("b")))
     return found.groupBy("player").agg(F.avg("b").alias("betweenness"))
 
 
-def betweenness_by_levels(edges: DataFrame, nodes: DataFrame, sources: int = 4096) -> DataFrame:
+SLOTS = 1 << 20  # sources are taken by ranges of a hash
+
+
+def betweenness_by_levels(edges: DataFrame, nodes: DataFrame, sources: int = 4096, rows: int = 50_000_000) -> DataFrame:
     """(game, node, credit): shortest paths through each node, as a share of those between their ends, over all pairs of ends.
 
-    About ``sources`` nodes at a time are sources. Their frontiers are tables (game, source, node, paths), one for each level, each made from
+    About ``sources`` nodes are the sources of the first round. How many rows they reach tells how many sources a round may have, so that it
+    writes about ``rows`` rows: sparse networks of any size are settled in few rounds. Frontiers are tables (game, source, node, paths), one for each level, each made from
     the one before by a join; then credits are summed level by level back to the sources. Every level is written, so that no task holds a
     network and a lost executor costs one level.
     """
     edges, nodes = stage(edges, "edges"), stage(nodes, "nodes")
-    rounds = max(1, -(-nodes.count() // sources))
-    parts = []
-    for k in range(rounds):
-        own = nodes.where(F.pmod(F.xxhash64("game", "node"), F.lit(rounds)) == k)
+    nodes = nodes.withColumn("at", F.pmod(F.xxhash64("game", "node"), F.lit(SLOTS)))
+    n, parts, begin = nodes.count(), [], 0
+    while begin < SLOTS and n:
+        end = min(SLOTS, begin + max(1, min(SLOTS, SLOTS * sources // n)))
+        own = nodes.where((F.col("at") >= begin) & (F.col("at") < end))
         levels = [stage(own.select("game", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "level")]
         seen = levels[0]
         while not levels[-1].isEmpty():
             ahead = levels[-1].join(edges.withColumnRenamed("src", "node"), ["game", "node"]).groupBy("game", "source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
             levels.append(stage(ahead.join(seen.select("game", "source", "node"), ["game", "source", "node"], "left_anti"), "level"))
             seen = seen.unionByName(levels[-1])
+        begin, reach = end, seen.count() / max(1, levels[0].count())
+        sources = max(sources, int(rows / max(1.0, reach)))
         credits = []
         far = levels[-2].select("game", "source", "node", "paths", F.lit(0.0).alias("credit"))
         for level in reversed(levels[:-2]):
@@ -247,16 +254,16 @@ def rated(actions: DataFrame, surface: DataFrame, nx: int = 16, ny: int = 12) ->
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull of points (x, y) in order, by monotone chains; under three distinct points, those."""
-    xy = np.unique(points, axis=0)
+    xy = sorted(set(map(tuple, points.tolist())))
     if len(xy) < 3:
-        return xy
+        return np.array(xy).reshape(-1, 2)
 
-    def chain(rows: np.ndarray) -> list:
+    def chain(rows: list[tuple]) -> list:
         out: list = []
-        for p in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+        for x, y in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
                 out.pop()
-            out.append(p)
+            out.append((x, y))
         return out[:-1]
 
     return np.array(chain(xy) + chain(xy[::-1]))
@@ -267,18 +274,41 @@ def area(corners: np.ndarray) -> float:
     return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2) if len(corners) > 2 else 0.0
 
 
-def hull_areas(actions: DataFrame, length: float = 105.8, width: float = 68.7) -> DataFrame:
-    """player, hull_share: area of the hull of start points over the field's. Each batch hands on the corners of its players'
-    hulls; a player's hull is that of all those corners."""
+def hull_areas(actions: DataFrame, length: float = 105.8, width: float = 68.7, few: int = 64) -> DataFrame:
+    """player, hull_share: area of the hull of start points over the field's. A player with many points in a batch hands on their hull's corners,
+    others their points as they are; these are sorted by player, and a stream of batches holds one open player at a time."""
+
+    def runs(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Players in order, where each begins, and the points."""
+        players, xy = batch["player"].to_numpy(), batch[["x0", "y0"]].to_numpy(float)
+        order = np.argsort(players, kind="stable")
+        return players[order], np.flatnonzero(np.diff(players[order], prepend=players[order[:1]] - 1)), xy[order]
 
     def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for player, points in batch.groupby("player"):
-                got = hull(points[["x0", "y0"]].to_numpy(float))
-                yield pd.DataFrame({"player": player, "x0": got[:, 0], "y0": got[:, 1]})
-
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"player": group["player"].iloc[:1], "hull_share": [area(hull(group[["x0", "y0"]].to_numpy(float))) / (length * width)]})
-
-    points = actions.where(~F.isnan("x0") & ~F.isnan("y0")).select("player", "x0", "y0")
-    return points.mapInPandas(corners, "player long, x0 double, y0 double").groupBy("player").applyInPandas(whole, "player long, hull_share double")
+            if len(batch):
+                players, begin, xy = runs(batch)
+                size = np.diff(begin, append=len(players))
+                found = [(players[b], hull(xy[b : b + n])) for b, n in zip(begin[size > few], size[size > few])]
+                left = np.repeat(size <= few, size)
+                who = np.concatenate([players[left], *[np.full(len(c), p) for p, c in found]])
+                points = np.concatenate([xy[left], *[c for _, c in found]])
+                yield pd.DataFrame({"player": who, "x0": points[:, 0], "y0": points[:, 1]})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # the corners so far of the last player, who may go on in the next batch
+        share = lambda found: pd.DataFrame({"player": [p for p, _ in found], "hull_share": [area(c) / (length * width) for _, c in found]})
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if len(batch):
+                players, begin, xy = runs(batch)
+                found = [(players[b], hull(xy[b:e])) for b, e in zip(begin, [*begin[1:], len(players)])]
+                rest = pd.DataFrame({"player": found[-1][0], "x0": found[-1][1][:, 0], "y0": found[-1][1][:, 1]})
+                if len(found) > 1:
+                    yield share(found[:-1])
+        if rest is not None:
+            yield share([(rest["player"].iloc[0], rest[["x0", "y0"]].to_numpy(float))])
+
+    points = actions.where(F.col("player").isNotNull() & ~F.isnan("x0") & ~F.isnan("y0")).select("player", "x0", "y0")
+    sorted_by = points.mapInPandas(corners, "player long, x0 double, y0 double").repartition("player").sortWithinPartitions("player")
+    return sorted_by.mapInPandas(whole, "player long, hull_share double")
