@@ -66,12 +66,12 @@ def per_match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEAT = ", h AS (SELECT player, least(7, greatest(0, trunc(y0 / 68.7 * 8)))::INT * 12 + least(11, greatest(0, trunc(x0 / 105.8 * 12)))::INT AS bin, count(*) AS n FROM actions GROUP BY ALL)"
 
 
-def heatmap(actions: DataFrame, across: int = 12, down: int = 8) -> DataFrame:
-    """player, bin, n, share over a grid; bins without actions have no row."""
+def heatmap(actions: DataFrame, across: int = 12, down: int = 8, *by: str) -> DataFrame:
+    """player, by, bin, n, share over a grid; bins without actions have no row."""
     clip = lambda v, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), v.cast("int")))
     at = clip(F.col("y0") / 68.7 * down, down) * across + clip(F.col("x0") / 105.8 * across, across)
-    counts = actions.where(~F.isnan("x0") & ~F.isnan("y0")).groupBy("player", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("player")))
+    counts = actions.where(~F.isnan("x0") & ~F.isnan("y0")).groupBy("player", *by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("player", *by)))
 
 
 @query("heatmap_hist", SQL + HEAT + " SELECT player, bin, n, round(n * 1.0 / sum(n) OVER (PARTITION BY player), 6) AS share FROM h")

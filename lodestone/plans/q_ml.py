@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +57,12 @@ def nmf_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("player_vectors")
 def player_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location heat maps by action type on a fine grid, factored by type, with the type's weights side by side: player, type, pos, value."""
-    a = B.actions(spark, sf_dir)
-    parts = []
-    for kind in ("pass", "dribble", "cross", "shot", "tackle"):
-        v = heat_vectors(a.where(F.col("type") == kind), 50, 50)
-        parts.append(out(M.factor_weights(v, M.fit_factors(v, 4, rounds=10))).select(F.col("id").alias("player"), F.lit(kind).alias("type"), "pos", "value"))
-    return functools.reduce(DataFrame.unionByName, parts)
+    kinds = ["pass", "dribble", "cross", "shot", "tackle"]
+    shares = heatmap(B.actions(spark, sf_dir).where(F.col("type").isin(kinds)), 50, 50, "type")
+    cells = shares.groupBy(F.col("player").alias("id"), F.col("type").alias("kind")).agg(F.collect_list(F.struct("bin", "share")).alias("c"))
+    v = stage(cells.select("id", "kind", F.col("c.bin").alias("at"), F.col("c.share").alias("value")), "cells")
+    weights = M.sparse_factor_weights(v, M.fit_sparse_factors(v, 50 * 50, 4, kinds, rounds=10))
+    return weights.select(F.col("id").alias("player"), F.col("kind").alias("type"), F.posexplode("vec").alias("pos", "value")).select("player", "type", F.col("pos").cast("long").alias("pos"), r6("value").alias("value"))
 
 
 TFIDF = r"""WITH w AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
