@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.words import sequence_hashes, sliced, split_words, string_hashes
-from lodestone.plans.staging import discard, stage
+from lodestone.plans.staging import discard, release, stage
 
 WINDOW = 13
 GRAM = 5
@@ -151,6 +151,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     start_of = lambda c: F.pmod(F.col(c), F.lit(1 << bits).cast(kind)).cast("int")
     classes = extended.groupBy("hash").agg(F.min("place").alias("partner"), F.max("place").alias("high"))
     earliest = stage(classes.where(id_of("partner") < id_of("high")).select("hash", "partner"), "earliest")
+    release(docs.sparkSession)  # the shuffle that found the classes is as large as the one that comes
     again = extended.join(earliest, "hash").where(id_of("place") > id_of("partner"))
     asked = again.select(id_of("place").alias("id"), "tag", F.struct(start_of("place").alias("start"), id_of("partner").alias("low"), start_of("partner").alias("at")).alias("w"))
 

@@ -23,3 +23,14 @@ def test_long_texts_have_room(spark, monkeypatch, low):
     assert {(d, n) for d, n, _ in want} == {(low + i, 40 if i else 0) for i in range(6)}
     monkeypatch.setattr(S, "START_BITS", 3)
     assert {(r["doc_id"], r["n_removed"], r["kept_text"]) for r in S.substring_dedup(docs).collect()} == want
+
+
+def test_shuffles_that_are_done_with_go_before_the_next(spark, monkeypatch):
+    from lodestone.llm import substring_dedup as D
+
+    steps, stage, release = [], D.stage, D.release
+    monkeypatch.setattr(D, "stage", lambda df, label: steps.append(label) or stage(df, label))
+    monkeypatch.setattr(D, "release", lambda session: steps.append("release") or release(session))
+    text = " ".join(f"w{i}" for i in range(40))
+    found = {r["id"]: r["spans"] for r in D.repeats(spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id long, text string")).collect()}
+    assert [(s["begin"], s["end"]) for s in found[2]] == [(1, 41)] and steps.index("earliest") < steps.index("release") < steps.index("matches")
