@@ -15,6 +15,7 @@ which Spark splits, and no group is gathered. A partner's passage is cut out onc
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import sequence_hashes, sliced, split_words, string_hashes
+from lodestone.llm.words import give_back, sequence_hashes, sliced, split_words, string_hashes
 from lodestone.plans.staging import discard, release, stage
 
 WINDOW = 13
 GRAM = 5
 FIRST = -(2**63)
 START_BITS = 25
+PARTS = 2
 _RUN = 1 << 20
+_ROWS = 512
 _SPANS = "array<struct<begin: int, end: int>>"
 
 
@@ -149,11 +152,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     discard(seeds)
     id_of = (lambda c: F.shiftright(c, bits)) if plain else (lambda c: F.floor(F.col(c) / F.lit(1 << bits).cast("decimal(10,0)")).cast("long"))
     start_of = lambda c: F.pmod(F.col(c), F.lit(1 << bits).cast(kind)).cast("int")
-    classes = extended.groupBy("hash").agg(F.min("place").alias("partner"), F.max("place").alias("high"))
-    earliest = stage(classes.where(id_of("partner") < id_of("high")).select("hash", "partner"), "earliest")
-    release(docs.sparkSession)  # the shuffle that found the classes is as large as the one that comes
-    again = extended.join(earliest, "hash").where(id_of("place") > id_of("partner"))
-    asked = again.select(id_of("place").alias("id"), "tag", F.struct(start_of("place").alias("start"), id_of("partner").alias("low"), start_of("partner").alias("at")).alias("w"))
+    def pieces(part: int) -> DataFrame:
+        """What the windows of one part of the hashes ask for; equal windows have one hash, so they lie in one part."""
+        own = extended.where(F.pmod("hash", F.lit(PARTS)) == part)
+        classes = own.groupBy("hash").agg(F.min("place").alias("partner"), F.max("place").alias("high"))
+        earliest = stage(classes.where(id_of("partner") < id_of("high")).select("hash", "partner"), "earliest")
+        release(docs.sparkSession)  # the shuffle that found the classes is as large as the one that comes
+        again = own.join(earliest, "hash").where(id_of("place") > id_of("partner"))
+        out = stage(again.select(id_of("place").alias("id"), "tag", start_of("place").alias("start"), id_of("partner").alias("low"), start_of("partner").alias("at")), "asked")
+        discard(earliest)
+        return out
+
+    # Part by part, and written before windows are gathered by text: no more than one part's shuffles lie beside the windows.
+    parts = [pieces(part) for part in range(PARTS)]
+    discard(extended)
+    asked = functools.reduce(DataFrame.unionByName, parts).select("id", "tag", F.struct("start", "low", "at").alias("w"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +178,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             ], names=["id", "tag", "begin", "end", "low", "at"])
 
     matches = stage(asked.groupBy("id", "tag").agg(F.collect_list("w").alias("ws")).mapInArrow(match, "id long, tag int, begin int, end int, low long, at int"), "matches")
-    discard(earliest, extended)
+    discard(*parts)
     checked = _verified(texts, matches)
     discard(matches)
     if not checked.where("size(doubts) > 0").isEmpty():
@@ -270,17 +283,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.pandas_udf(f"kept_text string, n_words long, n_removed long, repeats {_SPANS}")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, begins, ends in batches:
-            out = []
-            for text, begin, end in zip(texts, begins, ends):
-                words, kept, at = words_of(text), [], 0
-                spans = [] if begin is None else list(zip(begin.tolist(), end.tolist()))
-                for a, b in spans:
-                    kept += words[at:a]
-                    at = b
-                kept += words[at:]
-                out.append((b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept), [{"begin": a, "end": b} for a, b in spans]))
-            yield pd.DataFrame(out, columns=list(made))
+        for batch in batches:
+            for low in range(0, len(batch[0]), _ROWS):  # a part at a time: a worker holds no second copy of a batch
+                out = []
+                for text, begin, end in zip(*(column.iloc[low : low + _ROWS] for column in batch)):
+                    words, kept, at = words_of(text), [], 0
+                    spans = [] if begin is None else list(zip(begin.tolist(), end.tolist()))
+                    for a, b in spans:
+                        kept += words[at:a]
+                        at = b
+                    kept += words[at:]
+                    out.append((b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept), [{"begin": a, "end": b} for a, b in spans]))
+                yield pd.DataFrame(out, columns=list(made))
+            give_back()
 
     cuts = keyed.join(found, ["id", "tag"], "left").select("row", cut("text", "spans.begin", "spans.end").alias("cut"))
     return cuts.select("row.*", "cut.*")

@@ -24,7 +24,8 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") ->
             end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + most, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
-        pa.default_memory_pool().release_unused()  # a worker lives on after its task
+        del batch
+        give_back()
 
 
 def give_back() -> None:
@@ -66,7 +67,7 @@ def _powers(base: int, prime: int, bits: int) -> np.ndarray:
     return out
 
 
-def string_hashes(strings: pa.Array, block: int = 1 << 20) -> np.ndarray:
+def string_hashes(strings: pa.Array, block: int = (1 << 17) - 1) -> np.ndarray:
     """A 64-bit hash of each string, from two polynomials modulo primes; strings are taken in blocks of about ``block`` bytes, so
     working memory doesn't follow the array."""
     import xxhash

@@ -34,3 +34,42 @@ def test_shuffles_that_are_done_with_go_before_the_next(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(40))
     found = {r["id"]: r["spans"] for r in D.repeats(spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id long, text string")).collect()}
     assert [(s["begin"], s["end"]) for s in found[2]] == [(1, 41)] and steps.index("earliest") < steps.index("release") < steps.index("matches")
+
+
+def test_windows_are_gone_before_they_are_gathered_by_text(spark, monkeypatch):
+    import os
+
+    from lodestone.llm import substring_dedup as D
+
+    stage, made = D.stage, []
+
+    def watched(df, label):
+        if label == "matches":
+            assert [x for x, _ in made].count("asked") == D.PARTS > 1
+            assert not [x for x, path in made if x in ("extended", "earliest") and os.path.exists(path.removeprefix("file://"))]
+        out = stage(df, label)
+        made.append((label, out._staged_path))
+        return out
+
+    monkeypatch.setattr(D, "stage", watched)
+    # Texts of more rows than a part of a batch; every second one repeats a passage.
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"a{i} " + (passage if i % 2 else f"b{i}") + f" c{i}") for i in range(1100)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in D.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    want = {i: (32 if i % 2 else 3, 30 if i % 2 and i > 1 else 0, f"a{i} c{i}" if i % 2 and i > 1 else text) for i, text in rows}
+    assert got == want
+
+
+def test_a_worker_keeps_little_after_hashing_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodestone.llm import words as W
+
+    W._powers.cache_clear()
+    tracemalloc.start()
+    hashes = W.string_hashes(pa.array([f"word {i}" for i in range(50_000)] + ["x" * 200_000, "x" * 200_001]))
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(set(hashes.tolist())) == 50_002 and kept < 16e6
