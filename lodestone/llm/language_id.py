@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import text_runs
+from lodestone.llm.words import give_back
 
 UNKNOWN = "und"
 
@@ -201,6 +202,7 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
             yield pd.DataFrame({
                 "lang": names[np.where(has_letter, best, len(columns))], "score": np.where(has_letter, 1 / post.sum(axis=1), 0.0), "fit": np.where(has_letter, fit, np.nan),
             })
+            give_back()
 
     return language(text)
 
