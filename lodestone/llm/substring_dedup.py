@@ -95,6 +95,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def verdict(words: list[bytes], begin: np.ndarray | None, end: np.ndarray | None, passage: np.ndarray | None) -> tuple[list, list]:
+    """Spans of a document's words that equal their partners' passages, joined; and the places of those that don't."""
+    if begin is None:
+        return [], []
+    places = list(zip(begin.tolist(), end.tolist()))
+    # Two rows may share the partner's id: one passage that is equal suffices.
+    same = {(a, b) for (a, b), p in zip(places, passage) if b" ".join(words[a:b]) == p}
+    return merged(list(same)), sorted(set(places) - same)
+
+
+def listed(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"begin": a, "end": b} for a, b in spans]
+
+
 def text_tag(text: Column) -> Column:
     """A text's CRC-32 as an int; it tells apart most rows that share an id."""
     return (F.crc32(F.coalesce(text, F.lit("")).cast("binary")) - F.lit(2147483648)).cast("int")
@@ -107,6 +121,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     smaller than all others and comes out as the least long; of rows that share an id and have repeats each has its own tag.
     ``hash_bits`` below 64 makes collisions frequent, and changes no result.
     """
+    texts, matches, mask = _matches(docs, id_col, text_col, window, gram, hash_bits)
+    each, passages = _brought(texts, matches)
+
+    @F.pandas_udf(f"spans {_SPANS}, doubts {_SPANS}")
+    def compare(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            told = [verdict(words_of(text), *found) for text, *found in zip(*columns)]
+            yield pd.DataFrame([(listed(spans), listed(doubts)) for spans, doubts in told], columns=["spans", "doubts"])
+            give_back()
+
+    met = texts.join(each, ["id", "tag"]).select("id", "tag", compare("text", "found.begin", "found.end", "found.passage").alias("told"))
+    checked = stage(met.select("id", "tag", "told.*"), "checked")
+    discard(matches, passages)
+    if not checked.where("size(doubts) > 0").isEmpty():
+        checked = _settled(texts, checked, window, gram, mask)
+    return checked.where("size(spans) > 0").select("id", "tag", "spans")
+
+
+def _matches(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, hash_bits: int) -> tuple[DataFrame, DataFrame, np.uint64]:
+    """The texts (id, tag, text), and the staged matches (id, tag, begin, end, low, at) that their hashes propose."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("id"), F.col(text_col).alias("text"))
     mask = np.uint64((1 << hash_bits) - 1)
 
@@ -179,15 +213,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     matches = stage(asked.groupBy("id", "tag").agg(F.collect_list("w").alias("ws")).mapInArrow(match, "id long, tag int, begin int, end int, low long, at int"), "matches")
     discard(*parts)
-    checked = _verified(texts, matches)
-    discard(matches)
-    if not checked.where("size(doubts) > 0").isEmpty():
-        checked = _settled(texts, checked, window, gram, mask)
-    return checked.where("size(spans) > 0").select("id", "tag", "spans")
+    return texts, matches, mask
 
 
-def _verified(texts: DataFrame, matches: DataFrame) -> DataFrame:
-    """(id, tag, spans, doubts): matches whose words are those of the partner's passage, and those that aren't."""
+def _brought(texts: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, tag, found): for each document its matches with the partners' passages; and the staged passages, which it reads as it does the matches."""
     wanted = matches.groupBy("low").agg(F.collect_set(F.struct("at", (F.col("end") - F.col("begin")).alias("n"))).alias("cuts"))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,27 +232,8 @@ def _verified(texts: DataFrame, matches: DataFrame) -> DataFrame:
 
     cut = stage(texts.select(F.col("id").alias("low"), "text").join(wanted, "low").mapInArrow(passages, "low long, at int, n int, passage binary"), "passages")
     brought = matches.withColumn("n", F.col("end") - F.col("begin")).join(cut, ["low", "at", "n"])
-    each = brought.groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "end", "passage")).alias("found"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-        for batch in sliced(batches, _RUN):
-            row, (begin, end, passage) = lists_of(batch["found"], "begin", "end", "passage")
-            begin, end = begin.to_numpy(), end.to_numpy()
-            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
-            spans, doubts = [], []
-            for r in range(batch.num_rows):
-                words = words_of(batch["text"][r].as_py())
-                places = list(zip(begin[cuts[r] : cuts[r + 1]].tolist(), end[cuts[r] : cuts[r + 1]].tolist()))
-                # Two rows may share the partner's id: one passage that is equal suffices.
-                same = {(a, b) for (a, b), p in zip(places, passage.slice(cuts[r], len(places)).to_pylist()) if b" ".join(words[a:b]) == p}
-                spans.append([{"begin": a, "end": b} for a, b in merged(list(same))])
-                doubts.append([{"begin": a, "end": b} for a, b in sorted(set(places) - same)])
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["tag"], pa.array(spans, kind), pa.array(doubts, kind)], names=["id", "tag", "spans", "doubts"])
-
-    out = stage(texts.join(each, ["id", "tag"]).mapInArrow(compare, f"id long, tag int, spans {_SPANS}, doubts {_SPANS}"), "checked")
-    discard(cut)
-    return out
+    release(texts.sparkSession)  # the texts that were cut were shuffled; documents with matches are next
+    return brought.groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "end", "passage")).alias("found")), cut
 
 
 def _settled(texts: DataFrame, checked: DataFrame, window: int, gram: int, mask: np.uint64) -> DataFrame:
@@ -275,27 +286,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     made = ("kept_text", "n_words", "n_removed", "repeats")
     held = [c for c in docs.columns if c not in made]
-    own = docs.select(F.struct(*held).alias("row"))
-    keyed = own.withColumns({
-        "id": F.coalesce(F.col(f"row.{id_col}").cast("long"), F.lit(FIRST)), "text": F.col(f"row.{text_col}"), "tag": text_tag(F.col(f"row.{text_col}")),
-    })
-    found = repeats(docs, id_col, text_col, window, gram, hash_bits)
-
-    @F.pandas_udf(f"kept_text string, n_words long, n_removed long, repeats {_SPANS}")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    text = F.col(f"row.{text_col}")
+    keyed = docs.select(F.struct(*held).alias("row")).withColumns({"id": F.coalesce(F.col(f"row.{id_col}").cast("long"), F.lit(FIRST)), "tag": text_tag(text)})
+    texts, matches, mask = _matches(docs, id_col, text_col, window, gram, hash_bits)
+    each, passages = _brought(texts, matches)
+
+    @F.pandas_udf(f"kept_text string, n_words long, n_removed long, repeats {_SPANS}, doubts {_SPANS}")
+    def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for low in range(0, len(batch[0]), _ROWS):  # a part at a time: a worker holds no second copy of a batch
                 out = []
-                for text, begin, end in zip(*(column.iloc[low : low + _ROWS] for column in batch)):
+                for text, begin, end, *passage in zip(*(column.iloc[low : low + _ROWS] for column in batch)):
                     words, kept, at = words_of(text), [], 0
-                    spans = [] if begin is None else list(zip(begin.tolist(), end.tolist()))
+                    if passage:
+                        spans, doubts = verdict(words, begin, end, *passage)
+                    else:
+                        spans, doubts = [] if begin is None else list(zip(begin.tolist(), end.tolist())), []
                     for a, b in spans:
                         kept += words[at:a]
                         at = b
                     kept += words[at:]
-                    out.append((b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept), [{"begin": a, "end": b} for a, b in spans]))
-                yield pd.DataFrame(out, columns=list(made))
+                    left = b" ".join(kept).decode("utf-8", "surrogatepass")
+                    out.append((None if left == text else left, len(words), len(words) - len(kept), listed(spans), listed(doubts)))
+                yield pd.DataFrame(out, columns=[*made, "doubts"])
             give_back()
 
-    cuts = keyed.join(found, ["id", "tag"], "left").select("row", cut("text", "spans.begin", "spans.end").alias("cut"))
-    return cuts.select("row.*", "cut.*")
+    # A text meets its passages once, and is compared and cut there. What stays as it was isn't written twice.
+    done = keyed.join(each, ["id", "tag"], "left").select("id", "tag", "row", cut(text, "found.begin", "found.end", "found.passage").alias("cut"))
+    cuts = stage(done, "cut")
+    discard(matches, passages)
+    if not cuts.where("size(cut.doubts) > 0").isEmpty():
+        checked = cuts.select("id", "tag", F.col("cut.repeats").alias("spans"), "cut.doubts").where("size(spans) + size(doubts) > 0").dropDuplicates(["id", "tag"])
+        found = _settled(texts, stage(checked, "checked"), window, gram, mask)
+        cuts = keyed.join(found, ["id", "tag"], "left").select("row", cut(text, "spans.begin", "spans.end").alias("cut"))
+    return cuts.select("row.*", F.coalesce("cut.kept_text", text).alias("kept_text"), *[f"cut.{c}" for c in made[1:]])

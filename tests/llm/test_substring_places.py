@@ -73,3 +73,18 @@ def test_a_worker_keeps_little_after_hashing_words():
     kept, _ = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert len(set(hashes.tolist())) == 50_002 and kept < 16e6
+
+
+def test_a_text_is_compared_and_cut_where_it_meets_its_passages(spark, monkeypatch):
+    steps, stage = [], S.stage
+    monkeypatch.setattr(S, "stage", lambda df, label: steps.append(label) or stage(df, label))
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, passage), (2, f"a  {passage} b"), (2, f"a  {passage} b"), (3, "x  y"), (4, None), (5, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = S.substring_dedup(docs)
+    assert steps[-2:] == ["passages", "cut"] and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(1, passage, 20, 0), (2, "a b", 22, 20), (2, "a b", 22, 20), (3, "x y", 2, 0), (4, "", 0, 0), (5, "", 20, 20)]
+    assert sorted((r["doc_id"], r["kept_text"], r["n_words"], r["n_removed"]) for r in got.collect()) == want
+    # With few bits hashes collide: what differs is settled by its words, with the same result.
+    again = S.substring_dedup(docs, hash_bits=3)
+    assert sorted((r["doc_id"], r["kept_text"], r["n_words"], r["n_removed"]) for r in again.collect()) == want and "settled" in steps
