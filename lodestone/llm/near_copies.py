@@ -11,8 +11,8 @@ distances discard next to nothing, so fingerprints alone can't find them all. Th
    compared with a few centres, which joins large groups of copies at a cost in proportion to their size.
 3. Pairs. What meets under a key and still lies in unequal components is compared in pairs, so that nothing is missed.
 
-Parity sketches rule pairs out without a loss, and whole sets verify the others. The first two searches save work and decide
-nothing: the components are those of all similar pairs.
+Parity sketches, folded ones before whole ones, rule pairs out without a loss, and whole sets verify the others. The first two
+searches save work and decide nothing: the components are those of all similar pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ SIMILARITY = (4, 5)  # at least four fifths
 CENTRES = 4
 MANY = 64
 BROADCAST = 500_000
+FOLD = 4
 _RUN = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 _SMALL = ("s0", "s1", "s2", "s3")
@@ -83,12 +84,15 @@ def odd_sketch(shingles: np.ndarray, bits: int | None = None) -> bytes:
     return np.packbits(np.bincount((shingles >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch as one of ``size`` bytes; it has the parities that a sketch made with fewer bits has."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0)
+
+
 def differing(a: bytes, b: bytes) -> int:
     """Bits in which two sketches differ; the larger one is folded to the smaller one's size."""
-    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
-    size = min(len(x), len(y))
-    fold = lambda s: np.bitwise_xor.reduce(s.reshape(-1, size), axis=0)
-    return int(np.bitwise_count(fold(x) ^ fold(y)).sum())
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
 def fingerprint(shingles: np.ndarray) -> int:
@@ -160,16 +164,28 @@ def _plausible(a: str, b: str) -> Column:
 
 def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (src, dst) of digests whose sketches differ in no more bits than similar sets can in shingles, a ninth of both
-    sizes."""
+    sizes. A pair carries sketches folded to a quarter first, a bit or two for each shingle; whole ones go only to the pairs that these leave."""
     p, q = SIMILARITY
 
+    @F.pandas_udf("binary")
+    def fold(odd: pd.Series) -> pd.Series:
+        return odd.map(lambda s: folded(s, len(s) // FOLD).tobytes())
+
     @F.pandas_udf("boolean")
     def may(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([differing(x, y) * (p + q) <= (q - p) * k for x, y, k in zip(a, b, n)], dtype="bool")
 
-    a, b = (sketches.select(F.col("digest").alias(k), F.col("odd").alias(f"odd_{k}"), F.col("n").alias(f"n_{k}")) for k in ("src", "dst"))
-    both = pairs.join(a, "src").join(b, "dst").where(near("n_src", "n_dst"))
-    return both.where(may("odd_src", "odd_dst", (F.col("n_src") + F.col("n_dst")).cast("long"))).select("src", "dst")
+    def left(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        once = sketches.dropDuplicates(["digest"])
+        a, b = (once.select(F.col("digest").alias(k), F.col("odd").alias(f"odd_{k}"), F.col("n").alias(f"n_{k}")) for k in ("src", "dst"))
+        both = pairs.join(a, "src").join(b, "dst").where(near("n_src", "n_dst"))
+        return both.where(may("odd_src", "odd_dst", (F.col("n_src") + F.col("n_dst")).cast("long"))).select("src", "dst")
+
+    rough = stage(left(pairs, sketches.select("digest", "n", fold("odd").alias("odd"))), "rough")
+    release(pairs.sparkSession)
+    out = stage(left(rough, sketches), "likely")
+    discard(rough)
+    return out
 
 
 def _verified(likely: DataFrame, docs: DataFrame, measured: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -232,11 +248,11 @@ def similar_sets(docs: DataFrame, measured: DataFrame, id_col: str = "doc_id", t
     keys = keyed.join(shared, "key").select("digest", "key").distinct()
     met = stage(keys.join(measured.select("digest", "n", *_SMALL).dropDuplicates(["digest"]), "digest"), "prefixmet")
     discard(shared)
-    sketches = measured.select("digest", "odd", "n").dropDuplicates(["digest"])
+    sketches = measured.select("digest", "odd", "n")
     proposed, turn, linked, before = _by_fingerprint(measured), 0, None, None
     named = met.withColumn("component", F.col("digest"))
     while True:
-        likely = stage(_likely(proposed.unionByName(_stars(named, turn)).distinct(), sketches), "likely")
+        likely = _likely(proposed.unionByName(_stars(named, turn)).distinct(), sketches)
         more = _verified(likely, docs, measured, id_col, text_col)
         linked = more if linked is None else stage(linked.unionByName(more).distinct(), "linked")
         found = stage(connected_components(linked).withColumnRenamed("node", "digest"), "starcomponents")
@@ -252,7 +268,7 @@ def similar_sets(docs: DataFrame, measured: DataFrame, id_col: str = "doc_id", t
     a, b = left.alias("a"), left.alias("b")
     apart = [F.col("a.key") == F.col("b.key"), F.col("a.digest") < F.col("b.digest"), F.col("a.component") != F.col("b.component"), _plausible("a.", "b.")]
     pairs = a.join(b, apart).select(F.col("a.digest").alias("src"), F.col("b.digest").alias("dst")).distinct()
-    likely = stage(_likely(pairs, sketches), "likely")
+    likely = _likely(pairs, sketches)
     paired = _verified(likely, docs, measured, id_col, text_col)
     out = connected_components(linked.unionByName(paired))
     discard(met, left, likely)

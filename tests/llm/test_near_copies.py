@@ -58,3 +58,28 @@ def test_near_copies_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stays, _ = brute_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert {r.doc_id for r in P.drop_near_copies(spark, docs, SF).select("doc_id").collect()} == stays
+
+
+def test_pairs_carry_folded_sketches_before_whole_ones(spark, monkeypatch):
+    """Long texts, whose small sketches tell little: what folded ones exclude never meets a whole one, and no similar pair is excluded."""
+    from lodestone.llm import near_copies as N
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:1450] + [f"v{rng.randrange(10**6)}" for _ in range(50)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    measured = N._measured(docs, "doc_id", "text")
+    of = {r["id"]: r["digest"] for r in measured.select("id", "digest").collect()}
+    pairs = spark.createDataFrame([(of[a], of[b]) for a in of for b in of if a < b], "src long, dst long")
+    sizes, stage = {}, N.stage
+
+    def watched(df, label):
+        out = stage(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "stage", watched)
+    got = {tuple(r) for r in N._likely(pairs, measured.select("digest", "odd", "n")).collect()}
+    assert got == {(of[2 * i], of[2 * i + 1]) for i in range(12)} and sizes["rough"] < 30
