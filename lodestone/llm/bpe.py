@@ -285,13 +285,14 @@ class StreamDecoder:
 @functools.cache
 def _kinds() -> np.ndarray:
     """Of each code point: 0 white space, 1 letter, 2 number, 3 other."""
-    out = np.full(0x110000, 3, np.uint8)
-    every = [*range(0xD800), *range(0xE000, 0x110000)]
-    text = "".join(map(chr, every))
+    # All but the surrogates, which are none of these, decoded at once: a list of the characters would take 100 MB in every worker.
+    points = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])
+    text = points.tobytes().decode("utf-32-le")
+    out = np.full(len(text), 3, np.uint8)
     for kind, pattern in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
         for match in regex.finditer(pattern, text):
-            out[every[match.start()] : every[match.end() - 1] + 1] = kind
-    return out
+            out[match.start() : match.end()] = kind
+    return np.insert(out, 0xD800, np.full(0x800, 3, np.uint8))
 
 
 def word_starts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:

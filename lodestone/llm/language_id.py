@@ -176,6 +176,8 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
 
     The fit is the mean log probability of the text's n-grams less that of the language's own texts, plus four standard errors of
     a mean of so many n-grams (each letter lies in several); texts of the language stay above about -0.5 at any length.
+
+    The result depends on the text alone; it is marked as not deterministic so that Spark makes it once for each row.
     """
     sent = spark.sparkContext.broadcast(model)
 
@@ -204,7 +206,8 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
             })
             give_back()
 
-    return language(text)
+    # Else a filter on the prediction goes below it, and every text is judged twice, by two workers for each task.
+    return language.asNondeterministic()(text)
 
 
 def hash_bucket(id_col: str, buckets: int) -> Column:

@@ -14,15 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import encoded
-from lodestone.llm.words import give_back
+from lodestone.llm.words import give_back, sliced
 from lodestone.plans.staging import stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Bytes of text that are held as Python strings at a time.
+_RUN = 1 << 20
 
 
 class OpenWindows:
@@ -51,6 +54,11 @@ def _id_source(low: int) -> Iterator[int]:
         low += 1
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * 9
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "used"])
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, open_windows: int = 64, fan_in: int = 32) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -61,28 +69,27 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
 
-    def first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         part = TaskContext.get().partitionId()
         ids = _id_source(part << 32)
         windows = OpenWindows(size, open_windows, ids)
-        for batch in batches:
+        # A slice at a time, so that no second copy of a batch of texts is held.
+        for batch in sliced(batches, _RUN):
             rows: list[tuple] = []
-            for doc_id, tokens in zip(batch["id"], encoded(tokenizer, batch["text"])):
+            for doc_id, tokens in zip(batch["id"].to_pylist(), encoded(tokenizer, batch["text"].to_pylist())):
                 tokens = np.append(tokens, np.int32(end_id)).astype("<u4")
                 n = len(tokens)
                 for start in range(0, n, size):
                     piece = tokens[start : start + size]
                     window, offset = (next(ids), 0) if len(piece) == size else windows.place(len(piece))
                     rows.append((doc_id, start, len(piece), zlib.crc32(piece), n, window, offset, part, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "used"]).astype({"doc_id": "Int64", "used": "Int64"})
-            give_back()
+            yield _batch(rows)
         # The windows left open, as rows without a document.
-        left = [(None, 0, 0, 0, 0, window, 0, part, size - free) for free, window in windows.open]
-        yield pd.DataFrame(left, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "used"]).astype({"doc_id": "Int64", "used": "Int64"})
+        yield _batch([(None, 0, 0, 0, 0, window, 0, part, size - free) for free, window in windows.open])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    packed = stage(rows.mapInPandas(first_fit, PIECES + ", part long, used long"), "packed")
+    packed = stage(rows.mapInArrow(first_fit, PIECES + ", part long, used long"), "packed")
     pieces = packed.where("used is null").drop("part", "used")
     left = packed.where("used is not null").select("part", F.col("sequence_id").alias("window"), "used")
     moves = merge_open(left, size, open_windows, fan_in)

@@ -345,6 +345,35 @@ def test_packing(odd, none):
     assert packing.pack(none, tokenizer_file()).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_a_null(spark):
+    ids = [2**53 + 1, None, -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i, "some text") for i in ids], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in packing.pack(df, tokenizer_file()).collect()} == set(ids)
+
+
+def test_packing_in_slices(spark, monkeypatch):
+    """A batch of texts is packed a slice at a time, to the same pieces."""
+    texts = [(i, None if i % 7 == 0 else f"text {i} " * (i % 400)) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    order = ["sequence_id", "offset"]
+    whole = packing.pack(df, tokenizer_file()).toPandas().sort_values(order, ignore_index=True)
+    monkeypatch.setattr(packing, "_RUN", 1000)
+    assert packing.pack(df, tokenizer_file()).toPandas().sort_values(order, ignore_index=True).equals(whole)
+    assert set(whole.doc_id) == set(range(300)) and whole.length.sum() == whole[whole.start == 0].doc_tokens.sum()
+
+
+def test_character_kinds_in_little_memory():
+    """Every Python worker makes them once, and it keeps room for what it once held."""
+    import tracemalloc
+
+    tracemalloc.start()
+    kinds = bpe._kinds.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    assert [kinds[ord(c)] for c in " aé日٣!"] == [0, 1, 1, 1, 2, 3] and set(kinds[0xD800:0xE000]) == {3} and len(kinds) == 0x110000 and kinds[0x1D7CE] == 2
+
+
 def test_open_windows_place_best_fit():
     w = packing.OpenWindows(10, 2, iter(range(100)))
     assert [w.place(n) for n in (6, 7, 3, 5)] == [(0, 0), (1, 0), (1, 7), (2, 0)]

@@ -124,6 +124,16 @@ def test_simhash_against_all_pairs(spark, docs):
     assert all(got.component_id[i] == low[i] for i in prints)
 
 
+def test_language_stage_judges_a_text_once(spark):
+    """Filtering by a prediction must not make it again below the filter: each evaluation takes a Python worker of its own in every task."""
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "le chat est assis", "fr"), (3, "123", None)], "doc_id long, text string, lang string")
+    kept = P.keep_languages(spark, docs, SF)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2}
+
+
 def test_pipeline(spark, docs, library):
     """Against a plain version of its stages on the same input."""
     import corpus_pipeline as P
