@@ -114,3 +114,17 @@ def test_pieces_share_their_way_down(monkeypatch):
     assert sum(split) < 40 * (2 * 128 + 22)
     monkeypatch.undo()
     assert (tree.draws(alone + 200_000) == draws(k, alone + 200_000, reps, seed)).all()
+
+
+def test_sql_of_enough_levels_draws_as_the_query(spark):
+    """The SQL's tree has a leaf for each of 2^levels units; with more units it needs another level, the query none."""
+    import duckdb
+
+    con = duckdb.connect()
+    for k, levels, equal in ((8, 3, True), (9, 3, False), (9, 4, True)):
+        units = spark.range(k).selectExpr("'a' AS g", "id AS idx", "sin(id) AS total", "1 + id % 3 AS n", f"{k}L AS k")
+        got = replicate_means(units.drop("k"), 50, "s", "g").first()["means"]
+        frame = units.toPandas()  # noqa: F841  read by DuckDB
+        sql = "WITH un AS (SELECT * FROM frame)" + R.tree_sql("mn", "un", "g", 50, "s", levels) + " SELECT mean FROM mn ORDER BY rep"
+        want = [m for (m,) in con.execute(sql).fetchall()]
+        assert (len(want) == 50 and np.allclose(got, want, atol=1e-9)) == equal
