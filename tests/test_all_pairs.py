@@ -36,3 +36,14 @@ def test_a_large_group_is_spread_and_vectors_are_copied_once_for_each_part(spark
         found = R.all_pairs(df, same_group, side=500, block=500)
         assert "Join" in found._jdf.queryExecution().executedPlan().toString()
         assert found.rdd.getNumPartitions() == 40 and found.count() == 2000 * 1999
+
+
+def test_vectors_that_single_precision_holds_travel_so(spark):
+    rows = [(0, [0.5, 2.0], 1), (1, [0.1, 2.0], 1), (2, [0.0, 0.0], 1), (3, [float(np.float32(0.1)), 1.0], 1)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, grp int")
+    sent = R.packed(df)
+    assert sent.schema["short"].dataType.simpleString() == "array<float>"
+    assert {r["id"]: (r["short"] is None, r["vec"] is None) for r in sent.collect()} == {0: (False, True), 1: (True, False), 2: (False, True), 3: (False, True)}
+    got = {(r["q"], r["c"]): r["sim"] for r in R.all_pairs(df).collect()}
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1.0) for i, v, _ in rows}
+    assert got == {(a, b): pytest.approx(float(unit[a] @ unit[b]), abs=2e-12) for a in unit for b in unit if a != b}
