@@ -48,3 +48,48 @@ def test_a_cell_of_the_grid_is_bounded(spark):
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert peak < 32e6
+
+
+def _expected(vectors, ids, groups, q, r):
+    sims = np.round(vectors @ vectors.T, 12)
+    where = {x: i for i, x in enumerate(ids.tolist())}
+    i, j = where[q], where[r]
+    order = sorted((x for x in range(len(ids)) if x != i), key=lambda x: (-sims[i, x], ids[x]))
+    within = sorted(range(len(ids)), key=lambda x: (x == i or groups[x] != groups[i], 0 if x == i or groups[x] != groups[i] else -sims[i, x], ids[x]))
+    return order.index(j), within.index(j)
+
+
+def test_zero_vectors_are_counted_without_products(monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 120
+    vectors = rng.normal(size=(n, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[rng.permutation(n)[:40]] = 0.0
+    ids, groups = rng.permutation(n), rng.integers(0, 3, n)
+    asks, items = _cell(vectors, ids, groups, [np.unique([(i + 7) % n, (i + 1) % n, (i + 50) % n]) for i in range(n)])
+    plain, again = np.einsum, []
+    monkeypatch.setattr(R.np, "einsum", lambda how, a, b: again.append(len(a)) or plain(how, a, b))
+    got = R.ranks_in_cell(asks, items)
+    monkeypatch.undo()
+    assert sum(again) < 20  # every pair with a zero vector was computed again before
+    for q, r, rank_all, rank_group in got.itertuples(index=False):
+        assert (rank_all, rank_group) == _expected(vectors, ids, groups, q, r)
+
+
+def test_many_equal_vectors_are_compared_in_pieces():
+    n = 1500
+    vectors = np.tile(np.ones(64) / 8, (n, 1))
+    ids, groups = np.arange(n), np.arange(n) % 2
+    asks, items = _cell(vectors, ids, groups, [np.array([(i + 1) % n]) for i in range(n)])
+    tracemalloc.start()
+    got = R.ranks_in_cell(asks, items)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 200e6 and got["rank_all"].tolist() == [i for i in range(n - 1)] + [0]
+
+
+def test_ones():
+    rng = np.random.default_rng(7)
+    for width in (0, 5, 8, 1023, 2040, 2048, 5003):
+        matrix = rng.random((13, width)) < 0.9
+        assert R._ones(matrix).tolist() == matrix.sum(1).tolist() and R._ones(matrix[::2, 1:]).tolist() == matrix[::2, 1:].sum(1).tolist()
