@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from lodestone.operators import ranking as R
 
@@ -93,3 +94,34 @@ def test_ones():
     for width in (0, 5, 8, 1023, 2040, 2048, 5003):
         matrix = rng.random((13, width)) < 0.9
         assert R._ones(matrix).tolist() == matrix.sum(1).tolist() and R._ones(matrix[::2, 1:]).tolist() == matrix[::2, 1:].sum(1).tolist()
+
+
+@pytest.mark.parametrize("mated", [False, True])
+@pytest.mark.parametrize("many", [0, 8, 10**6])
+def test_places_of_targets_with_many_ties(monkeypatch, mated, many):
+    """Maps with few events, whose cosines are mostly alike, and scattered ones; in parts small enough that some count as a whole."""
+    for name, value in (("LEAF", 16), ("BLOCK", 32), ("MANY", many)):
+        monkeypatch.setattr(R, name, value)
+    rng = np.random.default_rng(8)
+    n = 150
+    for kind in ("maps", "scattered", "zeros"):
+        q, t = (rng.integers(0, 2, (n, 12)).astype(float) if kind == "maps" else rng.uniform(0.5, 1, (n, 3)) for _ in "qt")
+        if kind == "zeros":
+            q[::5], t[::7] = 0.0, 0.0
+        q, t = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (q, t))
+        ids, mates = rng.permutation(n), rng.integers(0, 3, n) if mated else np.full(n, -1)
+        stars = np.round((q * t).sum(1), 12)
+        cut = lambda x: [x[:40], x[40:]]
+        asked = pd.DataFrame({"lb_id": cut(ids), "lb_mate": cut(mates), "lb_s": cut(stars), "lb_vec": cut(list(q)), "lb_g": cut([0] * n)})
+        items = pd.DataFrame({"rb_id": cut(ids), "rb_mate": cut(mates if mated else mates - 1), "rb_vec": cut(list(t))})
+        got = R.places_in_cell(asked, items)
+        sims = np.round(q @ t.T, 12)
+        want = [sum((sims[i, j], -ids[j]) > (stars[i], -ids[i]) for j in range(n) if j != i and not (mated and mates[j] == mates[i])) for i in range(n)]
+        assert got["id"].tolist() == ids.tolist() and got["before"].tolist() == want
+
+
+def test_short_vectors_meet_in_fewer_cells(spark, monkeypatch):
+    monkeypatch.setattr(R, "SUPER", 4)
+    df = spark.range(256).selectExpr("struct(1 AS a) AS g", "id", "array(1D, 2D) AS vec")
+    cells = lambda values: R.met_in_groups(df, df, ["id"], ["id", "vec"], lambda a, b: pd.DataFrame({"n": [len(a)]}), "n long", 4, values).count()
+    assert cells(0) == 16**2 and cells(1 << 20) == 4**2 and cells(2 * 4 * 8) == 8**2
