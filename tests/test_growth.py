@@ -69,3 +69,23 @@ def test_tf_idf_cuts_texts_after_they_are_put_together(spark):
     assert [r[:2] for r in rows[0]] == [(1, "a"), (1, "b"), (1, "d"), (2, "b"), (2, "c")] and rows[0] == rows[1]
     plan = M.tf_idf(docs, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") <= 2 and "REPARTITION_BY_COL" in plan
+
+
+def test_encoders_go_one_after_the_other(spark, monkeypatch):
+    """One encoder's profiles are removed before the next encoder's are written."""
+    from lodestone.plans import q_pairs as P
+    from tests.conftest import SF
+
+    held, most, stage, discard = set(), [], P.stage, P.discard
+
+    def staged(df, label):
+        out = stage(df, label)
+        if label == "profiles":
+            held.add(out._staged_path)
+            most.append(len(held))
+        return out
+
+    monkeypatch.setattr(P, "stage", staged)
+    monkeypatch.setattr(P, "discard", lambda *frames: (held.difference_update(f._staged_path for f in frames), discard(*frames)))
+    found = P.leakage_encoders(spark, SF).collect()
+    assert most == [1, 1, 1] and not held and {r["encoder"] for r in found} == {"mean", "heatmap", "factors"}
