@@ -23,7 +23,11 @@ def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scope, q and the metrics, for both scopes from one pass over the blocks."""
-    found = ranks(spark, sf_dir)
+    return scoped(ranks(spark, sf_dir))
+
+
+def scoped(found: DataFrame) -> DataFrame:
+    """scope, q and the metrics of ranks in both scopes, which are read once."""
     both = found.select("q", F.explode(F.array(F.struct(F.lit("all").alias("scope"), F.col("rank_all").alias("rank")), F.struct(F.lit("group").alias("scope"), F.col("rank_group").alias("rank")))).alias("x")).select("q", "x.*")
     placed = both.withColumn("j", F.row_number().over(Window.partitionBy("scope", "q").orderBy("rank")))
     first = F.min("rank")
@@ -69,8 +73,7 @@ def masked_pool_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     follows = covered.select(F.col("id").alias("x"), F.lead("id").over(Window.partitionBy("grp").orderBy("id")).alias("y")).where("y is not null and x % 3 <> 0")
     near = covered.select((F.col("id") - 1).alias("x"), F.col("id").alias("y")).where("x % 50 = 0 and x >= 0").join(covered.select(F.col("id").alias("x")), "x", "left_semi")
     found = R.rank_counts(covered, R.relevance_edges(follows.unionByName(near), covered))
-    parts = [R.query_metrics(found, f"rank_{s}").withColumn("scope", F.lit(s)) for s in ("all", "group")]
-    return parts[0].unionByName(parts[1]).groupBy("scope").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in NAMES])
+    return scoped(found).groupBy("scope").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in NAMES])
 
 
 @query("cosine_all_pairs", SIMS + " SELECT q, c, round(s, 6) AS sim FROM sims WHERE q <> c")
@@ -273,8 +276,7 @@ def submission_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = pool.select("id", "grp").join(own, "id", "left")
     vectors = aligned.select("id", F.coalesce("filed", F.array_repeat(F.lit(0.0), 64)).alias("vec"), "grp")
     found = R.rank_counts(vectors, R.relevance_edges(B.pairs(spark, sf_dir)))
-    parts = [R.query_metrics(found, f"rank_{s}").withColumn("scope", F.lit(s)) for s in ("all", "group")]
-    report = parts[0].unionByName(parts[1]).groupBy("scope").agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(n), 4).alias(n) for n in NAMES])
+    report = scoped(found).groupBy("scope").agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(n), 4).alias(n) for n in NAMES])
     covered = aligned.agg(F.count(F.lit(1)).alias("pool_size"), F.round(F.avg(F.col("filed").isNotNull().cast("double")), 4).alias("coverage"))
     full = report.join(F.broadcast(covered)).select("scope", "n_queries", "pool_size", "coverage", *NAMES)
     return load(spark, write_report(full, scratch_path(spark, "report") + ".json"), "scope string, n_queries long, pool_size long, coverage double, " + ", ".join(f"{n} double" for n in NAMES))

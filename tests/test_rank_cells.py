@@ -125,3 +125,18 @@ def test_short_vectors_meet_in_fewer_cells(spark, monkeypatch):
     df = spark.range(256).selectExpr("struct(1 AS a) AS g", "id", "array(1D, 2D) AS vec")
     cells = lambda values: R.met_in_groups(df, df, ["id"], ["id", "vec"], lambda a, b: pd.DataFrame({"n": [len(a)]}), "n long", 4, values).count()
     assert cells(0) == 16**2 and cells(1 << 20) == 4**2 and cells(2 * 4 * 8) == 8**2
+
+
+@pytest.mark.parametrize("name", ["submission_report", "masked_pool_map"])
+def test_ranks_are_counted_once_for_both_scopes(spark, monkeypatch, name):
+    from lodestone.plans import q_eval
+    from lodestone.sources import files
+    from tests.conftest import SF
+
+    plans, write = [], files.write_report
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(files, "write_report", lambda df, path: (note(df), write(df, path))[1])
+    found = getattr(q_eval, name)(spark, SF)
+    if not plans:
+        note(found)
+    assert plans[0].count("FlatMapCoGroupsInPandas") == 1
